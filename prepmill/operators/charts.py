@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
 from ..functions.roles import col, numeric_columns, require_columns
-from ..functions.stats import pearson
 from .profile import IQR_FACTOR, percent
 from .reshape import pivot
 from .view import sample
 
-PAIRS_PER_JOB = 100
+PAIRS_PER_JOB = 200
+FLAT = 1e-12
 DENSITY_POINTS = 200
 DENSITY_CUT = 3.0
 TOP_VALUES = 20
@@ -178,25 +178,58 @@ def density(df: DataFrame, column: str, points: int = DENSITY_POINTS, fine_bins:
     return density_by(df.withColumn("_all", F.lit(0)), column, "_all", points, fine_bins).drop("_all")
 
 
+def _pair_r(a: str, b: str, whole: set[str], xs: dict[str, Column]) -> tuple[dict[str, Column], Column]:
+    """Sums needed for one pair (by name, so pairs share them) and the r made of them."""
+    x, y = xs[a], xs[b]
+    if a in whole and b in whole:
+        names = {"n": "n", "sa": f"s_{a}", "sb": f"s_{b}", "qa": f"q_{a}", "qb": f"q_{b}", "p": f"p_{a}_{b}"}
+        exprs = [F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
+    else:
+        names = {k: f"{k}_{a}_{b}" for k in ("n", "sa", "sb", "qa", "qb", "p")}
+        xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        exprs = [F.count(x * y), F.sum(xx), F.sum(yy), F.sum(xx * xx), F.sum(yy * yy), F.sum(x * y)]
+    sums = {name: e for name, e in zip(names.values(), exprs)}
+    c = {k: col(name).cast("double") for k, name in names.items()}
+    va = c["n"] * c["qa"] - c["sa"] * c["sa"]
+    vb = c["n"] * c["qb"] - c["sb"] * c["sb"]
+    # A spread this small beside the squares is rounding: the column is constant there.
+    varies = (va > FLAT * c["n"] * c["qa"]) & (vb > FLAT * c["n"] * c["qb"])
+    r = F.try_divide(c["n"] * c["p"] - c["sa"] * c["sb"], F.sqrt(va) * F.sqrt(vb))
+    return sums, F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns (``col_a`` before ``col_b``), pairwise complete.
 
-    One aggregate per ``PAIRS_PER_JOB`` pairs; each task sends one row.
+    A first aggregate finds each column's mean and gaps.  The second sums products of
+    centred columns, so nothing cancels; columns without gaps share their sums.  Each
+    task sends one row, and ``PAIRS_PER_JOB`` pairs go into one aggregate.
     """
     names = numeric_columns(df) if columns is None else columns
     require_columns(df, names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    facts = []
+    for i, c in enumerate(names):
+        x = col(c).cast("double")
+        facts += [F.avg(x).alias(f"m{i}"), F.count(x).alias(f"c{i}"), (F.min(x) == F.max(x)).alias(f"k{i}")]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *facts).first()
+    whole = {c for i, c in enumerate(names) if row[f"c{i}"] == row["n"]}
+    flat = {c for i, c in enumerate(names) if row[f"k{i}"] is None or row[f"k{i}"]}
+    xs = {c: col(c).cast("double") - F.lit(row[f"m{i}"]).cast("double") for i, c in enumerate(names)}
     parts = None
     for start in range(0, len(pairs), PAIRS_PER_JOB):
-        batch = pairs[start:start + PAIRS_PER_JOB]
-        wide = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
-        rows = F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(batch)
-        ])
-        part = wide.select(F.inline(rows))
+        sums: dict[str, Column] = {}
+        rows = []
+        for a, b in pairs[start:start + PAIRS_PER_JOB]:
+            r = F.lit(None).cast("double")
+            if a not in flat and b not in flat:
+                more, r = _pair_r(a, b, whole, xs)
+                sums.update(more)
+            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
+        sums = sums or {"n": F.count(F.lit(1))}
+        part = df.agg(*[e.alias(name) for name, e in sums.items()]).select(F.inline(F.array(*rows)))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 

@@ -33,11 +33,11 @@ for _fn in FUNCTIONS:
 @query(
     "rs1_pivot_nulls",
     """
-select user_id, coalesce(sum(value) filter (where event_type='click'),0) as click,
- coalesce(sum(value) filter (where event_type='error'),0) as error,
- coalesce(sum(value) filter (where event_type='purchase'),0) as purchase,
- coalesce(sum(value) filter (where event_type='signup'),0) as signup,
- coalesce(sum(value) filter (where event_type='view'),0) as "view"
+select user_id, coalesce(round(sum(value) filter (where event_type='click'),6),0) as click,
+ coalesce(round(sum(value) filter (where event_type='error'),6),0) as error,
+ coalesce(round(sum(value) filter (where event_type='purchase'),6),0) as purchase,
+ coalesce(round(sum(value) filter (where event_type='signup'),6),0) as signup,
+ coalesce(round(sum(value) filter (where event_type='view'),6),0) as "view"
 from (select user_id, event_type, value from events_null where event_type is not null and user_id is not null)
 group by user_id""",
     ("events_null",),
