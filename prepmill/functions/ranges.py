@@ -31,21 +31,32 @@ def order_number(df: DataFrame, key: str) -> Column:
 
 
 def with_range_bucket(
-    df: DataFrame, key: str, buckets: int | None = None, out: str = "_bucket"
+    df: DataFrame, key: str, buckets: int | None = None, out: str = "_bucket", source: DataFrame | None = None
 ) -> tuple[DataFrame, int]:
-    """Add a bucket number that never decreases with ``key``; return it with the bucket count."""
-    number = order_number(df, key)
+    """Add a bucket number that never decreases with ``key``; return it with the bucket count.
+
+    Limits come from a quantile sketch of ``source`` (``df`` itself when not given): give
+    the rows before a grouping to spare computing the grouping twice.
+    """
+    origin = df if source is None else source
+    number = order_number(origin, key)
+
+    def sketch(parts: int):
+        marks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        probe = F.percentile_approx(number, marks, F.lit(max(10_000, 10 * parts)))
+        return origin.agg(F.count(F.lit(1)).alias("n"), probe.alias("m")).first()
+
     if buckets is None:
-        rows = df.count()
-        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(MAX_BUCKETS, max(least, math.ceil(rows / ROWS_PER_BUCKET)))
-    marks = [i / buckets for i in range(1, buckets)]
-    found = []
-    if marks:
-        probe = F.percentile_approx(number, F.array(*[F.lit(m) for m in marks]), F.lit(max(10_000, 10 * buckets)))
-        found = df.agg(probe.alias("m")).first()["m"] or []
+        buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        row = sketch(buckets)
+        wanted = min(MAX_BUCKETS, math.ceil(row["n"] / ROWS_PER_BUCKET))
+        if wanted > buckets:
+            row = sketch(wanted)
+        found = row["m"] or []
+    else:
+        found = (sketch(buckets)["m"] or []) if buckets > 1 else []
     splits = [-math.inf, *sorted({float(x) for x in found}), math.inf]
-    prepared = df.withColumn("_order_number", number)
+    prepared = df.withColumn("_order_number", order_number(df, key))
     cut = Bucketizer(splits=splits, inputCol="_order_number", outputCol=out, handleInvalid="keep")
     result = cut.transform(prepared).withColumn(out, F.col(out).cast("int")).drop("_order_number")
     return result, len(splits) - 1
@@ -80,13 +91,14 @@ def running_sums(
     by: list[str] | tuple[str, ...] = (),
     descending: bool = False,
     buckets: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums in ``key`` order inside each ``by`` group.
 
     Give rows already grouped to one per (by, key): then no bucket is hot.
     """
     by = list(by)
-    rows, _ = with_range_bucket(df, key, buckets)
+    rows, _ = with_range_bucket(df, key, buckets, source=source)
     for name, expr in sums.items():
         rows = rows.withColumn(f"_in_{name}", expr)
     order = F.desc("_bucket") if descending else F.asc("_bucket")

@@ -178,60 +178,61 @@ def density(df: DataFrame, column: str, points: int = DENSITY_POINTS, fine_bins:
     return density_by(df.withColumn("_all", F.lit(0)), column, "_all", points, fine_bins).drop("_all")
 
 
-def _pair_r(a: str, b: str, whole: set[str], xs: dict[str, Column]) -> tuple[dict[str, Column], Column]:
-    """Sums needed for one pair (by name, so pairs share them) and the r made of them."""
-    x, y = xs[a], xs[b]
-    if a in whole and b in whole:
-        names = {"n": "n", "sa": f"s_{a}", "sb": f"s_{b}", "qa": f"q_{a}", "qb": f"q_{b}", "p": f"p_{a}_{b}"}
-        exprs = [F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
-    else:
-        names = {k: f"{k}_{a}_{b}" for k in ("n", "sa", "sb", "qa", "qb", "p")}
-        xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        exprs = [F.count(x * y), F.sum(xx), F.sum(yy), F.sum(xx * xx), F.sum(yy * yy), F.sum(x * y)]
-    sums = {name: e for name, e in zip(names.values(), exprs)}
-    c = {k: col(name).cast("double") for k, name in names.items()}
-    va = c["n"] * c["qa"] - c["sa"] * c["sa"]
-    vb = c["n"] * c["qb"] - c["sb"] * c["sb"]
-    # A spread this small beside the squares is rounding: the column is constant there.
-    varies = (va > FLAT * c["n"] * c["qa"]) & (vb > FLAT * c["n"] * c["qb"])
-    r = F.try_divide(c["n"] * c["p"] - c["sa"] * c["sb"], F.sqrt(va) * F.sqrt(vb))
-    return sums, F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+def _pair_sums(i: int, j: int, whole: set[int], x: list[str]) -> dict[str, str]:
+    """Sums for one pair as ``{part: SQL}``; columns without gaps share theirs by equal text."""
+    a, b = x[i], x[j]
+    if i in whole and j in whole:
+        return {
+            "n": "count(1)", "sa": f"sum({a})", "sb": f"sum({b})", "qa": f"sum({a} * {a})", "qb": f"sum({b} * {b})",
+            "p": f"sum({a} * {b})",
+        }
+    aa, bb = f"if({b} is null, null, {a})", f"if({a} is null, null, {b})"
+    return {
+        "n": f"count({a} * {b})", "sa": f"sum({aa})", "sb": f"sum({bb})", "qa": f"sum({aa} * {a})",
+        "qb": f"sum({bb} * {b})", "p": f"sum({a} * {b})",
+    }
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns (``col_a`` before ``col_b``), pairwise complete.
 
     A first aggregate finds each column's mean and gaps.  The second sums products of
-    centred columns, so nothing cancels; columns without gaps share their sums.  Each
-    task sends one row, and ``PAIRS_PER_JOB`` pairs go into one aggregate.
+    centred columns, so nothing cancels.  Each task sends one row, and
+    ``PAIRS_PER_JOB`` pairs go into one aggregate.
     """
     names = numeric_columns(df) if columns is None else columns
     require_columns(df, names)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
-    facts = []
-    for i, c in enumerate(names):
-        x = col(c).cast("double")
-        facts += [F.avg(x).alias(f"m{i}"), F.count(x).alias(f"c{i}"), (F.min(x) == F.max(x)).alias(f"k{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *facts).first()
-    whole = {c for i, c in enumerate(names) if row[f"c{i}"] == row["n"]}
-    flat = {c for i, c in enumerate(names) if row[f"k{i}"] is None or row[f"k{i}"]}
-    xs = {c: col(c).cast("double") - F.lit(row[f"m{i}"]).cast("double") for i, c in enumerate(names)}
+    raw = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    facts = [f"avg(x{i}) as m{i}, count(x{i}) as c{i}, min(x{i}) as a{i}, max(x{i}) as z{i}" for i in range(len(names))]
+    row = raw.selectExpr("count(1) as n", *[e for f in facts for e in f.split(", ")]).first()
+    whole = {i for i in range(len(names)) if row[f"c{i}"] == row["n"]}
+    flat = {i for i in range(len(names)) if row[f"a{i}"] == row[f"z{i}"]}
+    centred = raw.selectExpr(*[
+        f"x{i} - cast('{0.0 if row[f'm{i}'] is None else row[f'm{i}']!r}' as double) as x{i}" for i in range(len(names))
+    ])
+    x = [f"x{i}" for i in range(len(names))]
     parts = None
     for start in range(0, len(pairs), PAIRS_PER_JOB):
-        sums: dict[str, Column] = {}
-        rows = []
-        for a, b in pairs[start:start + PAIRS_PER_JOB]:
-            r = F.lit(None).cast("double")
-            if a not in flat and b not in flat:
-                more, r = _pair_r(a, b, whole, xs)
-                sums.update(more)
-            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
-        sums = sums or {"n": F.count(F.lit(1))}
-        part = df.agg(*[e.alias(name) for name, e in sums.items()]).select(F.inline(F.array(*rows)))
+        sums: dict[str, str] = {}
+        structs = []
+        for i, j in pairs[start:start + PAIRS_PER_JOB]:
+            fields = [f"{i} as i, {j} as j, {str(not {i, j} & flat).lower()} as varied"]
+            for part, text in _pair_sums(i, j, whole, x).items():
+                fields.append(f"cast({sums.setdefault(text, f's{len(sums)}')} as double) as {part}")
+            structs.append(f"struct({', '.join(fields)})")
+        wide = centred.selectExpr(*[f"{text} as {name}" for text, name in sums.items()])
+        part = wide.selectExpr(f"inline(array({', '.join(structs)}))")
         parts = part if parts is None else parts.unionByName(part)
-    return parts
+    spread = parts.selectExpr("i", "j", "varied", "n * p - sa * sb as c", "n * qa as ta", "n * qb as tb",
+                              "n * qa - sa * sa as va", "n * qb - sb * sb as vb")
+    # A spread this small beside the squares is rounding: the column is constant there.
+    r = f"""if(varied and va > {FLAT} * ta and vb > {FLAT} * tb,
+            greatest(least(c / (sqrt(va) * sqrt(vb)), 1D), -1D), null)"""
+    listed = F.array(*[F.lit(c) for c in names])
+    return spread.select(listed[F.col("i")].alias("col_a"), listed[F.col("j")].alias("col_b"), F.expr(r).alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

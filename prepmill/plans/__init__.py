@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = (
-    "sources", "profile", "views", "shape", "repair", "charts", "advice", "setup",
+    "sources", "profile", "views", "shape", "repair", "charts", "advice", "setup", "features", "evaluation",
 )
 
 
