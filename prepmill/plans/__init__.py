@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "sources", "profile", "views", "shape", "repair", "charts", "advice", "setup", "features", "evaluation",
+    "training", "explaining", "packaging",
 )
 
 
