@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import run_together
 from ..functions.roles import col
 from ..session import cut_lineage
 from .models import FittedModel, MeanOfModels, fit_model
@@ -78,13 +81,14 @@ def out_of_fold_scores(train: DataFrame, names: list[str], kind: str, classes: i
 
     ``train`` has ``features, _label`` and an integer ``fold`` column.
     """
-    parts = None
-    for i in range(folds):
+
+    def fold(i: int) -> DataFrame:
         inner, held = train.where(F.col("fold") != i), train.where(F.col("fold") == i)
         fitted = [fit_model(n, kind, inner, classes, None, (params or {}).get(n), key) for n in names]
-        part = _with_base_scores(held, fitted, kind, classes)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        return _with_base_scores(held, fitted, kind, classes)
+
+    parts = run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(folds)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def stacking(
@@ -99,5 +103,7 @@ def stacking(
     meta_name = META[meta][0 if kind == "classification" else 1]
     learner = fit_model(
         meta_name, kind, scored.withColumnRenamed("_meta", "features"), classes, None, dict(META[meta][2]))
-    bases = [fit_model(n, kind, train, classes, None, (params or {}).get(n), key) for n in names]
+    bases = run_together(train.sparkSession, [
+        lambda n=n: fit_model(n, kind, train, classes, None, (params or {}).get(n), key) for n in names
+    ])
     return FittedModel("stacking", kind, [StackedModel(bases, learner, kind, classes)])

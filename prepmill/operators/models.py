@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_unit
+from ..functions.parallel import run_together
 from ..functions.roles import as_text, col
 from ..session import cut_lineage
 
@@ -166,8 +168,6 @@ class RandomFourier:
         self.out = out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
-
         weights, shift = self.weights, self.shift
         factor = math.sqrt(2.0 / len(shift))
 
@@ -309,9 +309,8 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
 def _gamma(train: DataFrame) -> float:
     """1 / (slots * variance of all feature values), from one aggregate."""
     x = F.explode(vector_to_array("features"))
-    row = train.select(x.alias("v")).agg(F.var_pop("v").alias("s"), F.count("v").alias("n")).first()
-    slots = len(train.select(vector_to_array("features").alias("a")).first()["a"])
-    return 1.0 / (slots * row["s"]) if row["s"] else 1.0
+    spread = train.select(x.alias("v")).agg(F.var_pop("v")).first()[0]
+    return 1.0 / (_slots(train) * spread) if spread else 1.0
 
 
 def _slots(train: DataFrame) -> int:
@@ -336,24 +335,38 @@ def _fit_svm(train, classes, weighted, params, seed, done) -> FittedModel:
         mapped.unpersist()
 
 
+def _poisson_limits(rate: float, most: int = 9) -> list[float]:
+    """Cumulative Poisson probabilities of 0, 1, ... draws."""
+    term, total, limits = math.exp(-rate), 0.0, []
+    for k in range(1, most + 1):
+        total += term
+        limits.append(total)
+        term *= rate / k
+    return limits
+
+
 def _fit_bags(train, base, params, key, seed) -> MeanOfModels:
-    from .balance import undersample
+    """Trees on bootstrap draws in which every class weighs as much as the smallest.
 
+    Each row's number of draws is a Poisson count of its hashed key, with the class's
+    rate, used as row weight: a narrow projection instead of a resampled copy per bag.
+    """
     bags = params.pop("bags", BAGS)
-    members = []
-    for i in range(bags):
-        # A bootstrap draw per bag: a row's hashed Poisson(1) count repeats it.
-        u = hash_unit(key, f"{seed}:bag{i}")
-        draws = F.lit(0)
-        below, term = 0.0, math.exp(-1.0)
-        for k in range(1, 7):
-            below += term
-            draws = draws + F.when(u >= F.lit(below), 1).otherwise(0)
-            term /= k
-        drawn = train.select("*", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("_copy")).where(F.col("_copy") < draws)
-        numbered = drawn.withColumn("_bag_key", F.concat_ws(":", col(key).cast("string"), "_copy"))
-        even = undersample(numbered, "_label", "_bag_key", f"{seed}:{i}")
-        members.append(DecisionTreeClassifier(**base, **{"maxDepth": TREE_DEPTH, "seed": seed + i, **params}).fit(even))
+    counts = {r["_label"]: r["count"] for r in train.groupBy("_label").count().collect()}
+    least = min(counts.values())
+    limits = F.array(F.lit(1.0))
+    for label, n in counts.items():
+        limits = F.when(F.col("_label") == label, F.array(*map(F.lit, _poisson_limits(least / n)))).otherwise(limits)
+
+    def fit(i: int):
+        # A uniform hash at or above k of the limits stands for k draws.
+        drawn = train.withColumn("_u", hash_unit(key, f"{seed}:bag{i}")).withColumn("_limits", limits)
+        drawn = drawn.withColumn("_draws", F.size(F.filter("_limits", lambda x: x <= F.col("_u"))).cast("double"))
+        settings = {"maxDepth": TREE_DEPTH, "seed": seed + i, **params}
+        kept = drawn.where("_draws > 0").select("features", "_label", "_draws")
+        return DecisionTreeClassifier(**base, weightCol="_draws", **settings).fit(kept)
+
+    members = run_together(train.sparkSession, [lambda i=i: fit(i) for i in range(bags)])
     return MeanOfModels(members, "classification")
 
 

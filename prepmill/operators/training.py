@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import run_together
 from ..functions.roles import col
 from .balance import class_weights
 from .compare import fold_scores
@@ -68,10 +70,12 @@ class ModelResult:
 def prepare(
     train: DataFrame, features: list[str], target: str, key: str, kind: str | None = None,
     impute: str = "mean", scaling: str = "none", encoding: str = "onehot", use_class_weights: bool = False,
+    classes: list[str] | None = None,
 ) -> Prepared:
-    """Fit preprocessing and label indexing on the training part."""
+    """Fit preprocessing and label indexing on the training part (``classes`` when already known)."""
     kind = kind or problem_type(train, target)
-    classes = class_list(train, target) if kind == "classification" else []
+    if classes is None:
+        classes = class_list(train, target) if kind == "classification" else []
     weights = class_weights(train, target) if use_class_weights and classes else {}
     encode_target = target
     source = train
@@ -99,36 +103,38 @@ def score_predictions(predictions: DataFrame, prepared: Prepared) -> dict[str, f
     return found
 
 
+def prepare_folds(prepared: Prepared, train: DataFrame, folds: int) -> list[Prepared]:
+    """Preprocessing fitted anew on each fold's training part, to be shared by all models."""
+    config = prepared.preprocessor.config
+
+    def fold(i: int) -> Prepared:
+        return prepare(
+            train.where(F.col("fold") != i), prepared.features, prepared.target, prepared.key, prepared.kind,
+            config["impute"], config["scaling"], config["encoding"], bool(prepared.weights), prepared.classes)
+
+    return run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(folds)])
+
+
 def out_of_fold(
-    name: str, prepared: Prepared, train: DataFrame, params: dict | None = None, folds: int = CV_FOLDS,
-    refit: bool = True,
+    name: str, prepared: list[Prepared], train: DataFrame, params: dict | None = None
 ) -> DataFrame:
-    """``model, fold, label, prediction`` for every training row, from models that did not see it.
+    """``model, fold, key, label, prediction`` for every training row, from models that did not see it.
 
-    ``train`` needs a ``fold`` column.  With ``refit`` preprocessing is fitted anew on each
-    fold's training part.
+    ``train`` needs a ``fold`` column; ``prepared`` comes from ``prepare_folds``.
     """
-    parts = []
-    for i in range(folds):
-        inner, held = train.where(F.col("fold") != i), train.where(F.col("fold") == i)
-        here = prepared
-        if refit:
-            config = prepared.preprocessor.config
-            here = prepare(
-                inner, prepared.features, prepared.target, prepared.key, prepared.kind, config["impute"],
-                config["scaling"], config["encoding"], bool(prepared.weights))
-            here.classes = prepared.classes
+    def fold(i: int) -> DataFrame:
+        here = prepared[i]
+        inner = here.slim(train.where(F.col("fold") != i)).persist()
         model = fit_model(
-            name, prepared.kind, here.slim(inner), len(prepared.classes), "_weight" if here.weights else None,
-            params, prepared.key)
-        scored = model.transform(here.slim(held))
-        parts.append(scored.select(
-            F.lit(name).alias("model"), F.lit(i).alias("fold"), col(prepared.key),
-            F.col("_label").alias("label"), "prediction"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            name, here.kind, inner, len(here.classes), "_weight" if here.weights else None, params, here.key)
+        inner.unpersist()
+        scored = model.transform(here.slim(train.where(F.col("fold") == i)))
+        return scored.select(
+            F.lit(name).alias("model"), F.lit(i).alias("fold"), col(here.key), F.col("_label").alias("label"),
+            "prediction")
+
+    parts = run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(len(prepared))])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def train_models(
@@ -151,6 +157,7 @@ def train_models(
     folded = with_folds(train, key, cv_folds, strata).persist() if cv_folds else train
     ready = prepared.slim(folded if not cv_folds else folded.drop("fold")).persist()
     held = prepared.slim(test).persist()
+    per_fold = prepare_folds(prepared, folded, cv_folds) if cv_folds else []
     results, failures = {}, {}
     try:
         for name in models:
@@ -166,7 +173,7 @@ def train_models(
                 predictions = fitted.transform(held)
                 scores = []
                 if cv_folds:
-                    oof = out_of_fold(name, prepared, folded, {**chosen, **best}, cv_folds)
+                    oof = out_of_fold(name, per_fold, folded, {**chosen, **best})
                     rows = fold_scores(oof, kind).collect()
                     scores = [r["score"] for r in sorted(rows, key=lambda r: r["fold"])]
                 results[name] = ModelResult(

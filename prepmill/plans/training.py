@@ -22,6 +22,7 @@ def class_problem(spark, sf):
     """Events: is the value above 100?  (train, test, preparation)"""
     rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
     train, test = train_test(rows, "event_id", 0.2, "label")
+    train = train.persist()
     prepared = T.prepare(train, ["user_id", "plen"], "label", "event_id", "classification", scaling="standard")
     return train, test, prepared
 
@@ -33,6 +34,7 @@ def many_class_problem(spark, sf):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string")).alias("row_key"),
         "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
     train, test = train_test(rows, "row_key", 0.2, "l_returnflag")
+    train = train.persist()
     prepared = T.prepare(
         train, ["l_quantity", "l_discount", "l_tax", "l_linestatus"], "l_returnflag", "row_key", "classification",
         scaling="minmax")
@@ -67,6 +69,7 @@ def _regress(spark, sf, name, params=None, features=("p_size", "p_partkey"), dig
 def t1(spark, sf):
     rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
     train, test = train_test(rows, "event_id", 0.2, "label")
+    train = train.persist()
     results, _ = T.train_models(
         train, test, ["user_id", "plen"], "label", "event_id", ["logistic", "decision_tree", "naive_bayes"],
         params={"decision_tree": {"maxDepth": 5}}, cv_folds=5)
@@ -237,7 +240,7 @@ def t15(spark, sf):
     rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
     prepared = T.prepare(rows, ["user_id", "plen"], "label", "event_id", "classification", scaling="standard")
     folded = with_folds(rows, "event_id", 5, "label").persist()
-    oof = T.out_of_fold("decision_tree", prepared, folded, {"maxDepth": 5}, 5)
+    oof = T.out_of_fold("decision_tree", T.prepare_folds(prepared, folded, 5), folded, {"maxDepth": 5})
     return rounded(fold_summary(fold_scores(oof, "classification")))
 
 
