@@ -56,6 +56,8 @@ def with_range_bucket(
     else:
         found = (sketch(buckets)["m"] or []) if buckets > 1 else []
     splits = [-math.inf, *sorted({float(x) for x in found}), math.inf]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0)), 1
     prepared = df.withColumn("_order_number", order_number(df, key))
     cut = Bucketizer(splits=splits, inputCol="_order_number", outputCol=out, handleInvalid="keep")
     result = cut.transform(prepared).withColumn(out, F.col(out).cast("int")).drop("_order_number")
