@@ -131,6 +131,11 @@ class ProbabilityFromRaw:
         return df.withColumn("probability", array_to_vector(p)).drop("_raw", "_top", "_e", "_sum")
 
 
+def _times(name: str, factor: float) -> Column:
+    """Array column with every entry multiplied."""
+    return F.transform(name, lambda x: x * F.lit(factor))
+
+
 class MeanOfModels:
     """Average of member probabilities (classes) or predictions (numbers), optionally weighted."""
 
@@ -146,7 +151,7 @@ class MeanOfModels:
             value = vector_to_array("probability") if self.kind == "classification" else F.col("prediction")
             df = scored.select(*[col(c) for c in df.columns], value.alias(f"_m{i}"))
         if self.kind == "classification":
-            parts = [F.transform(f"_m{i}", lambda x, w=w: x * F.lit(w / total)) for i, w in enumerate(self.weights)]
+            parts = [_times(f"_m{i}", w / total) for i, w in enumerate(self.weights)]
             mean = parts[0]
             for p in parts[1:]:
                 mean = F.zip_with(mean, p, lambda a, b: a + b)

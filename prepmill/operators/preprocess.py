@@ -96,7 +96,8 @@ def scale_values(df: DataFrame, columns: list[str], method: str = "standard") ->
             wide = spread(x) if spread else F.max(x) - F.min(x)
             # Rounding can leave a tiny deviation on constant input, so the range decides.
             wide = F.when(F.max(x) > F.min(x), wide).otherwise(F.lit(0.0))
-            aggs += [shift(x).alias(f"a{i}"), wide.alias(f"d{i}")]
+            start = F.when(F.max(x) > F.min(x), shift(x)).otherwise(F.min(x))
+            aggs += [start.alias(f"a{i}"), wide.alias(f"d{i}")]
         row = df.agg(*aggs).first()
         found = {c: (row[f"a{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
     return {c: (0.0 if a is None else a, d if d else 1.0) for c, (a, d) in found.items()}
