@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import quantile_values
-from ..functions.roles import as_text, col, columns_by_role, role_of
+from ..functions.roles import FLOATING, INTEGRAL, as_text, col, columns_by_role, role_of
 from ..functions.stats import kurt_sample, skew_sample
 
 FEW_VALUES = 10
@@ -84,7 +84,8 @@ def column_footprint(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame, approx: bool = False, columns: list[str] | None = None) -> DataFrame:
     """``column, non_null, nulls, n_unique`` per column.
 
-    Exact counts come from the value frequencies (one shuffle of distinct values);
+    Exact counts group the values of all columns of a type at once, with partial counts
+    before the shuffle, so a value that fills a column is one row per task.
     ``approx=True`` uses HyperLogLog and shuffles one row per task.
     """
     names = df.columns if columns is None else columns
@@ -101,17 +102,50 @@ def column_stats(df: DataFrame, approx: bool = False, columns: list[str] | None
             for i, c in enumerate(names)
         ]
         return wide.select(F.inline(F.array(*pairs)))
-    freq = value_frequencies(df, names)
-    found = freq.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("n_unique"),
-    )
-    listed = _fixed_rows(df, [(i, c) for i, c in enumerate(names)], "position int, column string")
-    joined = listed.join(found, "column", "left").na.fill(0, ["non_null", "nulls", "n_unique"])
+    parts = None
+    for long in _long_by_type(df, names):
+        freq = long.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        part = freq.groupBy("_i").agg(
+            F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("non_null"),
+            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("nulls"),
+            F.count("_v").alias("n_unique"),
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    listed = _fixed_rows(df, [(str(i), c) for i, c in enumerate(names)], "_i string, column string")
+    joined = listed.join(parts, "_i", "left").na.fill(0, ["non_null", "nulls", "n_unique"])
     return joined.select("column", "non_null", "nulls", "n_unique")
 
 
+def _long_by_type(df: DataFrame, names: list[str]) -> list[DataFrame]:
+    """``(_i, _v)`` tables of column number and value, one table per value type.
+
+    Native types keep the grouping keys short; each table scans only its own columns.
+    """
+    groups: dict[str, list[tuple[int, Column]]] = {}
+    for i, name in enumerate(names):
+        dtype = df.schema[name].dataType
+        value = col(name)
+        if isinstance(dtype, INTEGRAL):
+            kind, value = "bigint", value.cast("bigint")
+        elif isinstance(dtype, FLOATING):
+            # Adding zero merges the two signed zeros.
+            kind, value = "double", value.cast("double") + F.lit(0.0)
+        elif role_of(dtype) in ("nested", "other"):
+            kind, value = "string", as_text(df, name)
+        else:
+            kind = dtype.simpleString()
+        groups.setdefault(kind, []).append((i, value))
+    out = []
+    for columns in groups.values():
+        wide = df.select(*[v.alias(str(i)) for i, v in columns])
+        if len(columns) == 1:
+            only = columns[0][0]
+            out.append(wide.select(F.lit(str(only)).alias("_i"), col(str(only)).alias("_v")))
+        else:
+            out.append(wide.unpivot([], [col(str(i)) for i, _ in columns], "_i", "_v"))
+    return out
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
     """``column, position, missing, rows`` from one aggregate (no distinct counts)."""
     wide = df.agg(

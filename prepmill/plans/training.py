@@ -15,12 +15,13 @@ from ..operators.models import fit_model
 from ..operators.neighbors import feature_array, knn_predict
 from ..operators.split import train_test, with_folds
 from ..operators.tuning import calibrate, search
+from ..session import spread
 from .base import query, rounded, table, view
 
 
 def class_problem(spark, sf):
     """Events: is the value above 100?  (train, test, preparation)"""
-    rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
+    rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
     train, test = train_test(rows, "event_id", 0.2, "label")
     train = train.persist()
     prepared = T.prepare(train, ["user_id", "plen"], "label", "event_id", "classification", scaling="standard")
@@ -29,7 +30,7 @@ def class_problem(spark, sf):
 
 def many_class_problem(spark, sf):
     """Lineitem: the return flag (three classes)."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     rows = line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string")).alias("row_key"),
         "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
@@ -67,7 +68,7 @@ def _regress(spark, sf, name, params=None, features=("p_size", "p_partkey"), dig
 
 @query("t1_train_models")
 def t1(spark, sf):
-    rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
+    rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
     train, test = train_test(rows, "event_id", 0.2, "label")
     train = train.persist()
     results, _ = T.train_models(
@@ -237,7 +238,7 @@ def x8(spark, sf):
 
 @query("t15_cv_scores")
 def t15(spark, sf):
-    rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
+    rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
     prepared = T.prepare(rows, ["user_id", "plen"], "label", "event_id", "classification", scaling="standard")
     folded = with_folds(rows, "event_id", 5, "label").persist()
     oof = T.out_of_fold("decision_tree", T.prepare_folds(prepared, folded, 5), folded, {"maxDepth": 5})
