@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .joins import MAX_BROADCAST_ROWS
 from .roles import col
 
 DIRECT_LIMIT = 1_000_000
@@ -85,6 +86,7 @@ def order_statistics(rows: DataFrame, keys: list[str], wanted: DataFrame, limit:
             F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"),
         )
     )
+    n_state = state.count()
 
     def in_range(state_df):
         renamed = state_df.select(*[F.col(k).alias(f"_s_{k}") for k in keys],
@@ -94,7 +96,9 @@ def order_statistics(rows: DataFrame, keys: list[str], wanted: DataFrame, limit:
         within = ((v > F.col("_lo")) | (F.col("_li") & (v == F.col("_lo")))) & (
             (v < F.col("_hi")) | (F.col("_hc") & (v == F.col("_hi")))
         )
-        return rows.join(renamed, cond).where(within).drop(*[f"_s_{k}" for k in keys])
+        # One row per group and rank: broadcast unless the groups are many.
+        few = F.broadcast(renamed) if n_state <= MAX_BROADCAST_ROWS else renamed
+        return rows.join(few, cond).where(within).drop(*[f"_s_{k}" for k in keys])
 
     for _ in range(MAX_ROUNDS):
         largest = state.where("_lo < _hi").agg(F.max("_inside")).first()[0]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import join_null_safe
 from .roles import col
 
 MAX_BUCKETS = 20_000
@@ -109,7 +110,8 @@ def running_sums(
     offsets = totals.select(
         *by, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
-    joined = rows.join(offsets, [*by, "_bucket"])
+    # Both sides are partitioned as the window below needs them.
+    joined = join_null_safe(rows, offsets, [*by, "_bucket"])
     inside = (
         Window.partitionBy(*by, "_bucket")
         .orderBy(col(key).desc() if descending else col(key).asc())

@@ -152,7 +152,9 @@ def adasyn(
             continue
         members = classed.where(F.col("_class") == name)
         around = nearest(members, classed, key, key, "_x", k, True, ["_class"])
-        hardness = around.groupBy(key).agg((F.count_if(F.col("_class") != name) / F.count(F.lit(1))).alias("_r"))
+        # Read twice below (total and allotment); the neighbour search behind it runs once.
+        hardness = cut_lineage(
+            around.groupBy(key).agg((F.count_if(F.col("_class") != name) / F.count(F.lit(1))).alias("_r")))
         total = hardness.agg(F.sum("_r")).first()[0]
         if not total:
             raise ValueError(f"class {name!r} has no neighbours of other classes")

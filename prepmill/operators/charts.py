@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import measured
 from ..functions.quantiles import quantiles
 from ..functions.roles import col, numeric_columns, require_columns
 from .profile import IQR_FACTOR, percent
@@ -38,10 +39,10 @@ def histogram_by(df: DataFrame, column: str, by: str, bins: int = 30) -> DataFra
     values = values.where("_g is not null and _x is not null")
     ends = values.groupBy("_g").agg(F.min("_x").alias("_a"), F.max("_x").alias("_z"))
     flat = F.col("_a") == F.col("_z")
-    ends = ends.select(
+    ends = measured(ends.select(
         "_g", F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_lo"),
         F.when(flat, F.col("_z") + 0.5).otherwise(F.col("_z")).alias("_hi"),
-    )
+    ))
     placed = values.join(ends, "_g").select(
         "_g", _bin_of(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")
     )
@@ -62,7 +63,7 @@ def _fences(df: DataFrame, column: str, by: str) -> DataFrame:
         col(by).alias("_g"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
     spread = (F.col("q3") - F.col("q1")) * IQR_FACTOR
-    return q.withColumns({"_lower": F.col("q1") - spread, "_upper": F.col("q3") + spread})
+    return measured(q.withColumns({"_lower": F.col("q1") - spread, "_upper": F.col("q3") + spread}))
 
 
 def box_stats_by(df: DataFrame, column: str, by: str) -> DataFrame:
@@ -153,7 +154,9 @@ def density_by(
     facts = facts.where("_n > 1 and _s > 0").withColumn(
         "_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     )
-    facts = facts.withColumns({"_lo": F.col("_a") - DENSITY_CUT * F.col("_h"), "_hi": F.col("_z") + DENSITY_CUT * F.col("_h")})
+    facts = measured(facts.withColumns(
+        {"_lo": F.col("_a") - DENSITY_CUT * F.col("_h"), "_hi": F.col("_z") + DENSITY_CUT * F.col("_h")}
+    ))
     joined = values.join(facts, "_g")
     if fine_bins:
         place = _bin_of(F.col("_x"), F.col("_a"), F.col("_z"), fine_bins)

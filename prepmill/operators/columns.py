@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import measured
 from ..functions.ranges import dense_codes
 from ..functions.roles import INTEGRAL, as_text, col, require_columns, role_of
 
@@ -65,12 +66,12 @@ def to_float(df: DataFrame, column: str) -> DataFrame:
 def to_category(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Code 0.. by sorted distinct value, -1 for NULL, as integer column ``out``.
 
-    The dictionary is joined without a hint: Spark broadcasts it when it is measured
-    to be small and otherwise splits hot values with adaptive skew handling.
+    The dictionary is broadcast when it is measured to be small; otherwise the join
+    shuffles and adaptive execution splits hot values.
     """
     require_columns(df, [column])
     name = out or f"{column}_code"
-    codes = dense_codes(df, column).withColumnRenamed("value", "_value").withColumnRenamed("code", "_code")
+    codes = measured(dense_codes(df, column).withColumnsRenamed({"value": "_value", "code": "_code"}))
     joined = df.join(codes, col(column) == F.col("_value"), "left")
     return joined.withColumn(name, F.coalesce("_code", F.lit(-1)).cast("bigint")).drop("_value", "_code")
 

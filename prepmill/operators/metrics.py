@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_null_safe
 from ..functions.ranges import running_sums
 from ..functions.roles import col
 from .reshape import distinct_values
@@ -118,7 +119,7 @@ def cumulative_scores(
     )
     if by:
         totals = counts.groupBy(*by).agg(F.sum("_p").alias("all_p"), F.sum("_n").alias("all_n"))
-        return run.join(totals, by)
+        return join_null_safe(run, totals, by)
     # One row, read once from the small grouped table.
     row = counts.agg(F.sum("_p").alias("p"), F.sum("_n").alias("n")).first()
     return run.withColumns({"all_p": F.lit(row["p"]).cast("double"), "all_n": F.lit(row["n"]).cast("double")})

@@ -11,6 +11,7 @@ from pyspark.ml.util import DefaultParamsReader, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ensemble import StackedModel
 from .metrics import classification_metrics
 from .models import (
@@ -193,6 +194,8 @@ def analysis_facts(
         else:
             scores = regression_metrics(predictions, "label", "prediction", ["model"]).select("model", F.col("r2").alias("value"))
         out = out.unionByName(scores.select(F.lit("models").alias("section"), F.col("model").alias("item"), "value"))
+    # A few rows, read again by the rules below: computed once.
+    out = cut_lineage(out)
     best_below = F1_BELOW if kind == "classification" else R2_BELOW
     rules = [
         ("handle missing values", (F.col("item") == "missing_pct") & (F.col("value") > MISSING_ABOVE)),

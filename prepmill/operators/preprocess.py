@@ -15,7 +15,9 @@ from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembl
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import measured
 from ..functions.quantiles import quantile_values
+from ..functions.ranges import dense_codes
 from ..functions.roles import as_text, col, columns_by_role, require_columns, role_of
 from .missing import modes, most_frequent
 
@@ -134,13 +136,11 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
 def ordinal(train: DataFrame, columns: list[str], apply_to: DataFrame | None = None) -> DataFrame:
     """Replace categories by their sorted position in ``train``; unseen and missing give -1.
 
-    The code tables are joined without hints: small ones are broadcast by measured size.
+    Code tables are broadcast when they are measured to be small.
     """
-    from ..functions.ranges import dense_codes
-
     out = train if apply_to is None else apply_to
     for i, c in enumerate(columns):
-        codes = dense_codes(train, c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
+        codes = measured(dense_codes(train, c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}")))
         joined = out.join(codes, col(c) == F.col(f"_v{i}"), "left")
         coded = F.coalesce(F.col(f"_c{i}"), F.lit(UNSEEN_CODE)).cast("bigint")
         out = joined.withColumn(c, coded).drop(f"_v{i}", f"_c{i}")
@@ -170,7 +170,8 @@ def target_encode(
     out = train if apply_to is None else apply_to
     prior = train.agg(F.avg(col(target).cast("double"))).first()[0]
     for i, c in enumerate(columns):
-        table = target_means(train, c, target).select(F.col("category").alias(f"_k{i}"), F.col("encoded").alias(f"_e{i}"))
+        means = target_means(train, c, target)
+        table = measured(means.select(F.col("category").alias(f"_k{i}"), F.col("encoded").alias(f"_e{i}")))
         joined = out.join(table, as_text(out, c) == F.col(f"_k{i}"), "left")
         out = joined.withColumn(c, F.coalesce(F.col(f"_e{i}"), F.lit(prior))).drop(f"_k{i}", f"_e{i}")
     return out
