@@ -24,8 +24,12 @@ ROWS_PER_BUCKET = 2_000_000
 def order_number(df: DataFrame, key: str) -> Column:
     """Double that never decreases when ``key`` grows (used only to choose buckets)."""
     dtype = df.schema[key].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.unix_micros(col(key).cast("timestamp")).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col(key)).cast("double")
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        # From the fields, so a session zone's clock changes cannot reorder zone-free times.
+        t = col(key).cast("timestamp_ntz")
+        return F.unix_date(t.cast("date")) * 86400.0 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return col(key).cast("double")
     raise ValueError(f"order key {key!r} must be numeric, date or timestamp")

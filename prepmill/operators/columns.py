@@ -28,8 +28,9 @@ def to_datetime(df: DataFrame, column: str) -> DataFrame:
     """Text to a zone-free timestamp, NULL when it does not parse; numbers are nanoseconds."""
     require_columns(df, [column])
     if role_of(df.schema[column].dataType) == "numeric":
-        micros = F.floor(col(column) / 1000).cast("bigint")
-        return df.withColumn(column, F.timestamp_micros(micros).cast("timestamp_ntz"))
+        seconds = (col(column) / 1_000_000_000).cast("decimal(18,6)")
+        start = F.lit("1970-01-01").cast("timestamp_ntz")
+        return df.withColumn(column, start + F.make_dt_interval(secs=seconds))
     return df.withColumn(column, col(column).try_cast("timestamp_ntz"))
 
 

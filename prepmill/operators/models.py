@@ -65,6 +65,7 @@ REGRESSORS = (
     "catboost", "svm", "knn", "polynomial",
 )
 MAX_CLASSES = 1000
+MAX_NORMAL_SLOTS = 1024
 
 
 def class_list(df: DataFrame, target: str) -> list[str]:
@@ -318,8 +319,13 @@ def _gamma(train: DataFrame) -> float:
     return 1.0 / (_slots(train) * spread) if spread else 1.0
 
 
-def _slots(train: DataFrame) -> int:
-    return len(train.select(vector_to_array("features").alias("a")).first()["a"])
+def _slots(train: DataFrame, vector: str = "features") -> int:
+    return len(train.select(vector_to_array(vector).alias("a")).first()["a"])
+
+
+def _solver(train: DataFrame, vector: str = "features") -> str:
+    """Normal equations in one pass where the matrix fits the driver, else the iterative solver."""
+    return "normal" if _slots(train, vector) <= MAX_NORMAL_SLOTS else "l-bfgs"
 
 
 def _fit_svm(train, classes, weighted, params, seed, done) -> FittedModel:
@@ -406,12 +412,16 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         return FittedModel(name, "regression", stages, extra=extra)
 
     if name == "linear":
-        return done([LinearRegression(**weighted, regParam=0.0, solver="normal", **params).fit(train)])
+        return done([LinearRegression(**weighted, regParam=0.0, solver=_solver(train), **params).fit(train)])
     if name == "ridge":
-        alpha = params.pop("alpha", 1.0)
+        solver = _solver(train)
+        # Spark divides an L2 penalty by the label's deviation (population form in the normal
+        # equations, sample form in the iterative solver); multiplying undoes it.
+        spread = F.stddev_pop("_label") if solver == "normal" else F.stddev_samp("_label")
+        row = train.agg(F.count(F.lit(1)).alias("n"), spread.alias("s")).first()
+        penalty = params.pop("alpha", 1.0) / row["n"] * (row["s"] or 1.0)
         model = LinearRegression(
-            **weighted, regParam=alpha / train.count(), elasticNetParam=0.0, standardization=False,
-            solver="normal", **params)
+            **weighted, regParam=penalty, elasticNetParam=0.0, standardization=False, solver=solver, **params)
         return done([model.fit(train)])
     if name == "lasso":
         settings = {"regParam": params.pop("alpha", 1.0), "elasticNetParam": 1.0, "standardization": False,
@@ -435,8 +445,10 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         return done([Neighbours(rows, "regression", 0, params.get("k", NEIGHBOURS))])
     if name == "polynomial":
         expand = PolynomialExpansion(degree=params.pop("degree", 2), inputCol="features", outputCol="_poly")
-        model = LinearRegression(**{**weighted, "featuresCol": "_poly"}, regParam=0.0, solver="normal", **params)
-        return done([expand, model.fit(expand.transform(train))])
+        wide = expand.transform(train)
+        model = LinearRegression(
+            **{**weighted, "featuresCol": "_poly"}, regParam=0.0, solver=_solver(wide, "_poly"), **params)
+        return done([expand, model.fit(wide)])
     raise ValueError(f"unknown regressor {name!r}")
 
 

@@ -87,6 +87,18 @@ def test_regressor_learns_and_reloads(spark, numbers, name):
     assert worst < 1e-9
 
 
+@pytest.mark.parametrize("limit", [1024, 0])
+def test_ridge_matches_the_closed_form(spark, numbers, monkeypatch, limit):
+    monkeypatch.setattr(models, "MAX_NORMAL_SLOTS", limit)
+    _, _, _, ready, _ = numbers
+    rows = ready.select("_label", vector_to_array("features").alias("a")).collect()
+    x, y = np.array([r["a"] for r in rows]), np.array([r["_label"] for r in rows])
+    x, y = x - x.mean(axis=0), y - y.mean()
+    model = models.fit_model("ridge", "regression", ready, params={"alpha": 300.0, "tol": 1e-12})
+    want = np.linalg.solve(x.T @ x + 300.0 * np.eye(x.shape[1]), x.T @ y)
+    assert np.allclose(model.core.coefficients.toArray(), want, atol=1e-5)
+
+
 def test_one_failure_does_not_stop_the_others(spark, two):
     train, test, *_ = two
     results, failures = training.train_models(

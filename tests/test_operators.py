@@ -120,6 +120,13 @@ def test_casts(spark):
         columns.to_integer(df, "t", "raise").collect()
 
 
+def test_datetimes(spark):
+    df = frame(spark, [(1_700_000_000_123_456_000, "2024-02-29 10:00:00"), (None, "2024-02-30")], "n long, t string")
+    got = columns.to_datetime(columns.to_datetime(df, "n"), "t").collect()
+    assert str(got[0]["n"]) == "2023-11-14 22:13:20.123456" and got[1]["n"] is None
+    assert str(got[0]["t"]) == "2024-02-29 10:00:00" and got[1]["t"] is None
+
+
 def test_column_names_are_checked(spark):
     df = frame(spark, [(1, 2)], "a int, b int")
     with pytest.raises(ValueError):
