@@ -29,6 +29,7 @@ FILL_TEXT = "Unknown"
 
 MAX_CATEGORIES = 1_000_000
 MAX_ONE_HOT = 5_000
+MAX_TARGET_LITERALS = 10_000  # target_encode joins a table instead and has no such limit
 IMPUTERS = ("mean", "median", "most_frequent")
 SCALERS = ("standard", "minmax", "robust", "none")
 ENCODERS = ("onehot", "ordinal", "target")
@@ -231,7 +232,9 @@ def fit_preprocessor(
         frequent = modes(df, texts) if categorical_impute == "most_frequent" else {}
         fill = {c: frequent.get(c) or FILL_TEXT for c in texts}
         complete = df.withColumns({c: F.coalesce(col(c), F.lit(fill[c])) for c in texts})
-        lists = categories(complete, texts, MAX_ONE_HOT if encoding == "onehot" else MAX_CATEGORIES)
+        # One-hot categories become columns and target means become literals of the pipeline.
+        lists = categories(
+            complete, texts, {"onehot": MAX_ONE_HOT, "target": MAX_TARGET_LITERALS}.get(encoding, MAX_CATEGORIES))
         for c in texts:
             added[f"_t_{c}"] = f"coalesce({name_sql(c)}, {text_sql(fill[c])})"
             index = f"_i_{c}"

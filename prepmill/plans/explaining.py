@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import explain as X
 from ..operators.models import fit_model
 from .base import query, rounded, table
+from .setup import hash_sql
 from .training import TWO, class_problem, many_class_problem, number_problem
 
 
@@ -41,10 +42,23 @@ def in2b(spark, sf):
     return rounded(X.coefficients(spark, model, prepared.preprocessor.names))
 
 
-@query("in3_permutation_importance")
+# Shuffled copies of a linear model's inputs: the value of the next row in hashed order.
+ORDER = "cast(concat('0x', substr(md5(concat_ws(':', concat('42:order', i), cast(p_partkey as varchar))),1,15)) as bigint)"
+
+
+@query("in3_permutation_importance", TWO.format(a="p_size", b="p_partkey") + f""",
+ f as (select p_partkey, p_size, p_retailprice as y, my + wa*(p_size-ma) + wb*(p_partkey-mb) as fit from part, m, w),
+ r as (select f.*, i, coalesce(lead(p_size) over o, first_value(p_size) over o) as d1,
+   coalesce(lead(p_partkey) over o, first_value(p_partkey) over o) as d2 from f cross join range(5) t(i)
+   window o as (partition by i order by {ORDER}, p_partkey)),
+ v as (select i, 1 - avg(power(y - fit - wa*(d1-p_size), 2))/var_pop(y) as ra,
+   1 - avg(power(y - fit - wb*(d2-p_partkey), 2))/var_pop(y) as rb from r, w group by i),
+ z as (select 1 - avg(power(y - fit, 2))/var_pop(y) as r0 from f)
+select 'p_size' as feature, round(avg(r0 - ra), 5) as importance, round(stddev_pop(ra), 5) as std from v, z
+union all select 'p_partkey', round(avg(r0 - rb), 5), round(stddev_pop(rb), 5) from v, z""")
 def in3(spark, sf):
     ready, model, names = _linear(spark, sf)
-    return rounded(X.permutation_importance(model, ready.persist(), names, "p_partkey", repeats=5))
+    return rounded(X.permutation_importance(model, ready.persist(), names, "p_partkey", repeats=5), 5)
 
 
 @query("in4_partial_dependence", TWO.format(a="p_size", b="p_partkey") + """,
@@ -75,6 +89,17 @@ def in6(spark, sf):
     return rounded(X.shapley_values(model, prepared.slim(test), prepared.preprocessor.names, "event_id"))
 
 
+@query("in6_shapley_linear", TWO.format(a="p_size", b="p_partkey") + f""",
+ x as (select * from part order by {hash_sql('p_partkey')}, p_partkey limit 50),
+ g as (select avg(p_size) as g1, avg(p_partkey) as g2 from
+   (select * from part order by {hash_sql('p_partkey', '42:background')}, p_partkey limit 10))
+select p_partkey, 'p_size' as feature, cast(p_size as double) as "value", round(wa*(p_size-g1), 3) as attribution from x, w, g
+union all select p_partkey, 'p_partkey', cast(p_partkey as double), round(wb*(p_partkey-g2), 3) from x, w, g""")
+def in6b(spark, sf):
+    ready, model, names = _linear(spark, sf)
+    return rounded(X.shapley_values(model, ready, names, "p_partkey"), 3)
+
+
 @query("in7_attribution_summary", TWO.format(a="p_size", b="p_partkey") + """
 select 'p_size' as feature, round(avg(abs(wa*(p_size-ma))), 4) as mean_abs from part, m, w
 union all select 'p_partkey', round(avg(abs(wb*(p_partkey-mb))), 4) from part, m, w""")

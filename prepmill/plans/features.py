@@ -137,11 +137,11 @@ def f12(spark, sf):
 
 @query("f13_ordinal", """
 with codes as (select p_brand as k, row_number() over (order by p_brand) - 1 as code from
- (select distinct p_brand from part where p_size <= 3))
+ (select distinct p_brand from part))
 select p_partkey, coalesce(code, -1) as p_brand from part left join codes on k = p_brand""")
 def f13(spark, sf):
     part = table(spark, sf, "part")
-    return R.ordinal(part.where("p_size <= 3"), ["p_brand"], part.select("p_partkey", "p_brand"))
+    return R.ordinal(part, ["p_brand"], part.select("p_partkey", "p_brand"))
 
 
 @query("f14_target_encode", """

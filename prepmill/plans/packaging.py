@@ -76,6 +76,27 @@ def sc1(spark, sf):
         G.predicted_columns(scored, prepared.classes, ["row_key"]), [f"Prob_{c}" for c in prepared.classes]))
 
 
+# Gaussian variances are raised by 1e-9 of the widest feature's, as the estimator does.
+@query("sc1_score_table_bayes", """
+with e as (select 1e-9 * greatest(var_pop(user_id), var_pop(plen)) as eps from imb),
+ s as (select label, count(*)*1.0/(select count(*) from imb) as pr, avg(user_id) as mu, avg(plen) as mp,
+  var_pop(user_id) + max(eps) as vu, var_pop(plen) + max(eps) as vp from imb, e group by label),
+ j as (select event_id, s.label as c, ln(pr) - 0.5*(ln(2*pi()*vu) + (user_id-mu)*(user_id-mu)/vu)
+   - 0.5*(ln(2*pi()*vp) + (plen-mp)*(plen-mp)/vp) as ll from imb, s),
+ t as (select event_id, max(ll) filter (where c = 0) as l0, max(ll) filter (where c = 1) as l1 from j group by event_id),
+ p as (select event_id, 1/(1+exp(l1-l0)) as p0, 1/(1+exp(l0-l1)) as p1 from t)
+select event_id, case when p1 > p0 then '1' else '0' end as "Predicted", round(p0, 6) as "Prob_0", round(p1, 6) as "Prob_1",
+ round(greatest(p0, p1), 6) as "Confidence", case when greatest(p0, p1) <= 0.6 then 'Low' when greatest(p0, p1) <= 0.8 then 'Medium'
+  else 'High' end as "Confidence_Level" from p""", ("imb",))
+def sc1b(spark, sf):
+    rows = view(spark, sf, "imb").select("event_id", "user_id", "plen", "label")
+    prepared = T.prepare(rows, ["user_id", "plen"], "label", "event_id", "classification")
+    model = fit_model("naive_bayes", "classification", prepared.slim(rows), 2)
+    scored = model.transform(prepared.apply(rows.drop("label"), labelled=False))
+    return rounded(G.with_confidence(
+        G.predicted_columns(scored, prepared.classes, ["event_id"]), ["Prob_0", "Prob_1"]))
+
+
 @query("x10_reload_models", TWO.format(a="p_size", b="p_partkey") + """,
  one as (select regr_slope(p_retailprice, p_size) as k, regr_intercept(p_retailprice, p_size) as c from part)
 select 'both' as model, p_partkey, round(my + wa*(p_size-ma) + wb*(p_partkey-mb), 3) as prediction from part, m, w
