@@ -89,6 +89,7 @@ def hash_piece(
 ) -> DataFrame:
     """Number of rank cuts a row lies behind, as integer column ``out``.
 
+    ``key`` must tell rows apart: rows with equal keys share a hash and stay together.
     With ranks ``[r]`` the first ``r`` rows of a stratum (in hash order) get 0 and
     the rest 1; with ``k - 1`` ranks this gives ``k`` folds.  The assignment itself
     is a map-side lookup in a table of at most ``MAX_STRATA`` x cuts rows.

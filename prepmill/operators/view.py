@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key
+from ..functions.hashing import hash_key, hash_piece
 from ..functions.roles import col, require_columns, role_of
 
+TOP_K_ROWS = 100_000
 COMPARISONS = (">", "<", ">=", "<=", "==", "!=")
 
 
@@ -46,8 +47,15 @@ def tail(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key: list[str] | str, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, chosen by a hash of the key: repeatable anywhere."""
+    """``n`` rows without replacement, chosen by a hash of the key: repeatable anywhere.
+
+    A sample to look at is a top-k by hash.  A large one is cut at the exact hash of rank
+    ``n`` instead, so that no task has to hold it; both choose the same rows.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    if n > TOP_K_ROWS and len(keys) == 1:
+        n = min(n, df.count())
+        return hash_piece(df, keys[0], None, {"": [n]}, seed, "_piece").where("_piece = 0").drop("_piece")
     ranked = df.withColumn("_h", hash_key(keys, seed))
     return ranked.orderBy("_h", *[col(k) for k in keys]).limit(n).drop("_h")
 

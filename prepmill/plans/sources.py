@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import profile
 from ..session import scratch_path
 from ..sources import check_features, read_csv, read_json, read_parquet, validate, write_csv, write_json, write_parquet
 from .base import query, rounded, table
@@ -70,12 +69,9 @@ DOCUMENTS = "select doc_id, text, lang, source, n_chars from documents"
 @query("io6_write_csv", DOCUMENTS)
 def io6(spark, sf):
     docs = table(spark, sf, "documents")
-    # Texts hold line breaks, so this read joins quoted lines again.
     path = write_csv(docs, scratch_path(spark, "csv"))
-    return (
-        spark.read.schema(docs.schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
+    # Texts hold line breaks, so this read joins quoted lines again.
+    return read_csv(spark, path, schema=docs.schema, multi_line=True)
 
 
 @query("io7_write_json", DOCUMENTS)

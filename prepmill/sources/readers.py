@@ -60,18 +60,20 @@ def read_csv(
     encoding: str | None = None,
     row_id: str | None = None,
     nan_as_null: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header.  Encoding and separator are taken from the file's head when not given.
 
     The head decides once for all files; a UTF-8 head over later Latin-1 bytes needs
-    ``encoding="ISO-8859-1"``.  Give ``schema`` on large inputs to save the inference scan.
+    ``encoding="ISO-8859-1"``.  Quoted line breaks need ``multi_line=True``, which reads each
+    file in one task; without it files are split.  Give ``schema`` on large inputs to save the inference scan.
     """
     if sep is None or encoding is None:
         head = _head_bytes(spark, path)
         encoding = encoding or _encoding_of(head)
         sep = sep or _separator_of(head, encoding)
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", False)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return _finish(reader.csv(path), row_id, nan_as_null)
 

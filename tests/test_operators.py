@@ -183,6 +183,14 @@ def test_sample_is_repeatable(spark):
     assert one == {r[0] for r in view.sample(df.repartition(11), 50, "id").collect()} and len(one) == 50
 
 
+def test_large_samples_take_the_same_rows(spark, monkeypatch):
+    df = spark.range(500)
+    one = {r[0] for r in view.sample(df, 50, "id").collect()}
+    monkeypatch.setattr(view, "TOP_K_ROWS", 10)
+    assert {r[0] for r in view.sample(df, 50, "id").collect()} == one
+    assert view.sample(df, 900, "id").count() == 500
+
+
 def test_histogram_of_a_constant(spark):
     got = charts.histogram(frame(spark, [(2.0,)] * 4, "v double"), "v", 10).orderBy("bin").collect()
     assert len(got) == 10 and sum(r["n"] for r in got) == 4

@@ -29,6 +29,13 @@ def test_csv_separator_and_encoding(spark, tmp_path):
     assert sources.read_csv(spark, utf, row_id="_row_id").first()["t"] == "é"
 
 
+def test_csv_quotes_and_line_breaks(spark):
+    rows = [(1, 'say "hi", twice\nand go'), (2, "plain"), (3, None)]
+    path = sources.write_csv(spark.createDataFrame(rows, "k int, t string"), scratch_path(spark, "csv"))
+    back = sources.read_csv(spark, path, schema="k int, t string", multi_line=True)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_csv_nan_is_missing(spark, tmp_path):
     path = put(tmp_path, "n.csv", b"k,v\n1,NaN\n2,3.5\n")
     df = sources.read_csv(spark, path, schema="k int, v double")
