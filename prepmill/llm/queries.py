@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup, url_filter, warc
+from . import bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no URL: its source stands for the host, its language for the path."""
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality_classifier.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+
+
 @query("op3_bpe_automaton")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
