@@ -46,33 +46,18 @@ POLICIES = {1: BASE, 2: BASE | RULES[2].mask | RULES[3].mask, 3: sum(r.mask for
 CURRENT = 3
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements of every whole text; a null text has no words and no lines.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
 
-    Repeated windows are found inside the row: hashes of three neighbouring words are
-    sorted with their positions, and neighbours with equal hashes are compared word by
-    word.  Nothing is shuffled.
-    """
-    text = text_of(text_col)
-    split = docs.select(
-        named(docs, id_col).alias(id_col),
-        F.array_remove(F.split(text, SPACE), "").alias("w"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-    )
-    w = F.col("w")
-    last = F.size("w") - 2
-    windows = F.when(last > 0, F.transform(
-        F.sequence(F.lit(0), last - 1),
+
+def _repeated(w: Column) -> Column:
+    """Words in windows of three that occur twice or more: hashes of windows are sorted with
+    their positions, and neighbours with equal hashes are compared word by word."""
+    windows = F.when(F.size(w) > 2, F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
         lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
     ))
-    hashed = split.select(
-        id_col, "w", "n_symbols", F.size("w").cast("bigint").alias("n_words"),
-        F.char_length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
-        F.size("l").cast("bigint").alias("n_lines"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        F.sort_array(windows).alias("s"),
-    )
 
     def same(a: Column, b: Column) -> Column:
         equal = a["h"] == b["h"]
@@ -80,28 +65,52 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             equal = equal & (F.get(w, a["i"] + k) == F.get(w, b["i"] + k))
         return equal
 
-    pairs = F.zip_with(
-        F.slice("s", 1, F.size("s") - 1), F.slice("s", 2, F.size("s") - 1),
-        lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])),
-    )
-    starts = hashed.withColumn(
-        "at", F.when(F.size("s") > 1, F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
-    )
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda i: F.array(i, i + 1, i + 2))))
-    return starts.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-        F.when(F.size("at") > 0, F.size(covered)).otherwise(0).cast("bigint").alias("n_repeat_words"),
-    )
+    def starts(s: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1),
+            lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])),
+        )
+        return F.flatten(F.filter(pairs, lambda p: p.isNotNull()))
+
+    covered = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2))))
+    return _bound(F.sort_array(windows), lambda s: _bound(
+        F.when(F.size(s) > 1, starts(s)), lambda at: F.when(F.size(at) > 0, F.size(covered(at))).otherwise(0)
+    ))
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Measurements of every whole text; a null text has no words and no lines.
+
+    All are found inside the row, so nothing is shuffled.  With ``carry``, the input row
+    comes along as struct ``row``.
+    """
+    text = text_of(text_col)
+    words = F.array_remove(F.split(text, SPACE), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    found = {
+        "n_words": lambda w, _: F.size(w),
+        "word_chars": lambda w, _: F.char_length(F.array_join(w, "")),
+        "n_symbols": lambda w, _: F.regexp_count(text, F.lit(SYMBOLS)),
+        "n_lines": lambda _, x: F.size(x),
+        "n_dup_lines": lambda _, x: F.size(x) - F.size(F.array_distinct(x)),
+        "n_repeat_words": lambda w, _: _repeated(w),
+    }
+    all_of = _bound(words, lambda w: _bound(
+        lines, lambda x: F.struct(*[f(w, x).cast("bigint").alias(k) for k, f in found.items()])
+    ))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(*row, named(docs, id_col).alias(id_col), all_of.alias("__m"))
+    return rows.select(*(["row"] if carry else []), id_col, *[F.col(f"__m.{k}").alias(k) for k in found])
 
 
 def ledger(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Iterable[Rule] = RULES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Iterable[Rule] = RULES, carry: bool = False
 ) -> DataFrame:
     """Measurements plus ``fail_bits``: bit b is set where the rule with bit b fails."""
     bits = F.lit(0)
     for rule in rules:
         bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(rule.mask)).otherwise(F.lit(0)))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measure(docs, id_col, text_col, carry).withColumn("fail_bits", bits)
 
 
 def apply_policy(rows: DataFrame, version: int = CURRENT, base: int = BASE) -> DataFrame:
@@ -144,3 +153,15 @@ def quality_rules(
     row each; other columns are ignored.
     """
     return apply_policy(ledger(docs, id_col, text_col), version)
+
+
+def filter_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: int = CURRENT
+) -> DataFrame:
+    """The input rows that a policy keeps, with all their columns; no shuffle.
+
+    Rows are dropped by exploding nothing: a filter would be moved below the
+    measurements and have them made twice.
+    """
+    judged = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")

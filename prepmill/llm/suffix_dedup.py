@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_path
 from .common import for_python, materialise, named, text_of
@@ -39,6 +41,8 @@ GRAM = 24
 #: Bytes of text in a block, of names in a range, and of text hashed at a time.
 BLOCK_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
+#: The last round has this many times the ranges: it may send several windows for an anchor.
+LAST_RANGES = 1
 PIECE = 1 << 20
 #: Buckets of the table of blocks at most; a bucket may hold many blocks.
 MAX_BUCKETS = 20_000
@@ -305,32 +309,48 @@ class _State:
 
 
 def _pack_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task's documents, each numbered by the task and its place there."""
+    """Blocks of a task's documents, each numbered by the task and its place there.
+
+    The third column, whatever it holds, travels with the block as Arrow data.
+    """
     task, number = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
+    rest: list[pa.RecordBatch] = []
     size = 0
 
     def out() -> pa.RecordBatch:
         lengths = np.array([len(t) for t in texts], np.int64)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest[0].schema) as stream:
+            for part in rest:
+                stream.write_batch(part)
         return pa.RecordBatch.from_arrays([
             pa.array([task << 24 | number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]),
             pa.array([lengths.tobytes()]), pa.array([zlib.compress(b"".join(texts), 1)]),
-        ], ["block", "ids", "lengths", "text"])
+            pa.array([zlib.compress(sink.getvalue(), 1)], pa.binary()),
+        ], ["block", "ids", "lengths", "text", "rest"])
 
     for batch in batches:
-        for key, value in zip(*batch.columns, strict=True):
+        others, first = batch.select([2]), 0
+        for k, (key, value) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
             text = value.as_py().encode()
             if texts and size + len(text) > limit:
+                rest.append(others.slice(first, k - first))
                 yield out()
-                ids, texts, size, number = [], [], 0, number + 1
+                ids, texts, rest, size, number, first = [], [], [], 0, number + 1, k
             ids.append(NO_ID if key.as_py() is None else key.as_py())
             texts.append(text)
             size += len(text)
+        rest.append(others.slice(first))
     if texts:
         yield out()
 
 
+def _rest(block: pa.Table) -> pa.ChunkedArray:
+    return pa.ipc.open_stream(zlib.decompress(block.column("rest")[0].as_py())).read_all().column(0)
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """One range of one round: what each block's names share with other blocks."""
     rows = table.to_pylist()
@@ -370,7 +390,10 @@ def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
     block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """One row per input row: id, n_bytes, spans (array of removed [start, stop)), kept (binary).
+    """One row per input row: row, id, n_bytes, spans (array of removed [start, stop)), kept (binary), text.
+
+    ``row`` is a struct of all input columns but the text; ``text`` is what is kept, without
+    characters that a cut has broken.
 
     Texts are UTF-8 bytes; null is empty.  A byte is removed if a string of ``length``
     bytes that covers it also starts in a document with a smaller id; strings never cross
@@ -383,7 +406,10 @@ def repeated_passages(
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
     for_python(spark)
-    source = docs.select(named(docs, id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    source = docs.select(
+        named(docs, id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), F.struct(*others).alias("row")
+    )
     total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     share = 2 / (length - GRAM + 2)
     ranges = max(1, int(total * share * 8 // range_bytes) + 1)
@@ -391,7 +417,7 @@ def repeated_passages(
     # The table is bucketed by block and each task writes its own, so no text is shuffled.
     name = f"blocks_{uuid.uuid4().hex}"
     pack = lambda batches: _pack_blocks(batches, block_bytes)
-    source.mapInArrow(pack, "block bigint, ids binary, lengths binary, text binary").write.bucketBy(
+    source.mapInArrow(pack, "block bigint, ids binary, lengths binary, text binary, rest binary").write.bucketBy(
         int(buckets), "block"
     ).option("path", scratch_path(spark, "blocks")).saveAsTable(name)
     blocks = spark.table(name).groupBy("block")
@@ -403,7 +429,8 @@ def repeated_passages(
                 names, flags = state.first()
                 return _table(list(_sent(1, state.number, ranges, names, None, flags)), _SENT)
             names, others, least = state.second() if rnd == 2 else state.third()
-            return _table(list(_sent(rnd, state.number, ranges, names, others, least)), _SENT)
+            parts = ranges * (LAST_RANGES if rnd == 3 else 1)
+            return _table(list(_sent(rnd, state.number, parts, names, others, least)), _SENT)
 
         if replies is None:
             asked = blocks.applyInArrow(lambda block: each(block), _SENT)
@@ -430,17 +457,19 @@ def repeated_passages(
                 text = text[keep]
             kept.append(text.tobytes())
         return pa.table({
-            "id": pa.array([None if i == NO_ID else i for i in b.ids.tolist()], pa.int64()),
+            "row": _rest(block), "id": pa.array([None if i == NO_ID else i for i in b.ids.tolist()], pa.int64()),
             "n_bytes": pa.array(b.lengths, pa.int64()),
             "spans": pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], kind),
-            "kept": pa.array(kept, pa.binary()),
+            "kept": pa.array(kept, pa.binary()), "text": pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()),
         })
 
-    schema = "id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
-    empty = pa.table({
-        "id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "spans": pa.array([], kind),
-        "kept": pa.array([], pa.binary()),
-    })
+    schema = T.StructType([
+        T.StructField("row", source.schema["row"].dataType),
+        *T._parse_datatype_string(
+            "id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary, text string"
+        ).fields,
+    ])
+    empty = to_arrow_schema(schema).empty_table()
     out = blocks.cogroup(replies.groupBy("block")).applyInArrow(
         lambda block, told: end(block, told) if block.num_rows else empty, schema
     )
