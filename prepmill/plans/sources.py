@@ -30,6 +30,30 @@ def io1(spark, sf):
     return _line_totals(read_csv(spark, path, schema=line.schema))
 
 
+@query("io1_late_latin1", """
+select c_custkey, c_name || case when c_custkey >= (select max(c_custkey) from customer) then ' né' else '' end as c_name
+from customer""")
+def io1_latin(spark, sf):
+    """A Latin-1 file whose only byte beyond ASCII is in its last row."""
+    names = table(spark, sf, "customer").select("c_custkey", "c_name")
+    last = names.agg(F.max("c_custkey").alias("last"))
+    tail = F.when(F.col("c_custkey") >= F.col("last"), F.lit(" n\u00e9")).otherwise("")
+    rows = names.crossJoin(F.broadcast(last)).select("c_custkey", F.concat("c_name", tail).alias("c_name"))
+    path = scratch_path(spark, "csv")
+    rows.coalesce(1).sortWithinPartitions("c_custkey").write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_csv(spark, path, schema=rows.schema)
+
+
+@query("io1_semicolon_inferred", """
+select cast(s_suppkey as int) as s_suppkey, s_name, cast(s_nationkey as int) as s_nationkey, s_acctbal from supplier""")
+def io1_semicolon(spark, sf):
+    """Separator and types are found in the file."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    path = scratch_path(spark, "csv")
+    rows.write.option("header", True).option("sep", ";").csv(path)
+    return read_csv(spark, path)
+
+
 @query("io2_read_json", LINE_TOTALS)
 def io2(spark, sf):
     line = table(spark, sf, "lineitem")
@@ -70,15 +94,14 @@ DOCUMENTS = "select doc_id, text, lang, source, n_chars from documents"
 def io6(spark, sf):
     docs = table(spark, sf, "documents")
     path = write_csv(docs, scratch_path(spark, "csv"))
-    # Texts hold line breaks, so this read joins quoted lines again.
-    return read_csv(spark, path, schema=docs.schema, multi_line=True)
+    return read_csv(spark, path, schema=docs.schema)
 
 
 @query("io7_write_json", DOCUMENTS)
 def io7(spark, sf):
     docs = table(spark, sf, "documents")
     path = write_json(docs, scratch_path(spark, "json"))
-    return read_json(spark, path, schema=docs.schema, multi_line=False)
+    return read_json(spark, path, schema=docs.schema)
 
 
 @query("io8_write_parquet", DOCUMENTS)

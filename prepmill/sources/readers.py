@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.roles import nan_to_null
 
-SNIFF_BYTES = 1 << 20
+#: Longest header line that is looked at.
+HEADER_BYTES = 1 << 20
 SEPARATORS = (",", ";", "\t", "|")
 
 
@@ -20,8 +24,8 @@ def validate(df: DataFrame) -> DataFrame:
     return df
 
 
-def _head_bytes(spark: SparkSession, path: str) -> bytes:
-    """First bytes of the first data file, read by one task of Spark's binary reader."""
+def _header(spark: SparkSession, path: str) -> bytes:
+    """First line of the first data file, read by the driver from the file's head."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
     first = files.orderBy("path").first()
     if first is None:
@@ -30,26 +34,48 @@ def _head_bytes(spark: SparkSession, path: str) -> bytes:
     where = hadoop.Path(first["path"])
     stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
     try:
-        return bytes(stream.readNBytes(SNIFF_BYTES))
+        lines = bytes(stream.readNBytes(HEADER_BYTES)).splitlines()
     finally:
         stream.close()
+    return lines[0] if lines else b""
+
 
+def _separator_of(header: bytes) -> str:
+    line = header.decode("latin-1")
+    best = max(SEPARATORS, key=line.count)
+    return best if line.count(best) else ","
 
-def _encoding_of(head: bytes) -> str:
-    for cut in range(4):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            continue
-    return "ISO-8859-1"
 
+def _kinds_of_files(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
+    """Files by (all bytes are UTF-8, a quoted field spans lines), from one aggregate over all lines.
 
-def _separator_of(head: bytes, encoding: str) -> str:
-    lines = head.decode(encoding, errors="replace").splitlines()
-    header = lines[0] if lines else ""
-    best = max(SEPARATORS, key=header.count)
-    return best if header.count(best) else ","
+    A line break inside quotes leaves an odd number of quotes on its line.
+    """
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"')))
+    found = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(
+        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2 == 1).alias("breaks")
+    )
+    kinds: dict[tuple[bool, bool], list[str]] = {}
+    for row in found.collect():  # one row per file, as the driver's own file listing has
+        kinds.setdefault((row["utf8"], row["breaks"]), []).append(row["file"])
+    return kinds
+
+
+def _common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """The schema that every file group can be read with."""
+    ranks = {"int": 0, "bigint": 1, "double": 2}
+    fields = []
+    for parts in zip(*[s.fields for s in schemas], strict=True):
+        kinds = [p.dataType for p in parts]
+        names = {k.simpleString() for k in kinds}
+        if len(names) == 1:
+            best = kinds[0]
+        elif names <= set(ranks):
+            best = max(kinds, key=lambda k: ranks[k.simpleString()])
+        else:
+            best = T.StringType()
+        fields.append(T.StructField(parts[0].name, best))
+    return T.StructType(fields)
 
 
 def read_csv(
@@ -60,33 +86,57 @@ def read_csv(
     encoding: str | None = None,
     row_id: str | None = None,
     nan_as_null: bool = True,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """CSV with a header.  Encoding and separator are taken from the file's head when not given.
+    """CSV with a header.
 
-    The head decides once for all files; a UTF-8 head over later Latin-1 bytes needs
-    ``encoding="ISO-8859-1"``.  Quoted line breaks need ``multi_line=True``, which reads each
-    file in one task; without it files are split.  Give ``schema`` on large inputs to save the inference scan.
+    The separator is the one most frequent in the header.  Encoding and quoted line
+    breaks are decided for each file from all its bytes, in one scan: a file with any
+    byte sequence that is not UTF-8 is Latin-1, and only files in which a quoted field
+    spans lines are read by one task each; the others are split.  Give ``encoding`` and
+    ``multi_line`` to save that scan, and ``schema`` to save the inference.
     """
-    if sep is None or encoding is None:
-        head = _head_bytes(spark, path)
-        encoding = encoding or _encoding_of(head)
-        sep = sep or _separator_of(head, encoding)
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return _finish(reader.csv(path), row_id, nan_as_null)
+    sep = sep or _separator_of(_header(spark, path))
+    if encoding is not None and multi_line is not None:
+        groups = {(encoding, multi_line): None}
+    else:
+        groups = {}
+        kinds = _kinds_of_files(spark, path)
+        for (utf8, breaks), files in kinds.items():
+            key = (encoding or ("UTF-8" if utf8 else "ISO-8859-1"), breaks if multi_line is None else multi_line)
+            groups.setdefault(key, []).extend(files)
+        if len(groups) <= 1:  # the path itself keeps partition columns
+            groups = {key: None for key in groups} or {("UTF-8", False): None}
+
+    def read(key: tuple[str, bool], files: list[str] | None, given) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", sep).option("encoding", key[0])
+        reader = reader.option("quote", '"').option("escape", '"').option("multiLine", key[1])
+        reader = reader.schema(given) if given is not None else reader.option("inferSchema", True)
+        return reader.csv(files or path)
+
+    parts = [read(key, files, schema) for key, files in groups.items()]
+    if len(parts) > 1 and schema is None and len({p.schema.simpleString() for p in parts}) > 1:
+        common = _common_schema([p.schema for p in parts])
+        parts = [read(key, files, common) for key, files in groups.items()]
+    return _finish(reduce(DataFrame.unionByName, parts), row_id, nan_as_null)
 
 
 def read_json(
     spark: SparkSession,
     path: str,
     schema=None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     row_id: str | None = None,
     nan_as_null: bool = True,
 ) -> DataFrame:
-    """JSON array of records; ``multi_line=False`` reads JSON lines and splits large files."""
+    """JSON records: lines, which are split, or arrays, one task per file.
+
+    Unless ``multi_line`` says so, lines are assumed if the first one starts a record and
+    ends it; arrays start with a bracket.
+    """
+    if multi_line is None:
+        head = _header(spark, path).strip()
+        multi_line = not (head.startswith(b"{") and head.endswith(b"}"))
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)

@@ -32,10 +32,28 @@ def test_csv_separator_and_encoding(spark, tmp_path):
 def test_csv_quotes_and_line_breaks(spark):
     rows = [(1, 'say "hi", twice\nand go'), (2, "plain"), (3, None)]
     path = sources.write_csv(spark.createDataFrame(rows, "k int, t string"), scratch_path(spark, "csv"))
-    back = sources.read_csv(spark, path, schema="k int, t string", multi_line=True)
+    back = sources.read_csv(spark, path, schema="k int, t string")
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_csv_is_judged_by_all_its_bytes(spark, tmp_path):
+    """A late Latin-1 byte, and files of different kinds in one folder."""
+    rows = "".join(f"{k},plain {k}\n" for k in range(150_000))
+    late = put(tmp_path, "late.csv", ("k,t\n" + rows + "-1,café\n").encode("latin-1"))
+    assert len(rows) > 1 << 20
+    back = sources.read_csv(spark, late)
+    assert back.where("k = -1").first()["t"] == "café" and back.count() == 150_001
+    assert back.where(F.col("t").contains("\ufffd")).isEmpty()
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    put(folder, "a.csv", b"k,t\n1,one\n")
+    put(folder, "b.csv", "k,t\n2.5,é\n".encode())
+    put(folder, "c.csv", "k,t\n3,ü\n".encode("latin-1"))
+    put(folder, "d.csv", b'k,t\n4,"two\nlines"\n')
+    back = sources.read_csv(spark, str(folder))
+    assert sorted(map(tuple, back.collect())) == [(1.0, "one"), (2.5, "é"), (3.0, "ü"), (4.0, "two\nlines")]
+
+
 def test_csv_nan_is_missing(spark, tmp_path):
     path = put(tmp_path, "n.csv", b"k,v\n1,NaN\n2,3.5\n")
     df = sources.read_csv(spark, path, schema="k int, v double")
@@ -48,7 +66,7 @@ def test_json_array_and_lines(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     path = sources.write_json(df, scratch_path(spark, "json"))
     assert spark.read.text(path).where(F.col("value").contains('"b":null')).count() == 1
-    assert sources.read_json(spark, path, multi_line=False).count() == 2
+    assert sources.read_json(spark, path).count() == 2
 
 
 def test_refused_inputs(spark, tmp_path):
