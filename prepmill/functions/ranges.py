@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .joins import join_null_safe
 from .roles import col
 
@@ -127,35 +128,20 @@ def running_sums(
     )
 
 
-def text_prefix_number(column: Column, skip: int) -> Column:
-    """Number of the six bytes after a common prefix; follows byte order of the text."""
-    raw = F.hex(F.encode(column, "UTF-8"))
-    piece = F.rpad(F.substring(raw, 2 * skip + 1, 12), 12, "0")
-    return F.conv(piece, 16, 10).cast("double")
-
-
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)`` with codes 0.. by sorted distinct non-NULL value.
 
-    Only distinct values are ordered, in value ranges, so neither frequent values
-    nor many values gather in one task.
+    The distinct values themselves are range-partitioned, numbered where they lie and
+    shifted by the counts of earlier partitions (one row per partition), so no task
+    holds more than its range, whatever the values have in common.
     """
     values = df.select(col(column).alias("value")).where("value is not null").distinct()
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.StringType):
-        ends = values.agg(F.min("value").alias("a"), F.max("value").alias("b")).first()
-        a, b = (ends["a"] or "").encode(), (ends["b"] or "").encode()
-        skip = 0
-        while skip < min(len(a), len(b)) and a[skip] == b[skip]:
-            skip += 1
-        values = values.withColumn("_k", text_prefix_number(F.col("value"), skip))
-    else:
-        values = values.withColumn("_k", order_number(values, "value"))
-    rows, _ = with_range_bucket(values, "_k")
-    totals = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_bucket").orderBy("value")
-    joined = rows.join(F.broadcast(offsets), "_bucket")
-    code = F.col("_o") + F.row_number().over(inside) - 1
-    return joined.select("value", code.cast("bigint").alias("code"))
+    ordered = values.repartitionByRange("value").sortWithinPartitions("value")
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select("value", (F.col("_o") + inside).alias("code"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.roles import columns_by_role
+from ..functions.roles import col, columns_by_role
 from .charts import correlation_pairs
-from .profile import beside, column_stats, duplicate_count, missing_counts, percent
+from .profile import beside, column_stats, constant_facts, duplicate_count, missing_counts, percent
 
 # Thresholds and list lengths of the advice rules.
 DROP_ABOVE = 50.0
@@ -67,16 +67,23 @@ def strong_pairs(df: DataFrame, limit: float = STRONG_CORRELATION, top: int = TO
 
 
 def quality_assessment(df: DataFrame, exclude: list[str] | tuple[str, ...] = (), approx: bool = False) -> DataFrame:
-    """Issues found, one row each: duplicates, missing, constant, high-cardinality columns."""
+    """Issues found, one row each: duplicates, missing, constant, high-cardinality columns.
+
+    Values are counted for categorical columns only.
+    """
     categorical = columns_by_role(df)["categorical"]
-    rows = F.col("non_null") + F.col("nulls")
-    high = F.col("column").isin(categorical) & (F.col("n_unique") > rows * HIGH_CARDINALITY) if categorical else F.lit(False)
-    stats = column_stats(df, approx).agg(
+    stats = constant_facts(df).agg(
         F.count_if(F.col("nulls") > 0).alias("missing_columns"),
-        F.count_if(F.col("n_unique") <= 1).alias("constant_columns"),
-        F.count_if(high).alias("high_cardinality_columns"), F.max(rows).alias("_rows"),
+        F.count_if("constant").alias("constant_columns"), F.max("rows").alias("_rows"),
     )
-    facts = beside(stats, duplicate_count(df, exclude))
+    counted = []
+    if categorical:
+        high = F.col("n_unique") > (F.col("non_null") + F.col("nulls")) * HIGH_CARDINALITY
+        values = column_stats(df.select(*[col(c) for c in categorical]), approx)
+        counted = [values.agg(F.count_if(high).alias("high_cardinality_columns"))]
+    facts = beside(stats, *counted, duplicate_count(df, exclude))
+    if not categorical:
+        facts = facts.withColumn("high_cardinality_columns", F.lit(0).cast("bigint"))
     names = ["duplicate_rows", "missing_columns", "constant_columns", "high_cardinality_columns"]
     issues = F.array(*[
         F.struct(

@@ -21,7 +21,6 @@ TOP_EXPLAINED = 10
 REPEATS = 10
 GRID_POINTS = 100
 GRID_TAILS = (0.05, 0.95)
-MAX_CURVES = 4
 EXPLAINED_ROWS = 50
 BACKGROUND_ROWS = 10
 SEED = 42
@@ -31,7 +30,7 @@ BLOCK_ROWS = 50_000
 
 def feature_importance(spark, model, names: list[str], top: int | None = TOP_FEATURES) -> DataFrame:
     """Built-in importance per vector slot, largest first."""
-    weights = model.core.featureImportances.toArray()
+    weights = model.importances()
     rows = sorted(zip(names, map(float, weights), strict=True), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows[:top], "feature string, importance double")
 
@@ -115,7 +114,7 @@ def partial_dependence(
 
     Copies are made and scored map-side; tasks send one partial mean per grid value.
     """
-    slots = [names.index(f) for f in features[:MAX_CURVES]]
+    slots = [names.index(f) for f in features]
     grids = dependence_grid(data, names, slots, points)
     marks = F.array(*[
         F.struct(F.lit(s).alias("_j"), F.lit(float(v)).alias("value")) for s in slots for v in grids[s]

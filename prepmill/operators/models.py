@@ -20,6 +20,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     NaiveBayes,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, StringIndexerModel
@@ -41,8 +42,8 @@ from ..session import cut_lineage
 # Model defaults.
 SEED = 42
 FOREST_TREES = 100
-FOREST_DEPTH = 20
-TREE_DEPTH = 20
+FOREST_DEPTH = 30
+TREE_DEPTH = 30
 BOOST = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3}
 PRESETS = {
     "gradient_boosting": BOOST,
@@ -51,10 +52,12 @@ PRESETS = {
     "catboost": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6},
 }
 MAX_ITER = 1000
+#: Tolerance at which the iterative solver agrees with the normal equations.
+EXACT = 1e-12
 NEIGHBOURS = 5
 BAGS = 10
 RFF_SIZE = 128
-ADABOOST_ROUNDS = 20
+ADABOOST_ROUNDS = 50
 
 CLASSIFIERS = (
     "logistic", "random_forest", "decision_tree", "gradient_boosting", "xgboost", "lightgbm", "catboost",
@@ -65,7 +68,10 @@ REGRESSORS = (
     "catboost", "svm", "knn", "polynomial",
 )
 MAX_CLASSES = 1000
-MAX_NORMAL_SLOTS = 1024
+#: The largest matrix that the normal equations are solved for.
+MAX_NORMAL_SLOTS = 4096
+#: Fits run side by side for the classes of one-vs-rest.
+SIDE_BY_SIDE = 8
 
 
 def class_list(df: DataFrame, target: str) -> list[str]:
@@ -116,6 +122,24 @@ class FittedModel:
                 return stage
         return self.stages[-1]
 
+    def importances(self) -> np.ndarray:
+        """Importance per vector slot; a composite model's is the weighted mean of its members'."""
+        return _importances(self.core)
+
+
+def _importances(model) -> np.ndarray:
+    if isinstance(model, FittedModel):
+        return model.importances()
+    if isinstance(model, MeanOfModels):
+        members, weights = model.members, model.weights
+    elif isinstance(model, SammeModel):
+        members, weights = model.trees, model.alphas
+    elif isinstance(model, OneVsRestModel):
+        members, weights = model.models, [1.0] * len(model.models)
+    else:
+        return model.featureImportances.toArray()
+    return np.average([_importances(m) for m in members], axis=0, weights=weights if sum(weights) else None)
+
 
 class ProbabilityFromRaw:
     """Softmax (or logistic for two classes) of ``rawPrediction``, for models without probabilities."""
@@ -293,7 +317,7 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
         settings = {**PRESETS[name], "seed": seed, **params}
         if classes <= 2:
             return done([GBTClassifier(**weighted, **settings).fit(train)])
-        over = OneVsRest(classifier=GBTClassifier(**settings), rawPredictionCol="rawPrediction", **weighted)
+        over = OneVsRest(classifier=GBTClassifier(**settings), rawPredictionCol="rawPrediction", parallelism=SIDE_BY_SIDE, **weighted)
         return done(_argmax_model([over.fit(train)], classes))
     if name == "svm":
         return _fit_svm(train, classes, weighted, params, seed, done)
@@ -335,7 +359,7 @@ def _fit_svm(train, classes, weighted, params, seed, done) -> FittedModel:
         settings = {"maxIter": 100, "regParam": 1.0 / (params.pop("C", 1.0) * max(train.count(), 1)), **params}
         svc = LinearSVC(**{**weighted, "featuresCol": "_rff"}, **settings)
         if classes > 2:
-            over = OneVsRest(classifier=svc, rawPredictionCol="rawPrediction", **{**weighted, "featuresCol": "_rff"})
+            over = OneVsRest(classifier=svc, rawPredictionCol="rawPrediction", parallelism=SIDE_BY_SIDE, **{**weighted, "featuresCol": "_rff"})
             return done(_argmax_model([mapped_by, over.fit(mapped)], classes))
         model = svc.fit(mapped)
         margins = model.transform(mapped).select("_label", F.array(vector_to_array("rawPrediction")[1]).alias("m"))
@@ -346,12 +370,13 @@ def _fit_svm(train, classes, weighted, params, seed, done) -> FittedModel:
         mapped.unpersist()
 
 
-def _poisson_limits(rate: float, most: int = 9) -> list[float]:
-    """Cumulative Poisson probabilities of 0, 1, ... draws."""
-    term, total, limits = math.exp(-rate), 0.0, []
-    for k in range(1, most + 1):
+def _poisson_limits(rate: float) -> list[float]:
+    """Cumulative Poisson probabilities of 0, 1, ... draws, until what is left is below double precision."""
+    term, total, limits, k = math.exp(-rate), 0.0, [], 0
+    while k <= rate or term > 1e-17:
         total += term
         limits.append(total)
+        k += 1
         term *= rate / k
     return limits
 
@@ -412,7 +437,8 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         return FittedModel(name, "regression", stages, extra=extra)
 
     if name == "linear":
-        return done([LinearRegression(**weighted, regParam=0.0, solver=_solver(train), **params).fit(train)])
+        settings = {"regParam": 0.0, "solver": _solver(train), "maxIter": MAX_ITER, "tol": EXACT, **params}
+        return done([LinearRegression(**weighted, **settings).fit(train)])
     if name == "ridge":
         solver = _solver(train)
         # Spark divides an L2 penalty by the label's deviation (population form in the normal
@@ -421,7 +447,8 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         row = train.agg(F.count(F.lit(1)).alias("n"), spread.alias("s")).first()
         penalty = params.pop("alpha", 1.0) / row["n"] * (row["s"] or 1.0)
         model = LinearRegression(
-            **weighted, regParam=penalty, elasticNetParam=0.0, standardization=False, solver=solver, **params)
+            **weighted, regParam=penalty, elasticNetParam=0.0, standardization=False, solver=solver,
+            **{"maxIter": MAX_ITER, "tol": EXACT, **params})
         return done([model.fit(train)])
     if name == "lasso":
         settings = {"regParam": params.pop("alpha", 1.0), "elasticNetParam": 1.0, "standardization": False,
@@ -436,7 +463,10 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         return done([GBTRegressor(**weighted, **{**PRESETS[name], "seed": seed, **params}).fit(train)])
     if name == "svm":
         mapped_by = RandomFourier(_slots(train), params.pop("gamma", None) or _gamma(train), params.pop("size", RFF_SIZE), seed=seed)
-        settings = {"loss": "huber", "maxIter": 100, "regParam": 1e-3, **params}
+        # C weighs the errors against the penalty, as in the classifier.  The loss is Huber's, whose
+        # ``epsilon`` (above 1) is where it turns linear; Spark has no epsilon-insensitive loss.
+        strength = params.pop("C", 1.0)
+        settings = {"loss": "huber", "maxIter": 100, "regParam": 1.0 / (strength * max(train.count(), 1)), **params}
         model = LinearRegression(**{**weighted, "featuresCol": "_rff"}, **settings).fit(mapped_by.transform(train))
         return done([mapped_by, model])
     if name == "knn":
@@ -447,7 +477,8 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
         expand = PolynomialExpansion(degree=params.pop("degree", 2), inputCol="features", outputCol="_poly")
         wide = expand.transform(train)
         model = LinearRegression(
-            **{**weighted, "featuresCol": "_poly"}, regParam=0.0, solver=_solver(wide, "_poly"), **params)
+            **{**weighted, "featuresCol": "_poly"}, regParam=0.0, solver=_solver(wide, "_poly"),
+            **{"maxIter": MAX_ITER, "tol": EXACT, **params})
         return done([expand, model.fit(wide)])
     raise ValueError(f"unknown regressor {name!r}")
 

@@ -215,12 +215,36 @@ def sample_values(df: DataFrame, few: int = FEW_VALUES, shown: int = SAMPLE_SHOW
     return joined.select("column", text.otherwise(F.lit("")).alias("sample_values"))
 
 
+def constant_facts(df: DataFrame) -> DataFrame:
+    """``column, rows, nulls, constant`` from one aggregate of counts, minima and maxima."""
+    if not df.columns:
+        return _fixed_rows(df, [], "column string, rows bigint, nulls bigint, constant boolean")
+    cells = {
+        c: as_text(df, c) if role_of(df.schema[c].dataType) in ("nested", "other") else col(c) for c in df.columns
+    }
+    facts = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.struct(F.count(x).alias("n"), F.coalesce(F.min(x) == F.max(x), F.lit(True)).alias("constant")).alias(f"_f{i}")
+        for i, x in enumerate(cells.values())
+    ])
+    parts = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.col("_rows").alias("rows"), (F.col("_rows") - F.col(f"_f{i}.n")).alias("nulls"),
+            F.col(f"_f{i}.constant").alias("constant"),
+        )
+        for i, c in enumerate(cells)
+    ])
+    return facts.select(F.inline(parts))
+
+
 def quality_issues(df: DataFrame, exclude: list[str] | tuple[str, ...] = (), approx: bool = False) -> DataFrame:
-    """Duplicate rows (count, percent), columns over half missing, constant columns."""
-    stats = column_stats(df, approx).agg(
-        F.count_if(F.col("nulls") > (F.col("non_null") + F.col("nulls")) * 0.5).alias("high_missing_columns"),
-        F.count_if(F.col("n_unique") <= 1).alias("constant_columns"),
-        F.max(F.col("non_null") + F.col("nulls")).alias("_rows"),
+    """Duplicate rows (count, percent), columns over half missing, constant columns.
+
+    A column is constant if its smallest and largest values are equal, so no values are
+    counted; ``approx`` is kept for callers that pass it to all profile functions.
+    """
+    stats = constant_facts(df).agg(
+        F.count_if(F.col("nulls") > F.col("rows") * 0.5).alias("high_missing_columns"),
+        F.count_if("constant").alias("constant_columns"), F.max("rows").alias("_rows"),
     )
     both = beside(stats, duplicate_count(df, exclude))
     return both.select(

@@ -17,8 +17,7 @@ def _linear(spark, sf):
 
 def _forest(spark, sf):
     train, test, prepared = many_class_problem(spark, sf)
-    model = fit_model(
-        "random_forest", "classification", prepared.slim(train), 3, None, {"numTrees": 20, "maxDepth": 5})
+    model = fit_model("random_forest", "classification", prepared.slim(train), 3)
     return model, prepared.slim(test), prepared
 
 
@@ -49,7 +48,7 @@ ORDER = "cast(concat('0x', substr(md5(concat_ws(':', concat('42:order', i), cast
 @query("in3_permutation_importance", TWO.format(a="p_size", b="p_partkey") + f""",
  f as (select p_partkey, p_size, p_retailprice as y, my + wa*(p_size-ma) + wb*(p_partkey-mb) as fit from part, m, w),
  r as (select f.*, i, coalesce(lead(p_size) over o, first_value(p_size) over o) as d1,
-   coalesce(lead(p_partkey) over o, first_value(p_partkey) over o) as d2 from f cross join range(5) t(i)
+   coalesce(lead(p_partkey) over o, first_value(p_partkey) over o) as d2 from f cross join range(10) t(i)
    window o as (partition by i order by {ORDER}, p_partkey)),
  v as (select i, 1 - avg(power(y - fit - wa*(d1-p_size), 2))/var_pop(y) as ra,
    1 - avg(power(y - fit - wb*(d2-p_partkey), 2))/var_pop(y) as rb from r, w group by i),
@@ -58,7 +57,7 @@ select 'p_size' as feature, round(avg(r0 - ra), 5) as importance, round(stddev_p
 union all select 'p_partkey', round(avg(r0 - rb), 5), round(stddev_pop(rb), 5) from v, z""")
 def in3(spark, sf):
     ready, model, names = _linear(spark, sf)
-    return rounded(X.permutation_importance(model, ready.persist(), names, "p_partkey", repeats=5), 5)
+    return rounded(X.permutation_importance(model, ready.persist(), names, "p_partkey"), 5)
 
 
 @query("in4_partial_dependence", TWO.format(a="p_size", b="p_partkey") + """,
@@ -85,7 +84,7 @@ def in5(spark, sf):
 def in6(spark, sf):
     _, test, prepared = class_problem(spark, sf)
     train, _, _ = class_problem(spark, sf)
-    model = fit_model("decision_tree", "classification", prepared.slim(train), 2, None, {"maxDepth": 5})
+    model = fit_model("decision_tree", "classification", prepared.slim(train), 2)
     return rounded(X.shapley_values(model, prepared.slim(test), prepared.preprocessor.names, "event_id"))
 
 

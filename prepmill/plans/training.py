@@ -73,7 +73,7 @@ def t1(spark, sf):
     train = train.persist()
     results, _ = T.train_models(
         train, test, ["user_id", "plen"], "label", "event_id", ["logistic", "decision_tree", "naive_bayes"],
-        params={"decision_tree": {"maxDepth": 5}}, cv_folds=5)
+        cv_folds=5)
     return rounded(T.results_table(spark, results))
 
 
@@ -83,7 +83,7 @@ def t1b(spark, sf):
     train, test = train_test(part, "p_partkey", 0.2)
     results, _ = T.train_models(
         train, test, ["p_size", "p_type", "p_partkey"], "p_retailprice", "p_partkey", ["linear", "ridge", "decision_tree"],
-        params={"decision_tree": {"maxDepth": 5}}, cv_folds=3)
+        cv_folds=5)
     return rounded(T.results_table(spark, results))
 
 
@@ -99,43 +99,43 @@ def t3b(spark, sf):
 
 @query("t4_random_forest")
 def t4(spark, sf):
-    return _classify(spark, sf, "random_forest", {"maxDepth": 8})
+    return _classify(spark, sf, "random_forest")
 
 
 @query("t4_random_forest_regression")
 def t4b(spark, sf):
-    return _regress(spark, sf, "random_forest", {"maxDepth": 8})
+    return _regress(spark, sf, "random_forest")
 
 
 @query("t5_decision_tree")
 def t5(spark, sf):
-    return _classify(spark, sf, "decision_tree", {"maxDepth": 8}, many=True)
+    return _classify(spark, sf, "decision_tree", many=True)
 
 
 @query("t5_decision_tree_regression")
 def t5b(spark, sf):
-    return _regress(spark, sf, "decision_tree", {"maxDepth": 8})
+    return _regress(spark, sf, "decision_tree")
 
 
 @query("t6_gradient_boosting")
 def t6(spark, sf):
-    return _classify(spark, sf, "gradient_boosting", {"maxIter": 30})
+    return _classify(spark, sf, "gradient_boosting")
 
 
 @query("t6_gradient_boosting_many_classes")
 def t6b(spark, sf):
-    return _classify(spark, sf, "gradient_boosting", {"maxIter": 5}, many=True)
+    return _classify(spark, sf, "gradient_boosting", many=True)
 
 
 @query("t6_gradient_boosting_regression")
 def t6c(spark, sf):
-    return _regress(spark, sf, "gradient_boosting", {"maxIter": 30})
+    return _regress(spark, sf, "gradient_boosting")
 
 
 def _register_preset(name: str) -> None:
     @query(f"t7_{name}")
     def run(spark, sf):
-        return _classify(spark, sf, name, {"maxIter": 15})
+        return _classify(spark, sf, name)
 
 
 for _name in ("xgboost", "lightgbm", "catboost"):
@@ -228,12 +228,12 @@ def x7(spark, sf):
 
 @query("t14_balanced_bagging")
 def t14(spark, sf):
-    return _classify(spark, sf, "balanced_bagging", {"maxDepth": 8})
+    return _classify(spark, sf, "balanced_bagging")
 
 
 @query("x8_adaboost")
 def x8(spark, sf):
-    return _classify(spark, sf, "adaboost", {"rounds": 8})
+    return _classify(spark, sf, "adaboost")
 
 
 @query("t15_cv_scores")
@@ -241,7 +241,7 @@ def t15(spark, sf):
     rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
     prepared = T.prepare(rows, ["user_id", "plen"], "label", "event_id", "classification", scaling="standard")
     folded = with_folds(rows, "event_id", 5, "label").persist()
-    oof = T.out_of_fold("decision_tree", T.prepare_folds(prepared, folded, 5), folded, {"maxDepth": 5})
+    oof = T.out_of_fold("decision_tree", T.prepare_folds(prepared, folded, 5), folded)
     return rounded(fold_summary(fold_scores(oof, "classification")))
 
 
@@ -281,7 +281,7 @@ def _members(spark, sf):
     train, test, prepared = class_problem(spark, sf)
     even = undersample(train, "label", "event_id")
     ready = prepared.slim(even).persist()
-    names = {"logistic": {}, "naive_bayes": {}, "decision_tree": {"maxDepth": 5}}
+    names = {"logistic": {}, "naive_bayes": {}, "decision_tree": {}}
     return [fit_model(n, "classification", ready, 2, None, p) for n, p in names.items()], prepared, train, test
 
 
@@ -318,7 +318,6 @@ def en3(spark, sf):
     train, test, prepared = class_problem(spark, sf)
     folded = with_folds(train, "event_id", 5, "label")
     ready = prepared.apply(folded).select("event_id", "_label", "features", "fold").persist()
-    model = N.stacking(ready, ["naive_bayes", "decision_tree"], "classification", 2, "logistic", 5,
-                       {"decision_tree": {"maxDepth": 5}})
+    model = N.stacking(ready, ["naive_bayes", "decision_tree"], "classification", 2, "logistic", 5)
     scored = model.transform(prepared.slim(test))
     return rounded(scored.select("event_id", "_label", "prediction", vector_to_array("probability")[1].alias("p1")))
