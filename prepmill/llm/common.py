@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import drop_at_exit, scratch_path
 
 #: ASCII white space as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,15 +32,20 @@ def named(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
     This cuts the lineage with files that every executor can read, so a lost executor
     costs only its running tasks, and later steps neither recompute nor reshuffle it.
+    With ``narrow`` (tables of a few numbers a row) the last tasks are merged to some for
+    each core, so that a small table isn't one tiny file for each shuffle partition.  The
+    files go when the driver ends.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    drop_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def for_python(spark: SparkSession, rows: int = 512) -> None:
@@ -68,14 +73,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     """Left join of rows with one row per group, safe for groups of any size.
 
     ``groups`` says in column ``size`` how many rows a group has.  Groups with at least
-    1/HOT_SHARE of all rows number at most HOT_SHARE, so they are broadcast whatever the
-    table's size; the rest is shuffled, and no key of that shuffle is hot.
+    1/HOT_SHARE of all rows number at most HOT_SHARE: the hashes of their keys come to the
+    driver, and their rows meet them by broadcast.  The rest is shuffled, and no key of
+    that shuffle is hot.
     """
     limit = max(1, -(-total // HOT_SHARE))
-    hot = F.broadcast(groups.filter(F.col(size) >= limit))
-    cold = groups.filter(F.col(size) < limit)
-    return rows.join(hot, keys, "inner").unionByName(
-        rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, "left")
+    mark = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    hot = [r[0] for r in groups.filter(F.col(size) >= limit).select(mark).distinct().collect()]
+    if not hot:
+        return rows.join(groups, keys, "left")
+    chosen = mark.isin(hot)
+    return rows.filter(chosen).join(F.broadcast(groups.filter(chosen)), keys, "left").unionByName(
+        rows.filter(~chosen).join(groups.filter(~chosen), keys, "left")
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_GROUPS, for_python, join_groups, materialise, named, text_of
-from .components import components
+from .components import components, extend
 from .shingles import WORDS, bags, counted, mix, overlap
 
 THRESHOLD = 0.8
@@ -36,6 +36,8 @@ BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
 #: Members of one task that are compared with the same text.
 CHUNK = 64
+#: Members of a large part that one task compares with its askers.
+SUB = 256
 #: Size classes grow by this ratio.
 STEP = 1.02
 
@@ -128,8 +130,8 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, word
     spread = join_groups(pairs, degree, ["a"], "n", pairs.count()).select(
         "a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / CHUNK)).alias("part")
     )
-    spread = materialise(spread, "pairs")
-    wanted = materialise(spread.select(F.col("a").alias("id")).union(spread.select("b")).distinct(), "wanted")
+    spread = materialise(spread, "pairs", True)
+    wanted = materialise(spread.select(F.col("a").alias("id")).union(spread.select("b")).distinct(), "wanted", True)
     texts = _texts_of(docs, wanted)
     right = spread.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     left = spread.select("a", "part").distinct().join(
@@ -147,14 +149,75 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, word
                 if a[k].as_py() != last:
                     last = a[k].as_py()
                     bag = counted(bags([ta[k].as_py().encode()], words)[0])
-                both = overlap(bag, counted(other))
                 total = int(bag[1].sum()) + len(other)
-                keep.append(both >= share * total - 1e-9)
+                keep.append(overlap(bag, counted(other)) >= share * total - 1e-9)
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return left.join(right, ["a", "part"]).select("a", "ta", "b", "tb").mapInArrow(each, "a bigint, b bigint")
 
 
+def meet(asks: DataFrame, rows: DataFrame, keys: list[str], docs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """Links (a, b) of different classes between some members of each part and all its members.
+
+    ``asks`` and ``rows`` are (keys, id, label) with the part's size n.  A task compares up
+    to CHUNK askers with up to SUB members at once through their sorted shingles, so no
+    row is made for a pair that isn't linked; of an asker's links to a class, one is kept.
+    """
+    for_python(docs.sparkSession)
+    count = materialise(asks.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("n")), "asked", True)
+    chunks, subs = (F.ceil(F.col("asked") / CHUNK).cast("int"), F.ceil(F.col("n") / SUB).cast("int"))
+    count = count.select(*keys, chunks.alias("chunks"), subs.alias("subs"), "n")
+
+    def placed(side: DataFrame, own: str, other: str, seed: int) -> DataFrame:
+        sized = join_groups(side.drop("n"), count, keys, "n", rows.count()).filter("n is not null")
+        mine = F.pmod(F.xxhash64("id", F.lit(seed)), F.col(own)).cast("int")
+        both = [mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1))]
+        named_ = [c.alias(n) for c, n in zip(both, (own[:-1], other[:-1]), strict=True)]
+        return sized.select(*keys, "id", "label", *named_).select(
+            F.xxhash64(*keys, "chunk", "sub").alias("task"), "id", "label"
+        )
+
+    left = materialise(placed(asks, "chunks", "subs", 1), "askers", True)
+    right = materialise(placed(rows, "subs", "chunks", 2), "asked", True)
+    wanted = materialise(left.select("id").union(right.select("id")).distinct(), "wanted", True)
+    texts = _texts_of(docs, wanted)
+    share = threshold / (1 + threshold)
+
+    def each(askers: pa.Table, members: pa.Table) -> pa.Table:
+        links: set[tuple[int, int]] = set()
+        if askers.num_rows and members.num_rows:
+            encoded = lambda t: [x.as_py().encode() for x in t.column("text")]
+            mine = [counted(b) for b in bags(encoded(askers), words)]
+            sizes = np.array([int(m[1].sum()) for m in mine])
+            who = np.repeat(np.arange(len(mine)), [len(m[0]) for m in mine])
+            keys_, counts = np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine])
+            order = np.argsort(keys_, kind="stable")
+            keys_, counts, who = keys_[order], counts[order], who[order]
+            ids, labels = askers.column("id").to_pylist(), askers.column("label").to_numpy()
+            theirs = zip(members.column("id").to_pylist(), members.column("label").to_pylist(), bags(encoded(members), words), strict=True)
+            seen: set[tuple[int, int]] = set()
+            for member, label, bag in theirs:
+                key, number = counted(bag)
+                low, high = np.searchsorted(keys_, key, "left"), np.searchsorted(keys_, key, "right")
+                hits = high - low
+                at = np.repeat(low - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
+                both = np.bincount(
+                    who[at], np.minimum(counts[at], np.repeat(number, hits)), minlength=len(mine)
+                )
+                for k in np.flatnonzero((both >= share * (sizes + len(bag)) - 1e-9) & (labels != label)):
+                    if (k, label) not in seen:
+                        seen.add((k, label))
+                        links.add((ids[k], member))
+        pairs = sorted(links)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    def read(side: DataFrame) -> DataFrame:
+        own = texts.select(F.col("id").alias("who"), F.col("text").alias("words"))
+        return side.join(own, F.col("id") == F.col("who")).select("task", "id", "label", F.col("words").alias("text"))
+
+    return read(left).groupBy("task").cogroup(read(right).groupBy("task")).applyInArrow(each, "a bigint, b bigint")
+
+
 def _can_link(size_a: Column, size_b: Column, threshold: float) -> Column:
     return (size_a >= threshold * size_b - 1e-9) & (size_b >= threshold * size_a - 1e-9)
 
@@ -162,7 +225,7 @@ def _can_link(size_a: Column, size_b: Column, threshold: float) -> Column:
 def _members(reps: DataFrame) -> DataFrame:
     """(bucket, id, size, n) of representatives that share a bucket with another."""
     rows = reps.select("id", "size", F.explode(F.array_distinct("bands")).alias("bucket"))
-    counts = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    counts = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets", True)
     return materialise(
         join_groups(rows, counts, ["bucket"], "n", rows.count()).filter("n is not null"), "members"
     )
@@ -174,7 +237,7 @@ def _with_top(members: DataFrame) -> DataFrame:
     top = members.join(mass, "id").groupBy("bucket").agg(
         F.max(F.struct("mass", (-F.col("id")).alias("first"), "size")).alias("t"), F.count(F.lit(1)).alias("k")
     ).select("bucket", (-F.col("t.first")).alias("top"), F.col("t.size").alias("top_size"), "k")
-    return join_groups(members, materialise(top, "tops"), ["bucket"], "k", members.count()).drop("k")
+    return join_groups(members, materialise(top, "tops", True), ["bucket"], "k", members.count()).drop("k")
 
 
 def _open(members: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,11 +246,11 @@ def _open(members: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     marked = plain.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "label", F.coalesce("label", "id")
     )
-    marked = materialise(marked, "marked")
+    marked = materialise(marked, "marked", True)
     state = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
     ).filter("lo < hi")
-    state = materialise(state.drop("lo", "hi"), "open")
+    state = materialise(state.drop("lo", "hi"), "open", True)
     return materialise(
         join_groups(marked, state, keys, "n", marked.count()).filter("n is not null"), "open"
     )
@@ -230,7 +293,7 @@ def _refine(rows: DataFrame, docs: DataFrame, threshold: float, words: int) -> D
     size - own >= t / (1 + t) * (both sizes).  So each text admits a range of partner
     sizes, and two texts meet in a part only if each admits the other's size class.
     """
-    own = _unshared(materialise(rows.select("id").distinct(), "large"), docs, words)
+    own = _unshared(materialise(rows.select("id").distinct(), "large", True), docs, words)
     most = (F.col("size") - F.coalesce("own", F.lit(0))) * ((1 + threshold) / threshold) - F.col("size")
     step = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / float(np.log(STEP))).cast("int")
     ranged = rows.join(own, "id", "left").select(
@@ -238,48 +301,43 @@ def _refine(rows: DataFrame, docs: DataFrame, threshold: float, words: int) -> D
         (step(F.col("size") * threshold) - 1).alias("low"),
         F.least(step(F.col("size") / threshold) + 1, step(most) + 1).alias("high"),
     ).filter("high >= low")
-    partner = ranged.withColumn("p", F.explode(F.sequence("low", "high")))
-    return partner.select(
+    ranged = materialise(ranged, "ranged", True)
+    there = ranged.select("bucket", F.col("c").alias("p")).distinct()
+    return ranged.join(there, "bucket").filter((F.col("p") >= F.col("low")) & (F.col("p") <= F.col("high"))).select(
         "bucket", "id", "size", F.least("c", "p").alias("c1"), F.greatest("c", "p").alias("c2")
     ).dropDuplicates(["bucket", "c1", "c2", "id"])
 
 
 def _settle(members: DataFrame, docs: DataFrame, links: DataFrame, threshold: float, words: int) -> DataFrame:
-    """All links that matter for classes, from the first links and the members of buckets.
+    """Labels (node, label) of classes, from the first links and the members of buckets.
 
     Small open buckets compare all pairs of different classes.  Large ones are refined;
-    their parts compare a growing number of members with all others, and a member that
-    has met all others leaves its part, until every part holds one class.
+    in their parts a growing number of members meet all others, and who has met all others
+    leaves, until every part holds one class.
     """
     labels = components(links)
     rows = _open(members, labels, ["bucket"])
     small = rows.filter(F.col("n") <= SMALL_BUCKET)
-    links = _more(links, _pairs(small, small, ["bucket"], threshold), docs, threshold, words)
+    pairs = materialise(_pairs(small, small, ["bucket"], threshold), "candidates", True)
+    if not pairs.isEmpty():
+        labels = extend(labels, materialise(verify(pairs, docs, threshold, words), "links", True))
     large = rows.filter(F.col("n") > SMALL_BUCKET)
     if large.isEmpty():
-        return links
+        return labels
     keys = ["bucket", "c1", "c2"]
-    parts = materialise(_refine(large, docs, threshold, words), "parts")
+    parts = materialise(_refine(large, docs, threshold, words), "parts", True)
     turn = 0
     while True:
-        rows = _open(parts, components(links), keys)
+        rows = _open(parts, labels, keys)
         if rows.isEmpty():
-            return links
+            return labels
         turn += 1
-        wanted = SMALL_BUCKET * 4 ** (turn - 1)
+        wanted = CHUNK * 8 ** (turn - 1)
         # Every turn takes all of a part that is small by now, else about `wanted` by hash.
-        chance = F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < wanted
-        asks = rows.filter((F.col("n") <= wanted) | chance)
-        links = _more(links, _pairs(asks, rows, keys, threshold), docs, threshold, words)
-        rest = rows.filter((F.col("n") > wanted) & ~chance)
-        parts = materialise(rest.select(*keys, "id", "size"), "parts")
-
-
-def _more(links: DataFrame, pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    pairs = materialise(pairs, "candidates")
-    if pairs.isEmpty():
-        return links
-    return links.union(materialise(verify(pairs, docs, threshold, words), "links"))
+        chance = (F.col("n") <= wanted) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < wanted)
+        links = materialise(meet(rows.filter(chance), rows, keys, docs, threshold, words), "links", True)
+        labels = extend(labels, links)
+        parts = materialise(rows.filter(~chance).select(*keys, "id", "size"), "parts", True)
 
 
 def near_dedup(
@@ -307,16 +365,15 @@ def near_dedup(
     members = _members(known)
     topped = _with_top(members)
     first = topped.filter((F.col("id") != F.col("top")) & _can_link(F.col("size"), F.col("top_size"), threshold))
-    pairs = materialise(first.select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    pairs = materialise(first.select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "stars", True)
     texts = source.filter("id is not null")
-    links = materialise(verify(pairs, texts, threshold, words), "links")
-    links = _settle(members, texts, links, threshold, words)
-    labels = components(links).withColumnRenamed("node", "id")
+    links = materialise(verify(pairs, texts, threshold, words), "links", True)
+    labels = _settle(members, texts, links, threshold, words).withColumnRenamed("node", "id")
     classes = materialise(
         reps.join(labels, "id", "left").select("bag", F.coalesce("label", "id").alias("class_id"), "copies"), "classes"
     )
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = materialise(classes.join(sizes.withColumnRenamed("class_id", "__c"), F.col("class_id").eqNullSafe(F.col("__c"))).drop("__c"), "classes")
+    classes = materialise(classes.join(sizes.withColumnRenamed("class_id", "__c"), F.col("class_id").eqNullSafe(F.col("__c"))).drop("__c"), "classes", True)
     out = join_groups(signed, classes, ["bag"], "copies", total)
     return out.select(
         F.col("id").alias(id_col), "class_id", "class_size", F.col("size").alias("bag_size"),
