@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.parallel import run_together
 from ..functions.roles import col
 from ..session import cut_lineage
+from .compare import compare_models
 from .models import FittedModel, MeanOfModels, fit_model
 
 # Vote weights and the meta learner's forest.
@@ -40,6 +41,31 @@ def voting(members: list[FittedModel], weights: list[float] | None = None) -> Fi
     return FittedModel(name, kind, [MeanOfModels(members, kind, weights)], members[0].classes)
 
 
+def vote_of(scores: list[Column], weights: list[float] | None = None, threshold: float = 0.5) -> Column:
+    """Class 0 or 1 by the (weighted) mean of the members' scores of class 1."""
+    weights = weights or [1.0] * len(scores)
+    total = sum((s * F.lit(float(w)) for s, w in zip(scores, weights, strict=True)), F.lit(0.0))
+    return F.when(total / F.lit(float(sum(weights))) >= threshold, 1).otherwise(0)
+
+
+def ensemble_table(
+    df: DataFrame, members: dict[str, tuple[Column, Column]], label: str = "label",
+    weights: list[float] | None = None, name: str = "voting",
+) -> DataFrame:
+    """Metrics of members and of their vote, one row each, with ``type`` individual or ensemble.
+
+    ``members`` maps a name to its (prediction, score of class 1) columns.  Every row is
+    unfolded to one per model map-side and folded again by the metrics' aggregate.
+    """
+    vote = vote_of([score for _, score in members.values()], weights)
+    models = [*[(k, prediction) for k, (prediction, _) in members.items()], (name, vote)]
+    rows = df.select(col(label).alias("label"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("model"), p.cast("int").alias("prediction")) for k, p in models
+    ])))
+    compared = compare_models(rows, "classification").drop("roc_auc")
+    return compared.withColumn("type", F.when(F.col("model") == name, "ensemble").otherwise("individual"))
+
+
 def _meta_parts(kind: str, classes: int) -> list[Column]:
     """What a base model tells the meta learner."""
     if kind == "regression":

@@ -6,6 +6,7 @@ from ..operators import compare as M
 from ..operators import curves as U
 from ..operators import metrics as E
 from ..operators import scoring as G
+from ..operators.ensemble import ensemble_table
 from .base import query, rounded, table, view
 from .setup import hash_sql
 
@@ -213,13 +214,8 @@ select model, case when model = 'voting' then 'ensemble' else 'individual' end a
 def en4(spark, sf):
     rows = view(spark, sf, "binscore").select("label", "prediction", "score")
     back = F.round(1 - F.col("score"), 2)
-    vote = (F.col("score") * 1.5 + back * 0.5) / 2.0
-    parts = rows.select("label", F.inline(F.array(
-        F.struct(F.lit("forward").alias("model"), F.col("prediction").alias("prediction")),
-        F.struct(F.lit("inverse").alias("model"), (1 - F.col("prediction")).alias("prediction")),
-        F.struct(F.lit("voting").alias("model"), F.when(vote >= 0.5, 1).otherwise(0).alias("prediction")))))
-    compared = M.compare_models(parts, "classification").drop("roc_auc")
-    return compared.withColumn("type", F.when(F.col("model") == "voting", "ensemble").otherwise("individual"))
+    members = {"forward": (F.col("prediction"), F.col("score")), "inverse": (1 - F.col("prediction"), back)}
+    return ensemble_table(rows, members, weights=[1.5, 0.5])
 
 
 @query("x9_residuals", "select p_partkey, round(label - prediction, 6) as residual from regpred", ("regpred",))

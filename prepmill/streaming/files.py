@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.roles import nan_to_null
-from ..session import scratch_path
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -24,14 +23,12 @@ def incoming_files(spark: SparkSession, folder: str, schema, fmt: str = "parquet
 
 
 def write_stream(
-    stream: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str | None = None,
-    fmt: str = "parquet",
+    stream: DataFrame, path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str, fmt: str = "parquet",
 ) -> StreamingQuery:
     """Apply ``work`` (for instance a loaded model's ``transform``) and append the rows as files.
 
-    Processes what is there and stops; run it again with the same checkpoint to go on.
-    Each input file is written exactly once.
+    Processes what is there and stops; run it again with the same ``checkpoint`` folder to
+    go on.  With one checkpoint, each input file is written exactly once.
     """
-    where = checkpoint or scratch_path(stream.sparkSession, "stream")
-    writer = work(stream).writeStream.format(fmt).outputMode("append").option("checkpointLocation", where)
+    writer = work(stream).writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start(path)
