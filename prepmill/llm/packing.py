@@ -9,6 +9,7 @@ into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,7 @@ DIMS, BITS = 3, 20
 #: Slots of a document's hashed vector.
 SLOTS = 256
 #: White-space separated words kept by one worker; bounds its memory.
-CACHE_WORDS = 1 << 19
-CACHE_LENGTH = 64
+CACHE_WORDS = 1 << 20
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -82,43 +82,73 @@ class Words:
     """Ids of texts by a tokenizer that never joins characters across white space.
 
     White space only separates words for it, so equal words have equal ids, which are
-    kept.  Texts with control characters that some libraries count as white space are
-    passed whole.
+    kept.  Words that are not known yet go to the tokenizer together, as one text with a
+    mark between words: a character that forms a token of its own and that none of them
+    has.  Texts with control characters that some libraries count as white space, and
+    words with the mark, are passed whole.
     """
 
+    MARK = "\x01"
+
     def __init__(self, file: str, end: int, separable: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end = np.array([end], np.uint32).tobytes()
-        self.separable = separable
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.end = np.array([end], self.kind).tobytes()
+        mark = self._ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.separable = separable and self.mark is not None
+        self.lowers = self._ids("A").tolist() == self._ids("a").tolist()
         self.known: dict[str, bytes] = {}
-        self.odd = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.odd = re.compile("[\x01\x1c-\x1f]")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without the mark."""
+        ids = self._ids(f" {self.MARK} ".join(words))
+        cuts = np.flatnonzero(ids == self.mark)
+        if len(cuts) != len(words) - 1:  # a word spells the mark's token in another way
+            return [self._ids(w).tobytes() for w in words]
+        data, size = ids.tobytes(), ids.itemsize
+        starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A word as letters and the punctuation after them, which are tokens of their own."""
+        stem = word.rstrip(".,!?;:")
+        if not stem.isalpha():
+            return word, ""
+        return (stem.lower() if self.lowers and stem.isascii() else stem), word[len(stem):]
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        parts = {w: self._parts(w) for w in words}
+        new = list({p for pair in parts.values() for p in pair if p and p not in known})
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            known.update(zip(some, self._words(some), strict=True))
+        for word, (stem, tail) in parts.items():
+            known[word] = known[stem] + known[tail] if tail else known[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if not self.separable or len(t.translate(self.odd)) < len(t)]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
-            out[k] = ids + self.end
-        skip = set(whole)
-        for k, text in enumerate(texts):
-            if k in skip:
-                continue
-            words = text.split()
-            try:
-                out[k] = b"".join([known[w] for w in words]) + self.end
-            except KeyError:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                new = {w for w in words if w not in known}
-                fresh = dict(zip(new, self._ids(list(new)), strict=True))
-                out[k] = b"".join([known[w] if w in known else fresh[w] for w in words]) + self.end
-                known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_LENGTH)
+        known, out = self.known, []
+        split = [t.split() if self.separable and not self.odd.search(t) else None for t in texts]
+        words = {w for words in split if words for w in words}
+        new = {w for w in words if w not in known}
+        if len(known) + 2 * len(new) > CACHE_WORDS:
+            known.clear()
+            new = words
+        self._learn(new)
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self._ids(text).tobytes() + self.end)
+            else:
+                out.append(b"".join([known[w] for w in words]) + self.end)
         return out
 
 
@@ -148,7 +178,7 @@ def _words(shared, end: int) -> Words:
 
 
 def tokenise(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, curve (Hilbert key), tokens (count with the end id), ids (little-endian 32-bit, compressed)."""
+    """Per row: id, curve (Hilbert key), tokens (count with the end id), ids (compressed, in 2 or 4 bytes each)."""
     spark = docs.sparkSession
     for_python(spark)
     with open(path, encoding="utf-8") as f:
@@ -160,7 +190,7 @@ def tokenise(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", t
         words = _words(shared, end)
         for batch in batches:
             ids = words.encode(batch.column(1).to_pylist())
-            arrays = [np.frombuffer(x, np.uint32) for x in ids]
+            arrays = [np.frombuffer(x, words.kind) for x in ids]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(hilbert_key(document_cells(arrays))),
                 pa.array([len(x) for x in arrays], pa.int64()),
@@ -215,36 +245,38 @@ def pack(
     last ``total % size`` tokens is full, and these are powers of two, so nothing is padded.
     """
     spark = docs.sparkSession
-    # The rank of copies on the curve is spread by id, so no point of it is hot.
-    coded = tokenise(docs, path, end, id_col, text_col)
-    ordered = coded.repartitionByRange("curve", "id").sortWithinPartitions("curve", "id")
-    kinds = "id bigint, curve bigint, tokens bigint, ids binary"
+    # Token ids are written once; only keys and counts are sorted along the curve.
+    coded = materialise(
+        tokenise(docs, path, end, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens"
+    )
+    keys = ["curve", "id", "row"]
+    ordered = coded.select("row", "id", "tokens", "curve").repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialise(
-        ordered.mapInArrow(_with_running_total, f"{kinds}, before bigint").withColumn("part", F.spark_partition_id()),
-        "packed",
+        ordered.mapInArrow(_with_running_total, "row bigint, id bigint, tokens bigint, curve bigint, before bigint")
+        .select("row", "tokens", "before", F.spark_partition_id().alias("part")),
+        "order",
     )
     # One row per partition, whatever the data; their totals give every partition's start.
     sums = placed.groupBy("part").agg(F.sum("tokens").alias("n"))
     starts = sums.select("part", (F.sum("n").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("shift"))
     total = placed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-    for_python(spark)
+    firsts = placed.join(F.broadcast(starts), "part").select("row", (F.col("before") + F.col("shift")).alias("first"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve"]
+        kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
         for batch in batches:
             rows: list[tuple] = []
             for doc, curve, tokens, packed, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = zlib.decompress(packed)
+                data = zlib.decompress(packed)
+                ids = np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32).astype(np.uint32).tobytes()
                 for start, length, sequence, offset in cut(first, tokens, total, size):
                     rows.append((doc, start, length, ids[4 * start : 4 * (start + length)], tokens, sequence, offset, curve))
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    out = placed.join(F.broadcast(starts), "part").select(
-        "id", "curve", "tokens", "ids", (F.col("before") + F.col("shift")).alias("first")
-    ).mapInArrow(each, (
+    out = coded.join(firsts, "row").select("id", "curve", "tokens", "ids", "first").mapInArrow(each, (
         "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, curve bigint"
     ))
     return out.withColumnRenamed("id", id_col)
