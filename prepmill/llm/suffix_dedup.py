@@ -32,18 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import scratch_path
+from ..session import drop_at_exit, scratch_path
 from .common import for_python, materialise, named, text_of
 from .shingles import mix, powers
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a block, of names in a range, and of text hashed at a time.
-BLOCK_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+RANGE_BYTES = 8 << 20
 #: The last round has this many times the ranges: it may send several windows for an anchor.
-LAST_RANGES = 1
-PIECE = 1 << 20
+LAST_RANGES = 4
+PIECE = 1 << 17
 #: Buckets of the table of blocks at most; a bucket may hold many blocks.
 MAX_BUCKETS = 20_000
 #: Stands for a null id: larger than any other, so it is never an earlier document.
@@ -107,7 +107,7 @@ class Block:
     """Intervals of windows that share an anchor, for the documents of a block.
 
     Arrays by interval: doc (place in the block), first and last window (offsets within
-    the document), name (of the anchor, 48 bits), around (of the bytes of all windows).
+    the document), name (of the anchor, 48 bits) and the anchor's offset from the first.
     """
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, text: bytes, length: int, gram: int = GRAM):
@@ -117,7 +117,7 @@ class Block:
         parts = [self._intervals(*p) for p in self._pieces()]
         join = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
         self.doc, self.first, self.last = join(0), join(1), join(2)
-        self.name, self.around = join(3).astype(np.uint64), join(4).astype(np.uint64)
+        self.name, self.anchor = join(3).astype(np.uint64), join(4)
 
     def _pieces(self) -> Iterator[tuple[int, int, int]]:
         """(begin, end, first document) of stretches of text that are hashed together."""
@@ -152,17 +152,34 @@ class Block:
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
         first, last = at[new], at[np.append(new[1:], len(at)) - 1]
         doc, anchor = doc[new], anchor[new]
-        around = self._spell(text, first, last + length, (anchor - first).astype(np.uint64))
         offset = begin - self.starts[doc]
-        return doc, first + offset, last + offset, names[anchor] >> np.uint64(16), around
-
-    def _spell(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """Names of strings text[begin:end]: a polynomial of their bytes, length and salt."""
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-            (text.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(text))
-        )])
-        value = (total[end] - total[begin]) * powers(_INVERSE, len(text) + 1)[begin]
-        return mix(mix(value) + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + salt)
+        return doc, first + offset, last + offset, names[anchor] >> np.uint64(16), anchor - first
+
+    def _spell(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Names of strings text[begin:end] of less than PIECE bytes, given in order of ``begin``.
+
+        A string's name is the polynomial of its bytes, from running sums over stretches
+        of text, and its length.
+        """
+        out = np.zeros(len(begin), np.uint64)
+        done = 0
+        while done < len(begin):
+            base = int(begin[done])
+            text = self.text[base : base + 2 * PIECE]
+            stop = int(np.searchsorted(begin, base + PIECE))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
+                (text.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(text))
+            )])
+            at = begin[done:stop] - base
+            out[done:stop] = (total[end[done:stop] - base] - total[at]) * powers(_INVERSE, PIECE)[at]
+            done = stop
+        return mix(mix(out) + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+    def around(self, chosen: np.ndarray) -> np.ndarray:
+        """Names of all that the windows of chosen intervals cover, and of the anchor's place in it."""
+        begin = self.starts[self.doc[chosen]] + self.first[chosen]
+        name = self._spell(begin, begin + (self.last - self.first)[chosen] + self.length)
+        return mix(name + self.anchor[chosen].astype(np.uint64))
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Single windows of chosen intervals: (interval, offset in document, anchor's name, own name)."""
@@ -170,14 +187,7 @@ class Block:
         interval = np.repeat(chosen, counts)
         at = np.arange(len(interval)) - np.repeat(np.cumsum(counts) - counts, counts) + self.first[interval]
         begin = self.starts[self.doc[interval]] + at
-        out = np.zeros(len(at), np.uint64)
-        for start in range(0, len(at), PIECE):  # short strings: hashed letter by letter
-            here = begin[start : start + PIECE]
-            value = np.zeros(len(here), np.uint64)
-            for k in range(self.length):
-                value = value * np.uint64(_BASE) + self.text[here + k].astype(np.uint64) + np.uint64(1)
-            out[start : start + PIECE] = mix(value)
-        return interval, at, self.name[interval], out
+        return interval, at, self.name[interval], self._spell(begin, begin + self.length)
 
 
 def _range_cuts(names: np.ndarray, ranges: int) -> np.ndarray:
@@ -261,21 +271,20 @@ class _State:
     def first(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor names, and whether two documents of the block share them."""
         b = self.block
-        names, inverse = np.unique(b.name, return_inverse=True)
-        low = np.full(len(names), NO_ID)
-        high = np.full(len(names), -NO_ID)
-        np.minimum.at(low, inverse, self.id)
-        np.maximum.at(high, inverse, self.id)
-        self.inverse = inverse
-        return names, low < high
+        order = np.lexsort((self.id, b.name))
+        name, doc = b.name[order], self.id[order]
+        new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        return name[at], doc[at] < doc[np.append(at[1:], len(doc)) - 1] if len(at) else np.zeros(0, bool)
 
     def second(self) -> tuple[np.ndarray, ...]:
         """Distinct (anchor, surroundings) of anchors that other documents share."""
-        self.first()
-        shared = self.replies.bits(1)
-        self.open = np.flatnonzero(shared[self.inverse]) if len(shared) else np.zeros(0, np.int64)
         b = self.block
-        *keys, self.inverse2 = _least_by(self.id[self.open], b.name[self.open], b.around[self.open])
+        shared = self.replies.bits(1)
+        found = np.unique(b.name)[shared] if len(shared) else np.zeros(0, np.uint64)
+        place = np.minimum(np.searchsorted(found, b.name), max(len(found) - 1, 0))
+        self.open = np.flatnonzero(found[place] == b.name) if len(found) else np.zeros(0, np.int64)
+        *keys, self.inverse2 = _least_by(self.id[self.open], b.name[self.open], b.around(self.open))
         return tuple(keys)
 
     def third(self) -> tuple[np.ndarray, ...]:
@@ -298,13 +307,16 @@ class _State:
         doc = np.concatenate([b.doc[self.settled], b.doc[self.interval[hit]]])
         begin = np.concatenate([b.first[self.settled], self.at[hit]])
         end = np.concatenate([b.last[self.settled], self.at[hit]]) + n
+        # On one line, with a gap of one between documents, spans are unions of intervals.
+        shift = b.starts + np.arange(len(b.starts))
+        order = np.argsort(shift[doc] + begin, kind="stable")
+        doc, begin, end = doc[order], begin[order], end[order]
+        reach = np.maximum.accumulate(shift[doc] + end) if len(doc) else end
+        new = np.flatnonzero(np.concatenate([[True], (shift[doc] + begin)[1:] > reach[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        stop = reach[np.append(new[1:], len(doc)) - 1] - shift[doc[new]] if len(new) else np.zeros(0, np.int64)
         spans: list[list[tuple[int, int]]] = [[] for _ in b.ids]
-        for k in np.lexsort((end, begin, doc)):
-            mine, x, y = spans[doc[k]], int(begin[k]), int(end[k])
-            if mine and x <= mine[-1][1]:
-                mine[-1] = (mine[-1][0], max(mine[-1][1], y))
-            else:
-                mine.append((x, y))
+        for d, x, y in zip(doc[new].tolist(), begin[new].tolist(), stop.tolist(), strict=True):
+            spans[d].append((x, y))
         return spans
 
 
@@ -415,11 +427,12 @@ def repeated_passages(
     ranges = max(1, int(total * share * 8 // range_bytes) + 1)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, total // block_bytes + 1))
     # The table is bucketed by block and each task writes its own, so no text is shuffled.
-    name = f"blocks_{uuid.uuid4().hex}"
+    name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     pack = lambda batches: _pack_blocks(batches, block_bytes)
     source.mapInArrow(pack, "block bigint, ids binary, lengths binary, text binary, rest binary").write.bucketBy(
         int(buckets), "block"
-    ).option("path", scratch_path(spark, "blocks")).saveAsTable(name)
+    ).option("path", path).saveAsTable(name)
+    drop_at_exit(spark, path)
     blocks = spark.table(name).groupBy("block")
 
     def ask(rnd: int, replies: DataFrame | None) -> DataFrame:
