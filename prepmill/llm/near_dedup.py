@@ -39,7 +39,7 @@ CHUNK = 64
 #: Members of a large part that one task compares with its askers.
 SUB = 256
 #: Size classes grow by this ratio.
-STEP = 1.02
+STEP = 1.1
 
 
 def bag_minhash(
