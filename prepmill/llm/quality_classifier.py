@@ -12,6 +12,7 @@ computed without the document itself.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -46,34 +47,34 @@ def features(text: Column) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}\p{N}\s]+)"), F.lit(1))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
-    def shapes(words: Column, distinct: Column) -> Column:
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body(value)`` with the value computed once."""
+        return F.transform(F.array(value), body)[0]
+
+    def shapes(words: Column, distinct: Column, rows: Column) -> Column:
         n, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.char_length(text), F.lit(1))
         bins = {
             "capitals": F.least(F.floor(20 * F.regexp_count(text, F.lit(r"\p{Lu}")) / chars), F.lit(9)),
             "symbols": F.least(F.floor(40 * F.regexp_count(text, F.lit(r"[#*$%&|<>!]")) / chars), F.lit(9)),
             "repeats": F.floor(10 * (F.size(words) - F.size(distinct)) / n),
-            "lines": F.floor(10 * (F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1))),
+            "lines": F.floor(10 * (F.size(rows) - F.size(F.array_distinct(rows))) / F.greatest(F.size(rows), F.lit(1))),
         }
-        marks = [F.concat(F.lit(f"<{k} "), v.cast("string"), F.lit(">")) for k, v in bins.items()]
-        return F.concat(distinct, F.array(*marks), *[repeated(stems(words), k) for k in (1, 2)])
+        return F.array(*[F.concat(F.lit(f"<{k} "), v.cast("string"), F.lit(">")) for k, v in bins.items()])
 
     def stems(words: Column) -> Column:
         return F.sort_array(F.transform(
             F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.substring(w, 1, STEM)
         ))
 
-    def repeated(stem: Column, k: int) -> Column:
+    def repeated(s: Column, k: int) -> Column:
         """Stems that the k-th neighbour in order shares, marked by k."""
-        same = lambda s: F.filter(
-            F.zip_with(s, F.slice(s, k + 1, F.size(s)), lambda a, b: F.when(a == b, F.concat(a, F.lit(f"~{k + 1}")))),
-            lambda x: x.isNotNull(),
-        )
-        return F.array_distinct(F.transform(F.array(stem), same)[0])
-
-    # The one-element arrays bind a result to a name, so that it is computed once.
-    return F.transform(F.array(found), lambda w: F.transform(
-        F.array(F.array_distinct(w)), lambda d: shapes(w, d)
-    )[0])[0]
+        same = F.zip_with(s, F.slice(s, k + 1, F.size(s)), lambda a, b: F.when(a == b, F.concat(a, F.lit(f"~{k + 1}"))))
+        return F.array_distinct(F.filter(same, lambda x: x.isNotNull()))
+
+    return bound(found, lambda w: F.concat(
+        bound(F.array_distinct(w), lambda d: F.concat(d, bound(lines, lambda x: shapes(w, d, x)))),
+        bound(stems(w), lambda s: F.concat(repeated(s, 1), repeated(s, 2))),
+    ))
 
 
 @dataclass
