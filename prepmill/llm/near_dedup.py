@@ -36,7 +36,8 @@ BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
 #: Members of one task that are compared with the same text.
 CHUNK = 64
-#: Members of a large part that one task compares with its askers.
+#: Askers and members of a large part that one task compares.
+ASKERS = 256
 SUB = 256
 #: Size classes grow by this ratio.
 STEP = 1.1
@@ -160,12 +161,12 @@ def meet(asks: DataFrame, rows: DataFrame, keys: list[str], docs: DataFrame, thr
     """Links (a, b) of different classes between some members of each part and all its members.
 
     ``asks`` and ``rows`` are (keys, id, label) with the part's size n.  A task compares up
-    to CHUNK askers with up to SUB members at once through their sorted shingles, so no
+    to ASKERS askers with up to SUB members at once through their sorted shingles, so no
     row is made for a pair that isn't linked; of an asker's links to a class, one is kept.
     """
     for_python(docs.sparkSession)
     count = materialise(asks.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked"), F.max("n").alias("n")), "asked", True)
-    chunks, subs = (F.ceil(F.col("asked") / CHUNK).cast("int"), F.ceil(F.col("n") / SUB).cast("int"))
+    chunks, subs = (F.ceil(F.col("asked") / ASKERS).cast("int"), F.ceil(F.col("n") / SUB).cast("int"))
     count = count.select(*keys, chunks.alias("chunks"), subs.alias("subs"), "n")
 
     def placed(side: DataFrame, own: str, other: str, seed: int) -> DataFrame:
