@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,10 +58,23 @@ def _kinds_of_files(spark: SparkSession, path: str) -> dict[tuple[bool, bool], l
     )
     kinds: dict[tuple[bool, bool], list[str]] = {}
     for row in found.collect():  # one row per file, as the driver's own file listing has
-        kinds.setdefault((row["utf8"], row["breaks"]), []).append(row["file"])
+        kinds.setdefault((row["utf8"], row["breaks"]), []).append(unquote(row["file"]))
     return kinds
 
 
+def _base(spark: SparkSession, path: str) -> str | None:
+    """The folder below which folder names are partition columns; Spark takes no more than one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [s.getPath().toString() for s in system.globStatus(where) or [] if s.isDirectory()]
+    return folders[0] if len(folders) == 1 else None
+
+
+def _partition_fields(spark: SparkSession, path: str) -> list[T.StructField]:
+    """The columns that the folder names below ``path`` give, with the types that all of them together have."""
+    return spark.read.text(path).schema.fields[1:]
+
+
 def _common_schema(schemas: list[T.StructType]) -> T.StructType:
     """The schema that every file group can be read with."""
     ranks = {"int": 0, "bigint": 1, "double": 2}
@@ -78,6 +92,16 @@ def _common_schema(schemas: list[T.StructType]) -> T.StructType:
     return T.StructType(fields)
 
 
+def _as_struct(spark: SparkSession, schema) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+
+
+def _with_folders(schema: T.StructType, folders: list[T.StructField]) -> T.StructType:
+    """The schema with the partition columns that it does not name itself."""
+    known = {f.name.lower() for f in schema.fields}
+    return T.StructType([*schema.fields, *[f for f in folders if f.name.lower() not in known]])
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -121,6 +145,49 @@ def read_csv(
     return _finish(reduce(DataFrame.unionByName, parts), row_id, nan_as_null)
 
 
+def _json_files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """Files by (one JSON value spans lines or is an array), from one aggregate over all lines.
+
+    Where one value spans lines, a line that ends with a bracket is never followed by one
+    that starts with one, but for a comma between them.  So of n lines at most n + 1 starts
+    and ends are brackets, and a file with more holds a record on each line, even if some
+    of its lines are broken.
+    """
+    line = F.trim("value", F.lit(" \t\r\ufeff"))
+    lines = spark.read.text(path).select(line.alias("line"), F.col("_metadata.file_path").alias("file")).where("line <> ''")
+    starts = lambda *marks: reduce(lambda x, y: x | y, [F.col("line").startswith(m) for m in marks])
+    ends = lambda *marks: reduce(lambda x, y: x | y, [F.col("line").endswith(m) for m in marks])
+    opens, closes = starts("{", "["), ends("}", "]")
+    found = lines.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(opens.cast("long") + closes.cast("long")).alias("brackets"),
+        F.min(starts("{") & ends("}")).alias("records"),
+    )
+    kinds: dict[bool, list[str]] = {}
+    for row in found.collect():  # one row per file, as the driver's own file listing has
+        kinds.setdefault(not (row["records"] or row["brackets"] > row["n"] + 1), []).append(unquote(row["file"]))
+    return kinds
+
+
+def _widened(a: T.DataType, b: T.DataType, keep: bool = False) -> T.DataType:
+    """The type that Spark infers for JSON values of both types; with ``keep`` only fields missing in ``a`` are added."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            fields[f.name] = _widened(fields[f.name], f.dataType, keep) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(n, fields[n]) for n in sorted(fields)])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_widened(a.elementType, b.elementType, keep))
+    if keep or a == b:
+        return a
+    kinds = [T.DecimalType(20, 0) if isinstance(k, T.LongType) else k for k in (a, b)]
+    if all(isinstance(k, T.DecimalType) for k in kinds):
+        scale = max(k.scale for k in kinds)
+        digits = max(k.precision - k.scale for k in kinds) + scale
+        return T.DecimalType(digits, scale) if digits <= 38 else T.DoubleType()
+    numbers = (T.DecimalType, T.DoubleType)
+    return T.DoubleType() if all(isinstance(k, numbers) for k in kinds) else T.StringType()
+
+
 def read_json(
     spark: SparkSession,
     path: str,
@@ -131,16 +198,30 @@ def read_json(
 ) -> DataFrame:
     """JSON records: lines, which are split, or arrays, one task per file.
 
-    Unless ``multi_line`` says so, lines are assumed if the first one starts a record and
-    ends it; arrays start with a bracket.
+    Unless ``multi_line`` says so, this is decided for each file from all its lines, in
+    one scan, and the two kinds of files are read apart.
     """
-    if multi_line is None:
-        head = _header(spark, path).strip()
-        multi_line = not (head.startswith(b"{") and head.endswith(b"}"))
-    reader = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return _finish(reader.json(path), row_id, nan_as_null)
+    kinds = _json_files(spark, path) if multi_line is None else {multi_line: []}
+
+    def read(many: bool, files: list[str] | None = None, given=None, base: str | None = None, **options) -> DataFrame:
+        reader = spark.read.options(multiLine=many, **options)
+        reader = reader.schema(given) if given is not None else reader
+        reader = reader.option("basePath", base) if base else reader
+        return reader.json(files or path)
+
+    if len(kinds) <= 1:  # the path itself keeps partition columns
+        return _finish(read(next(iter(kinds), False), given=schema), row_id, nan_as_null)
+    base, folders = _base(spark, path), _partition_fields(spark, path)
+    if schema is None:
+        # Fields without a value in one kind of files take their type from the other.
+        filled = reduce(_widened, [read(m, f, base=base, dropFieldIfAllNull=True).schema for m, f in kinds.items()])
+        whole = reduce(lambda a, b: _widened(a, b, True), [read(m, f, base=base).schema for m, f in kinds.items()], filled)
+        names = {f.name for f in folders}
+        given = T.StructType([f for f in whole.fields if f.name not in names])
+    else:
+        given = _as_struct(spark, schema)
+    parts = [read(many, files, _with_folders(given, folders), base) for many, files in kinds.items()]
+    return _finish(reduce(DataFrame.unionByName, parts), row_id, nan_as_null)
 
 
 def read_parquet(

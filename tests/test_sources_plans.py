@@ -69,6 +69,36 @@ def test_json_array_and_lines(spark, tmp_path):
     assert sources.read_json(spark, path).count() == 2
 
 
+def test_json_lines_are_judged_by_all_their_bytes(spark, tmp_path):
+    """A first record above 1 MiB, a blank line, a byte order mark and a broken line lose no other row."""
+    long = '{"a": 0, "b": "' + "x" * (1 << 21) + '"}\n'
+    lines = "".join(f'{{"a": {k}, "b": "y"}}\n' for k in range(1, 4))
+    heads = {"long": long, "blank": '\n{"a": 0}\n', "bom": '\ufeff{"a": 0}\n', "broken": '{"a": 0, "b"\n'}
+    for name, head in heads.items():
+        path = put(tmp_path, f"{name}.json", (head + lines).encode())
+        for schema in (None, "a bigint, b string"):
+            back = sources.read_json(spark, path, schema=schema)
+            assert back.where("a > 0").count() == 3 and back.count() == 4, name
+
+
+def test_json_kinds_in_one_folder(spark, tmp_path):
+    """Lines, a pretty-printed array and one record over lines, in partition folders."""
+    files = {
+        "k=1/a.json": '{"a": 1, "b": null, "c": null}\n{"a": 2, "b": null, "c": null}\n',
+        "k=1/b.json": '[\n  {"a": 2.5, "b": {"x": 1}},\n  {"a": 4, "b": null}\n]\n',
+        "k=b c/c.json": '{\n  "a": 5,\n  "d": [\n{"y": 1}\n]\n}\n',
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        put(tmp_path, name, text.encode())
+    back = sources.read_json(spark, str(tmp_path))
+    assert dict(back.dtypes) == {"a": "double", "b": "struct<x:bigint>", "c": "string", "d": "array<struct<y:bigint>>", "k": "string"}
+    assert sorted(tuple(r) for r in back.select("a", "k", "b.x").fillna(-1).collect()) == [
+        (1.0, "1", -1), (2.0, "1", -1), (2.5, "1", 1), (4.0, "1", -1), (5.0, "b c", -1)]
+    given = sources.read_json(spark, str(tmp_path), schema="a double")
+    assert sorted(map(tuple, given.collect())) == [(1.0, "1"), (2.0, "1"), (2.5, "1"), (4.0, "1"), (5.0, "b c")]
+
+
 def test_refused_inputs(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         sources.read_table(spark, "/nowhere/table.xyz")
