@@ -132,16 +132,23 @@ def read_csv(
         if len(groups) <= 1:  # the path itself keeps partition columns
             groups = {key: None for key in groups} or {("UTF-8", False): None}
 
-    def read(key: tuple[str, bool], files: list[str] | None, given) -> DataFrame:
+    def read(key: tuple[str, bool], files: list[str] | None, given, base: str | None = None) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", key[0])
         reader = reader.option("quote", '"').option("escape", '"').option("multiLine", key[1])
         reader = reader.schema(given) if given is not None else reader.option("inferSchema", True)
+        reader = reader.option("basePath", base) if base else reader
         return reader.csv(files or path)
 
-    parts = [read(key, files, schema) for key, files in groups.items()]
-    if len(parts) > 1 and schema is None and len({p.schema.simpleString() for p in parts}) > 1:
-        common = _common_schema([p.schema for p in parts])
-        parts = [read(key, files, common) for key, files in groups.items()]
+    if len(groups) == 1 and None in groups.values():
+        return _finish(read(next(iter(groups)), None, schema), row_id, nan_as_null)
+    base, folders = _base(spark, path), _partition_fields(spark, path)
+    given = _with_folders(_as_struct(spark, schema), folders) if schema is not None else None
+    parts = [read(key, files, given, base) for key, files in groups.items()]
+    if schema is None and (folders or len({p.schema.simpleString() for p in parts}) > 1):
+        names = {f.name for f in folders}
+        own = [T.StructType([f for f in p.schema.fields if f.name not in names]) for p in parts]
+        given = _with_folders(_common_schema(own), folders)
+        parts = [read(key, files, given, base) for key, files in groups.items()]
     return _finish(reduce(DataFrame.unionByName, parts), row_id, nan_as_null)
 
 

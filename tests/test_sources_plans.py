@@ -54,6 +54,20 @@ def test_csv_is_judged_by_all_its_bytes(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [(1.0, "one"), (2.5, "é"), (3.0, "ü"), (4.0, "two\nlines")]
 
 
+def test_csv_kinds_in_partition_folders(spark, tmp_path):
+    """Files of different kinds keep the partition columns that one kind has."""
+    files = {"k=01/a.csv": b"t\none\n", "k=01/b.csv": "t\né\n".encode("latin-1"), "k=b c/c.csv": b't\n"two\nlines"\n'}
+    for name, data in files.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        put(tmp_path / "in", name, data)
+    want = [("one", "01"), ("two\nlines", "b c"), ("é", "01")]
+    for schema in (None, "t string", "t string, k string"):
+        back = sources.read_csv(spark, str(tmp_path / "in"), schema=schema)
+        assert sorted(map(tuple, back.collect())) == want and back.columns == ["t", "k"]
+    # Folders named by a pattern have no partition columns, as for Spark.
+    assert sources.read_csv(spark, str(tmp_path / "in" / "k=*")).columns == ["t"]
+
+
 def test_csv_nan_is_missing(spark, tmp_path):
     path = put(tmp_path, "n.csv", b"k,v\n1,NaN\n2,3.5\n")
     df = sources.read_csv(spark, path, schema="k int, v double")
