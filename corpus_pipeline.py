@@ -45,10 +45,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates.  An id stays if any of its rows does; rows without id stay."""
-    found = materialise(near_dedup.near_dedup(docs), "near")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return _without(docs, ids.filter(~F.col("kept")).select("doc_id"), ["doc_id"])
+    """One document of each class of near duplicates, also where ids repeat with other texts or are missing."""
+    found = materialise(near_dedup.near_classes(docs), "near")
+    marked = docs.withColumn("__key", near_dedup.key_of("text"))
+    gone = found.filter(~F.col("kept")).select("doc_id", "__key").distinct()
+    return _without(marked, gone, ["doc_id", "__key"]).select(docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

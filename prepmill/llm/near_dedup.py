@@ -90,7 +90,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, bag (128-bit digest of the whole bag), size (its weight) and band keys, for (id, text)."""
+    """id, key, bag (128-bit digest of the whole bag), size (its weight) and band keys, for (id, text, key)."""
     for_python(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +106,39 @@ def sign(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = RO
             )
             keys = band_keys(signature, bands, rows)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0),
+                batch.column(0), batch.column(2),
                 pa.array([hashlib.blake2b(b.tobytes(), digest_size=16).digest() for b in found], pa.binary()),
                 pa.array([len(b) for b in found], pa.int64()),
                 pa.array([list(k) if n else [] for k, n in zip(keys, lengths, strict=True)], pa.list_(pa.int64())),
-            ], ["id", "bag", "size", "bands"])
+            ], ["id", "key", "bag", "size", "bands"])
 
-    return docs.mapInArrow(each, "id bigint, bag binary, size bigint, bands array<bigint>")
+    return docs.mapInArrow(each, "id bigint, key binary, bag binary, size bigint, bands array<bigint>")
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the wanted ids: by broadcast if they are counted to be few, else by a shuffle."""
-    few = wanted.count() <= SMALL_GROUPS
-    return docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+def key_of(text_col: str) -> Column:
+    """128-bit digest that tells the texts of one id (or of none) apart."""
+    return F.unhex(F.md5(text_of(text_col).cast("binary")))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+class Texts:
+    """Texts of bags by the bag's number, as (id, text); a bag's text is that of its first row."""
+
+    def __init__(self, source: DataFrame, reps: DataFrame, once: bool):
+        self.source, self.firsts, self.once = source, reps.select(F.col("id").alias("node"), "row", "key"), once
+        self.sparkSession = source.sparkSession
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The texts of the wanted bags: by broadcast if they are counted to be few, else by a shuffle."""
+        firsts = materialise(
+            wanted.select(F.col("id").alias("node")).join(self.firsts, "node").withColumnRenamed("key", "row_key"), "firsts", True
+        )
+        few = firsts.count() <= SMALL_GROUPS
+        same = F.col("id").eqNullSafe(F.col("row")) & (F.col("key") == F.col("row_key"))
+        found = self.source.join(F.broadcast(firsts) if few else firsts, same).select(F.col("node").alias("id"), "text")
+        return found if self.once else found.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def verify(pairs: DataFrame, docs: Texts, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """Pairs (a, b) whose weighted Jaccard similarity on whole texts is at least the threshold.
 
     A text that meets many others is sent once for every CHUNK of them.
@@ -133,7 +150,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, word
     )
     spread = materialise(spread, "pairs", True)
     wanted = materialise(spread.select(F.col("a").alias("id")).union(spread.select("b")).distinct(), "wanted", True)
-    texts = _texts_of(docs, wanted)
+    texts = docs.of(wanted)
     right = spread.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     left = spread.select("a", "part").distinct().join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a"
@@ -157,7 +174,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, word
     return left.join(right, ["a", "part"]).select("a", "ta", "b", "tb").mapInArrow(each, "a bigint, b bigint")
 
 
-def meet(asks: DataFrame, rows: DataFrame, keys: list[str], docs: DataFrame, threshold: float, words: int) -> DataFrame:
+def meet(asks: DataFrame, rows: DataFrame, keys: list[str], docs: Texts, threshold: float, words: int) -> DataFrame:
     """Links (a, b) of different classes between some members of each part and all its members.
 
     ``asks`` and ``rows`` are (keys, id, label) with the part's size n.  A task compares up
@@ -181,7 +198,7 @@ def meet(asks: DataFrame, rows: DataFrame, keys: list[str], docs: DataFrame, thr
     left = materialise(placed(asks, "chunks", "subs", 1), "askers", True)
     right = materialise(placed(rows, "subs", "chunks", 2), "asked", True)
     wanted = materialise(left.select("id").union(right.select("id")).distinct(), "wanted", True)
-    texts = _texts_of(docs, wanted)
+    texts = docs.of(wanted)
     share = threshold / (1 + threshold)
 
     def each(askers: pa.Table, members: pa.Table) -> pa.Table:
@@ -265,7 +282,7 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], threshold: float)
     return met.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _unshared(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _unshared(ids: DataFrame, docs: Texts, words: int) -> DataFrame:
     """(id, own): weight of a text's shingles that no other of these texts has."""
     for_python(docs.sparkSession)
 
@@ -280,14 +297,14 @@ def _unshared(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.concatenate([s[1] for s in part])),
                 ], ["id", "key", "weight"])
 
-    rows = _texts_of(docs, ids).select("id", "text").mapInArrow(each, "id bigint, key bigint, weight bigint")
+    rows = docs.of(ids).select("id", "text").mapInArrow(each, "id bigint, key bigint, weight bigint")
     single = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")
     ).filter("n = 1")
     return single.groupBy("id").agg(F.sum("weight").alias("own"))
 
 
-def _refine(rows: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
+def _refine(rows: DataFrame, docs: Texts, threshold: float, words: int) -> DataFrame:
     """Split large open buckets into parts by pairs of size classes; no link is lost.
 
     Two bags can only link if what others may share of each reaches the needed overlap:
@@ -309,7 +326,7 @@ def _refine(rows: DataFrame, docs: DataFrame, threshold: float, words: int) -> D
     ).dropDuplicates(["bucket", "c1", "c2", "id"])
 
 
-def _settle(members: DataFrame, docs: DataFrame, links: DataFrame, threshold: float, words: int) -> DataFrame:
+def _settle(members: DataFrame, docs: Texts, links: DataFrame, threshold: float, words: int) -> DataFrame:
     """Labels (node, label) of classes, from the first links and the members of buckets.
 
     Small open buckets compare all pairs of different classes.  Large ones are refined;
@@ -341,42 +358,64 @@ def _settle(members: DataFrame, docs: DataFrame, links: DataFrame, threshold: fl
         parts = materialise(rows.filter(~chance).select(*keys, "id", "size"), "parts", True)
 
 
-def near_dedup(
+def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """One row per input row: id, class_id, class_size, bag_size, kept.
-
-    Texts belong to one class if a chain of links at or above the threshold joins them;
-    class_id is the smallest id of the class, and that document is kept.  A text of
-    fewer than ``words`` words is one shingle; texts without words (null, empty, blank)
-    have equal, empty bags and form one class.  Texts with equal bags are one class
-    without comparison.  Rows that repeat an id are documents of their own in class_size,
-    but links join ids: an id links if any of its texts does.  A null id is compared by
-    equal bags only, and is kept only if no row of its class has an id.  Ids are 64-bit integers.  Other columns are ignored.
-    """
-    source = docs.select(named(docs, id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+    """The result of ``near_dedup`` with the text's digest (``key_of``) in column ``__key``."""
+    source = docs.select(
+        named(docs, id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), key_of(text_col).alias("key")
+    )
     signed = materialise(sign(source, words, bands, rows), "signed")
     total = signed.count()
-    reps = materialise(signed.groupBy("bag").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
-        F.first("bands").alias("bands"),
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    grouped = signed.groupBy("bag").agg(
+        first, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"),
+    )
+    # Bags are numbered as they are written; ids may repeat with other texts, or be missing.
+    reps = materialise(grouped.select(
+        F.monotonically_increasing_id().alias("id"), "bag", F.col("first.id").alias("row"),
+        F.col("first.key").alias("key"), "copies", "size", "bands",
     ), "reps")
-    known = reps.filter("id is not null")
-    members = _members(known)
+    once = signed.groupBy("id", "key").count().filter("count > 1").isEmpty()
+    texts = Texts(source, reps, once)
+    members = _members(reps)
     topped = _with_top(members)
-    first = topped.filter((F.col("id") != F.col("top")) & _can_link(F.col("size"), F.col("top_size"), threshold))
-    pairs = materialise(first.select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "stars", True)
-    texts = source.filter("id is not null")
+    first_pairs = topped.filter((F.col("id") != F.col("top")) & _can_link(F.col("size"), F.col("top_size"), threshold))
+    pairs = materialise(first_pairs.select(F.col("top").alias("a"), F.col("id").alias("b")).distinct(), "stars", True)
     links = materialise(verify(pairs, texts, threshold, words), "links", True)
     labels = _settle(members, texts, links, threshold, words).withColumnRenamed("node", "id")
     classes = materialise(
-        reps.join(labels, "id", "left").select("bag", F.coalesce("label", "id").alias("class_id"), "copies"), "classes"
+        reps.join(labels, "id", "left").select(
+            "bag", F.coalesce("label", "id").alias("label"), "copies", F.col("row").alias("id"), "key"
+        ), "classes"
     )
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = materialise(classes.join(sizes.withColumnRenamed("class_id", "__c"), F.col("class_id").eqNullSafe(F.col("__c"))).drop("__c"), "classes", True)
+    heads = classes.groupBy("label").agg(first, F.sum("copies").alias("class_size"))
+    classes = materialise(classes.join(heads, "label").select(
+        "bag", "copies", F.col("first.id").alias("class_id"), F.col("first.key").alias("class_key"), "class_size"
+    ), "classes", True)
     out = join_groups(signed, classes, ["bag"], "copies", total)
     return out.select(
         F.col("id").alias(id_col), "class_id", "class_size", F.col("size").alias("bag_size"),
-        F.col("class_id").eqNullSafe(F.col("id")).alias("kept"),
+        (F.col("class_id").eqNullSafe(F.col("id")) & (F.col("class_key") == F.col("key"))).alias("kept"),
+        F.col("key").alias("__key"),
     )
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """One row per input row: id, class_id, class_size, bag_size, kept.
+
+    Texts belong to one class if a chain of links at or above the threshold joins them;
+    class_id is the smallest id of the class, and that document is kept.  A text of
+    fewer than ``words`` words is one shingle; texts without words (null, empty, blank)
+    have equal, empty bags and form one class.  Texts with equal bags are one class
+    without comparison.  Links join texts, not ids: rows that repeat an id with other
+    texts are documents of their own.  If a class has several texts of its smallest id,
+    the one of the smallest digest is kept; rows equal in id and text are kept together.
+    Rows without id are compared as all others; their class has a null class_id if none
+    of its rows has an id.  Ids are 64-bit integers.  Other columns are ignored.
+    """
+    return near_classes(docs, id_col, text_col, threshold, words, bands, rows).drop("__key")

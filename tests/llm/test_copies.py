@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from prepmill.llm import near_dedup, suffix_dedup, warc
 from prepmill.llm.components import components
 from prepmill.llm.shingles import bags, counted, mix, word_hashes
@@ -80,6 +81,25 @@ def test_near_odd_tables(spark):
     assert got == [(-1, -1, 1, True), (-1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, 2, 1, True)]
 
 
+def test_near_texts_of_repeated_and_missing_ids(spark, sf):
+    """Links join texts: an id's other text stays in its own class, and texts without id are compared."""
+    rng = random.Random(5)
+    a, b, c = ([f"{x}{rng.randrange(10**6)}" for _ in range(120)] for x in "abc")
+    rows = [
+        (0, " ".join(b)), (1, " ".join(a)), (1, edited(rng, b, 1)), (2, edited(rng, a, 1)),
+        (None, " ".join(c)), (None, edited(rng, c, 1)), (None, edited(rng, a, 1)), (1, "alone"), (1, "alone"), (None, "other"),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, n int")
+    got = near_dedup.near_classes(docs).join(docs.withColumn("__key", near_dedup.key_of("text")).drop("doc_id"), "__key")
+    found = {r["n"]: (r["class_id"], r["class_size"], r["kept"]) for r in got.collect()}
+    assert {n: found[n] for n in (0, 1, 2, 3, 6, 7, 8, 9)} == {
+        0: (0, 2, True), 2: (0, 2, False), 1: (1, 3, True), 3: (1, 3, False), 6: (1, 3, False),
+        7: (1, 2, True), 8: (1, 2, True), 9: (None, 1, True)}
+    assert sorted(found[n] for n in (4, 5)) == [(None, 2, False), (None, 2, True)]
+    left = {r["n"] for r in corpus_pipeline.near_stage(spark, docs, sf).collect()}
+    assert left - {4, 5} == {0, 1, 7, 8, 9} and len(left & {4, 5}) == 1
+
+
 @pytest.mark.parametrize("block,ranges", [(1 << 12, 1 << 12), (6 << 20, 8 << 20)])
 def test_repeated_passages(spark, block, ranges):
     rng = random.Random(9)
