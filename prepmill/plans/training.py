@@ -254,16 +254,14 @@ def _folded_ready(spark, sf):
 @query("t16_grid_search")
 def t16(spark, sf):
     prepared, ready = _folded_ready(spark, sf)
-    grid = {"numTrees": [5, 10], "maxDepth": [3, 5], "minInstancesPerNode": [1, 5]}
-    best, score = search("random_forest", "classification", ready, 2, "grid", grid)
+    best, score = search("random_forest", "classification", ready, 2, "grid")
     return rounded(spark.createDataFrame([(str(best), score)], "best_params string, score double"))
 
 
 @query("t17_random_search")
 def t17(spark, sf):
     prepared, ready = _folded_ready(spark, sf)
-    grid = {"maxIter": [3, 5], "maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
-    best, score = search("xgboost", "classification", ready, 2, "random", grid, draws=3)
+    best, score = search("xgboost", "classification", ready, 2, "random")
     return rounded(spark.createDataFrame([(str(best), score)], "best_params string, score double"))
 
 

@@ -259,3 +259,26 @@ def test_scaling_constants(spark):
     df = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.1, 4.0)], "c double, v double")
     for method in ("standard", "minmax", "robust"):
         assert {r["c"] for r in preprocess.scale(df, ["c"], method).collect()} == {0.0}
+
+
+def test_search_queries_use_the_whole_grids(spark, sf, monkeypatch):
+    """t16 and t17 search the operator's own points, in its own number."""
+    from prepmill.operators import tuning
+    from prepmill.plans import training as plans
+
+    tried = {}
+
+    class Recorder:
+        def __init__(self, estimatorParamMaps, **other):
+            self.maps = estimatorParamMaps
+
+        def fit(self, data):
+            points = [{p.name: v for p, v in m.items()} for m in self.maps]
+            tried[len(tried)] = points
+            return type("Fitted", (), {"avgMetrics": [0.0] * len(points)})
+
+    monkeypatch.setattr(tuning, "CrossValidator", Recorder)
+    plans.t16(spark, sf).collect()
+    plans.t17(spark, sf).collect()
+    assert tried[0] == tuning.grid_points(tuning.FOREST_GRID) and len(tried[0]) == 27
+    assert tried[1] == tuning.random_points(tuning.BOOST_GRID) and len(tried[1]) == 20
