@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_key
+from ..functions.hashing import HASH_BITS, hash_key
 from ..functions.quantiles import quantiles
 from ..functions.roles import col
 from .metrics import classification_metrics, regression_metrics
@@ -61,20 +61,26 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and population deviation of the score drop when one feature is shuffled.
 
-    Rows are put in random order inside hashed blocks and each takes the feature value
-    of the next row.  One shuffle per repeat serves all features; the changed copies
-    are made and scored map-side, and only sums per feature and repeat leave a task.
+    Rows are put in random order and each takes the feature value of the next row, the
+    last one that of the first.  Blocks are ranges of that order, so the result does not
+    depend on ``block_rows``: a block's last row takes the first row of the next block.
+    One shuffle per repeat serves all features; the changed copies are made and scored
+    map-side, and only sums per feature and repeat leave a task.
     """
     rows = _vectors(data, [key, "_label"])
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    bits = max(0, math.ceil(math.log2(max(1, rows.count() / block_rows))))
     shuffled = None
     for r in range(repeats):
-        placed = rows.withColumns({
-            "_block": F.pmod(hash_key(key, f"{seed}:block{r}"), F.lit(blocks)), "_order": hash_key(key, f"{seed}:order{r}"),
-        })
-        ring = Window.partitionBy("_block").orderBy("_order", key)
-        whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        donor = F.coalesce(F.lead("_a").over(ring), F.first("_a").over(whole))
+        placed = rows.withColumn("_order", hash_key(key, f"{seed}:order{r}"))
+        placed = placed.withColumn("_block", F.shiftright("_order", HASH_BITS - bits))
+        heads = placed.groupBy("_block").agg(F.min_by("_a", F.struct("_order", col(key))).alias("_head"))
+        # One row per block of about ``block_rows`` rows.
+        blocks = Window.partitionBy(F.lit(0)).orderBy("_block")
+        whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        after = F.coalesce(F.lead("_head").over(blocks), F.first("_head").over(whole))
+        placed = placed.join(heads.select("_block", after.alias("_next")), "_block")
+        ring = Window.partitionBy("_block").orderBy("_order", col(key))
+        donor = F.coalesce(F.lead("_a").over(ring), F.col("_next"))
         part = placed.select("_label", "_a", donor.alias("_d"), F.lit(r).alias("repeat"))
         shuffled = part if shuffled is None else shuffled.unionByName(part)
     spread = shuffled.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))

@@ -210,6 +210,19 @@ def test_permutation_importance_ignores_noise(two):
         assert got[n]["importance"] == 0 and got[n]["std"] == 0
 
 
+def test_permutation_importance_is_one_ring_for_all_sizes(numbers):
+    """Blocks only divide the work: importances are those of one ring."""
+    _, _, prepared, ready, held = numbers
+    model = models.fit_model("linear", "regression", ready)
+    names = prepared.preprocessor.names
+    one, many = (
+        {r["feature"]: (r["importance"], r["std"]) for r in explain.permutation_importance(
+            model, held, names, "id", 3, block_rows=size).collect()} for size in (50_000, 4))
+    assert one.keys() == many.keys()
+    for n in one:
+        assert many[n] == pytest.approx(one[n], abs=1e-9)
+
+
 def test_importance_tables(spark, two):
     _, _, prepared, ready, held = two
     names = prepared.preprocessor.names
