@@ -68,6 +68,24 @@ def test_csv_kinds_in_partition_folders(spark, tmp_path):
     assert sources.read_csv(spark, str(tmp_path / "in" / "k=*")).columns == ["t"]
 
 
+def test_late_latin1_is_written_by_several_tasks(spark, sf, monkeypatch):
+    from prepmill.plans import sources as plans
+
+    seen = []
+    monkeypatch.setattr(plans, "read_csv", lambda s, path, **o: seen.append(path) or sources.read_csv(s, path, **o))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        back = plans.io1_latin(spark, sf)
+    finally:
+        spark.conf.set(key, was)
+    files = spark.read.format("binaryFile").load(seen[0]).where("length > 0").select("path", "content").collect()
+    odd = [f["path"] for f in files if not f["content"].isascii()]
+    assert len(files) > 1 and odd == [max(f["path"] for f in files)]
+    assert back.where(F.col("c_name").endswith(" né")).count() == 1 and back.count() == base.table(spark, sf, "customer").count()
+
+
 def test_csv_nan_is_missing(spark, tmp_path):
     path = put(tmp_path, "n.csv", b"k,v\n1,NaN\n2,3.5\n")
     df = sources.read_csv(spark, path, schema="k int, v double")
