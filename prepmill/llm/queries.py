@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, url_filter, warc
+from . import (
+    bpe, exact_dedup, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup,
+    url_filter, warc,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +209,8 @@ from s join a on a.doc_id = s.doc_id join c on c.doc_id = s.doc_id
 @query("op10_sharding", SHARDS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
+
+
+@query("op13_winnowing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(fingerprints.compare_edited(table(spark, sf_dir, "documents")))
