@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, exact_dedup, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup,
+    bpe, collocations, exact_dedup, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup,
     url_filter, warc,
 )
 from .common import table
@@ -211,6 +211,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 16)
 
 
+PHRASES_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(list_transform(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+    lambda x: list_filter(string_split_regex(x, '[\x20\x09]+'), lambda y: y <> ''))) as w
+  from documents
+), o as (
+  select lang, 1 as m, unnest(w) as phrase from p
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from p
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from p
+), f as (
+  select lang, m, phrase, count(*) as c from o group by lang, m, phrase having count(*) >= 10
+), n as (
+  select lang, count(*) as n from o where m = 1 group by lang
+), s as (
+  select lang, m, phrase, c as a, string_split(phrase, ' ') as w from f where m > 1
+), cuts as (
+  select lang, m, phrase, a, k, array_to_string(w[1:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y
+  from (select *, unnest(range(1, m)) as k from s)
+), scored as (
+  select cuts.lang, cuts.m, cuts.phrase, a, k, fx.c as l, fy.c as r,
+    cast((1000000::hugeint * a * a) // (fx.c::hugeint * fy.c) as bigint) as score
+  from cuts join f fx on fx.lang = cuts.lang and fx.phrase = x join f fy on fy.lang = cuts.lang and fy.phrase = y
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select lang, phrase, max(a) as most from (
+    select lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase from s where m = 3
+  ) group by lang, phrase
+), kept as (
+  select best.* from best left join inside on inside.lang = best.lang and inside.phrase = best.phrase
+  where most is null or 100 * most < 50 * a
+)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, phrase) as rank,
+  phrase, a, l, r, n, score
+from kept join n on n.lang = kept.lang
+qualify rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_winnowing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digests(fingerprints.compare_edited(table(spark, sf_dir, "documents")))
