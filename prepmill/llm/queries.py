@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, collocations, exact_dedup, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup,
-    url_filter, warc,
+    bpe, collocations, conversation_trie, exact_dedup, fingerprints, near_dedup, packing, quality_classifier, quality_rules, sharding,
+    suffix_dedup, url_filter, warc,
 )
 from .common import table
 
@@ -256,6 +256,59 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+TRIE_SQL = f"""
+with t as (
+  select conv_id, strlen(coalesce(text, '')) as b, turn,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as id
+  from conversations where conv_id is not null
+), x as (
+  select conv_id, id, b, row_number() over (partition by conv_id order by turn nulls first, id) - 1 as pos from t
+), c as (
+  select conv_id, count(*) as own, conv_id - conv_id % 5 as base,
+    xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1),
+      lambda i: cast(ascii(substr(conv_id::varchar, i, 1)) as bigint))),
+      lambda p, q: xor(({_crc_table()})[(xor(p, q) & 255) + 1], p >> 8))) % 9 as h
+  from x group by conv_id
+), g as (
+  select c.*, least(c.h, coalesce(z.own, 0)) as graft from c left join c z on z.conv_id = c.base
+), r as (
+  select g.conv_id, x.pos, x.id, x.b from g join x on x.conv_id = g.base and x.pos < g.h
+  union all select g.conv_id, x.pos - g.h + g.graft, x.id, x.b from g join x on x.conv_id = g.conv_id and x.pos >= g.h
+), l as (
+  select g.conv_id, coalesce(list(r.id order by r.pos) filter (r.id is not null), []) as ids,
+    coalesce(list(r.b order by r.pos) filter (r.id is not null), []) as bs
+  from g left join r on r.conv_id = g.conv_id group by g.conv_id
+), p as (
+  select conv_id, ids, bs, unnest(range(len(ids) + 1)) as depth from l
+), k as (
+  select conv_id, depth, md5(array_to_string(ids[1:depth], ',')) as key, depth = len(ids) as ends, ids[depth] as id, bs[depth] as b from p
+), n as (
+  select depth, key, min(conv_id) as conv_id, count(*) as n_convs, min(id) as id, min(b) as b,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) as members
+  from k group by depth, key
+), u as (
+  select n.depth, n.key, n.conv_id, a.depth as up_depth, a.key as up_key,
+    (n.n_convs - 1) * coalesce(n.b, 0) as saved from n join k a on a.conv_id = n.conv_id and a.depth <= n.depth
+), kids as (
+  select up_depth as depth, up_key as key, count(*) as n_children from u where up_depth = depth - 1 group by up_depth, up_key
+), below as (
+  select up_depth as depth, up_key as key, sum(saved) as saved_tokens, count(*) filter (kids.key is null) as n_leaves
+  from u left join kids on kids.depth = u.depth and kids.key = u.key group by up_depth, up_key
+)
+select n.conv_id, n.depth, up.conv_id as parent_conv_id, n.id as turn_id, n.n_convs, coalesce(n_children, 0) as n_children,
+  n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(n.members, '')) as ends_sha256
+from n join below on below.depth = n.depth and below.key = n.key
+left join kids on kids.depth = n.depth and kids.key = n.key
+left join k a on a.conv_id = n.conv_id and a.depth = n.depth - 1
+left join n up on up.depth = a.depth and up.key = a.key
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_winnowing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digests(fingerprints.compare_edited(table(spark, sf_dir, "documents")))
