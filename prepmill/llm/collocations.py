@@ -31,12 +31,12 @@ SUBSUMED = 50
 SCALE = 1_000_000
 TOP = 2000
 #: Bytes of text whose stripes are built together.
-CHUNK = 8 << 20
-#: Segments of a hot first word's stripes.
-SEGMENTS = 64
+CHUNK = 4 << 20
 #: Shuffle partitions for each of spark.sql.shuffle.partitions: a byte of text becomes several of stripes.
 SPREAD = 4
 ROWS_OUT = 4096
+#: The best of each of so many parts of a language are ranked together.
+RANK_PARTS = 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -116,8 +116,11 @@ class Words:
         self.first = self.lang * len(self.words) + self.code
 
 
-def _stripes(w: Words, longest: int, hot: set[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, segment, extensions, counts) for the first words of a chunk."""
+def _stripes(w: Words, longest: int, hot: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, segment, extensions, counts) for the first words of a chunk.
+
+    Extensions are one text, a line each: a list of many short texts would be mostly padding.
+    """
     size = max(1, len(w.words))
     listed = w.words.to_pylist()
     crc = np.array([zlib.crc32(x.encode()) for x in listed], np.uint64)
@@ -137,23 +140,25 @@ def _stripes(w: Words, longest: int, hot: set[tuple[str, str]]) -> Iterator[pa.R
             column.append(values)
     first, n, mark = (np.concatenate(x) for x in (firsts, counts, marks))
     codes = {x: k for k, x in enumerate(listed)}
-    cut = np.zeros(len(w.langs) * size, bool)
-    for lang, word in hot:
+    cut = np.zeros(len(w.langs) * size, np.uint64)
+    for (lang, word), segments in hot.items():
         if lang in w.langs and word in codes:
-            cut[w.langs.index(lang) * size + codes[word]] = True
+            cut[w.langs.index(lang) * size + codes[word]] = segments
     # The empty extension (mark 0) stays in segment 0.
-    segment = np.where(cut[first] & (mark > 0), 1 + (mark >> np.uint64(7)) % np.uint64(SEGMENTS), 0).astype(np.int64)
-    key = first * (SEGMENTS + 1) + segment
+    segments = cut[first]
+    segment = np.where((segments > 0) & (mark > 0), 1 + (mark >> np.uint64(7)) % np.maximum(segments, np.uint64(1)), 0).astype(np.int64)
+    most = int(segment.max(initial=0)) + 1
+    key = first * most + segment
     order = np.argsort(key, kind="stable")
     key = key[order]
     edges = np.flatnonzero(np.diff(key, prepend=-1))
     offsets = pa.array(np.append(edges, len(key)).astype(np.int32))
-    heads = key[edges] // (SEGMENTS + 1)
+    heads = key[edges] // most
     out = pa.RecordBatch.from_arrays([
         pa.array(w.langs, pa.string()).take(pa.array(heads // size)), w.words.take(pa.array(heads % size)),
-        pa.array((key[edges] % (SEGMENTS + 1)).astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, pa.chunked_array(exts).combine_chunks().take(pa.array(order))),
-        pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int64))),
+        pa.array((key[edges] % most).astype(np.int32)),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays(exts).take(pa.array(order))), "\n"),
+        pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int32))),
     ], ["lang", "word", "segment", "ext", "n"])
     for row in range(0, out.num_rows, ROWS_OUT):
         yield out.slice(row, ROWS_OUT)
@@ -165,21 +170,29 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     )
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, set[tuple[str, str]]]:
-    """Words of each language (lang, total), and the (language, word) with over 1/HOT_SHARE of all words.
+def _partitions(docs: DataFrame) -> int:
+    return SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
-    A chunk names the words with at least half that share of its own.  A word with the
-    whole share has more than half of it in such chunks, so none is missed, and at most
-    2 * HOT_SHARE are returned.
+def frequent_words(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
+) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+    """Words of each language (lang, total), and segments for the (language, word) that start very many phrases.
+
+    A word with more than one shuffle partition's share of all words is cut into as many
+    segments as its share makes partitions.  A chunk names the words with at least half
+    that share of its own: a word with the whole share has more than half of it in such
+    chunks, so none is missed, and at most two for each shuffle partition are returned.
     """
     for_python(docs.sparkSession)
+    share = max(HOT_SHARE, _partitions(docs))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, 0):
             w = Words(chunk)
             size = max(1, len(w.words))
             first, n = np.unique(w.first, return_counts=True)
-            much = n * 2 * HOT_SHARE >= len(w.first)
+            much = n * 2 * share >= len(w.first)
             langs, totals = np.unique(w.lang, return_counts=True)
             names = pa.array(w.langs, pa.string())
             yield pa.RecordBatch.from_arrays([
@@ -192,30 +205,27 @@ def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     rows = materialise(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "frequent", True)
     totals = rows.filter("word is null").select("lang", F.col("n").alias("total"))
     total = totals.agg(F.sum("total")).first()[0] or 0
-    hot = rows.filter(F.col("word").isNotNull() & (2 * HOT_SHARE * F.col("n") >= total))
-    return totals, {(r["lang"], r["word"]) for r in hot.collect()}
+    hot = rows.filter(F.col("word").isNotNull() & (2 * share * F.col("n") >= total))
+    return totals, {(r["lang"], r["word"]): -(-2 * share * r["n"] // total) for r in hot.collect()}
 
 
 def phrase_counts(
-    docs: DataFrame, hot: set[tuple[str, str]], text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST,
+    docs: DataFrame, hot: dict[tuple[str, str], int], text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST,
     least: int = LEAST,
 ) -> DataFrame:
     """(lang, phrase, words, n): all phrases of 1 to ``longest`` words that occur ``least`` times."""
-    spark = docs.sparkSession
-    for_python(spark)
+    for_python(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, longest - 1):
             yield from _stripes(Words(chunk), longest, hot)
 
     stripes = _texts(docs, text_col, lang_col).mapInArrow(
-        each, "lang string, word string, segment int, ext array<string>, n array<bigint>"
+        each, "lang string, word string, segment int, ext string, n array<int>"
     )
-    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Dealt by the stripe's key; the grouping below adds up its elements where they lie.
-    met = stripes.repartition(parts, "lang", "word", "segment").select(
-        "lang", "word", "segment", F.explode(F.arrays_zip("ext", "n")).alias("e")
-    )
+    dealt = stripes.repartition(_partitions(docs), "lang", "word", "segment").withColumn("ext", F.split("ext", "\n"))
+    met = dealt.select("lang", "word", "segment", F.explode(F.arrays_zip("ext", "n")).alias("e"))
     merged = met.groupBy("lang", "word", "segment", F.col("e.ext").alias("ext")).agg(F.sum("e.n").alias("n"))
     phrase = F.when(F.col("ext") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "ext"))
     words = F.when(F.col("ext") == "", 1).otherwise(F.size(F.split("ext", " ")) + 1)
@@ -283,8 +293,11 @@ def collocations(
     totals, hot = frequent_words(docs, text_col, lang_col)
     counts = materialise(phrase_counts(docs, hot, text_col, lang_col, longest, least), "phrases")
     found = scored(counts).join(subsumed(counts, percent), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    first = found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    ranked = first.filter(F.col("rank") <= top).withColumn("rank", best).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"
     )
