@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import check_features, read_csv, read_json, read_parquet, validate, write_csv, write_json, write_parquet
+from ..sources.readers import SEPARATORS
 from .base import query, rounded, table
 
 LINE_TOTALS = """
@@ -55,6 +56,38 @@ def io1_semicolon(spark, sf):
     return read_csv(spark, path)
 
 
+@query("io1_gzip", """
+select cast(s_suppkey as int) as s_suppkey, s_name || '; ' || s_suppkey as s_name, cast(s_nationkey as int) as s_nationkey from supplier""")
+def io1_gzip(spark, sf):
+    """Compressed files whose texts hold other separators."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat("s_name", F.lit("; "), "s_suppkey").alias("s_name"), "s_nationkey")
+    path = scratch_path(spark, "csv")
+    rows.write.option("header", True).option("compression", "gzip").csv(path)
+    return read_csv(spark, path)
+
+
+@query("io1_quoted_header", """
+select cast(p_partkey as int) as "part;key;number", p_name || ';' || p_brand as "name;brand" from part""")
+def io1_quoted(spark, sf):
+    """Names and values with more semicolons than the file has separators."""
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("part;key;number"), F.concat_ws(";", "p_name", "p_brand").alias("name;brand"))
+    path = scratch_path(spark, "csv")
+    rows.write.option("header", True).option("quoteAll", True).csv(path)
+    return read_csv(spark, path)
+
+
+@query("io1_mixed_separators", """
+select c_custkey, c_name, c_acctbal, c_nationkey % 4 as sep from customer""")
+def io1_mixed(spark, sf):
+    """One table in folders whose files differ in their separator."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", (F.col("c_nationkey") % 4).alias("sep"))
+    path = scratch_path(spark, "csv")
+    for k, mark in enumerate(SEPARATORS):
+        rows.where(F.col("sep") == k).drop("sep").write.option("header", True).option("sep", mark).csv(f"{path}/sep={k}")
+    return read_csv(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double, sep int")
+
+
 @query("io2_read_json", LINE_TOTALS)
 def io2(spark, sf):
     line = table(spark, sf, "lineitem")

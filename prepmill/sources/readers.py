@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
@@ -11,8 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.roles import nan_to_null
 
-#: Longest header line that is looked at.
-HEADER_BYTES = 1 << 20
+# The separators that are tried, first ones first among equals.
 SEPARATORS = (",", ";", "\t", "|")
 
 
@@ -25,43 +26,77 @@ def validate(df: DataFrame) -> DataFrame:
     return df
 
 
-def _header(spark: SparkSession, path: str) -> bytes:
-    """First line of the first data file, read by the driver from the file's head."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
-    first = files.orderBy("path").first()
-    if first is None:
-        return b""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(first["path"])
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        lines = bytes(stream.readNBytes(HEADER_BYTES)).splitlines()
-    finally:
-        stream.close()
-    return lines[0] if lines else b""
+@dataclass
+class CsvKind:
+    """How a file is read, and the names in its header."""
 
+    utf8: bool
+    breaks: bool
+    sep: str
+    names: tuple[str, ...] | None
 
-def _separator_of(header: bytes) -> str:
-    line = header.decode("latin-1")
-    best = max(SEPARATORS, key=line.count)
-    return best if line.count(best) else ","
+    @property
+    def encoding(self) -> str:
+        return "UTF-8" if self.utf8 else "ISO-8859-1"
 
 
-def _kinds_of_files(spark: SparkSession, path: str) -> dict[tuple[bool, bool], list[str]]:
-    """Files by (all bytes are UTF-8, a quoted field spans lines), from one aggregate over all lines.
+def _csv_kinds(spark: SparkSession, path: str, sep: str | None) -> dict[str, CsvKind]:
+    """Each file's encoding, quoted line breaks and separator, from one aggregate over all lines.
 
-    A line break inside quotes leaves an odd number of quotes on its line.
+    A line break inside quotes leaves an odd number of quotes on its line.  Separators are
+    counted outside quotes; of those that the file's first line has, the one wins that most
+    lines have as often as the first line.  Compressed files are read as Spark reads them.
     """
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"')))
-    found = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(
-        F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2 == 1).alias("breaks")
+    line = F.regexp_replace("value", "^\ufeff", "")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), line.alias("line"),
+        # Numbers of lines rise within a split, and a file's first line is in the split that starts it.
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+    ).where(F.trim("line") != "")
+    bare = F.regexp_replace("line", '"[^"]*("|$)', "")
+    counts = [
+        F.struct(F.lit(s).alias("sep"), (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).alias("c")) for s in SEPARATORS
+    ]
+    quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"')))
+    known = lines.select(
+        "file", "at", F.is_valid_utf8("value").alias("utf8"), (quotes % 2 == 1).alias("odd"), bare.alias("bare"),
+        F.when(F.col("at").isNotNull(), F.col("value").cast("binary")).alias("head"),
     )
-    kinds: dict[tuple[bool, bool], list[str]] = {}
+    each = known.select("*", F.inline(F.array(*counts))).groupBy("file", "sep", "c").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("utf8").alias("utf8"), F.max("odd").alias("breaks"),
+        F.min_by(F.struct("head", "odd"), "at").alias("head"),
+    )
+    voted = each.groupBy("file", "sep").agg(
+        F.min_by(F.struct("c", "n", "head"), "first").alias("top"), F.min("utf8").alias("utf8"), F.max("breaks").alias("breaks")
+    )
+    rank = F.struct(
+        (F.col("top.c") > 0).alias("there"), F.when(F.col("top.c") > 0, F.col("top.n")).alias("n"),
+        F.when(F.col("top.c") > 0, F.col("top.c")).alias("c"),
+        (-F.array_position(F.array(*map(F.lit, SEPARATORS)), F.col("sep"))).alias("order"),
+    )
+    found = voted.groupBy("file").agg(
+        F.max_by("sep", rank).alias("sep"), F.min("utf8").alias("utf8"), F.max("breaks").alias("breaks"),
+        F.first("top.head").alias("head"),
+    )
+    kinds = {}
     for row in found.collect():  # one row per file, as the driver's own file listing has
-        kinds.setdefault((row["utf8"], row["breaks"]), []).append(unquote(row["file"]))
+        kind = CsvKind(row["utf8"], row["breaks"], sep or row["sep"], None)
+        if not row["head"]["odd"]:  # else the header itself spans lines
+            text = bytes(row["head"]["head"]).decode("utf-8" if kind.utf8 else "latin-1").removeprefix("\ufeff")
+            kind.names = tuple(next(csv.reader([text], delimiter=kind.sep)))
+        kinds[unquote(row["file"])] = kind
     return kinds
 
 
+def _check_names(kinds: dict[str, CsvKind]) -> None:
+    """Raise if files disagree on their columns: by position, values would land in others."""
+    named = {file: k.names for file, k in kinds.items() if k.names is not None}
+    for file, names in named.items():
+        first = min(named)
+        if names != named[first]:
+            raise ValueError(f"columns differ: {first} has {list(named[first])}, {file} has {list(names)}")
+
+
 def _base(spark: SparkSession, path: str) -> str | None:
     """The folder below which folder names are partition columns; Spark takes no more than one."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -114,26 +149,27 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header.
 
-    The separator is the one most frequent in the header.  Encoding and quoted line
-    breaks are decided for each file from all its bytes, in one scan: a file with any
-    byte sequence that is not UTF-8 is Latin-1, and only files in which a quoted field
-    spans lines are read by one task each; the others are split.  Give ``encoding`` and
-    ``multi_line`` to save that scan, and ``schema`` to save the inference.
+    Separator, encoding and quoted line breaks are decided for each file from all its
+    lines, in one scan: a file with any byte sequence that is not UTF-8 is Latin-1, and
+    only files in which a quoted field spans lines are read by one task each; the others
+    are split.  Files of one table may differ in all of these, but not in their columns.
+    Give ``sep``, ``encoding`` and ``multi_line`` to save that scan, and ``schema`` to
+    save the inference.
     """
-    sep = sep or _separator_of(_header(spark, path))
-    if encoding is not None and multi_line is not None:
-        groups = {(encoding, multi_line): None}
+    if sep is not None and encoding is not None and multi_line is not None:
+        groups = {(encoding, multi_line, sep): None}
     else:
         groups = {}
-        kinds = _kinds_of_files(spark, path)
-        for (utf8, breaks), files in kinds.items():
-            key = (encoding or ("UTF-8" if utf8 else "ISO-8859-1"), breaks if multi_line is None else multi_line)
-            groups.setdefault(key, []).extend(files)
+        kinds = _csv_kinds(spark, path, sep)
+        _check_names(kinds)
+        for file, kind in kinds.items():
+            key = (encoding or kind.encoding, kind.breaks if multi_line is None else multi_line, kind.sep)
+            groups.setdefault(key, []).append(file)
         if len(groups) <= 1:  # the path itself keeps partition columns
-            groups = {key: None for key in groups} or {("UTF-8", False): None}
+            groups = {key: None for key in groups} or {("UTF-8", False, sep or SEPARATORS[0]): None}
 
-    def read(key: tuple[str, bool], files: list[str] | None, given, base: str | None = None) -> DataFrame:
-        reader = spark.read.option("header", True).option("sep", sep).option("encoding", key[0])
+    def read(key: tuple[str, bool, str], files: list[str] | None, given, base: str | None = None) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", key[2]).option("encoding", key[0])
         reader = reader.option("quote", '"').option("escape", '"').option("multiLine", key[1])
         reader = reader.schema(given) if given is not None else reader.option("inferSchema", True)
         reader = reader.option("basePath", base) if base else reader

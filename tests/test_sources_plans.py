@@ -1,5 +1,7 @@
 """Readers, writers, streams, and the shape of physical plans."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,32 @@ def test_csv_kinds_in_partition_folders(spark, tmp_path):
     assert sources.read_csv(spark, str(tmp_path / "in" / "k=*")).columns == ["t"]
 
 
+def test_csv_separator_by_all_lines(spark, tmp_path):
+    """Compressed files, separators inside quotes, texts full of other separators, and folders of both."""
+    read = lambda path, **o: [tuple(r) for r in sources.read_csv(spark, path, **o).collect()]
+    zipped = put(tmp_path, "a.csv.gz", gzip.compress(b"id,name,v\n" + b"".join(b"%d,x;y;%d,3\n" % (k, k) for k in range(500))))
+    assert sources.read_csv(spark, zipped).columns == ["id", "name", "v"] and len(read(zipped)) == 500
+    quoted = put(tmp_path, "b.csv", b'"x;y;z",b\n"1;2;3",4\n"""5;""",6\n')
+    assert sources.read_csv(spark, quoted).columns == ["x;y;z", "b"] and read(quoted) == [("1;2;3", 4), ('"5;"', 6)]
+    decimal = put(tmp_path, "c.csv", b"a;b;c\n1,5;2,5;3,5\n4,5;5,5;6,5\n")
+    assert sources.read_csv(spark, decimal).columns == ["a", "b", "c"]
+    prose = put(tmp_path, "d.csv", b"name|note\n" + b"".join(b"n%d|one, two; three, %d\n" % (k, k) for k in range(50)))
+    assert sources.read_csv(spark, prose).columns == ["name", "note"]
+    single = put(tmp_path, "e.csv", b"\n\nname\nSmith; John\nDoe; Jane\n")
+    assert sources.read_csv(spark, single).columns == ["name"]
+    breaks = put(tmp_path, "f.csv", b'a\tb\n1\t"two, three,\nfour, five"\n2\tsix\n')
+    assert read(breaks) == [(1, "two, three,\nfour, five"), (2, "six")]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    put(folder, "a.csv", b"a,b\n1,2\n")
+    put(folder, "b.csv", b"a;b\n5;6\n")
+    assert sorted(read(str(folder))) == [(1, 2), (5, 6)]
+    assert sorted(read(str(folder), schema="a int, b int")) == [(1, 2), (5, 6)]
+    put(folder, "c.csv", b"b,a\n7,8\n")
+    with pytest.raises(ValueError, match="columns differ"):
+        sources.read_csv(spark, str(folder))
+
+
 def test_late_latin1_is_written_by_several_tasks(spark, sf, monkeypatch):
     from prepmill.plans import sources as plans
 
