@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import for_python, join_counted, materialise, named, text_of
-from .sharding import number_within
 
 #: Turns of a block: bounds the suffix rows, whatever a conversation's length.
 BLOCK = 128
@@ -50,7 +49,20 @@ def turns_in_order(
         named(conversations, conv_col).cast("bigint").alias("conv"), named(conversations, turn_col).alias("turn"),
         F.unhex(turn_id(role_col, text_col)).alias("id"), F.octet_length(text_of(text_col)).cast("bigint").alias("size"),
     ).filter("conv is not null")
-    return number_within(rows, "conv", ["turn", "id"], "pos").select("conv", "pos", "id", "size")
+    placed = materialise(
+        rows.repartitionByRange("conv", "turn", "id").sortWithinPartitions("conv", "turn", "id")
+        .withColumn("at", F.monotonically_increasing_id()), "turns"
+    ).withColumn("part", F.shiftright("at", 33))
+    inside = Window.partitionBy("conv", "part").orderBy("at")
+    # A conversation that lies in several ranges goes on counting; a range shares at most its
+    # first conversation with an earlier one, so there is at most one such row for each range.
+    runs = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
+    firsts = runs.groupBy("conv").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.join(firsts, "conv").withColumn("before", F.sum("n").over(before)).filter("before > 0")
+    counted = placed.withColumn("pos", F.row_number().over(inside).cast("bigint") - 1)
+    counted = counted.join(F.broadcast(shifts.select("conv", "part", "before")), ["conv", "part"], "left")
+    return counted.select("conv", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"), "id", "size")
 
 
 def regraft(turns: DataFrame, family: int = 5, longest: int = 9) -> tuple[DataFrame, DataFrame]:
@@ -335,6 +347,6 @@ def conversation_trie(
     length take part through their digest and size only.  Other columns are ignored; an
     empty table gives an empty table.
     """
-    turns = turns_in_order(conversations, conv_col, turn_col, role_col, text_col)
+    turns = materialise(turns_in_order(conversations, conv_col, turn_col, role_col, text_col), "numbered")
     rebuilt, convs = regraft(turns)
     return prefix_trie(materialise(rebuilt, "rebuilt"), convs, capacity)
