@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.parallel import run_together
 from ..functions.roles import col
 from ..session import cut_lineage
+from .boosting import vector_of
 from .compare import compare_models
 from .models import FittedModel, MeanOfModels, fit_model
 
@@ -105,11 +106,14 @@ def out_of_fold_scores(train: DataFrame, names: list[str], kind: str, classes: i
                        params: dict[str, dict] | None = None, key: str | None = None) -> DataFrame:
     """Training rows with ``_meta``: base scores from models that did not see the row.
 
-    ``train`` has ``features, _label`` and an integer ``fold`` column.
+    ``train`` has ``_label``, an integer ``fold`` and, for each fold i, ``features_i`` prepared
+    without it (``tuning.fold_features``); a ``features`` column alone serves all folds.
     """
 
     def fold(i: int) -> DataFrame:
-        inner, held = train.where(F.col("fold") != i), train.where(F.col("fold") == i)
+        own = vector_of(train, i)
+        rows = train.withColumn("features", F.col(own))
+        inner, held = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
         fitted = [fit_model(n, kind, inner, classes, None, (params or {}).get(n), key) for n in names]
         return _with_base_scores(held, fitted, kind, classes)
 
@@ -121,7 +125,7 @@ def stacking(
     train: DataFrame, names: list[str], kind: str, classes: int, meta: str = "logistic", folds: int = 5,
     params: dict[str, dict] | None = None, key: str | None = None,
 ) -> FittedModel:
-    """Fit a meta learner on out-of-fold base scores, then the bases on all rows."""
+    """Fit a meta learner on out-of-fold base scores, then the bases on all rows (their ``features``)."""
     if meta not in META:
         raise ValueError(f"unknown meta learner {meta!r}")
     # Fits of the meta learner pass over these rows many times; the plan below them holds every base model.

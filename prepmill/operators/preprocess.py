@@ -1,8 +1,8 @@
 """Imputing, scaling and encoding as fitted, saveable pipeline stages.
 
-Fits are one-row aggregates or bounded category lists.  What they find is written as
-literals into ``SQLTransformer`` stages, so the transformation is a narrow projection
-and the fitted pipeline saves and loads like any other ``pyspark.ml`` pipeline.
+Fits of numbers are one-row aggregates, written as literals into ``SQLTransformer``
+stages; categories are tables that their stages join (``encoders``).  The fitted pipeline
+saves and loads like any other ``pyspark.ml`` pipeline.
 """
 
 from __future__ import annotations
@@ -11,25 +11,26 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.joins import measured
 from ..functions.quantiles import quantile_values
 from ..functions.ranges import dense_codes
 from ..functions.roles import as_text, col, columns_by_role, require_columns, role_of
+from .encoders import SideTable, category_codes, code_table, slot_table, smoothed, target_sums, target_table
 from .missing import modes, most_frequent
 
-# Smoothing of target means and the code of unseen categories.
-SMOOTH_AT = 20
-SMOOTH_WIDTH = 10
+# The code of unseen categories and the text of missing ones.
 UNSEEN_CODE = -1
 FILL_TEXT = "Unknown"
 
-MAX_CATEGORIES = 1_000_000
+#: Columns of 0 and 1 that ``one_hot`` adds at most; ``one_hot_vector`` has no such limit.
 MAX_ONE_HOT = 5_000
-MAX_TARGET_LITERALS = 10_000  # target_encode joins a table instead and has no such limit
+#: Categories whose names are listed in a preparation's slots; the slots of more are numbered.
+MAX_NAMED = 5_000
 IMPUTERS = ("mean", "median", "most_frequent")
 SCALERS = ("standard", "minmax", "robust", "none")
 ENCODERS = ("onehot", "ordinal", "target")
@@ -112,14 +113,14 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
     return df.withColumns({c: (col(c).cast("double") - F.lit(a)) / F.lit(d) for c, (a, d) in fitted.items()})
 
 
-def categories(df: DataFrame, columns: list[str], most: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted categories per column; more than ``most`` raise, since they become model state."""
+def categories(df: DataFrame, columns: list[str], most: int) -> dict[str, list[str]]:
+    """Sorted categories per column; more than ``most`` raise, since they become columns."""
     found = {}
     for c in columns:
         values = df.select(as_text(df, c).alias("v")).where("v is not null").distinct().limit(most + 1)
         rows = [r["v"] for r in values.collect()]
         if len(rows) > most:
-            raise ValueError(f"{c!r} has more than {most} categories")
+            raise ValueError(f"{c!r} has more than {most} categories; one_hot_vector has no limit")
         found[c] = sorted(rows, key=lambda v: v.encode())
     return found
 
@@ -134,6 +135,30 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(made).drop(*columns) if made else df.drop(*columns)
 
 
+def _one_hot_stages(df: DataFrame, column: str, fill: str | None, index: str, out: str) -> tuple[list, DataFrame, int]:
+    """Stages that add ``out``, a sparse one-hot vector without the first category; its codes and their number."""
+    codes, n = category_codes(df, column)
+    look_up = SideTable.of(slot_table(codes, n), column, fill, [index], [float(max(n - 1, 0))])
+    if n < 2:
+        return [look_up], codes, n
+    every = df.sparkSession.range(n).select(F.col("id").cast("double").alias(index))
+    return [look_up, OneHotEncoder(inputCols=[index], outputCols=[out], dropLast=True).fit(every)], codes, n
+
+
+def one_hot_vector(df: DataFrame, columns: list[str], apply_to: DataFrame | None = None) -> DataFrame:
+    """Replace columns by sparse vectors ``col_onehot``, without the first category; unknown gives zeros.
+
+    Any number of categories: they are a joined table, and a vector stores one entry.
+    """
+    out = df if apply_to is None else apply_to
+    for i, c in enumerate(columns):
+        stages, _, n = _one_hot_stages(df, c, None, f"_i{i}", f"{c}_onehot")
+        if n < 2:
+            raise ValueError(f"{c!r} has fewer than two categories")
+        out = PipelineModel(stages).transform(out).drop(f"_i{i}")
+    return out.drop(*columns)
+
+
 def ordinal(train: DataFrame, columns: list[str], apply_to: DataFrame | None = None) -> DataFrame:
     """Replace categories by their sorted position in ``train``; unseen and missing give -1.
 
@@ -148,12 +173,6 @@ def ordinal(train: DataFrame, columns: list[str], apply_to: DataFrame | None = N
     return out
 
 
-def smoothed(mean: Column, n: Column, prior: Column) -> Column:
-    """Category mean pulled to the prior for small categories."""
-    weight = 1 / (1 + F.exp(-(n - F.lit(SMOOTH_AT)) / F.lit(float(SMOOTH_WIDTH))))
-    return prior * (1 - weight) + mean * weight
-
-
 def target_means(df: DataFrame, column: str, target: str) -> DataFrame:
     """``category, n, encoded``: smoothed target mean per category."""
     rows = df.select(as_text(df, column).alias("category"), col(target).cast("double").alias("_t"))
@@ -187,14 +206,39 @@ class Preprocessor:
     config: dict = field(default_factory=dict)
 
 
+def _number_sql_of(df: DataFrame, column: str, role: str) -> str:
+    """A column as double: seconds for times (those without a zone by their own fields), 0 and 1 for booleans."""
+    name = name_sql(column)
+    if role != "datetime":
+        return f"cast({name} as double)"
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        return f"cast(unix_micros({name}) as double) / 1000000D"
+    local = f"cast({name} as timestamp_ntz)"
+    days = f"cast(unix_date(cast({local} as date)) as double) * 86400D"
+    return f"{days} + hour({local}) * 3600 + minute({local}) * 60 + cast(extract(second from {local}) as double)"
+
+
+def _named_slots(codes: DataFrame, column: str, n: int) -> list[str]:
+    """Names of one-hot slots: categories in order, numbers where there are very many."""
+    if n > MAX_NAMED:
+        return [f"{column}#{j}" for j in range(1, n)]
+    found = sorted(codes.where("code > 0").collect(), key=lambda r: r["code"])
+    return [f"{column}_{r['category']}" for r in found]
 
 
 def fit_preprocessor(
     df: DataFrame, features: list[str], impute: str = "mean", scaling: str = "none", encoding: str = "onehot",
-    target: str | None = None, out: str = "features", categorical_impute: str = "most_frequent",
+    target: str | None = None, out: str = "features", categorical_impute: str = "most_frequent", classes: int = 0,
+    sums: DataFrame | None = None, without: int | None = None,
 ) -> Preprocessor:
     """Fit impute -> scale on numeric and impute -> encode on categorical features, other
-    roles (boolean, datetime) passing as numbers, and assemble them to one vector."""
+    roles (boolean, datetime) passing as numbers, and assemble them to one vector.
+
+    Missing booleans get the more frequent value, missing times the mean.  Categories are
+    joined tables (``SideTable``), so there may be any number of them.  Target means have
+    one slot, or one for each of more than two ``classes``; ``sums`` (see ``target_sums``)
+    spares their pass over the rows, and ``without`` leaves one fold of them out.
+    """
     require_columns(df, features)
     if encoding not in ENCODERS:
         raise ValueError(f"unknown encoder {encoding!r}")
@@ -202,6 +246,8 @@ def fit_preprocessor(
     numeric, texts = roles["numeric"], roles["categorical"]
     if roles["nested"] or roles["other"]:
         raise TypeError(f"cannot use columns {', '.join(roles['nested'] + roles['other'])}")
+    if texts and encoding == "target" and target is None:
+        raise ValueError("target encoding needs a target")
     made: dict[str, str] = {}
     names: list[str] = []
 
@@ -212,62 +258,52 @@ def fit_preprocessor(
     scales = scale_values(filled, numeric, scaling)
     for c in numeric:
         shift, divisor = scales[c]
-        value = f"coalesce(cast({name_sql(c)} as double), {number_sql(fills[c] if fills[c] is not None else 0.0)})"
+        value = f"coalesce({_number_sql_of(df, c, 'numeric')}, {number_sql(fills[c] if fills[c] is not None else 0.0)})"
         if scaling != "none":
             value = f"({value} - {number_sql(shift)}) / {number_sql(divisor)}"
         made[f"_f_{c}"] = value
         names.append(c)
-    for c in roles["boolean"]:
-        made[f"_f_{c}"] = f"coalesce(cast({name_sql(c)} as double), 0D)"
-        names.append(c)
-    for c in roles["datetime"]:
-        seconds = f"cast(unix_micros(cast({name_sql(c)} as timestamp)) as double) / 1000000D"
-        made[f"_f_{c}"] = f"coalesce({seconds}, 0D)"
-        names.append(c)
-
-    stages: list = []
-    added: dict[str, str] = dict(made)
-    final: dict[str, str] = {}
+    others = {c: _number_sql_of(df, c, role) for role in ("boolean", "datetime") for c in roles[role]}
+    if others:
+        row = df.selectExpr(*[f"avg({e}) as m{i}" for i, e in enumerate(others.values())]).first()
+        for i, (c, e) in enumerate(others.items()):
+            mean = row[f"m{i}"] or 0.0
+            fill = float(mean > 0.5) if c in roles["boolean"] else mean
+            made[f"_f_{c}"] = f"coalesce({e}, {number_sql(fill)})"
+            names.append(c)
+
+    numbers = ", ".join(f"{expr} as {name_sql(c)}" for c, expr in made.items())
+    stages: list = [SQLTransformer(statement=f"select *, {numbers} from __THIS__")] if numbers else []
+    inputs = list(made)
+    drop = list(made)
     if texts:
         frequent = modes(df, texts) if categorical_impute == "most_frequent" else {}
         fill = {c: frequent.get(c) or FILL_TEXT for c in texts}
         complete = df.withColumns({c: F.coalesce(col(c), F.lit(fill[c])) for c in texts})
-        # One-hot categories become columns and target means become literals of the pipeline.
-        lists = categories(
-            complete, texts, {"onehot": MAX_ONE_HOT, "target": MAX_TARGET_LITERALS}.get(encoding, MAX_CATEGORIES))
+        if encoding == "target" and sums is None:
+            sums = target_sums(df, texts, target, classes)
         for c in texts:
-            added[f"_t_{c}"] = f"coalesce({name_sql(c)}, {text_sql(fill[c])})"
-            index = f"_i_{c}"
-            size = len(lists[c])
             if encoding == "onehot":
-                for j, v in enumerate(lists[c][1:], start=1):
-                    final[f"_f_{c}_{v}"] = f"case when {name_sql(index)} = {j} then 1D else 0D end"
-                    names.append(f"{c}_{v}")
-            elif encoding == "ordinal":
-                final[f"_f_{c}"] = f"case when {name_sql(index)} < {size} then {name_sql(index)} else -1D end"
+                own, codes, n = _one_hot_stages(complete, c, fill[c], f"_i_{c}", f"_f_{c}")
+                stages += own
+                drop.append(f"_i_{c}")
+                if n > 1:
+                    inputs.append(f"_f_{c}")
+                    drop.append(f"_f_{c}")
+                    names += _named_slots(codes, c, n)
+                continue
+            if encoding == "ordinal":
+                codes, _ = category_codes(complete, c)
+                outs, state, unseen = [f"_f_{c}"], code_table(codes), [float(UNSEEN_CODE)]
                 names.append(c)
             else:
-                if target is None:
-                    raise ValueError("target encoding needs a target")
-                prior = complete.agg(F.avg(col(target).cast("double"))).first()[0]
-                means = {r["category"]: r["encoded"] for r in target_means(complete, c, target).collect()}
-                values = [number_sql(means.get(v, prior)) for v in lists[c]] + [number_sql(prior)]
-                final[f"_f_{c}"] = f"element_at(array({', '.join(values)}), cast({name_sql(index)} as int) + 1)"
-                names.append(c)
-    extras = ", ".join(f"{expr} as {name_sql(c)}" for c, expr in added.items())
-    stages.append(SQLTransformer(statement=f"select *, {extras} from __THIS__" if extras else "select * from __THIS__"))
-    drop = list(made)
-    if texts:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [lists[c] for c in texts], inputCols=[f"_t_{c}" for c in texts],
-            outputCols=[f"_i_{c}" for c in texts], handleInvalid="keep",
-        )
-        stages.append(indexer)
-        if final:
-            more = ", ".join(f"{expr} as {name_sql(c)}" for c, expr in final.items())
-            stages.append(SQLTransformer(statement=f"select *, {more} from __THIS__"))
-        drop += [f"_t_{c}" for c in texts] + [f"_i_{c}" for c in texts] + list(final)
-    stages.append(VectorAssembler(inputCols=[f"_f_{n}" for n in names], outputCol=out, handleInvalid="error"))
+                state, unseen = target_table(sums, c, fill[c], without)
+                outs = [f"_f_{c}"] if len(unseen) == 1 else [f"_f_{c}_{k}" for k in range(len(unseen))]
+                names += [c] if len(unseen) == 1 else [f"{c}={k}" for k in range(len(unseen))]
+            stages.append(SideTable.of(state, c, fill[c], outs, unseen))
+            inputs += outs
+            drop += outs
+    stages.append(VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="error"))
     cleared = ", ".join(name_sql(c) for c in drop)
     stages.append(SQLTransformer(statement=f"select * except ({cleared}) from __THIS__"))
     config = {"impute": impute, "scaling": scaling, "encoding": encoding, "features": list(features)}

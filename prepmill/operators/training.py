@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parallel import run_together
-from ..functions.roles import col
+from ..functions.roles import col, columns_by_role
 from .balance import class_weights
 from .compare import fold_scores
+from .encoders import target_sums
 from .metrics import classification_metrics, ranking_metrics, regression_metrics, roc_auc_weighted
 from .models import FittedModel, class_list, fit_model, label_indexer
 from .preprocess import Preprocessor, fit_preprocessor
 from .split import with_folds
 from .target import MIN_ROWS, problem_type
-from .tuning import GRIDS, search
+from .tuning import GRIDS, fold_features, search
 
 CV_FOLDS = 5
 
@@ -37,14 +38,18 @@ class Prepared:
 
     def apply(self, df: DataFrame, labelled: bool = True) -> DataFrame:
         """``df`` with ``features`` and, when labelled, ``_label`` (and ``_weight``)."""
-        if labelled and self.kind == "classification":
+        return self.preprocessor.model.transform(self.labelled(df) if labelled else df)
+
+    def labelled(self, df: DataFrame) -> DataFrame:
+        """Rows that have the target, with ``_label`` (and ``_weight``)."""
+        if self.kind == "classification":
             df = label_indexer(df, self.target, self.classes).transform(df.where(col(self.target).isNotNull()))
-        elif labelled:
+        else:
             df = df.where(col(self.target).isNotNull()).withColumn("_label", col(self.target).cast("double"))
-        if labelled and self.weights:
+        if self.weights:
             by_class = F.array(*[F.lit(self.weights[c]) for c in self.classes])
             df = df.withColumn("_weight", by_class[F.col("_label").cast("int")])
-        return self.preprocessor.model.transform(df)
+        return df
 
     def slim(self, df: DataFrame) -> DataFrame:
         """Only what a fit needs: key, label, features (and weight)."""
@@ -70,9 +75,12 @@ class ModelResult:
 def prepare(
     train: DataFrame, features: list[str], target: str, key: str, kind: str | None = None,
     impute: str = "mean", scaling: str = "none", encoding: str = "onehot", use_class_weights: bool = False,
-    classes: list[str] | None = None,
+    classes: list[str] | None = None, sums: DataFrame | None = None, without: int | None = None,
 ) -> Prepared:
-    """Fit preprocessing and label indexing on the training part (``classes`` when already known)."""
+    """Fit preprocessing and label indexing on the training part (``classes`` when already known).
+
+    ``sums`` are target sums by category and fold, of which fold ``without`` is left out.
+    """
     kind = kind or problem_type(train, target)
     if classes is None:
         classes = class_list(train, target) if kind == "classification" else []
@@ -82,7 +90,8 @@ def prepare(
     if encoding == "target" and classes:
         source = label_indexer(train, target, classes).transform(train)
         encode_target = "_label"
-    fitted = fit_preprocessor(source, features, impute, scaling, encoding, encode_target)
+    fitted = fit_preprocessor(
+        source, features, impute, scaling, encoding, encode_target, classes=len(classes), sums=sums, without=without)
     return Prepared(kind, target, key, features, fitted, classes, weights)
 
 
@@ -104,13 +113,21 @@ def score_predictions(predictions: DataFrame, prepared: Prepared) -> dict[str, f
 
 
 def prepare_folds(prepared: Prepared, train: DataFrame, folds: int) -> list[Prepared]:
-    """Preprocessing fitted anew on each fold's training part, to be shared by all models."""
+    """Preprocessing fitted anew on each fold's training part, to be shared by all models.
+
+    Target means of all folds come from one aggregate by category and fold: each fold's
+    are those of all rows without its own part.
+    """
     config = prepared.preprocessor.config
+    texts = columns_by_role(train.select(*[col(c) for c in prepared.features]))["categorical"]
+    sums = None
+    if config["encoding"] == "target" and texts:
+        sums = target_sums(prepared.labelled(train), texts, "_label", len(prepared.classes), "fold")
 
     def fold(i: int) -> Prepared:
         return prepare(
             train.where(F.col("fold") != i), prepared.features, prepared.target, prepared.key, prepared.kind,
-            config["impute"], config["scaling"], config["encoding"], bool(prepared.weights), prepared.classes)
+            config["impute"], config["scaling"], config["encoding"], bool(prepared.weights), prepared.classes, sums, i)
 
     return run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(folds)])
 
@@ -158,16 +175,19 @@ def train_models(
     ready = prepared.slim(folded if not cv_folds else folded.drop("fold")).persist()
     held = prepared.slim(test).persist()
     per_fold = prepare_folds(prepared, folded, cv_folds) if cv_folds else []
-    results, failures = {}, {}
+    results, failures, tuning = {}, {}, None
     try:
         for name in models:
             try:
                 chosen = dict((params or {}).get(name, {}))
                 best, tuned = {}, 0.0
                 if tune and name in GRIDS:
-                    slim = prepared.apply(with_folds(train, key, CV_FOLDS, strata)).select(
-                        col(key), "_label", "features", "fold", *([weight] if weight else []))
-                    best, tuned = search(name, kind, slim, len(prepared.classes), tune, weight=weight, fixed=chosen)
+                    if tuning is None:  # prepared without each fold, once for all models
+                        tuning = fold_features(with_folds(train, key, CV_FOLDS, strata), prepare_folds(
+                            prepared, with_folds(train, key, CV_FOLDS, strata), CV_FOLDS))
+                    found = search(
+                        name, kind, tuning, len(prepared.classes), tune, weight=weight, fixed=chosen, key=key)
+                    best, tuned = found.best, found.score
                 fitted = fit_model(name, kind, ready, len(prepared.classes), weight, {**chosen, **best}, key)
                 fitted.classes = prepared.classes
                 predictions = fitted.transform(held)

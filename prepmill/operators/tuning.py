@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+from dataclasses import dataclass
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    IsotonicRegression,
-    RandomForestRegressor,
-)
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .models import PRESETS, SEED
+from ..functions.parallel import run_together
+from ..functions.roles import col
+from .boosting import BoostedSearch, vector_of
+from .compare import fold_scores
+from .models import PRESETS, SEED, fit_model
+from .staged import staged_predictions
 
 # Parameter grids (an unlimited depth is Spark's largest, a split size s a leaf of s/2).
 FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 5]}
@@ -45,62 +40,129 @@ def random_points(grid: dict[str, list], draws: int = RANDOM_DRAWS, seed: int =
     return random.Random(seed).sample(points, min(draws, len(points)))
 
 
-def _estimator(name: str, kind: str, classes: int, weight: str | None, fixed: dict):
-    """(estimator to fit, estimator that owns the grid's parameters)."""
-    base = {"featuresCol": "features", "labelCol": "_label"}
-    weighted = {**base, **({"weightCol": weight} if weight else {})}
-    classify = kind == "classification"
-    if name == "random_forest":
-        est = (RandomForestClassifier if classify else RandomForestRegressor)(
-            **weighted, **{"seed": SEED, "featureSubsetStrategy": "sqrt" if classify else "all", **fixed})
-        return est, est
-    if name == "decision_tree":
-        est = (DecisionTreeClassifier if classify else DecisionTreeRegressor)(**weighted, **{"seed": SEED, **fixed})
-        return est, est
-    if name == "logistic":
-        est = LogisticRegression(**weighted, **fixed)
-        return est, est
-    if name in PRESETS:
-        settings = {**PRESETS[name], "seed": SEED, **fixed}
-        if not classify:
-            est = GBTRegressor(**weighted, **settings)
-            return est, est
-        if classes <= 2:
-            est = GBTClassifier(**weighted, **settings)
-            return est, est
-        inner = GBTClassifier(**settings)
-        return OneVsRest(classifier=inner, **weighted), inner
-    raise ValueError(f"{name!r} has no tunable parameters")
+#: A searched table is spread over one task for so many rows, as each of many fits reads it.
+ROWS_PER_TASK = 50_000
+#: Fits run side by side.
+SIDE_BY_SIDE = 8
+#: What a larger fit of a model holds smaller ones of.
+STAGED = {"random_forest": ("numTrees", "maxDepth"), "decision_tree": ("maxDepth",)}
+BOOST_STAGED = {"maxIter", "maxDepth", "stepSize"}
+
+
+@dataclass
+class SearchResult:
+    """The best point (the first of equals), its mean fold score, and all points with their fold scores."""
+
+    best: dict
+    score: float
+    points: list[tuple[dict, list[float]]]
+
+    def __iter__(self):
+        """So that ``best, score = search(...)`` reads the answer."""
+        return iter((self.best, self.score))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row per point: its parameters, mean score, and whether it was chosen."""
+        names = list(self.points[0][0])
+        rows = [(*[float(p[n]) for n in names], float(np.mean(s)), p == self.best) for p, s in self.points]
+        return spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names) + ", score double, chosen boolean")
+
+
+def fold_features(train: DataFrame, prepared: list, whole=None) -> DataFrame:
+    """``train`` (with ``fold``) with ``_label`` and, for each fold i, ``features_i`` by a preparation fitted without it.
+
+    ``prepared`` comes from ``training.prepare_folds``; all its members index labels alike.
+    ``whole``, the preparation fitted on all rows, adds ``features``.
+    """
+    first = prepared[0]
+    data = first.labelled(train)
+    if whole is not None:
+        data = whole.preprocessor.model.transform(data).withColumnRenamed("features", "_whole")
+    for i, p in enumerate(prepared):
+        data = p.preprocessor.model.transform(data).withColumnRenamed("features", f"features_{i}")
+    weight = ["_weight"] if first.weights else []
+    vectors = [f"features_{i}" for i in range(len(prepared))]
+    vectors += [F.col("_whole").alias("features")] if whole is not None else []
+    return data.select(col(first.key), "fold", "_label", *weight, *vectors)
+
+
+def _fold_parts(data: DataFrame, fold: int, weight: str | None, key: str | None) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows of a fold with its own features."""
+    extra = [c for c in (key, weight) if c]
+    rows = data.select("fold", *[col(c) for c in extra], "_label", F.col(vector_of(data, fold)).alias("features"))
+    return rows.filter(F.col("fold") != fold).drop("fold"), rows.filter(F.col("fold") == fold).drop("fold")
+
+
+def _fitted_scores(
+    name: str, kind: str, data: DataFrame, classes: int, points: list[dict], fixed: dict, folds: int, weight: str | None,
+    key: str | None,
+) -> list[list[float]]:
+    """Fold scores of each point; points that differ in staged parameters only share one fit a fold."""
+    staged = [p for p in STAGED.get(name, ()) if any(p in point for point in points)]
+    groups: dict[tuple, list[int]] = {}
+    for k, point in enumerate(points):
+        groups.setdefault(tuple((p, v) for p, v in point.items() if p not in staged), []).append(k)
+    scores: list[list[float]] = [[0.0] * folds for _ in points]
+
+    def one(fold: int, own: tuple, members: list[int]) -> None:
+        inner, held = _fold_parts(data, fold, weight, key)
+        largest = {p: max(points[k][p] for k in members) for p in staged}
+        fitted = fit_model(name, kind, inner, classes, weight, {**fixed, **dict(own), **largest}, key)
+        if staged:
+            trees = len(fitted.core.trees) if name == "random_forest" else 1
+            stages = [(points[k].get("numTrees", trees), points[k].get("maxDepth", fitted.core.getMaxDepth())) for k in members]
+            guesses = staged_predictions(fitted.core, kind == "classification", held, stages)
+        else:
+            guesses = fitted.transform(held).select(F.lit("0").alias("model"), F.col("_label").alias("label"), "prediction")
+        for row in fold_scores(guesses.withColumn("fold", F.lit(fold)), kind).collect():
+            scores[members[int(row["model"])]][fold] = float(row["score"] or 0.0)
+
+    run_together(data.sparkSession, [
+        lambda f=f, o=o, m=m: one(f, o, m) for o, m in groups.items() for f in range(folds)
+    ], SIDE_BY_SIDE)
+    return scores
+
+
+def _boosted_scores(
+    name: str, kind: str, data: DataFrame, classes: int, points: list[dict], fixed: dict, folds: int, weight: str | None
+) -> list[list[float]]:
+    settings = {**PRESETS[name], **fixed}
+    shaped = [
+        tuple({**settings, **p}[c] for c in ("maxDepth", "stepSize", "maxIter")) for p in points
+    ]
+    found = BoostedSearch(data, folds, classes if kind == "classification" else 0, weight).run(list(dict.fromkeys(shaped)))
+    return [found[s] for s in shaped]
 
 
 def search(
-    name: str, kind: str, train: DataFrame, classes: int, method: str = "grid", grid: dict[str, list] | None = None,
-    weight: str | None = None, fixed: dict | None = None, folds: int = FOLDS, parallelism: int = 4,
-    draws: int = RANDOM_DRAWS,
-) -> tuple[dict, float]:
-    """Best parameters and their mean fold score (weighted F1, or R2 for numbers).
-
-    ``train`` has ``features, _label`` and an integer ``fold`` column from hashed keys, so
-    every candidate sees the same folds on any cluster.
+    name: str, kind: str, data: DataFrame, classes: int, method: str = "grid", grid: dict[str, list] | None = None,
+    weight: str | None = None, fixed: dict | None = None, folds: int = FOLDS, draws: int = RANDOM_DRAWS,
+    key: str | None = None,
+) -> SearchResult:
+    """Cross-validated scores (weighted F1, or R2 for numbers) of a grid or of random points of it.
+
+    ``data`` has ``_label``, an integer ``fold`` from hashed keys and ``features_i`` of each
+    fold i (see ``fold_features``), or one ``features`` for all.  Every point's model is
+    built by ``fit_model``, as the final fit's is; forests and trees of all sizes and
+    depths come from the largest (``staged``).  Boosted ensembles over rounds, depth and
+    step are grown side by side (``boosting``) on 32 bins a feature.
     """
     grid = GRIDS[name] if grid is None else grid
     points = grid_points(grid) if method == "grid" else random_points(grid, draws)
-    estimator, owner = _estimator(name, kind, classes, weight, dict(fixed or {}))
-    maps = [{owner.getParam(k): v for k, v in p.items()} for p in points]
-    if kind == "classification":
-        judge = MulticlassClassificationEvaluator(labelCol="_label", metricName="weightedFMeasure")
+    fixed = dict(fixed or {})
+    tasks = max(1, math.ceil(data.count() / ROWS_PER_TASK))
+    boosted = name in PRESETS and set(grid) <= BOOST_STAGED and set(fixed) <= BOOST_STAGED
+    if boosted:
+        scores = _boosted_scores(name, kind, data, classes, points, fixed, folds, weight)
     else:
-        judge = RegressionEvaluator(labelCol="_label", metricName="r2")
-    validator = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="fold",
-        parallelism=parallelism, seed=SEED)
-    data = train.persist()
-    try:
-        scores = validator.fit(data).avgMetrics
-    finally:
-        data.unpersist()
-    best = max(range(len(points)), key=lambda i: (scores[i], -i))
-    return points[best], float(scores[best])
+        data = (data.coalesce(tasks) if data.rdd.getNumPartitions() > tasks else data).persist()
+        try:
+            scores = _fitted_scores(name, kind, data, classes, points, fixed, folds, weight, key)
+        finally:
+            data.unpersist()
+    means = [float(np.mean(s)) for s in scores]
+    best = max(range(len(points)), key=lambda i: (means[i], -i))
+    return SearchResult(points[best], means[best], list(zip(points, scores, strict=True)))
 
 
 class Calibration:

@@ -1,5 +1,7 @@
 """Feature engineering and preprocessing queries."""
 
+from pyspark.sql import functions as F
+
 from ..operators import features as X
 from ..operators import preprocess as R
 from .base import query, rounded, table, view
@@ -191,6 +193,28 @@ def f15c(spark, sf):
     return rounded(R.transformed_preview(part, prepared, ["p_partkey"]))
 
 
+@query("f15_many_categories", """
+with g as (select c_name as k, avg(c_acctbal) as m, cast(count(*) as double) as c from customer group by c_name),
+ p as (select avg(c_acctbal) as pr from customer)
+select c_custkey, round(pr*(1-1/(1+exp(-(c-20)/10))) + m/(1+exp(-(c-20)/10)), 6) as c_name from customer join g on k = c_name, p""")
+def f15d(spark, sf):
+    """Target means of a column with a category for each row."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    prepared = R.fit_preprocessor(rows, ["c_name"], encoding="target", target="c_acctbal")
+    return rounded(R.transformed_preview(rows, prepared, ["c_custkey"]))
+
+
+@query("f12_one_hot_vector", """
+with codes as (select c_name as k, row_number() over (order by c_name) - 1 as code from (select distinct c_name from customer))
+select c_custkey, cast((select count(*) - 1 from codes) as int) as size,
+ case when code > 0 then cast(code - 1 as int) end as slot from customer join codes on k = c_name""")
+def f12b(spark, sf):
+    """One-hot codes of a column with a category for each row, as sparse vectors."""
+    rows = R.one_hot_vector(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name"])
+    vector = F.unwrap_udt("c_name_onehot")
+    return rows.select("c_custkey", vector["size"].alias("size"), F.get(vector["indices"], F.lit(0)).alias("slot"))
+
+
 @query("f16_preview", """
 select l_orderkey, l_linenumber, l_quantity, case when l_returnflag = 'N' then 1.0 else 0.0 end::double as "l_returnflag_N",
  case when l_returnflag = 'R' then 1.0 else 0.0 end::double as "l_returnflag_R"

@@ -14,7 +14,7 @@ from ..operators.compare import fold_scores, fold_summary
 from ..operators.models import fit_model
 from ..operators.neighbors import feature_array, knn_predict
 from ..operators.split import train_test, with_folds
-from ..operators.tuning import calibrate, search
+from ..operators.tuning import calibrate, fold_features, search
 from ..session import spread
 from .base import query, rounded, table, view
 
@@ -245,24 +245,33 @@ def t15(spark, sf):
     return rounded(fold_summary(fold_scores(oof, "classification")))
 
 
-def _folded_ready(spark, sf):
+def _fold_table(spark, sf):
+    """The class problem's training rows with features prepared without each fold."""
     train, _, prepared = class_problem(spark, sf)
-    folded = with_folds(train, "event_id", 5, "label")
-    return prepared, prepared.apply(folded).select("event_id", "_label", "features", "fold")
+    folded = with_folds(train, "event_id", 5, "label").persist()
+    return fold_features(folded, T.prepare_folds(prepared, folded, 5))
+
+
+def _points(result, spark):
+    """The searched points: each has a score in [0, 1], and the chosen one has the highest, ties to the first."""
+    table = result.table(spark)
+    top = table.agg(F.max("score")).first()[0]
+    names = [c for c in table.columns if c not in ("score", "chosen")]
+    best_is_top = F.when(F.col("chosen"), F.col("score") == F.lit(top)).otherwise(F.col("score") <= F.lit(top))
+    return table.select(*names, F.col("score").between(0, 1).alias("scored"), best_is_top.alias("agrees"))
 
 
-@query("t16_grid_search")
+@query("t16_grid_search", """
+select t as "numTrees", d as "maxDepth", m as "minInstancesPerNode", true as scored, true as agrees
+from (select unnest([50.0::double, 100, 200]) as t), (select unnest([30.0::double, 10, 20]) as d), (select unnest([1.0::double, 2, 5]) as m)""")
 def t16(spark, sf):
-    prepared, ready = _folded_ready(spark, sf)
-    best, score = search("random_forest", "classification", ready, 2, "grid")
-    return rounded(spark.createDataFrame([(str(best), score)], "best_params string, score double"))
+    return _points(search("random_forest", "classification", _fold_table(spark, sf), 2, "grid"), spark)
 
 
 @query("t17_random_search")
 def t17(spark, sf):
-    prepared, ready = _folded_ready(spark, sf)
-    best, score = search("xgboost", "classification", ready, 2, "random")
-    return rounded(spark.createDataFrame([(str(best), score)], "best_params string, score double"))
+    found = search("xgboost", "classification", _fold_table(spark, sf), 2, "random")
+    return rounded(found.table(spark))
 
 
 @query("t18_calibration")
@@ -315,7 +324,7 @@ def en1b(spark, sf):
 def en3(spark, sf):
     train, test, prepared = class_problem(spark, sf)
     folded = with_folds(train, "event_id", 5, "label")
-    ready = prepared.apply(folded).select("event_id", "_label", "features", "fold").persist()
+    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared).persist()
     model = N.stacking(ready, ["naive_bayes", "decision_tree"], "classification", 2, "logistic", 5)
     scored = model.transform(prepared.slim(test))
     return rounded(scored.select("event_id", "_label", "prediction", vector_to_array("probability")[1].alias("p1")))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -70,3 +75,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: from its folder where they share it, else as a file Spark ships."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    root = str(package.parent)
+    paths = [context.environment.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
+    if root in os.pathsep.join(paths).split(os.pathsep):
+        return
+    if context.master.startswith("local"):
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths[0]) if x)
+    elif context.applicationId not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="prepmill-")  # the driver's own; Spark serves the file
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", root, package.name))
+        _SHIPPED.add(context.applicationId)

@@ -279,19 +279,185 @@ def test_search_queries_use_the_whole_grids(spark, sf, monkeypatch):
     from prepmill.operators import tuning
     from prepmill.plans import training as plans
 
-    tried = {}
+    tried = []
 
-    class Recorder:
-        def __init__(self, estimatorParamMaps, **other):
-            self.maps = estimatorParamMaps
+    def record(name, kind, data, classes, points, *rest):
+        tried.append(points)
+        return [[0.0] * 5 for _ in points]
 
-        def fit(self, data):
-            points = [{p.name: v for p, v in m.items()} for m in self.maps]
-            tried[len(tried)] = points
-            return type("Fitted", (), {"avgMetrics": [0.0] * len(points)})
-
-    monkeypatch.setattr(tuning, "CrossValidator", Recorder)
+    monkeypatch.setattr(tuning, "_fitted_scores", record)
+    monkeypatch.setattr(tuning, "_boosted_scores", record)
     plans.t16(spark, sf).collect()
     plans.t17(spark, sf).collect()
     assert tried[0] == tuning.grid_points(tuning.FOREST_GRID) and len(tried[0]) == 27
     assert tried[1] == tuning.random_points(tuning.BOOST_GRID) and len(tried[1]) == 20
+
+
+def forest_guesses(model, held):
+    return {r["id"]: r["prediction"] for r in model.transform(held).select("id", "prediction").collect()}
+
+
+def test_staged_forests_are_their_parts(spark, two):
+    """All trees at full depth guess as Spark's own forest; cut at depth 0 a tree knows only its root."""
+    from prepmill.operators.staged import staged_predictions, tree_nodes
+
+    _, _, _, ready, held = two
+    fitted = models.fit_model("random_forest", "classification", ready, 2, None, {"numTrees": 9, "maxDepth": 6})
+    stages = [(9, 6), (4, 6), (9, 0), (9, 30)]
+    got = staged_predictions(fitted.core, True, held.select("features", F.col("id").alias("_label")), stages)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(int(r["model"]), {})[int(r["label"])] = r["prediction"]
+    whole = forest_guesses(fitted, held)
+    assert rows[0] == whole and rows[3] == whole
+    nodes = tree_nodes(fitted.core, True)
+    root = nodes.value[nodes.roots].sum(axis=0).argmax()
+    assert set(rows[2].values()) == {float(root)}
+    first = [t for t in fitted.core.trees[:4]]
+    votes = {}
+    for t in first:
+        for r in t.transform(held).select("id", vector_to_array("probability").alias("p")).collect():
+            votes[r["id"]] = votes.get(r["id"], 0) + np.array(r["p"])
+    assert rows[1] == {i: float(v.argmax()) for i, v in votes.items()}
+
+
+def test_boosted_search_learns_by_rounds(spark, two, numbers):
+    """Scores of ensembles grown side by side: with more rounds a slow learner catches up; classes, numbers, weights."""
+    from prepmill.operators.boosting import BoostedSearch
+
+    train, _, prepared, *_ = two
+    ready = prepared.apply(split.with_folds(train, "id", 3, "c")).select("_label", "features", "fold").repartition(3)
+    found = BoostedSearch(ready, 3, 2).run([(2, 0.3, 10), (2, 0.3, 1), (3, 0.05, 5)])
+    assert len(found) == 3 and all(len(s) == 3 for s in found.values())
+    assert np.mean(found[2, 0.3, 10]) > 0.9
+    train, _, prepared, *_ = numbers
+    folded = split.with_folds(train, "id", 3)
+    ready = training.fold_features(folded, training.prepare_folds(prepared, folded, 3))
+    assert {"features_0", "features_2"} <= set(ready.columns)
+    found = BoostedSearch(ready, 3, 0).run([(3, 0.2, 2), (3, 0.2, 12)])
+    assert np.mean(found[3, 0.2, 12]) > max(0.8, np.mean(found[3, 0.2, 2]))
+    many = blobs(spark, 3)
+    prepared = training.prepare(many, ["a", "b"], "c", "id")
+    ready = prepared.apply(split.with_folds(many, "id", 3, "c")).select("_label", "features", "fold")
+    assert np.mean(BoostedSearch(ready, 3, 3).run([(3, 0.3, 8)])[3, 0.3, 8]) > 0.85
+
+
+def test_boosted_trees_are_those_of_a_plain_learner(spark, monkeypatch):
+    """Margins after some rounds equal a learner that tries every cut of every node."""
+    from prepmill.operators import boosting
+    from prepmill.operators.boosting import BoostedSearch
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (90, 2)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 7)).astype(float)
+    rows = [(i, float(a), float(b), float(c), i % 3) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, _label double, fold int")
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+    def tree(rows, goal, depth):
+        mean = goal[rows].mean()
+        best = None
+        for s in range(2):
+            for cut in range(12):
+                left, right = rows[x[rows, s] <= cut], rows[x[rows, s] > cut]
+                if len(left) and len(right):
+                    gain = goal[left].sum() ** 2 / len(left) + goal[right].sum() ** 2 / len(right) - goal[rows].sum() ** 2 / len(rows)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = (gain, s, cut, left, right)
+        if not depth or best is None:
+            return lambda v: mean
+        _, s, cut, left, right = best
+        low, high = tree(left, goal, depth - 1), tree(right, goal, depth - 1)
+        return lambda v: low(v) if v[s] <= cut else high(v)
+
+    def score(fold, rounds, step, depth):
+        sign = 2 * y - 1
+        inside = np.array([i for i in range(90) if i % 3 != fold])
+        margin = np.zeros(90)
+        for r in range(rounds):
+            goal = sign if r == 0 else 4 * sign / (1 + np.exp(2 * sign * margin))
+            t = tree(inside, goal, depth)
+            margin += (1.0 if r == 0 else step) * np.array([t(v) for v in x])
+        held = [i for i in range(90) if i % 3 == fold]
+        guess = margin[held] > 0
+        truth = y[held] > 0
+        f1 = [2 * ((guess == c) & (truth == c)).sum() / max((guess == c).sum() + (truth == c).sum(), 1) for c in (False, True)]
+        share = [(truth == c).mean() for c in (False, True)]
+        return sum(a * b for a, b in zip(f1, share))
+
+    points = [(2, 0.3, 1), (2, 0.3, 4), (3, 0.3, 4)]
+    found = BoostedSearch(ready, 3, 2).run(points)
+    assert set(found) == set(points)
+    for (depth, step, rounds), scores in found.items():
+        assert scores == pytest.approx([score(f, rounds, step, depth) for f in range(3)])
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 20)  # several blocks, several pieces of sums, checkpoints
+    monkeypatch.setattr(boosting, "MAX_CELLS", 600)
+    monkeypatch.setattr(boosting, "CHECKPOINT_EVERY", 2)
+    for limit in (32, 1):
+        monkeypatch.setattr(boosting, "FLAT_PARTITIONS", limit)
+        apart = BoostedSearch(ready.repartition(3), 3, 2).run(points)
+        assert {k: pytest.approx(v) for k, v in found.items()} == apart
+
+
+def test_side_tables_of_any_size(spark, monkeypatch):
+    """More categories than columns could have; broadcast or shuffled; saved and loaded; unseen ones."""
+    from prepmill.operators import encoders
+
+    df = spark.range(12_000).selectExpr("id", "concat('c', id) as t", "cast(id % 7 as double) as y")
+    new = spark.createDataFrame([(1, "c3"), (2, "nobody"), (3, None)], "id long, t string")
+    results = []
+    monkeypatch.setattr(encoders, "MAX_BROADCAST_ROWS", encoders.MAX_BROADCAST_ROWS)
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(auto)
+    spark.conf.set(auto, "-1")
+    for limit in (encoders.MAX_BROADCAST_ROWS, 10):
+        monkeypatch.setattr(encoders, "MAX_BROADCAST_ROWS", limit)
+        hot = preprocess.fit_preprocessor(df, ["t"])
+        assert len(hot.names) == 11_999
+        v = F.unwrap_udt("features")
+        rows = hot.model.transform(new).select("id", v["size"].alias("n"), v["indices"].alias("i")).collect()
+        results.append(sorted((r["id"], r["n"], list(r["i"] or [])) for r in rows))
+        plan = hot.model.transform(df)._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (limit > 10)
+    spark.conf.set(auto, was)
+    assert results[0] == results[1] and [len(r[2]) for r in results[0]] == [1, 0, 0]
+    path = scratch_path(spark, "side")
+    coded = preprocess.fit_preprocessor(df, ["t"], encoding="target", target="y")
+    coded.model.write().save(path)
+    from pyspark.ml import PipelineModel
+
+    value = lambda m: {r["id"]: r["v"] for r in m.transform(new).select("id", vector_to_array("features")[0].alias("v")).collect()}
+    assert value(PipelineModel.load(path)) == value(coded.model)
+
+
+def test_cross_fitted_means_leave_their_fold_out(spark):
+    """Means by subtraction equal those fitted on the other folds; a key's means teach nothing about its own row."""
+    from prepmill.operators import encoders
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"k{i}", "xyz"[i % 3] if i % 5 else None, float(rng.integers(0, 2)), i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, t string, y double, fold int")
+    sums = encoders.target_sums(df, ["k", "t"], "y", 0, "fold")
+    for fold in range(4):
+        table, priors = encoders.target_table(sums, "t", "x", fold)
+        other = df.where(F.col("fold") != fold)
+        plain = preprocess.target_means(other.fillna("x", ["t"]), "t", "y")
+        want = {r["category"]: r["encoded"] for r in plain.collect()}
+        assert {r["category"]: r["value"][0] for r in table.collect()} == pytest.approx(want)
+        assert priors == pytest.approx([other.agg(F.avg("y")).first()[0]])
+    prepared = training.prepare(df, ["k"], "y", "id", "classification", encoding="target")
+    folds = training.prepare_folds(prepared, df, 4)
+    ready = training.fold_features(df, folds, prepared)
+    found = tuning.search("decision_tree", "classification", ready, 2, "grid", {"maxDepth": [1, 3]}, folds=4)
+    leaky = tuning.search("decision_tree", "classification", ready.select("id", "fold", "_label", "features"), 2, "grid", {"maxDepth": [3]}, folds=4)
+    assert found.score < 0.6 < leaky.score
+
+
+def test_target_means_of_several_classes(spark):
+    df = blobs(spark, 3)
+    prepared = training.prepare(df, ["a", "t"], "c", "id", encoding="target")
+    assert prepared.preprocessor.names == ["a", "t=0", "t=1", "t=2"]
+    row = prepared.slim(df).select(vector_to_array("features").alias("v")).first()
+    assert sum(row["v"][1:]) == pytest.approx(1.0)
