@@ -13,6 +13,8 @@ from .neighbors import feature_array, nearest
 # Seed and neighbour count of the samplers.
 SEED = 42
 NEIGHBOURS = 5
+#: Copies of a row that one task makes at a time.
+COPY_CHUNK = 10_000
 
 
 def class_weights(df: DataFrame, target: str) -> dict[str, float]:
@@ -61,28 +63,47 @@ def _copies(df: DataFrame, target: str, key: str, goal: dict[str, int], seed, ou
     return joined.withColumn(out, F.col("_share") + extra).drop("_piece", "_class", "_share", "_odd")
 
 
+def _repeat(rows: DataFrame, number: Column, first: int, most: int) -> DataFrame:
+    """Each row ``number`` times, with ``copy`` from ``first`` on.
+
+    Where a row has more than COPY_CHUNK copies, it is dealt to tasks once for each chunk
+    of them, and copied there; no array is longer than the chunk or the count of chunks.
+    """
+    dealt = rows.withColumn("_n", number).where("_n > 0")
+    if most <= COPY_CHUNK:
+        start, stop = F.lit(first), F.col("_n") + first - 1
+        return dealt.withColumn("copy", F.explode(F.sequence(start.cast("bigint"), stop.cast("bigint")))).drop("_n")
+    chunks = F.ceil(F.col("_n") / COPY_CHUNK).cast("bigint")
+    dealt = dealt.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    # Without a key the chunks are dealt in turn, whatever rows they belong to.
+    dealt = dealt.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    start = F.col("_chunk") * COPY_CHUNK + first
+    stop = F.least(start + COPY_CHUNK, F.col("_n") + first) - 1
+    return dealt.withColumn("copy", F.explode(F.sequence(start, stop))).drop("_n", "_chunk")
+
+
 def oversample(df: DataFrame, target: str, key: str, seed: int | str = SEED) -> DataFrame:
     """Repeat rows until every class has as many as the largest; ``copy`` numbers the repeats from 0."""
     rows = df.where(col(target).isNotNull())
     counts = stratum_counts(rows, target)
     most = max(counts.values())
     spread = _copies(rows, target, key, {c: most - n for c, n in counts.items()}, seed, "_extra")
-    return spread.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_extra")))).drop("_extra")
+    return _repeat(spread, F.col("_extra") + 1, 0, max(-(-most // n) for n in counts.values())).drop("_extra")
 
 
-def _mix(near: DataFrame, bases: DataFrame, key: str, seed) -> DataFrame:
-    """Synthetic points: base plus a hashed share of the way to a hashed choice of neighbour."""
-    numbered = bases.where("_extra > 0").withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_extra")))
-    )
+def _mix(near: DataFrame, bases: DataFrame, key: str, seed, most: int) -> DataFrame:
+    """Synthetic points: base plus a hashed share of the way to a hashed choice of neighbour.
+
+    A base meets its few neighbours before it is repeated, so the copies need no join.
+    """
     listed = near.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("place", "neighbor_id", F.col("_x").alias("x")))).alias("_near")
     )
-    joined = numbered.join(listed, key)
+    joined = _repeat(bases.where("_extra > 0").join(listed, key), F.col("_extra"), 1, most)
     chosen = F.pmod(hash_key([key, "copy"], f"{seed}:pick"), F.size("_near")).cast("int")
     joined = joined.withColumn("_pick", F.get("_near", chosen)).withColumn(
         "_u", hash_unit([key, "copy"], f"{seed}:step")
-    )
+    ).drop("_near")
     return joined.withColumn(
         "_new", F.zip_with("_x", "_pick.x", lambda a, b: a + (b - a) * F.col("_u"))
     )
@@ -129,7 +150,7 @@ def smote(
         bases = _copies(members, target, key, {name: most - n}, seed, "_extra")
         asked = bases.where("_extra > 0")
         near = nearest(asked, members, key, key, "_x", min(k, n - 1), True, ["_x"])
-        part = _mix(near, bases, key, seed)
+        part = _mix(near, bases, key, seed, -(-(most - n) // n))
         made = part if made is None else made.unionByName(part)
     if made is None:
         return _assemble(rows, rows.limit(0).select("*", F.lit(0).alias("copy"), F.struct(
@@ -161,7 +182,8 @@ def adasyn(
         allotted = hardness.select(key, F.rint(F.col("_r") / total * (most - n)).cast("bigint").alias("_extra"))
         bases = members.join(allotted, key).drop("_class")
         near = nearest(bases.where("_extra > 0"), members, key, key, "_x", min(k, n - 1), True, ["_x"])
-        part = _mix(near, bases, key, seed)
+        largest = allotted.agg(F.max("_extra")).first()[0] or 0
+        part = _mix(near, bases, key, seed, largest)
         made = part if made is None else made.unionByName(part)
     return _assemble(rows, made, target, features, key)
 

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import measured
+from ..functions.joins import join_null_safe, measured
 from ..functions.quantiles import quantiles
 from ..functions.roles import col, numeric_columns, require_columns
 from .profile import IQR_FACTOR, percent
 from .reshape import pivot
 from .view import sample
 
-PAIRS_PER_JOB = 200
+#: Columns of a block of the correlation sums; tables of up to so many take one pass.
+GRAM_COLUMNS = 1024
 FLAT = 1e-12
 DENSITY_POINTS = 200
 DENSITY_CUT = 3.0
+#: Distinct values up to which density curves are exact, nodes per bandwidth above it, and a kernel's reach.
+EXACT_VALUES = 20_000
+DENSITY_STEP = 0.02
+KERNEL_REACH = 8.5
 TOP_VALUES = 20
 SCATTER_POINTS = 5000
 
@@ -136,44 +145,64 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50, by: str | None =
     return rows.groupBy(*([col(by)] if by else []), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kernel_sums(nodes: DataFrame, points: int) -> DataFrame:
+    """Sums of kernels at the grid points, from weighted places ``_x``; points that no kernel reaches get 0."""
+    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
+    reach = F.lit(KERNEL_REACH) * F.col("_h")
+    first = F.greatest(F.ceil((F.col("_x") - reach - F.col("_lo")) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("_x") + reach - F.col("_lo")) / step), F.lit(points - 1)).cast("int")
+    near = nodes.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    z = (F.col("_lo") + step * F.col("point") - F.col("_x")) / F.col("_h")
+    return near.groupBy("_g", "point").agg(F.sum(F.col("_w") * F.exp(-0.5 * z * z)).alias("_k"))
+
+
 def density_by(
-    df: DataFrame, column: str, by: str, points: int = DENSITY_POINTS, fine_bins: int | None = None
+    df: DataFrame, column: str, by: str, points: int = DENSITY_POINTS, fine_bins: int | None = None,
+    exact_values: int = EXACT_VALUES,
 ) -> DataFrame:
     """Gaussian density curve per group: Scott bandwidth, ``points`` grid values, cut 3.
 
-    Each value adds to every grid point inside its own task, and tasks send only
-    group x grid sums.  ``fine_bins`` first counts values in that many narrow bins per
-    group, which makes the cost independent of the table size (bin centres replace values).
+    Values are counted first, and kernels are summed over what is counted, so a row costs
+    the same whatever the grid.  Up to ``exact_values`` distinct values (by estimate) are
+    counted as they are.  More are dealt to nodes ``DENSITY_STEP`` bandwidths apart, each
+    value to its two neighbours by distance, which moves the curve by at most
+    DENSITY_STEP ** 2 / 8 of a kernel's height, 5e-5.  A kernel ends after ``KERNEL_REACH``
+    bandwidths, below 1e-15 of its height.  ``fine_bins`` counts in that many bins per
+    group instead (bin centres replace values).
     """
     values = df.select(col(by).alias("_g"), col(column).cast("double").alias("_x"), F.lit(1.0).alias("_w"))
     values = values.where("_g is not null and _x is not null")
     facts = values.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_s"),
-        F.min("_x").alias("_a"), F.max("_x").alias("_z"),
+        F.min("_x").alias("_a"), F.max("_x").alias("_z"), F.approx_count_distinct("_x").alias("_d"),
     )
     facts = facts.where("_n > 1 and _s > 0").withColumn(
         "_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     )
     facts = measured(facts.withColumns(
         {"_lo": F.col("_a") - DENSITY_CUT * F.col("_h"), "_hi": F.col("_z") + DENSITY_CUT * F.col("_h")}
-    ))
+    ).drop("_s"))
     joined = values.join(facts, "_g")
     if fine_bins:
         place = _bin_of(F.col("_x"), F.col("_a"), F.col("_z"), fine_bins)
         width = (F.col("_z") - F.col("_a")) / fine_bins
-        centre = F.col("_a") + width * (place + 0.5)
-        joined = joined.groupBy("_g", "_n", "_h", "_lo", "_hi", centre.alias("_x")).agg(F.sum("_w").alias("_w"))
-    step = (F.col("_hi") - F.col("_lo")) / (points - 1)
-    spread = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.col("_lo") + step * F.col("point")
-    z = (at - F.col("_x")) / F.col("_h")
-    summed = spread.groupBy("_g", "_n", "_h", "_lo", "_hi", "point").agg(
-        F.sum(F.col("_w") * F.exp(-0.5 * z * z)).alias("_k")
-    )
-    return summed.select(
-        F.col("_g").alias(by), "point", at.alias("x"),
-        (F.col("_k") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"),
-    )
+        joined = joined.withColumn("_x", F.col("_a") + width * (place + 0.5))
+    elif (facts.agg(F.sum("_d")).first()[0] or 0) > exact_values:
+        width = F.col("_h") * DENSITY_STEP
+        node = F.floor((F.col("_x") - F.col("_lo")) / width)
+        right = (F.col("_x") - F.col("_lo")) / width - node
+        both = F.array(
+            F.struct(node.alias("node"), (1 - right).alias("w")), F.struct((node + 1).alias("node"), right.alias("w"))
+        )
+        dealt = joined.select("_g", "_lo", "_h", F.inline(both)).groupBy("_g", "node").agg(F.sum("w").alias("_w"))
+        joined = dealt.join(facts, "_g").withColumn("_x", F.col("_lo") + F.col("_h") * DENSITY_STEP * F.col("node"))
+    keys = ["_g", "_h", "_lo", "_hi", "_x"]
+    nodes = joined.groupBy(*keys).agg(F.sum("_w").alias("_w"))
+    grid = facts.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    found = join_null_safe(grid, _kernel_sums(nodes, points), ["_g", "point"], "left")
+    at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) / (points - 1) * F.col("point")
+    height = F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return found.select(F.col("_g").alias(by), "point", at.alias("x"), height.alias("density"))
 
 
 def density(df: DataFrame, column: str, points: int = DENSITY_POINTS, fine_bins: int | None = None) -> DataFrame:
@@ -181,61 +210,79 @@ def density(df: DataFrame, column: str, points: int = DENSITY_POINTS, fine_bins:
     return density_by(df.withColumn("_all", F.lit(0)), column, "_all", points, fine_bins).drop("_all")
 
 
-def _pair_sums(i: int, j: int, whole: set[int], x: list[str]) -> dict[str, str]:
-    """Sums for one pair as ``{part: SQL}``; columns without gaps share theirs by equal text."""
-    a, b = x[i], x[j]
-    if i in whole and j in whole:
-        return {
-            "n": "count(1)", "sa": f"sum({a})", "sb": f"sum({b})", "qa": f"sum({a} * {a})", "qb": f"sum({b} * {b})",
-            "p": f"sum({a} * {b})",
-        }
-    aa, bb = f"if({b} is null, null, {a})", f"if({a} is null, null, {b})"
-    return {
-        "n": f"count({a} * {b})", "sa": f"sum({aa})", "sb": f"sum({bb})", "qa": f"sum({aa} * {a})",
-        "qb": f"sum({bb} * {b})", "p": f"sum({a} * {b})",
-    }
+#: What a pair's r is made of: rows that have both, sums and squares of either there, products.
+GRAM_SUMS = ("n", "sa", "sb", "qa", "qb", "p")
+
+
+def _gram(rows: DataFrame, k: int, means: list[float], left: range, right: range) -> DataFrame:
+    """(i, j, sums) of column pairs i in ``left`` and j > i in ``right``, from one pass of matrix products.
+
+    Of a batch's centred values X (0 where missing) and its presence M, the products of X,
+    X * X and M hold the sums of all pairs; a task adds up its batches and sends one row
+    per pair.
+    """
+    wanted = sorted(set(left) | set(right))
+    at = {c: n for n, c in enumerate(wanted)}
+    a, b = [at[c] for c in left], [at[c] for c in right]
+    shift = np.array([means[c] for c in wanted])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            x = np.where(there, x - shift, 0.0)
+            m, q = there.astype(np.float64), x * x
+            sums = np.stack([
+                m[:, a].T @ m[:, b], x[:, a].T @ m[:, b], m[:, a].T @ x[:, b], q[:, a].T @ m[:, b], m[:, a].T @ q[:, b],
+                x[:, a].T @ x[:, b],
+            ])
+            total = sums if total is None else total + sums
+        if total is not None:
+            i, j = np.meshgrid(np.array(left), np.array(right), indexing="ij")
+            keep = i < j
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i[keep]), pa.array(j[keep]), *[pa.array(s[keep]) for s in total]], ["i", "j", *GRAM_SUMS]
+            )
+
+    schema = "i bigint, j bigint, " + ", ".join(f"{c} double" for c in GRAM_SUMS)
+    return rows.select(*[f"x{c}" for c in wanted]).mapInArrow(each, schema)
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson r of every pair of numeric columns (``col_a`` before ``col_b``), pairwise complete.
 
-    A first aggregate finds each column's mean and gaps.  The second sums products of
-    centred columns, so nothing cancels.  Each task sends one row, and
-    ``PAIRS_PER_JOB`` pairs go into one aggregate.
+    A first aggregate finds each column's mean and gaps.  One more pass sums products of
+    centred columns, so nothing cancels, as matrix products per task (``GRAM_COLUMNS``
+    columns against as many at a time).
     """
     names = numeric_columns(df) if columns is None else columns
     require_columns(df, names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    if not pairs:
+    k = len(names)
+    if k < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     raw = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    facts = [f"avg(x{i}) as m{i}, count(x{i}) as c{i}, min(x{i}) as a{i}, max(x{i}) as z{i}" for i in range(len(names))]
-    row = raw.selectExpr("count(1) as n", *[e for f in facts for e in f.split(", ")]).first()
-    whole = {i for i in range(len(names)) if row[f"c{i}"] == row["n"]}
-    flat = {i for i in range(len(names)) if row[f"a{i}"] == row[f"z{i}"]}
-    centred = raw.selectExpr(*[
-        f"x{i} - cast('{0.0 if row[f'm{i}'] is None else row[f'm{i}']!r}' as double) as x{i}" for i in range(len(names))
-    ])
-    x = [f"x{i}" for i in range(len(names))]
-    parts = None
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        sums: dict[str, str] = {}
-        structs = []
-        for i, j in pairs[start:start + PAIRS_PER_JOB]:
-            fields = [f"{i} as i, {j} as j, {str(not {i, j} & flat).lower()} as varied"]
-            for part, text in _pair_sums(i, j, whole, x).items():
-                fields.append(f"cast({sums.setdefault(text, f's{len(sums)}')} as double) as {part}")
-            structs.append(f"struct({', '.join(fields)})")
-        wide = centred.selectExpr(*[f"{text} as {name}" for text, name in sums.items()])
-        part = wide.selectExpr(f"inline(array({', '.join(structs)}))")
-        parts = part if parts is None else parts.unionByName(part)
-    spread = parts.selectExpr("i", "j", "varied", "n * p - sa * sb as c", "n * qa as ta", "n * qb as tb",
-                              "n * qa - sa * sa as va", "n * qb - sb * sb as vb")
+    facts = [e for i in range(k) for e in (f"avg(x{i}) as m{i}", f"min(x{i}) as a{i}", f"max(x{i}) as z{i}")]
+    row = raw.selectExpr(*facts).first()
+    means = [row[f"m{i}"] or 0.0 for i in range(k)]
+    flat = [i for i in range(k) if row[f"a{i}"] == row[f"z{i}"]]
+    blocks = [range(s, min(s + GRAM_COLUMNS, k)) for s in range(0, k, GRAM_COLUMNS)]
+    parts = [_gram(raw, k, means, a, b) for n, a in enumerate(blocks) for b in blocks[n:]]
+    met = reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in GRAM_SUMS])
+    varied = ~(F.col("i").isin(flat) | F.col("j").isin(flat)) if flat else F.lit(True)
+    spread = met.withColumn("varied", varied).selectExpr(
+        "i", "j", "varied", "n * p - sa * sb as c", "n * qa as ta", "n * qb as tb", "n * qa - sa * sa as va",
+        "n * qb - sb * sb as vb")
     # A spread this small beside the squares is rounding: the column is constant there.
     r = f"""if(varied and va > {FLAT} * ta and vb > {FLAT} * tb,
             greatest(least(c / (sqrt(va) * sqrt(vb)), 1D), -1D), null)"""
+    if all(mean is None for mean in (row[f"m{i}"] for i in range(k))):  # no values, so maybe no sums either
+        every = df.sparkSession.createDataFrame([(i, j) for i in range(k) for j in range(i + 1, k)], "i bigint, j bigint")
+        spread = every.selectExpr("i", "j", "false as varied", "0D as c", "0D as ta", "0D as tb", "0D as va", "0D as vb")
     listed = F.array(*[F.lit(c) for c in names])
-    return spread.select(listed[F.col("i")].alias("col_a"), listed[F.col("j")].alias("col_b"), F.expr(r).alias("r"))
+    return spread.select(
+        F.get(listed, F.col("i").cast("int")).alias("col_a"), F.get(listed, F.col("j").cast("int")).alias("col_b"), F.expr(r).alias("r")
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import as_text, col, numeric_columns, role_of
 from .charts import correlation_pairs
-from .view import comparison
+from .view import _test, comparison, matching_rows
 
 CORRELATION_LIMIT = 0.95
 
@@ -40,8 +40,16 @@ def drop_correlated(df: DataFrame, limit: float = CORRELATION_LIMIT) -> DataFram
 
 
 def remove_where(df: DataFrame, column: str, op: str, value=None, other: str | None = None) -> DataFrame:
-    """Rows for which the comparison does not hold."""
-    return df.where(~comparison(df, column, op, value, other))
+    """Rows for which the comparison does not hold, missing cells among them.
+
+    For ``!=`` these are the rows whose test ``==`` holds, and that test reaches the file
+    scan.  For the others missing cells stay; a file's statistics cannot tell NaN, so only
+    tables read with ``nan_as_null=False`` prune files here.
+    """
+    if op == "!=":
+        return matching_rows(df, column, "==", value, other)
+    test = _test(df, column, op, value, other)
+    return df.where(~test | test.isNull())
 
 
 def replace_where(

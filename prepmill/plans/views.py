@@ -1,6 +1,7 @@
 """Row views: sort, slices, samples, filters."""
 
 from ..operators import view as V
+from ..sources import read_parquet
 from .base import query, table, view
 
 
@@ -71,8 +72,8 @@ def v6(spark, sf):
     "select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem where l_quantity >= 30",
 )
 def v7(spark, sf):
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return V.matching_rows(line, "l_quantity", ">=", "30")
+    line = read_parquet(spark, f"{sf}/lineitem.parquet", where=("l_quantity", ">=", "30"))
+    return line.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.roles import nan_to_null
+from ..operators.view import matching_rows
 
 # The separators that are tried, first ones first among equals.
 SEPARATORS = (",", ";", "\t", "|")
@@ -268,11 +269,25 @@ def read_json(
 
 
 def read_parquet(
-    spark: SparkSession, path: str, row_id: str | None = None, nan_as_null: bool = True
+    spark: SparkSession, path: str, row_id: str | None = None, nan_as_null: bool = True,
+    where: tuple[str, str, object] | None = None,
 ) -> DataFrame:
-    """Parquet.  Pass ``nan_as_null=False`` for tables known to hold no NaN: filters on
-    float columns then reach the file scan."""
-    return _finish(spark.read.parquet(path), row_id, nan_as_null)
+    """Parquet, all rows or those for which the comparison ``where`` (column, op, value) holds.
+
+    A float filter on the table as returned cannot reach the file scan, as it must not see
+    NaN.  ``where`` is tested twice instead: on the raw column, where it prunes files and
+    row groups (NaN counts as largest there, so no row is lost), and on the result, where
+    missing cells compare as everywhere.  ``!=`` prunes nothing, as it is true for missing
+    cells.  ``nan_as_null=False``, for tables known to hold no NaN, lets any filter through.
+    """
+    df = spark.read.parquet(path)
+    if where is None:
+        return _finish(df, row_id, nan_as_null)
+    column, op, value = where
+    # Row ids are given before rows are left out, so they do not depend on the filter.
+    df = _finish(df, row_id, False)
+    raw = df if op == "!=" else matching_rows(df, column, op, value)
+    return matching_rows(nan_to_null(raw), column, op, value) if nan_as_null else matching_rows(raw, column, op, value)
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -105,3 +105,18 @@ def test_resample_by_name(uneven):
     assert sizes(balance.resample(uneven, "c", "undersample", ["a", "b"], "id")) == {"big": 7, "small": 7, "tiny": 7}
     with pytest.raises(ValueError):
         balance.resample(uneven, "c", "other", ["a"], "id")
+
+
+def test_copies_are_made_in_chunks(spark, uneven, monkeypatch):
+    """Few rows against many: no array holds all copies of a row, and nothing is joined after they are made."""
+    whole = {(r["id"], r["copy"]): tuple(r) for r in balance.smote(uneven, "c", ["a", "b"], "id").collect()}
+    many = {(r["id"], r["copy"]) for r in balance.oversample(uneven, "c", "id").collect()}
+    monkeypatch.setattr(balance, "COPY_CHUNK", 3)
+    made = balance.smote(uneven, "c", ["a", "b"], "id")
+    assert {(r["id"], r["copy"]): tuple(r) for r in made.collect()} == whole
+    assert {(r["id"], r["copy"]) for r in balance.oversample(uneven, "c", "id").collect()} == many
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("explode(sequence((_chunk")] if "explode(sequence((_chunk" in plan else plan.split("Generate")[0]
+    assert "Join" not in above.split("Generate")[0]
+    grown = spark.range(3).selectExpr("id", "7L as n")
+    assert sorted(r["copy"] for r in balance._repeat(grown, F.col("n"), 1, 7).where("id = 1").collect()) == list(range(1, 8))

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,62 @@ def test_frequency_table(spark):
     got = {r["value"]: r["n"] for r in profile.value_frequencies(df).collect()}
     assert got == {"a": 2, None: 1}
     assert df.select(F.count("s")).first()[0] == 2
+
+
+def test_density_of_many_values_stays_near_the_exact_curve(spark):
+    """Values dealt to nodes move the curve by less than the stated bound; rows never meet the grid."""
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=1500), rng.exponential(40, size=500)])
+    rows = [(float(v), "ab"[i % 2]) for i, v in enumerate(values)] + [(None, "a"), (3.0, None), (1.0, "lone")]
+    df = frame(spark, rows, "v double, g string").repartition(4)
+    exact = {(r["g"], r["point"]): r["density"] for r in charts.density_by(df, "v", "g").collect()}
+    near = {(r["g"], r["point"]): r["density"] for r in charts.density_by(df, "v", "g", exact_values=10).collect()}
+    assert exact.keys() == near.keys() and len(exact) == 400
+    for g in "ab":
+        mine = np.array([v for v, x in rows if x == g and v is not None])
+        h = mine.std(ddof=1) * len(mine) ** -0.2
+        x = np.linspace(mine.min() - 3 * h, mine.max() + 3 * h, 200)
+        plain = np.exp(-0.5 * ((x[:, None] - mine[None, :]) / h) ** 2).sum(axis=1) / (len(mine) * h * math.sqrt(2 * math.pi))
+        assert np.abs(plain - [exact[g, p] for p in range(200)]).max() < 1e-12
+        bound = charts.DENSITY_STEP ** 2 / 8 / (h * math.sqrt(2 * math.pi))
+        assert np.abs(plain - [near[g, p] for p in range(200)]).max() <= bound * 1.001
+
+
+def test_correlations_of_many_columns_take_one_pass(spark, monkeypatch):
+    """Sixty columns with gaps: a scan for means and one for all pairs; blocks and empty tables give the same pairs."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(80, 60)) @ rng.normal(size=(60, 60)) + 1e6
+    data[:, 7] = 5.0
+    gone = rng.random(data.shape) < 0.2
+    rows = [tuple(None if g else float(v) for v, g in zip(r, m)) for r, m in zip(data, gone)]
+    df = frame(spark, rows, ", ".join(f"c{i} double" for i in range(60))).repartition(3).persist()
+    want = pd.DataFrame(np.where(gone, np.nan, data), columns=df.columns).corr()
+    pairs = charts.correlation_pairs(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1 and plan.count("MapInArrow") == 1
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in pairs.collect()}
+    assert len(got) == 60 * 59 // 2
+    for (a, b), r in got.items():
+        assert r is None if "c7" in (a, b) else r == pytest.approx(want[a][b], abs=1e-9)
+    monkeypatch.setattr(charts, "GRAM_COLUMNS", 25)
+    again = {(r["col_a"], r["col_b"]): r["r"] for r in charts.correlation_pairs(df).collect()}
+    assert again == {k: v if v is None else pytest.approx(v, abs=1e-9) for k, v in got.items()}
+    empty = charts.correlation_pairs(df.limit(0).select("c1", "c2", "c3")).collect()
+    assert [tuple(r) for r in empty] == [("c1", "c2", None), ("c1", "c3", None), ("c2", "c3", None)]
+
+
+def test_comparisons_reach_the_scan_with_the_default_reader(spark, sf, tmp_path):
+    from prepmill.operators import cleaning
+    from prepmill.sources import read_parquet
+
+    rows = [(1, 5.0), (2, float("nan")), (3, None), (4, 50.0), (5, 30.0)]
+    path = str(tmp_path / "nan.parquet")
+    frame(spark, rows, "k int, v double").write.parquet(path)
+    df = read_parquet(spark, path)
+    pushed = lambda d: d._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+    for op, want in ((">=", [4, 5]), (">", [4]), ("<", [1]), ("<=", [1, 5]), ("==", [5]), ("!=", [1, 2, 3, 4])):
+        kept = read_parquet(spark, path, where=("v", op, 30))
+        assert sorted(r["k"] for r in kept.collect()) == want == sorted(r["k"] for r in view.matching_rows(df, "v", op, 30).collect())
+        left = cleaning.remove_where(df, "v", op, 30)
+        assert sorted(r["k"] for r in left.collect()) == sorted({1, 2, 3, 4, 5} - set(want))
+        assert op == "!=" or "v" in pushed(kept)
