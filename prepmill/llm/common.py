@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_at_exit, scratch_path
+from ..session import drop_at_exit, scratch_path, ship_package
 
 #: ASCII white space as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key that holds at least one in HOT_SHARE of all rows is hot; so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
-_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +26,23 @@ def named(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+#: Row groups of written tables of whole texts: a writer holds one in memory.
+WIDE_GROUP_BYTES = 32 << 20
+
+
+def materialise(df: DataFrame, label: str, narrow: bool = False, wide: bool = False) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
     This cuts the lineage with files that every executor can read, so a lost executor
     costs only its running tasks, and later steps neither recompute nor reshuffle it.
     With ``narrow`` (tables of a few numbers a row) the last tasks are merged to some for
-    each core, so that a small table isn't one tiny file for each shuffle partition.  The
-    files go when the driver ends.
+    each core, so that a small table isn't one tiny file for each shuffle partition; ``wide``
+    tables are written in smaller row groups.  The files go when the driver ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    writer = (df.coalesce(4 * spark.sparkContext.defaultParallelism) if narrow else df).write
+    (writer.option("parquet.block.size", WIDE_GROUP_BYTES) if wide else writer).parquet(path)
     drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,16 +56,7 @@ def for_python(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
-    context, root = spark.sparkContext, str(Path(__file__).resolve().parents[2])
-    paths = [context.environment.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]
-    if root in os.pathsep.join(paths).split(os.pathsep):
-        return
-    if context.master.startswith("local"):
-        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths[0]) if x)
-    elif context.applicationId not in _SHIPPED:
-        folder = tempfile.mkdtemp(prefix="prepmill-")  # the driver's own; Spark serves the file
-        context.addPyFile(shutil.make_archive(f"{folder}/prepmill", "zip", root, Path(__file__).resolve().parents[1].name))
-        _SHIPPED.add(context.applicationId)
+    ship_package(spark)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

@@ -305,33 +305,52 @@ def _unshared(ids: DataFrame, docs: Texts, words: int) -> DataFrame:
 
 
 def _refine(rows: DataFrame, docs: Texts, threshold: float, words: int) -> DataFrame:
-    """Split large open buckets into parts by pairs of size classes; no link is lost.
+    """Members of large open buckets with their size class c and the classes [low, high] that can link.
 
     Two bags can only link if what others may share of each reaches the needed overlap:
     size - own >= t / (1 + t) * (both sizes).  So each text admits a range of partner
-    sizes, and two texts meet in a part only if each admits the other's size class.
+    sizes.  One row per bucket and text, however many classes it admits; a text that
+    admits none can have no link.
     """
     own = _unshared(materialise(rows.select("id").distinct(), "large", True), docs, words)
     most = (F.col("size") - F.coalesce("own", F.lit(0))) * ((1 + threshold) / threshold) - F.col("size")
     step = lambda c: F.floor(F.log(F.greatest(c.cast("double"), F.lit(1.0))) / float(np.log(STEP))).cast("int")
-    ranged = rows.join(own, "id", "left").select(
-        "bucket", "id", "size", "label", step(F.col("size")).alias("c"),
+    return rows.join(own, "id", "left").select(
+        "bucket", "id", "size", step(F.col("size")).alias("c"),
         (step(F.col("size") * threshold) - 1).alias("low"),
         F.least(step(F.col("size") / threshold) + 1, step(most) + 1).alias("high"),
     ).filter("high >= low")
-    ranged = materialise(ranged, "ranged", True)
-    there = ranged.select("bucket", F.col("c").alias("p")).distinct()
-    return ranged.join(there, "bucket").filter((F.col("p") >= F.col("low")) & (F.col("p") <= F.col("high"))).select(
-        "bucket", "id", "size", F.least("c", "p").alias("c1"), F.greatest("c", "p").alias("c2")
-    ).dropDuplicates(["bucket", "c1", "c2", "id"])
+
+
+def _open_ranges(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that admit a size class of their bucket in which another label is, with label and bucket's size n.
+
+    A bucket's classes are a short list (their sizes grow by STEP), so it is joined to the
+    members as one row.  Labels only ever merge, so a member left out stays settled.
+    """
+    plain = parts.select("bucket", "id", "size", "c", "low", "high")
+    marked = plain.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    marked = materialise(marked, "marked", True)
+    by_class = marked.groupBy("bucket", "c").agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    state = by_class.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("least"), F.max("hi").alias("most"),
+        F.collect_list(F.struct("c", "lo", "hi")).alias("classes"),
+    ).filter("least < most").drop("least", "most")
+    met = join_groups(marked, materialise(state, "open", True), ["bucket"], "n", marked.count()).filter("n is not null")
+    other = F.exists("classes", lambda x: x["c"].between(F.col("low"), F.col("high")) & (
+        (x["lo"] != F.col("label")) | (x["hi"] != F.col("label"))
+    ))
+    return materialise(met.filter(other).drop("classes"), "open", True)
 
 
 def _settle(members: DataFrame, docs: Texts, links: DataFrame, threshold: float, words: int) -> DataFrame:
     """Labels (node, label) of classes, from the first links and the members of buckets.
 
-    Small open buckets compare all pairs of different classes.  Large ones are refined;
-    in their parts a growing number of members meet all others, and who has met all others
-    leaves, until every part holds one class.
+    Small open buckets compare all pairs of different classes.  In large ones a growing
+    number of open members meet all others, and who has met all others leaves, until no
+    member admits one of another class.
     """
     labels = components(links)
     rows = _open(members, labels, ["bucket"])
@@ -342,20 +361,19 @@ def _settle(members: DataFrame, docs: Texts, links: DataFrame, threshold: float,
     large = rows.filter(F.col("n") > SMALL_BUCKET)
     if large.isEmpty():
         return labels
-    keys = ["bucket", "c1", "c2"]
     parts = materialise(_refine(large, docs, threshold, words), "parts", True)
     turn = 0
     while True:
-        rows = _open(parts, labels, keys)
+        rows = _open_ranges(parts, labels)
         if rows.isEmpty():
             return labels
         turn += 1
         wanted = CHUNK * 8 ** (turn - 1)
         # Every turn takes all of a part that is small by now, else about `wanted` by hash.
         chance = (F.col("n") <= wanted) | (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("n")) < wanted)
-        links = materialise(meet(rows.filter(chance), rows, keys, docs, threshold, words), "links", True)
+        links = materialise(meet(rows.filter(chance), rows, ["bucket"], docs, threshold, words), "links", True)
         labels = extend(labels, links)
-        parts = materialise(rows.filter(~chance).select(*keys, "id", "size"), "parts", True)
+        parts = materialise(rows.filter(~chance).drop("label", "n"), "parts", True)
 
 
 def near_classes(

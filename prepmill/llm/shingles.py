@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text hashed at a time; bounds the working arrays (a longer word is hashed alone).
-SLICE = 1 << 22
+SLICE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
