@@ -128,6 +128,17 @@ def running_sums(
     )
 
 
+def running_max(df: DataFrame, key: str, value: str, out: str = "before", buckets: int | None = None) -> DataFrame:
+    """Add the largest ``value`` of all rows with a smaller ``key`` (keys distinct)."""
+    rows, _ = with_range_bucket(df, key, buckets)
+    tops = rows.groupBy("_bucket").agg(F.max(col(value)).alias("_top"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_bucket", F.max("_top").over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_bucket").orderBy(col(key)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(tops), "_bucket")
+    return joined.withColumn(out, F.greatest(F.max(col(value)).over(inside), F.col("_carry"))).drop("_bucket", "_carry")
+
+
 def dense_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)`` with codes 0.. by sorted distinct non-NULL value.
 

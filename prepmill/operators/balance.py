@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key, hash_piece, hash_unit, stratum_counts
@@ -231,6 +232,27 @@ def resample(df: DataFrame, target: str, method: str, features: list[str], key:
     return RESAMPLERS[method](df, target, features, key)
 
 
+def resample_prepared(df: DataFrame, method: str, key: str) -> DataFrame:
+    """``resample`` for rows prepared for a fit (key, ``_label``, ``features``): only ever the part that is fitted on.
+
+    Copies and synthetic rows get keys of their own (``key:copy``, as text).
+    """
+    if method == "undersample":
+        return undersample(df, "_label", key)
+    if method == "oversample":
+        grown = oversample(df, "_label", key)
+        return grown.withColumn(key, F.concat_ws(":", col(key).cast("string"), F.col("copy").cast("string"))).drop("copy")
+    size = len(df.select(vector_to_array("features").alias("a")).first()["a"])
+    names = [f"_f{i}" for i in range(size)]
+    wide = df.select(col(key), "_label", vector_to_array("features").alias("_a"))
+    wide = wide.select(col(key), "_label", *[F.col("_a")[i].alias(n) for i, n in enumerate(names)])
+    grown = resample(wide, "_label", method, names, key)
+    return grown.select(
+        F.concat_ws(":", col(key).cast("string"), F.col("copy").cast("string")).alias(key), "_label",
+        array_to_vector(F.array(*names)).alias("features"),
+    )
+
+
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """Rows per class."""
     return df.groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -65,7 +65,7 @@ def _save_stage(spark: SparkSession, stage, path: str) -> dict:
         stage.train.write.parquet(f"{path}/rows")
         return {"type": "neighbours", "kind": stage.kind, "classes": stage.classes, "k": stage.k, "path": f"{path}/rows"}
     if isinstance(stage, Calibration):
-        return {"type": "calibration", "method": stage.method, "parts": parts([stage.model])}
+        return {"type": "calibration", "method": stage.method, "parts": parts(stage.models)}
     if isinstance(stage, MLWritable):
         stage.write().save(f"{path}/spark")
         return {"type": "spark", "path": f"{path}/spark"}
@@ -100,7 +100,7 @@ def _load_stage(spark: SparkSession, root: str, made_at: str, facts: dict):
     if kind == "neighbours":
         return Neighbours(spark.read.parquet(here(facts["path"])), facts["kind"], facts["classes"], facts["k"])
     if kind == "calibration":
-        return Calibration(parts[0], facts["method"])
+        return Calibration(parts, facts["method"])
     return DefaultParamsReader.loadParamsInstance(here(facts["path"]), spark)
 
 

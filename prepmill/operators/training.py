@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parallel import run_together
 from ..functions.roles import col, columns_by_role
-from .balance import class_weights
+from ..session import cut_lineage
+from .balance import class_weights, resample_prepared
 from .compare import fold_scores
 from .encoders import target_sums
 from .metrics import classification_metrics, ranking_metrics, regression_metrics, roc_auc_weighted
@@ -19,7 +21,7 @@ from .models import FittedModel, class_list, fit_model, label_indexer
 from .preprocess import Preprocessor, fit_preprocessor
 from .split import with_folds
 from .target import MIN_ROWS, problem_type
-from .tuning import GRIDS, fold_features, search
+from .tuning import GRIDS, calibrate, fold_features, search
 
 CV_FOLDS = 5
 
@@ -76,6 +78,7 @@ def prepare(
     train: DataFrame, features: list[str], target: str, key: str, kind: str | None = None,
     impute: str = "mean", scaling: str = "none", encoding: str = "onehot", use_class_weights: bool = False,
     classes: list[str] | None = None, sums: DataFrame | None = None, without: int | None = None,
+    use_positive_weight: bool = False, weights: dict[str, float] | None = None,
 ) -> Prepared:
     """Fit preprocessing and label indexing on the training part (``classes`` when already known).
 
@@ -84,7 +87,13 @@ def prepare(
     kind = kind or problem_type(train, target)
     if classes is None:
         classes = class_list(train, target) if kind == "classification" else []
-    weights = class_weights(train, target) if use_class_weights and classes else {}
+    if weights is None:
+        weights = class_weights(train, target) if use_class_weights and classes else {}
+        if use_positive_weight:
+            if len(classes) != 2:
+                raise ValueError("a weight of the positive class needs two classes")
+            counts = class_weights(train, target)  # n / (2 * n_c), so their ratio is that of the other class
+            weights = {classes[0]: 1.0, classes[1]: counts[classes[1]] / counts[classes[0]]}
     encode_target = target
     source = train
     if encoding == "target" and classes:
@@ -127,28 +136,32 @@ def prepare_folds(prepared: Prepared, train: DataFrame, folds: int) -> list[Prep
     def fold(i: int) -> Prepared:
         return prepare(
             train.where(F.col("fold") != i), prepared.features, prepared.target, prepared.key, prepared.kind,
-            config["impute"], config["scaling"], config["encoding"], bool(prepared.weights), prepared.classes, sums, i)
+            config["impute"], config["scaling"], config["encoding"], classes=prepared.classes, sums=sums, without=i,
+            weights=prepared.weights)
 
     return run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(folds)])
 
 
 def out_of_fold(
-    name: str, prepared: list[Prepared], train: DataFrame, params: dict | None = None
+    name: str, prepared: list[Prepared], train: DataFrame, params: dict | None = None,
+    sampler: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """``model, fold, key, label, prediction`` for every training row, from models that did not see it.
+    """``model, fold, key, label, prediction`` (and ``probability``) for every training row, from models that did not see it.
 
     ``train`` needs a ``fold`` column; ``prepared`` comes from ``prepare_folds``.
+    ``sampler`` changes the rows that a fold's model is fitted on.
     """
     def fold(i: int) -> DataFrame:
         here = prepared[i]
-        inner = here.slim(train.where(F.col("fold") != i)).persist()
+        inner = here.slim(train.where(F.col("fold") != i))
+        inner = (sampler(inner) if sampler else inner).persist()
         model = fit_model(
             name, here.kind, inner, len(here.classes), "_weight" if here.weights else None, params, here.key)
         inner.unpersist()
         scored = model.transform(here.slim(train.where(F.col("fold") == i)))
         return scored.select(
             F.lit(name).alias("model"), F.lit(i).alias("fold"), col(here.key), F.col("_label").alias("label"),
-            "prediction")
+            "prediction", *[c for c in ("probability",) if c in scored.columns])
 
     parts = run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(len(prepared))])
     return reduce(DataFrame.unionByName, parts)
@@ -157,22 +170,34 @@ def out_of_fold(
 def train_models(
     train: DataFrame, test: DataFrame, features: list[str], target: str, key: str, models: list[str],
     kind: str | None = None, params: dict[str, dict] | None = None, cv_folds: int = CV_FOLDS, tune: str | None = None,
-    **options,
+    resample: str | None = None, calibration: str | None = None, **options,
 ) -> tuple[dict[str, ModelResult], dict[str, str]]:
     """Fit every named model; a model that fails is reported and does not stop the others.
 
     ``tune`` is ``grid`` or ``random`` for models that have a parameter grid;
-    ``cv_folds=0`` skips fold scores.  Returns (results, failures).
+    ``cv_folds=0`` skips fold scores.  ``resample`` (see ``balance.resample``) balances the
+    classes of whatever part a model is fitted on, in folds and searches too; rows that are
+    scored stay as they are.  ``calibration`` (isotonic or sigmoid) maps probabilities by
+    curves fitted on the out-of-fold scores.  Options go to ``prepare``.  Returns
+    (results, failures).
     """
     if len(train.take(MIN_ROWS)) < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} training rows are needed")
     prepared = prepare(train, features, target, key, kind, **options)
     kind = prepared.kind
+    if (resample or calibration) and kind != "classification":
+        raise ValueError("resampling and calibration need classes")
+    if resample and prepared.weights:
+        raise ValueError("balance by resampling or by weights, not both")
+    if calibration and not cv_folds:
+        raise ValueError("calibration needs folds")
+    sampler = (lambda rows: resample_prepared(rows, resample, key)) if resample else None
     weight = "_weight" if prepared.weights else None
     strata = target if kind == "classification" else None
     # The folds and the prepared rows are read by every model; executors that are lost recompute them.
     folded = with_folds(train, key, cv_folds, strata).persist() if cv_folds else train
-    ready = prepared.slim(folded if not cv_folds else folded.drop("fold")).persist()
+    ready = prepared.slim(folded if not cv_folds else folded.drop("fold"))
+    ready = (sampler(ready) if sampler else ready).persist()
     held = prepared.slim(test).persist()
     per_fold = prepare_folds(prepared, folded, cv_folds) if cv_folds else []
     results, failures, tuning = {}, {}, None
@@ -186,16 +211,21 @@ def train_models(
                         tuning = fold_features(with_folds(train, key, CV_FOLDS, strata), prepare_folds(
                             prepared, with_folds(train, key, CV_FOLDS, strata), CV_FOLDS))
                     found = search(
-                        name, kind, tuning, len(prepared.classes), tune, weight=weight, fixed=chosen, key=key)
+                        name, kind, tuning, len(prepared.classes), tune, weight=weight, fixed=chosen, key=key,
+                        sampler=sampler)
                     best, tuned = found.best, found.score
                 fitted = fit_model(name, kind, ready, len(prepared.classes), weight, {**chosen, **best}, key)
                 fitted.classes = prepared.classes
-                predictions = fitted.transform(held)
                 scores = []
                 if cv_folds:
-                    oof = out_of_fold(name, per_fold, folded, {**chosen, **best})
+                    oof = out_of_fold(name, per_fold, folded, {**chosen, **best}, sampler)
+                    if calibration:
+                        oof = cut_lineage(oof)
+                        seen = oof.withColumnRenamed("label", "_label")
+                        fitted.stages.append(calibrate(seen, calibration, len(prepared.classes)))
                     rows = fold_scores(oof, kind).collect()
                     scores = [r["score"] for r in sorted(rows, key=lambda r: r["fold"])]
+                predictions = fitted.transform(held)
                 results[name] = ModelResult(
                     name, kind, fitted, predictions, score_predictions(predictions, prepared), scores, best, tuned,
                     prepared)
@@ -208,6 +238,12 @@ def train_models(
     return results, failures
 
 
+def failures_table(spark, results: dict[str, ModelResult], failures: dict[str, str]) -> DataFrame:
+    """One row per model that was asked for: whether it failed, and why."""
+    rows = [(name, False, None) for name in results] + [(name, True, error) for name, error in failures.items()]
+    return spark.createDataFrame(rows, "model string, failed boolean, error string")
+
+
 def results_table(spark, results: dict[str, ModelResult]) -> DataFrame:
     """One row per trained model: metrics, fold mean and deviation, tuning score."""
     rows = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,7 +96,7 @@ def _fold_parts(data: DataFrame, fold: int, weight: str | None, key: str | None)
 
 def _fitted_scores(
     name: str, kind: str, data: DataFrame, classes: int, points: list[dict], fixed: dict, folds: int, weight: str | None,
-    key: str | None,
+    key: str | None, sampler=None,
 ) -> list[list[float]]:
     """Fold scores of each point; points that differ in staged parameters only share one fit a fold."""
     staged = [p for p in STAGED.get(name, ()) if any(p in point for point in points)]
@@ -106,6 +107,7 @@ def _fitted_scores(
 
     def one(fold: int, own: tuple, members: list[int]) -> None:
         inner, held = _fold_parts(data, fold, weight, key)
+        inner = sampler(inner) if sampler else inner
         largest = {p: max(points[k][p] for k in members) for p in staged}
         fitted = fit_model(name, kind, inner, classes, weight, {**fixed, **dict(own), **largest}, key)
         if staged:
@@ -137,7 +139,7 @@ def _boosted_scores(
 def search(
     name: str, kind: str, data: DataFrame, classes: int, method: str = "grid", grid: dict[str, list] | None = None,
     weight: str | None = None, fixed: dict | None = None, folds: int = FOLDS, draws: int = RANDOM_DRAWS,
-    key: str | None = None,
+    key: str | None = None, sampler: Callable[[DataFrame], DataFrame] | None = None,
 ) -> SearchResult:
     """Cross-validated scores (weighted F1, or R2 for numbers) of a grid or of random points of it.
 
@@ -145,19 +147,21 @@ def search(
     fold i (see ``fold_features``), or one ``features`` for all.  Every point's model is
     built by ``fit_model``, as the final fit's is; forests and trees of all sizes and
     depths come from the largest (``staged``).  Boosted ensembles over rounds, depth and
-    step are grown side by side (``boosting``) on 32 bins a feature.
+    step are grown side by side (``boosting``) on 32 bins a feature.  ``sampler`` changes
+    the rows that a fold trains on, never those it is scored on; ensembles are then fitted
+    one by one.
     """
     grid = GRIDS[name] if grid is None else grid
     points = grid_points(grid) if method == "grid" else random_points(grid, draws)
     fixed = dict(fixed or {})
     tasks = max(1, math.ceil(data.count() / ROWS_PER_TASK))
-    boosted = name in PRESETS and set(grid) <= BOOST_STAGED and set(fixed) <= BOOST_STAGED
+    boosted = sampler is None and name in PRESETS and set(grid) <= BOOST_STAGED and set(fixed) <= BOOST_STAGED
     if boosted:
         scores = _boosted_scores(name, kind, data, classes, points, fixed, folds, weight)
     else:
         data = (data.coalesce(tasks) if data.rdd.getNumPartitions() > tasks else data).persist()
         try:
-            scores = _fitted_scores(name, kind, data, classes, points, fixed, folds, weight, key)
+            scores = _fitted_scores(name, kind, data, classes, points, fixed, folds, weight, key, sampler)
         finally:
             data.unpersist()
     means = [float(np.mean(s)) for s in scores]
@@ -166,33 +170,58 @@ def search(
 
 
 class Calibration:
-    """Maps the second class's probability through a curve fitted on held-out scores."""
+    """Maps class probabilities through curves fitted on scores of rows that the model had not seen.
 
-    def __init__(self, model, method: str):
-        self.model, self.method = model, method
+    Two classes have one curve, for the second's probability.  More have one curve each,
+    one class against the others, and the results are divided by their sum.
+    """
+
+    def __init__(self, models: list, method: str):
+        self.models, self.method = models, method
+
+    def _curve(self, df: DataFrame, k: int, slot: int) -> DataFrame:
+        """``df`` with ``_v{k}``, the curve's value at the slot's probability."""
+        own = df.withColumn("_cal", array_to_vector(F.array(F.col("_raw")[slot])))
+        scored = self.models[k].transform(own)
+        p = F.col("_p1") if self.method == "isotonic" else vector_to_array("_p1")[1]
+        value = F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)).alias(f"_v{k}")
+        return scored.select(*[col(c) for c in df.columns], value)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        raw = df.withColumn("_cal", array_to_vector(F.array(vector_to_array("probability")[1])))
         kept = [c for c in df.columns if c not in ("probability", "prediction", "rawPrediction")]
-        raw = raw.select(*[F.col(f"`{c}`") for c in kept], "_cal")
-        scored = self.model.transform(raw)
-        p = F.col("_p1") if self.method == "isotonic" else vector_to_array("_p1")[1]
-        out = scored.withColumn("_v", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
-        made = out.withColumns({
-            "probability": array_to_vector(F.array(1 - F.col("_v"), F.col("_v"))),
-            "prediction": F.when(F.col("_v") >= 0.5, 1.0).otherwise(0.0)})
-        return made.select(*[F.col(f"`{c}`") for c in kept], "probability", "prediction")
-
-
-def calibrate(held_out: DataFrame, method: str = "isotonic") -> Calibration:
-    """Fit a calibration curve on a scored held-out part (``_label``, ``probability``)."""
-    rows = held_out.select("_label", array_to_vector(F.array(vector_to_array("probability")[1])).alias("_cal"))
-    if method == "isotonic":
-        model = IsotonicRegression(featuresCol="_cal", labelCol="_label", predictionCol="_p1").fit(rows)
-    elif method == "sigmoid":
-        model = LogisticRegression(
+        out = df.select(*[col(c) for c in kept], vector_to_array("probability").alias("_raw"))
+        if len(self.models) == 1:
+            out = self._curve(out, 0, 1)
+            p = F.array(1 - F.col("_v0"), F.col("_v0"))
+            guess = F.when(F.col("_v0") >= 0.5, 1.0).otherwise(0.0)
+            return out.select(*[col(c) for c in kept], array_to_vector(p).alias("probability"), guess.alias("prediction"))
+        for k in range(len(self.models)):
+            out = self._curve(out, k, k)
+        values = F.array(*[F.col(f"_v{k}") for k in range(len(self.models))])
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        # Where every curve says no, the model's own probabilities stay.
+        out = out.withColumn("_p", F.when(total > 0, F.transform(values, lambda x: x / total)).otherwise(F.col("_raw")))
+        guess = (F.array_position("_p", F.array_max("_p")) - 1).cast("double")
+        return out.select(*[col(c) for c in kept], array_to_vector("_p").alias("probability"), guess.alias("prediction"))
+
+
+def calibrate(held_out: DataFrame, method: str = "isotonic", classes: int = 2) -> Calibration:
+    """Fit calibration curves on scored rows that were not trained on (``_label``, ``probability``).
+
+    Isotonic curves pool adjacent violators within ranges of the score first and then
+    across them, so no task sorts all rows.
+    """
+    if method not in ("isotonic", "sigmoid"):
+        raise ValueError("method must be isotonic or sigmoid")
+
+    def curve(slot: int):
+        goal = F.col("_label") if classes == 2 else F.when(F.col("_label") == float(slot), 1.0).otherwise(0.0)
+        rows = held_out.select(goal.alias("_label"), array_to_vector(F.array(vector_to_array("probability")[slot])).alias("_cal"))
+        if method == "isotonic":
+            return IsotonicRegression(featuresCol="_cal", labelCol="_label", predictionCol="_p1").fit(rows)
+        return LogisticRegression(
             featuresCol="_cal", labelCol="_label", probabilityCol="_p1", predictionCol="_pc", rawPredictionCol="_rc"
         ).fit(rows)
-    else:
-        raise ValueError("method must be isotonic or sigmoid")
-    return Calibration(model, method)
+
+    slots = [1] if classes == 2 else list(range(classes))
+    return Calibration(run_together(held_out.sparkSession, [lambda s=s: curve(s) for s in slots]), method)

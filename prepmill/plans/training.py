@@ -7,6 +7,7 @@ and by invariants in the tests.
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.ranges import running_max
 from ..operators import ensemble as N
 from ..operators import training as T
 from ..operators.balance import undersample
@@ -71,20 +72,43 @@ def t1(spark, sf):
     rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
     train, test = train_test(rows, "event_id", 0.2, "label")
     train = train.persist()
-    results, _ = T.train_models(
+    results, failures = T.train_models(
         train, test, ["user_id", "plen"], "label", "event_id", ["logistic", "decision_tree", "naive_bayes"],
         cv_folds=5)
-    return rounded(T.results_table(spark, results))
+    return _with_failures(spark, results, failures)
+
+
+def _with_failures(spark, results, failures):
+    """Metrics of the trained models, and a row for each that failed."""
+    asked = T.failures_table(spark, results, failures)
+    return rounded(asked.join(T.results_table(spark, results), "model", "left") if results else asked)
+
+
+@query("t1_resampled", """
+select * from (values ('linear', true, false, cast(null as boolean)), ('naive_bayes', false, true, true)) as v(model, failed, scored, balanced)""")
+def t1c(spark, sf):
+    """Undersampling inside each fit: the test part is scored whole, the minority class is found more often,
+    and a model that cannot be fitted is a row of its own."""
+    rows = spread(view(spark, sf, "imb").select("event_id", "user_id", "plen", "label"))
+    train, test = train_test(rows, "event_id", 0.2, "label")
+    options = (train, test, ["user_id", "plen"], "label", "event_id", ["naive_bayes", "linear"])
+    results, failures = T.train_models(*options, cv_folds=3, resample="undersample")
+    n = test.count()
+    mine = {k: r.predictions.agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("p")).first() for k, r in results.items()}
+    facts = [(k, r["n"] == n, 0.1 < r["p"] < 0.9) for k, r in mine.items()]
+    known = spark.createDataFrame(facts, "model string, scored boolean, balanced boolean")
+    asked = T.failures_table(spark, results, failures).drop("error").join(known, "model", "left")
+    return asked.withColumn("scored", F.coalesce("scored", F.lit(False)))
 
 
 @query("t1_train_regressors")
 def t1b(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
     train, test = train_test(part, "p_partkey", 0.2)
-    results, _ = T.train_models(
+    results, failures = T.train_models(
         train, test, ["p_size", "p_type", "p_partkey"], "p_retailprice", "p_partkey", ["linear", "ridge", "decision_tree"],
         cv_folds=5)
-    return rounded(T.results_table(spark, results))
+    return _with_failures(spark, results, failures)
 
 
 @query("t3_logistic")
@@ -284,6 +308,30 @@ def t18(spark, sf):
     return rounded(scored.select("event_id", "_label", "prediction", vector_to_array("probability")[1].alias("p1")))
 
 
+@query("t18_calibration_classes", """
+select cast(c as int) as class, 0 as falls, true as sums_to_one, (select count(distinct l_returnflag) from lineitem) as classes
+from (select unnest(range(3)) as c)""")
+def t18b(spark, sf):
+    """Isotonic curves of three classes: before division by their sum no calibrated value falls as the score rises."""
+    train, test, prepared = many_class_problem(spark, sf)
+    fit_part, held = train_test(train, "row_key", 0.3, "l_returnflag", seed="calibration")
+    classes = len(prepared.classes)
+    model = fit_model("naive_bayes", "classification", prepared.slim(fit_part), classes)
+    curves = calibrate(model.transform(prepared.slim(held)), "isotonic", classes)
+    scored = model.transform(prepared.slim(test))
+    raw = scored.select(vector_to_array("probability").alias("_raw"))
+    parts = None
+    for k in range(classes):
+        # Equal scores share a value, so distinct pairs in order of the score tell of every fall.
+        pairs = curves._curve(raw, k, k).groupBy(F.round(F.col("_raw")[k], 12).alias("x")).agg(F.min(f"_v{k}").alias("lo"), F.max(f"_v{k}").alias("hi"))
+        steps = running_max(pairs, "x", "hi")
+        one = steps.agg(F.count_if(F.col("lo") < F.col("before") - 1e-9).cast("int").alias("falls")).withColumn("class", F.lit(k))
+        parts = one if parts is None else parts.unionByName(one)
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x)
+    ones = curves.transform(scored).agg(F.min(F.abs(total - 1.0) < 1e-9).alias("sums_to_one"))
+    return parts.join(F.broadcast(ones)).withColumn("classes", F.lit(classes).cast("bigint"))
+
+
 def _members(spark, sf):
     train, test, prepared = class_problem(spark, sf)
     even = undersample(train, "label", "event_id")
