@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from prepmill.operators import ensemble, explain, models, package, preprocess, scoring, split, training, tuning
+from prepmill.operators import balance, ensemble, explain, models, package, preprocess, scoring, split, training, tuning
 from prepmill.session import scratch_path
 
 QUICK = {
@@ -461,3 +461,46 @@ def test_target_means_of_several_classes(spark):
     assert prepared.preprocessor.names == ["a", "t=0", "t=1", "t=2"]
     row = prepared.slim(df).select(vector_to_array("features").alias("v")).first()
     assert sum(row["v"][1:]) == pytest.approx(1.0)
+
+
+def test_resampling_stays_inside_fits(spark):
+    """Every method balances what a model is fitted on; scored rows, folds and their number stay as they were."""
+    rng = np.random.default_rng(6)
+    rows = [(i, float(rng.normal(i % 6 == 0)), float(rng.normal()), "yes" if i % 6 == 0 else "no") for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string").coalesce(1)
+    train, test = split.train_test(df, "id", 0.2, "c")
+    prepared = training.prepare(train, ["a", "b"], "c", "id")
+    ready = prepared.slim(train).persist()
+    for method in ("smote", "oversample", "undersample"):
+        grown = balance.resample_prepared(ready, method, "id")
+        counts = {r["_label"]: r["count"] for r in grown.groupBy("_label").count().collect()}
+        assert counts[0.0] == counts[1.0] and grown.columns[:2] == ["id", "_label"]
+        assert grown.select("id").distinct().count() == sum(counts.values())
+    results, failures = training.train_models(
+        train, test, ["a", "b"], "c", "id", ["naive_bayes", "nothing"], cv_folds=3, resample="smote", calibration="isotonic")
+    assert list(failures) == ["nothing"] and results["naive_bayes"].predictions.count() == test.count()
+    assert len(results["naive_bayes"].cv_scores) == 3
+    told = {r["model"]: r["failed"] for r in training.failures_table(spark, results, failures).collect()}
+    assert told == {"naive_bayes": False, "nothing": True}
+    weighted = training.prepare(train, ["a", "b"], "c", "id", use_positive_weight=True)
+    n = {r["c"]: r["count"] for r in train.groupBy("c").count().collect()}
+    assert weighted.weights == {"no": 1.0, "yes": pytest.approx(n["no"] / n["yes"])}
+    with pytest.raises(ValueError, match="not both"):
+        training.train_models(train, test, ["a", "b"], "c", "id", ["naive_bayes"], resample="smote", use_positive_weight=True)
+
+
+def test_calibration_of_several_classes(spark):
+    df = blobs(spark, 3)
+    prepared = training.prepare(df, ["a", "b"], "c", "id")
+    ready = prepared.slim(df).persist()
+    model = models.fit_model("naive_bayes", "classification", ready, 3)
+    curves = tuning.calibrate(model.transform(ready), "sigmoid", 3)
+    model.stages.append(curves)
+    path = package.save_package(spark, scratch_path(spark, "t"), model, prepared.preprocessor, ["a", "b"], "c")
+    again = package.load_package(spark, path).model
+    both = [
+        {r["id"]: list(r["p"]) for r in m.transform(ready).select("id", vector_to_array("probability").alias("p")).collect()}
+        for m in (model, again)
+    ]
+    assert both[0] == both[1] and all(abs(sum(p) - 1) < 1e-9 and len(p) == 3 for p in both[0].values())
+    assert accuracy(model.transform(ready)) > 0.85
