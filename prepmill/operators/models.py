@@ -38,6 +38,7 @@ from ..functions.hashing import hash_unit
 from ..functions.parallel import run_together
 from ..functions.roles import as_text, col
 from ..session import cut_lineage
+from .kernel import LANDMARKS, LandmarkMap, LinearScore, fit_epsilon
 
 # Model defaults.
 SEED = 42
@@ -462,13 +463,11 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
     if name in PRESETS:
         return done([GBTRegressor(**weighted, **{**PRESETS[name], "seed": seed, **params}).fit(train)])
     if name == "svm":
-        mapped_by = RandomFourier(_slots(train), params.pop("gamma", None) or _gamma(train), params.pop("size", RFF_SIZE), seed=seed)
-        # C weighs the errors against the penalty, as in the classifier.  The loss is Huber's, whose
-        # ``epsilon`` (above 1) is where it turns linear; Spark has no epsilon-insensitive loss.
-        strength = params.pop("C", 1.0)
-        settings = {"loss": "huber", "maxIter": 100, "regParam": 1.0 / (strength * max(train.count(), 1)), **params}
-        model = LinearRegression(**{**weighted, "featuresCol": "_rff"}, **settings).fit(mapped_by.transform(train))
-        return done([mapped_by, model])
+        mapped_by = LandmarkMap.fit(train, params.pop("gamma", None) or _gamma(train), params.pop("size", LANDMARKS), seed)
+        fitted = fit_epsilon(
+            mapped_by.transform(train), mapped_by.out, params.pop("C", 1.0), params.pop("epsilon", 0.1),
+            weighted.get("weightCol"))
+        return done([mapped_by, LinearScore(*fitted, mapped_by.out)])
     if name == "knn":
         rows = cut_lineage(train.select(
             F.monotonically_increasing_id().alias("_qid"), vector_to_array("features").alias("_x"), "_label"))

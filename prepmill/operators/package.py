@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ensemble import StackedModel
+from .kernel import LandmarkMap, LinearScore
 from .metrics import classification_metrics
 from .models import (
     FittedModel,
@@ -61,6 +62,10 @@ def _save_stage(spark: SparkSession, stage, path: str) -> dict:
         return {"type": "margin", "slope": stage.slope, "intercept": stage.intercept}
     if isinstance(stage, RandomFourier):
         return {"type": "cosines", "weights": stage.weights.tolist(), "shift": stage.shift.tolist(), "out": stage.out}
+    if isinstance(stage, LandmarkMap):
+        return {"type": "landmarks", "rows": stage.landmarks.tolist(), "gamma": stage.gamma, "out": stage.out}
+    if isinstance(stage, LinearScore):
+        return {"type": "linear", "weights": stage.weights.tolist(), "intercept": stage.intercept, "vector": stage.vector}
     if isinstance(stage, Neighbours):
         stage.train.write.parquet(f"{path}/rows")
         return {"type": "neighbours", "kind": stage.kind, "classes": stage.classes, "k": stage.k, "path": f"{path}/rows"}
@@ -97,6 +102,10 @@ def _load_stage(spark: SparkSession, root: str, made_at: str, facts: dict):
         made = RandomFourier(1, 1.0, 1, facts["out"])
         made.weights, made.shift = np.array(facts["weights"]), np.array(facts["shift"])
         return made
+    if kind == "landmarks":
+        return LandmarkMap(np.array(facts["rows"]), facts["gamma"], facts["out"])
+    if kind == "linear":
+        return LinearScore(np.array(facts["weights"]), facts["intercept"], facts["vector"])
     if kind == "neighbours":
         return Neighbours(spark.read.parquet(here(facts["path"])), facts["kind"], facts["classes"], facts["k"])
     if kind == "calibration":

@@ -504,3 +504,38 @@ def test_calibration_of_several_classes(spark):
     ]
     assert both[0] == both[1] and all(abs(sum(p) - 1) < 1e-9 and len(p) == 3 for p in both[0].values())
     assert accuracy(model.transform(ready)) > 0.85
+
+
+def test_epsilon_fit_reaches_known_optima(spark):
+    """Points on a line have a fit without loss; else no nearby line has a lower loss, and C and epsilon act."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from prepmill.operators import kernel
+
+    def fit(rows, **options):
+        df = spark.createDataFrame(rows, "a double, _label double").repartition(2)
+        return kernel.fit_epsilon(VectorAssembler(inputCols=["a"], outputCol="v").transform(df), "v", **options)
+
+    line = [(float(i), 3.0 * i - 5.0) for i in range(30)]
+    w, b = fit(line, C=1e6, epsilon=0.0)
+    assert w[0] == pytest.approx(3.0, abs=1e-3) and b == pytest.approx(-5.0, abs=1e-2)
+    assert abs(fit(line, C=1e-9, epsilon=0.1)[0][0]) < 0.01
+    rng = np.random.default_rng(1)
+    noisy = [(float(x), float(2 * x + rng.standard_t(2))) for x in rng.normal(size=120)]
+    for rows, C, epsilon in ((noisy, 1.0, 0.5), (noisy, 0.01, 0.0), (line, 1.0, 10.0)):
+        w, b = fit(rows, C=C, epsilon=epsilon)
+        x, y = np.array(rows).T
+        loss = lambda w, b: 0.5 * w * w + C * np.maximum(0, np.abs(y - w * x - b) - epsilon).sum()
+        here = loss(w[0], b)
+        grid = [(w[0] + i * d, b + j * d) for d in (0.003, 0.03, 0.3) for i in range(-3, 4) for j in range(-3, 4)]
+        assert here <= min(loss(*g) for g in grid) + 2e-3 * max(here, 1.0)
+
+
+def test_landmarks_carry_the_kernel(spark):
+    from prepmill.operators import kernel
+
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(40, 3))
+    made = kernel.LandmarkMap(points, 0.4)
+    mapped = made.kernel(points) @ made.root
+    assert np.allclose(mapped @ mapped.T, made.kernel(points), atol=1e-6)
