@@ -27,6 +27,23 @@ def in1(spark, sf):
     return rounded(X.feature_importance(spark, model, prepared.preprocessor.names))
 
 
+@query("in1_importance_sums", """
+select model, cast(4 as bigint) as features, 1.0::double as total from (values ('adaboost'), ('decision_tree'), ('lightgbm')) as m(model)""")
+def in1b(spark, sf):
+    """Importances of single and composite models (boosted votes, one-vs-rest) name every slot and sum to one."""
+    train, _, prepared = many_class_problem(spark, sf)
+    ready = prepared.slim(train).persist()
+    sizes = {"adaboost": {"rounds": 3, "maxDepth": 3}, "decision_tree": {"maxDepth": 6}, "lightgbm": {"maxIter": 2, "maxDepth": 2}}
+    out = None
+    for name, params in sizes.items():
+        model = fit_model(name, "classification", ready, len(prepared.classes), None, params, prepared.key)
+        found = X.feature_importance(spark, model, prepared.preprocessor.names)
+        one = found.agg(F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+        one = one.withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("in2_coefficients", TWO.format(a="p_size", b="p_partkey") + """
 select 'p_size' as feature, round(wa, 5) as coefficient from w union all select 'p_partkey', round(wb, 5) from w""")
 def in2(spark, sf):

@@ -121,6 +121,25 @@ def t3b(spark, sf):
     return _classify(spark, sf, "logistic", many=True)
 
 
+@query("t3_logistic_stationary", """
+select slot, true as flat from (values ('intercept'), ('plen'), ('user_id')) as v(slot)""")
+def t3c(spark, sf):
+    """At the fitted weights the gradient of the penalised loss is zero in every slot."""
+    train, _, prepared = class_problem(spark, sf)
+    ready = prepared.slim(train).persist()
+    model = fit_model("logistic", "classification", ready, 2)
+    n = ready.count()
+    scored = model.transform(ready).select(
+        (vector_to_array("probability")[1] - F.col("_label")).alias("gap"), vector_to_array("features").alias("x"))
+    names = prepared.preprocessor.names
+    weights = model.core.coefficients.toArray()
+    slopes = [(F.avg(F.col("gap") * F.col("x")[i]) + F.lit(float(weights[i]) / n)).alias(c) for i, c in enumerate(names)]
+    row = scored.agg(*slopes, F.avg("gap").alias("intercept"))
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("slot"), (F.abs(F.col(c)) < 1e-4).alias("flat")) for c in [*names, "intercept"]
+    ])))
+
+
 @query("t4_random_forest")
 def t4(spark, sf):
     return _classify(spark, sf, "random_forest")
@@ -368,6 +387,20 @@ def en1b(spark, sf):
     return rounded(N.voting(members).transform(ready).select("p_partkey", "prediction"), 3)
 
 
+@query("en3_out_of_fold", """
+with c as (select label, count(*) - cast(floor(count(*) * 0.2 + 0.5) as bigint) as n from imb group by label)
+select cast(f as int) as fold, cast(label as double) as label, cast(floor(n * (f + 1) / 5) - floor(n * f / 5) as bigint) as n_rows
+from c, (select unnest(range(5)) as f)""", ("imb",))
+def en3b(spark, sf):
+    """Every training row has base scores from one fold's models, made without it."""
+    train, _, prepared = class_problem(spark, sf)
+    folded = with_folds(train, "event_id", 5, "label")
+    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared).persist()
+    scored = N.out_of_fold_scores(ready, ["naive_bayes"], "classification", 2, 5)
+    scored = scored.dropDuplicates(["event_id"]).where("_meta is not null")
+    return scored.groupBy("fold", F.col("_label").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("en3_stacking")
 def en3(spark, sf):
     train, test, prepared = class_problem(spark, sf)
