@@ -22,8 +22,6 @@ from .common import SPACE, join_groups, materialise, named, text_of
 
 #: Labelled documents that the word model is fitted on, about so many at most, chosen by hash of the id.
 MAX_TRAIN = 20_000
-#: Words and shapes that the model keeps at most, the most significant first.
-MAX_WORDS = 1_000
 #: A word counts if it is in so many texts, and so unevenly that chance would hardly do it
 #: for any of the sample's words: G = 2 * log(words) + MARGIN.
 LEAST_TEXTS = 3
@@ -87,8 +85,10 @@ class WordModel:
     def evidence_of(self, found: Column) -> Column:
         total = F.lit(self.constant)
         if self.words:
-            book = F.create_map(*[F.lit(x) for pair in self.words.items() for x in pair])
-            hits = F.array_intersect(found, F.array(*[F.lit(w) for w in self.words]))
+            # Words are looked up in a hashed set; only the few that hit are searched in the book.
+            names = list(self.words)
+            book = F.map_from_arrays(F.lit(names), F.lit(list(self.words.values())))
+            hits = F.filter(found, lambda w: w.isin(names))
             total = total + F.aggregate(hits, F.lit(0.0), lambda s, w: s + book[w])
         bounded = F.least(F.greatest(total, F.lit(-MOST_EVIDENCE)), F.lit(MOST_EVIDENCE))
         return F.round(bounded, 6)
@@ -128,7 +128,8 @@ def fit_words(
     ``good`` is a condition on the labels' columns; by default quality 1 and not toxic.
     A document labelled more than once is good if all its labels say so.  Words count
     only against a document: words of good texts are as many as a language has.  With
-    labels of one class only, the model says nothing.
+    labels of one class only, the model says nothing.  Every word that passes the test is
+    kept; the sample, at most ``max_train`` texts or so, bounds how many there are.
     """
     good = good if good is not None else (F.col("quality") == 1) & (F.col("toxic") == 0)
     train = _sample(docs, labels, max_train, good, id_col, text_col)
@@ -151,7 +152,7 @@ def fit_words(
     odds = F.log(((p + 0.5) / (fine + 1)) / ((c + 0.5) / (bad + 1)))
     strong = counted.select("word", F.round(odds, 6).alias("odds"), F.round(g, 6).alias("g")).filter(
         (F.col("odds") < 0) & (F.col("g") >= 2 * math.log(all_words) + MARGIN)
-    ).orderBy(F.desc("g"), "word").limit(MAX_WORDS).collect()
+    ).orderBy(F.desc("g"), "word").collect()
     model = WordModel(0.0, {r["word"]: r["odds"] for r in strong})
     # The constant is the one that tells the sample's classes apart best; of several, the middle one.
     bins = train.groupBy("label", F.floor(model.evidence_of(F.col("found")) / STEP).alias("bin")).count().collect()
@@ -224,7 +225,8 @@ def classify(
     ``host`` and ``path`` are columns of ``docs``; null counts as an empty name.  Null
     texts are empty, with the evidence of the model's constant.  Without labels of both
     classes, the evidence is 0 and every document is kept.  Repeated rows and ids get a
-    row each; other columns are ignored.  Sites of any size are joined by counted
+    row each; very long texts are read whole; an empty table gives an empty table; other
+    columns are ignored.  Sites of any size are joined by counted
     broadcast or by a shuffle without hot keys.
     """
     model = model or fit_words(docs, labels, max_train, id_col=id_col, text_col=text_col)

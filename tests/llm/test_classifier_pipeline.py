@@ -38,6 +38,76 @@ def test_shrinkage_follows_the_formula(spark):
     assert p(-5.0) < rare["path_posterior"] <= share + 1e-6
 
 
+def test_verdicts_by_plain_counting(spark):
+    """Words, their G and odds, the constant, evidence, leave-one-out posterior and verdict, all by hand."""
+    docs, labels = (table(spark, SMALL, t) for t in ("documents", "labels"))
+    model = quality_classifier.fit_words(docs, labels)
+    found = {
+        r["doc_id"]: (r["f"], r["source"], r["lang"])
+        for r in docs.select("doc_id", "source", "lang", quality_classifier.features(F.coalesce("text", F.lit(""))).alias("f")).collect()
+    }
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {}
+    for r in labels.collect():
+        good[r["doc_id"]] = min(good.get(r["doc_id"], 1), int(r["quality"] == 1 and r["toxic"] == 0))
+    # Of labelled texts with the same smallest five words, the smallest id is looked at.
+    import re
+
+    first = {}
+    hashes = spark.createDataFrame(
+        [(d, re.split(r"[\x20\x09-\x0D]+", texts[d])) for d in good if d in texts], "d bigint, words array<string>"
+    ).select("d", F.array_min(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - 5, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(5)]))).alias("least")).collect()
+    for r in hashes:
+        key = (good[r["d"]], r["least"])
+        first[key] = min(first.get(key, r["d"]), r["d"])
+    train = [(label, d) for (label, _), d in first.items()]
+    fine, bad = sum(x for x, _ in train), sum(1 - x for x, _ in train)
+    has = {}
+    for label, d in train:
+        for w in set(found[d][0]):
+            has.setdefault(w, [0, 0])[0 if label else 1] += 1
+    has = {w: pc for w, pc in has.items() if sum(pc) >= quality_classifier.LEAST_TEXTS}
+    n = fine + bad
+    words = {}
+    for w, (p, c) in has.items():
+        cells = [(p, (p + c) * fine / n), (c, (p + c) * bad / n), (fine - p, (n - p - c) * fine / n), (bad - c, (n - p - c) * bad / n)]
+        g = 2 * sum(x * math.log(x / e) for x, e in cells if x)
+        odds = math.log((p + 0.5) / (fine + 1) / ((c + 0.5) / (bad + 1)))
+        if odds < 0 and g >= 2 * math.log(len(has)) + quality_classifier.MARGIN:
+            words[w] = odds
+    assert words.keys() == model.words.keys() and len(words) > 5
+    assert all(abs(words[w] - model.words[w]) < 1e-5 for w in words)
+    clip = lambda x: max(-quality_classifier.MOST_EVIDENCE, min(quality_classifier.MOST_EVIDENCE, x))
+    bare = {d: clip(sum(model.words[w] for w in set(f) if w in model.words)) for d, (f, _, _) in found.items()}
+    step = quality_classifier.STEP
+    wrong = {
+        k: sum((math.floor(round(bare[d], 6) / step) * step + k * step > 0) != (label == 1) for label, d in train)
+        for k in range(1, int(quality_classifier.MOST_EVIDENCE / step))
+    }
+    best = [k for k, e in wrong.items() if e == min(wrong.values())]
+    assert model.constant == step * best[len(best) // 2]
+    evidence = {d: round(clip(model.constant + sum(model.words[w] for w in set(f) if w in model.words)), 6) for d, (f, _, _) in found.items()}
+    p = lambda x: 1 / (1 + math.exp(-x))
+    sites, hosts = {}, {}
+    for d, (_, h, q) in found.items():
+        for book, key in ((sites, (h or "", q or "")), (hosts, h or "")):
+            book.setdefault(key, []).append(p(evidence[d]))
+    rows = spark.createDataFrame([(h or "", q or "", evidence[d]) for d, (_, h, q) in found.items()], "host string, path string, evidence double")
+    *_, share, k = quality_classifier.site_posteriors(rows)
+    for r in quality_classifier.classify(docs, labels, F.col("source"), F.col("lang")).collect():
+        d = r["doc_id"]
+        h, q = found[d][1] or "", found[d][2] or ""
+        mine = p(evidence[d])
+        assert abs(r["evidence"] - evidence[d]) < 1e-5
+        left_host = (sum(hosts[h]) - mine + k["host"] * share) / (len(hosts[h]) - 1 + k["host"])
+        left = (sum(sites[h, q]) - mine + left_host * k["path"]) / (len(sites[h, q]) - 1 + k["path"])
+        left = min(max(left, 1e-4), 1 - 1e-4)
+        posterior = p(evidence[d] + math.log(left / (1 - left)) - math.log(share / (1 - share)))
+        assert abs(r["posterior"] - posterior) < 1e-4 and (abs(posterior - 0.5) < 1e-4 or r["kept"] == (posterior >= 0.5))
+
+
 def test_odd_tables_are_classified(spark):
     kind = "doc_id bigint, text string, source string, lang string, evidence string, found string"
     rows = [(1, None, None, None, "e", "f"), (1, "", "a", "b", "e", "f"), (None, "x " * 50_000, "a", "b", "e", "f")]
