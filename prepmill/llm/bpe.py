@@ -205,7 +205,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """Token ids of whole texts: id, n_tokens, ids (binary, little-endian 32-bit).
 
     Null texts count as empty and give no token.  Strings of added tokens become those
-    tokens.  Every input row gives a row; other columns are ignored.
+    tokens.  Very long texts are encoded whole.  Every input row gives a row, repeated ones too;
+    an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
     for_python(spark)
@@ -226,7 +227,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """Append the text that each row's ids spell; null ids give the empty text."""
+    """Append the text that each row's ids spell; null ids give the empty text.
+
+    Ids of very long texts are decoded whole; an empty table gives an empty table.
+    """
     spark = coded.sparkSession
     for_python(spark)
     shared = _share(spark, path)

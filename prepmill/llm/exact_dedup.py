@@ -120,7 +120,8 @@ def exact_dedup(
     Texts are equal when identical without ASCII white space; null counts as empty, and
     empty texts form a group like any other.  The row with the most code points stays,
     then the smallest id; a null id loses every tie.  Rows that repeat an id within a
-    group carry the same verdict.  Ids are 64-bit integers.  Other columns are ignored.
+    group carry the same verdict.  Ids are 64-bit integers.  Very long texts are compared
+    whole; an empty table gives an empty table.  Other columns are ignored.
     """
     source = docs.select(named(docs, id_col).cast("bigint").alias("__id"), named(docs, text_col).alias(text_col))
     index = build_index(source, "__id", text_col, capacity)

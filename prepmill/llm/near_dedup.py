@@ -434,6 +434,7 @@ def near_dedup(
     texts are documents of their own.  If a class has several texts of its smallest id,
     the one of the smallest digest is kept; rows equal in id and text are kept together.
     Rows without id are compared as all others; their class has a null class_id if none
-    of its rows has an id.  Ids are 64-bit integers.  Other columns are ignored.
+    of its rows has an id.  Ids are 64-bit integers.  Very long texts are compared whole; an
+    empty table gives an empty table.  Other columns are ignored.
     """
     return near_classes(docs, id_col, text_col, threshold, words, bands, rows).drop("__key")

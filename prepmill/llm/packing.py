@@ -243,6 +243,8 @@ def pack(
     Documents on one point of the curve (copies) are ordered by id; repeated rows are
     packed once each; a null id is carried along.  Every sequence but those that hold the
     last ``total % size`` tokens is full, and these are powers of two, so nothing is padded.
+    Very long texts are cut into as many pieces as they fill; an empty table gives an empty
+    table; other columns are ignored.
     """
     spark = docs.sparkSession
     # Token ids are written once; only keys and counts are sorted along the curve.

@@ -306,7 +306,9 @@ def archive_pages(
 
     Columns: id, payload_bytes, payload_digest, record_type, refers_to.  Null payloads
     are empty ones.  Rows that repeat the smallest id of a group are all responses; a
-    null id is a revisit unless its group has only null ids.  Ids are 64-bit integers.
+    null id is a revisit unless its group has only null ids.  Ids are 64-bit integers.  Very
+    long payloads are archived whole; an empty table gives an empty table; other columns
+    are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
