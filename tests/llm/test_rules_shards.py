@@ -173,3 +173,15 @@ def test_url_rules(spark, monkeypatch, limit):
     partial = [("block", "com", "/e"), ("allow", "com", "/en")]
     longest = {r["page_id"]: r["rule"] for r in url_filter.judge_urls(pages, partial).collect()}
     assert longest[URLS.index("https://example.com/en/")] == "com/en" and longest[URLS.index("http://com/")] is None
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    long = "word " * 400_000
+    docs = docs_of(spark, [(1, long), (2, None), (3, long + " ")])
+    rules = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert rules[1]["n_words"] == 400_000 == rules[1]["n_repeat_words"] and rules[1]["base_failed"]
+    copies = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert copies == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+    none = docs.limit(0)
+    assert quality_rules.quality_rules(none).collect() == [] == exact_dedup.exact_dedup(none).collect()
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
