@@ -1,7 +1,9 @@
 """The training-data pipeline: stages of the operators of ``prepmill.llm``, in order.
 
 Each stage takes the documents that the one before it kept.  All but the last return the
-columns of ``documents``; the last returns pieces of packed sequences.
+columns of ``documents``, with any further columns unchanged; the last returns pieces of
+packed sequences.  Null texts count as empty and very long ones are read whole; an empty
+table gives an empty table in every stage.
 """
 
 from __future__ import annotations
@@ -85,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written as Parquet and read by the next stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = materialise(stage(spark, docs, sf_dir), name, wide=True)
     return STAGES[-1][1](spark, docs, sf_dir)
