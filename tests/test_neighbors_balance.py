@@ -120,3 +120,39 @@ def test_copies_are_made_in_chunks(spark, uneven, monkeypatch):
     assert "Join" not in above.split("Generate")[0]
     grown = spark.range(3).selectExpr("id", "7L as n")
     assert sorted(r["copy"] for r in balance._repeat(grown, F.col("n"), 1, 7).where("id = 1").collect()) == list(range(1, 8))
+
+
+def test_equal_points_and_far_leaves_are_not_compared(spark, monkeypatch):
+    """Copies of a point are one point with its first ids, and boxes that are too far are left out."""
+    rows = spark.range(3000).select(F.col("id").alias("d_id"), F.array(F.lit(1.0)).alias("d_x"), F.struct(F.lit(0)).alias("d_row"))
+    (point,) = neighbors._distinct_points(rows, 2, 3).collect()
+    assert sorted(e["d_id"] for e in point["rows"]) == [0, 1, 2] and point["first"] == 0
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(8000, 2))
+    pairs, plain = [0], neighbors._summed
+
+    def counted(a, b):
+        pairs[0] += max(a.shape[0] * b.shape[1] if a.ndim == 3 else len(a), 0)
+        return plain(a, b)
+
+    monkeypatch.setattr(neighbors, "_summed", counted)
+    index = neighbors._Search(points, np.arange(8000), 2)
+    leaves, starts = neighbors._leaves(points, neighbors.SLICE)
+    for a, b in zip(starts[:-1], starts[1:]):
+        mine = leaves[a:b]
+        spot, at, _ = index.leaf(points[mine], np.full(len(mine), np.inf))
+        assert (at[np.flatnonzero(np.diff(spot, prepend=-1))] == mine).all()
+    assert pairs[0] < 8000 * 8000 / 5
+
+
+def test_many_dimensions_are_exact(spark, monkeypatch):
+    """Pairs chosen in single precision give the distances and ties of whole sums."""
+    monkeypatch.setattr(neighbors, "WIDE_BYTES", 24 * 8 * 60)
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(size=(150, 24)), 1) + 100.0
+    points[40:80] = points[:40]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, x array<double>")
+    got = {}
+    for r in sorted(neighbors.nearest(df, df, "id", "id", "x", 4, True).collect(), key=lambda r: (r["id"], r["place"])):
+        got.setdefault(r["id"], []).append(r["neighbor_id"])
+    assert got == brute(points, list(range(150)), points, range(150), 4, True)
