@@ -306,9 +306,8 @@ def nearest(
 ) -> DataFrame:
     """The ``k`` nearest data rows per query: ``query_id, neighbor_id, place, distance, payload...``.
 
-    Euclidean distance over the array column ``vector``; ties go to the smaller id.  A
-    query that lacks a coordinate has no neighbours, and where a data row lacks one,
-    nothing is known of any distance order, so there are none at all.
+    Euclidean distance over the array column ``vector``; ties go to the smaller id.  Rows
+    that lack a coordinate have no neighbours and are none.
     """
     payload = list(payload)
     require_columns(queries, [query_id, vector])
@@ -320,14 +319,13 @@ def nearest(
         F.struct(F.lit(0).alias("_"), *[col(p).alias(f"p{i}") for i, p in enumerate(payload)]).alias("d_row"),
     )
     asks = queries.select(col(query_id).alias("q_id"), col(vector).cast("array<double>").alias("q_x"))
-    lacking = F.exists("d_x", lambda x: x.isNull() | F.isnan(x))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(lacking).alias("lacking"), F.max(F.size("d_x")).alias("dims")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("d_x")).alias("dims")).first()
     if not facts["n"]:
         raise ValueError("no data rows")
     dims = max(1, facts["dims"] or 1)
     # Without one id, whichever it is, the others must still be k rows.
     ids = k + 1 if exclude_self else k
-    points = cut_lineage(_distinct_points(rows.where(_whole("d_x") & F.lit(not facts["lacking"])), k, ids))
+    points = cut_lineage(_distinct_points(rows.where(_whole("d_x")), k, ids))
     take = ids
     if exclude_self:
         # An id that lies at several points can be left out of as many.

@@ -156,3 +156,10 @@ def test_many_dimensions_are_exact(spark, monkeypatch):
     for r in sorted(neighbors.nearest(df, df, "id", "id", "x", 4, True).collect(), key=lambda r: (r["id"], r["place"])):
         got.setdefault(r["id"], []).append(r["neighbor_id"])
     assert got == brute(points, list(range(150)), points, range(150), 4, True)
+
+
+def test_rows_that_lack_a_coordinate_are_left_out(spark):
+    rows = [(0, [0.0, 0.0]), (1, [0.0, None]), (2, [1.0, 0.0]), (3, None), (4, [0.0, float("nan")]), (5, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    got = {(r["id"], r["neighbor_id"]) for r in neighbors.nearest(df, df, "id", "id", "x", 1, True).collect()}
+    assert got == {(0, 2), (2, 0), (5, 0)}
