@@ -19,6 +19,9 @@ from ..operators.tuning import calibrate, fold_features, search
 from ..session import spread
 from .base import query, rounded, table, view
 
+#: A table that comes in one split is fitted in tasks of at least so many rows.
+ROWS_PER_SPLIT = 25_000
+
 
 def class_problem(spark, sf):
     """Events: is the value above 100?  (train, test, preparation)"""
@@ -45,7 +48,7 @@ def many_class_problem(spark, sf):
 
 def number_problem(spark, sf, features=("p_size", "p_partkey")):
     """Part: the retail price, fitted and scored on the whole table."""
-    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_retailprice"), ROWS_PER_SPLIT)
     prepared = T.prepare(part, list(features), "p_retailprice", "p_partkey", "regression")
     return part, prepared
 

@@ -67,14 +67,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, least_rows: int = 0) -> DataFrame:
     """Spread a small number of input splits over all cores before an iterative fit.
 
     Meant for a table as read (its splits are known without a job); a table with at
-    least as many splits as cores is returned unchanged.
+    least as many splits as cores is returned unchanged.  With ``least_rows`` each split
+    gets at least so many rows, so a small table is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if splits < cores and least_rows:
+        cores = min(cores, df.count() // least_rows)
+    return df if splits >= cores else df.repartition(cores)
 
 
 def ship_package(spark: SparkSession) -> None:

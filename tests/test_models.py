@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from prepmill.operators import balance, ensemble, explain, models, package, preprocess, scoring, split, training, tuning
-from prepmill.session import scratch_path
+from prepmill.session import scratch_path, spread
 
 QUICK = {
     "random_forest": {"numTrees": 8, "maxDepth": 5}, "decision_tree": {"maxDepth": 5},
@@ -539,3 +539,10 @@ def test_landmarks_carry_the_kernel(spark):
     made = kernel.LandmarkMap(points, 0.4)
     mapped = made.kernel(points) @ made.root
     assert np.allclose(mapped @ mapped.T, made.kernel(points), atol=1e-6)
+
+
+def test_a_table_in_one_split_is_spread_by_its_rows(spark):
+    """Only a table with rows for several tasks is moved."""
+    assert spread(spark.range(0, 100, 1, 1), 30).rdd.getNumPartitions() == 3
+    assert spread(spark.range(0, 40, 1, 1), 30).rdd.getNumPartitions() == 1
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
