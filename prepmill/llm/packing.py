@@ -10,7 +10,9 @@ into powers of two, which need no padding.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import materialise, named, for_python, text_of
 
 DIMS, BITS = 3, 20
 #: Slots of a document's hashed vector.
 SLOTS = 256
-#: White-space separated words kept by one worker; bounds its memory.
-CACHE_WORDS = 1 << 20
+#: White-space separated words, and pieces of two generations each, kept by one worker; bounds its memory (some 60 MB).
+CACHE_WORDS = 1 << 17
+#: Words that go to the tokenizer as one text.
+MARKED_WORDS = 256
+#: The split of tokenizers that make one piece of every run of letters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters above U+00FF that Western texts have.  They, and all below, are whole in composed
+#: form and become one character in lower case, so that the split can be stated without a Unicode table.
+WESTERN = "Œœ–—‘’‚“”„•…€"
+OTHER = re.compile(f"[^\x00-\xff{WESTERN}]|[\x01\x1c-\x1f]")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿœ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_BYTES = {b: c for c, b in byte_letters().items()}
+#: Spelling of characters in byte-level vocabularies.
+SPELLED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in [*range(0x100), *map(ord, WESTERN)]}
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,6 +94,21 @@ def document_cells(ids: list[np.ndarray]) -> np.ndarray:
     return cells
 
 
+class Pieces(dict):
+    """Ids of the pieces of a byte-level tokenizer's split, from its merges on first use; ``older`` is asked before."""
+
+    def __init__(self, merges, kind: str, older: dict[str, bytes]):
+        self.merges, self.kind, self.older = merges, kind, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            spelled = piece if piece.isascii() and piece.isprintable() else piece.translate(SPELLED)
+            ids = array(self.kind, [t.id for t in self.merges.tokenize(spelled)]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Words:
     """Ids of texts by a tokenizer that never joins characters across white space.
 
@@ -86,11 +117,14 @@ class Words:
     mark between words: a character that forms a token of its own and that none of them
     has.  Texts with control characters that some libraries count as white space, and
     words with the mark, are passed whole.
+
+    With ``added`` (see ``split_pieces``) Western texts are split into the tokenizer's own
+    pieces here, and each new piece goes straight to its merges.
     """
 
     MARK = "\x01"
 
-    def __init__(self, file: str, end: int, separable: bool):
+    def __init__(self, file: str, end: int, separable: bool, added: list[str] | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file)
@@ -103,6 +137,8 @@ class Words:
         self.separable = separable and self.mark is not None
         self.lowers = self._ids("A").tolist() == self._ids("a").tolist()
         self.known: dict[str, bytes] = {}
+        self.added = added
+        self.pieces = Pieces(self.tokenizer.model, self.kind().dtype.char, {})
         self.odd = re.compile("[\x01\x1c-\x1f]")
 
     def _ids(self, text: str) -> np.ndarray:
@@ -121,7 +157,8 @@ class Words:
     def _parts(self, word: str) -> tuple[str, str]:
         """A word as letters and the punctuation after them, which are tokens of their own."""
         stem = word.rstrip(".,!?;:")
-        if not stem.isalpha():
+        # Some letters have marks in normal form, which join the punctuation.
+        if not (stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha())):
             return word, ""
         return (stem.lower() if self.lowers and stem.isascii() else stem), word[len(stem):]
 
@@ -129,13 +166,29 @@ class Words:
         known = self.known
         parts = {w: self._parts(w) for w in words}
         new = list({p for pair in parts.values() for p in pair if p and p not in known})
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
+        for start in range(0, len(new), MARKED_WORDS):
+            some = new[start : start + MARKED_WORDS]
             known.update(zip(some, self._words(some), strict=True))
         for word, (stem, tail) in parts.items():
             known[word] = known[stem] + known[tail] if tail else known[stem]
 
+    def _by_pieces(self, text: str) -> bytes | None:
+        """Ids of a Western text without added tokens; none if it is another one."""
+        if self.added is None or OTHER.search(text):
+            return None
+        text = text.lower()
+        if any(a in text for a in self.added):
+            return None
+        if len(self.pieces) > CACHE_WORDS:  # pieces in use are taken along, others are forgotten
+            self.pieces = Pieces(self.pieces.merges, self.pieces.kind, dict(self.pieces))
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        out = [self._by_pieces(t) for t in texts]
+        others = iter(self._by_words([t for t, ids in zip(texts, out, strict=True) if ids is None]))
+        return [(next(others) if ids is None else ids) + self.end for ids in out]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         split = [t.split() if self.separable and not self.odd.search(t) else None for t in texts]
         words = {w for words in split if words for w in words}
@@ -146,9 +199,9 @@ class Words:
         self._learn(new)
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                out.append(self._ids(text).tobytes() + self.end)
+                out.append(self._ids(text).tobytes())
             else:
-                out.append(b"".join([known[w] for w in words]) + self.end)
+                out.append(b"".join([known[w] for w in words]))
         return out
 
 
@@ -166,14 +219,35 @@ def splits_at_space(file: str) -> bool:
     )
 
 
+def split_pieces(file: str) -> list[str] | None:
+    """The added tokens, lower-cased, of a tokenizer that merges lower-cased UTF-8 bytes within the pieces of ``SPLIT``, else none."""
+    import json
+
+    made = json.loads(file)
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    changes = (made.get("normalizer") or {}).get("normalizers") or []
+    fits = (
+        len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT}
+        and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False
+        and any(n.get("type") == "Lowercase" for n in changes)
+        and all(
+            n.get("type") in ("NFC", "Lowercase")
+            or (n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " ") for n in changes
+        )
+        and made["model"].get("type") == "BPE" and not made["model"].get("dropout")
+    )
+    return [t["content"].lower() for t in made.get("added_tokens", [])] if fits else None
+
+
 _WORDS: dict[int, Words] = {}
 
 
 def _words(shared, end: int) -> Words:
-    key = hash((shared.value, end))
+    key = hash((*shared.value[:2], end))
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = Words(*shared.value[:1], end, shared.value[1])
+        _WORDS[key] = Words(shared.value[0], end, *shared.value[1:])
     return _WORDS[key]
 
 
@@ -183,7 +257,7 @@ def tokenise(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", t
     for_python(spark)
     with open(path, encoding="utf-8") as f:
         file = f.read()
-    shared = spark.sparkContext.broadcast((file, splits_at_space(file)))  # bounded by the vocabulary file
+    shared = spark.sparkContext.broadcast((file, splits_at_space(file), split_pieces(file)))  # bounded by the vocabulary file
     source = docs.select(named(docs, id_col).cast("bigint").alias("__id"), text_of(text_col).alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,38 @@ def test_word_cache_equals_the_library():
         assert np.frombuffer(got, words.kind).tolist() == want, repr(t)
 
 
+def test_western_texts_go_to_the_merges_and_few_pieces_are_kept(monkeypatch):
+    """Western texts need no pass of the whole tokenizer; the caches stay bounded; all ids are the library's."""
+    file = open(WORDS, encoding="utf-8").read()
+    library = Tokenizer.from_file(WORDS)
+    added = packing.split_pieces(file)
+    assert added == ["<|startoftext|>", "<|endoftext|>"] and packing.split_pieces(open(BYTES, encoding="utf-8").read()) is None
+    words = packing.Words(file, 1, packing.splits_at_space(file), added)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 2000)
+    passed = []
+    whole = words._by_words
+    words._by_words = lambda some: passed.extend(some) or whole(some)
+    rng = random.Random(9)
+    western = [chr(c) for c in range(1, 256) if c != 1 and not 0x1C <= c <= 0x1F] + [*packing.WESTERN]
+    common = [*"abcdeorstz", " ", " ", "'s", "'T", "'", "'re", "E", "Ö", "..."]
+    sample = ["".join(rng.choice(western if rng.random() < 0.3 else common) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    for start in range(0, len(sample), 500):
+        some = sample[start : start + 500]
+        for text, got in zip(some, words.encode(some), strict=True):
+            assert np.frombuffer(got, words.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
+        assert len(words.pieces) + len(words.pieces.older) < 2 * 2000 + 2 * 60
+    assert not passed
+    odd = [*texts(11, 3000), *[a + x + b for a in ("é", "A", "'", "") for x in ("\u0301", "İ", "Σ", "ŉ", "K", "<|EndOfText|>", "<|endoftext|>", "ſ", "\u0958", "aİ") for b in ("s", ".", " x", "")]]
+    for text, got in zip(odd, words.encode(odd), strict=True):
+        assert np.frombuffer(got, words.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 1], repr(text)
+    assert passed
+
+
+def test_words_kept_by_a_worker_are_few():
+    """Two workers of an executor keep some 60 MB of words each."""
+    assert packing.CACHE_WORDS <= 1 << 18
+
+
 @pytest.mark.parametrize("bits,dims", [(3, 2), (2, 3)])
 def test_hilbert_curve_visits_all_cells_by_single_steps(bits, dims):
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
