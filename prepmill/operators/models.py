@@ -40,6 +40,8 @@ from ..functions.roles import as_text, col
 from ..session import cut_lineage
 from .kernel import LANDMARKS, LandmarkMap, LinearScore, fit_epsilon
 
+#: Deep trees: rows remember their node, else every pass ships all trees to all tasks and walks them from the root.
+DEEP = {"cacheNodeIds": True}
 # Model defaults.
 SEED = 42
 FOREST_TREES = 100
@@ -310,7 +312,7 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
         ).fit(train)
         return done([model])
     if name == "random_forest":
-        defaults = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "featureSubsetStrategy": "sqrt", "seed": seed}
+        defaults = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "featureSubsetStrategy": "sqrt", "seed": seed, **DEEP}
         return done([RandomForestClassifier(**weighted, **{**defaults, **params}).fit(train)])
     if name == "decision_tree":
         return done([DecisionTreeClassifier(**weighted, **{"maxDepth": TREE_DEPTH, "seed": seed, **params}).fit(train)])
@@ -456,7 +458,7 @@ def _fit_regressor(name, train, base, weighted, params, seed) -> FittedModel:
                     "maxIter": MAX_ITER, "tol": 1e-9, **params}
         return done([LinearRegression(**weighted, **settings).fit(train)])
     if name == "random_forest":
-        defaults = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "featureSubsetStrategy": "all", "seed": seed}
+        defaults = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "featureSubsetStrategy": "all", "seed": seed, **DEEP}
         return done([RandomForestRegressor(**weighted, **{**defaults, **params}).fit(train)])
     if name == "decision_tree":
         return done([DecisionTreeRegressor(**weighted, **{"maxDepth": TREE_DEPTH, "seed": seed, **params}).fit(train)])

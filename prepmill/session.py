@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -67,17 +68,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a split of a table that a fit reads many times.
+SPLIT_ROWS = 250_000
+
+
 def spread(df: DataFrame, least_rows: int = 0) -> DataFrame:
-    """Spread a small number of input splits over all cores before an iterative fit.
+    """Spread the rows of a table as read evenly over at least all cores before an iterative fit.
 
-    Meant for a table as read (its splits are known without a job); a table with at
-    least as many splits as cores is returned unchanged.  With ``least_rows`` each split
-    gets at least so many rows, so a small table is left as it is.
+    A file may come in many splits and have its rows in a few of them, as a row group is
+    read by one task; so the rows of each split are counted, which for Parquet takes the
+    files' footers.  A table whose splits are as many as the cores, even and of few rows is
+    returned unchanged; a large one gets a split for every ``SPLIT_ROWS`` rows.  With
+    ``least_rows`` each split gets at least so many rows, so a small table is left as it is.
     """
     cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
-    if splits < cores and least_rows:
-        cores = min(cores, df.count() // least_rows)
-    return df if splits >= cores else df.repartition(cores)
+    sizes = df.select(F.spark_partition_id().alias("split")).groupBy("split").count()
+    found = sizes.agg(F.max("count").alias("largest"), F.sum("count").alias("n")).first()
+    rows, largest = found["n"] or 0, found["largest"] or 0
+    if least_rows:
+        cores = min(cores, rows // least_rows)
+    wanted = max(cores, -(-rows // SPLIT_ROWS), 1)
+    if splits >= cores and largest <= 2 * -(-rows // wanted):
+        return df
+    return df.repartition(wanted)
 
 
 def ship_package(spark: SparkSession) -> None:

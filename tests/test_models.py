@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from prepmill import session
 from prepmill.operators import balance, ensemble, explain, models, package, preprocess, scoring, split, training, tuning
 from prepmill.session import scratch_path, spread
 
@@ -546,3 +547,23 @@ def test_a_table_in_one_split_is_spread_by_its_rows(spark):
     assert spread(spark.range(0, 100, 1, 1), 30).rdd.getNumPartitions() == 3
     assert spread(spark.range(0, 40, 1, 1), 30).rdd.getNumPartitions() == 1
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rows_in_one_of_many_splits_are_spread(spark, monkeypatch):
+    """A file may have as many splits as there are cores and all its rows in one; a large table gets more splits than cores."""
+    most = lambda df: max(map(len, df.rdd.glom().collect()))
+    cores = spark.sparkContext.defaultParallelism
+    hollow = spark.range(0, 4000 * (cores + 1), 1, cores + 1).where(F.col("id") >= 4000 * cores)
+    assert hollow.rdd.getNumPartitions() > cores and most(hollow) == 4000
+    assert most(spread(hollow)) <= 1000 and spread(hollow).count() == 4000
+    even = spark.range(0, 4000, 1, cores)
+    assert spread(even) is even
+    monkeypatch.setattr(session, "SPLIT_ROWS", 100)
+    assert spread(even).rdd.getNumPartitions() == 40
+
+
+def test_deep_forests_keep_the_nodes_of_rows(two, numbers):
+    """Trees are not sent to every task in every pass."""
+    for kind, ready, classes in (("classification", two[3], 2), ("regression", numbers[3], 0)):
+        core = models.fit_model("random_forest", kind, ready, classes, None, {"numTrees": 2, "maxDepth": 3}, "id").core
+        assert core.getOrDefault("cacheNodeIds")
