@@ -8,8 +8,9 @@ the number of ensembles.
 
 Trees are those of gradient boosting with squared impurity on binned features: the first
 tree fits the labels, later ones the loss's residuals (log loss for classes -1 and 1,
-squared error for numbers), shrunk by the step.  Rows stay where they are, as blocks of
-arrays; a job sends sums by (ensemble, node, slot, bin) to the driver, in pieces of at most
+squared error for numbers), shrunk by the step.  Rows that agree in all bins, label and
+fold are one row with their weight, since no tree can part them; these stay where they are,
+as blocks of arrays; a job sends sums by (ensemble, node, slot, bin) to the driver, in pieces of at most
 ``MAX_CELLS`` numbers, and the driver answers with splits.  A table of one block (at most
 ``BLOCK_ROWS`` rows) needs no such exchange: each task gets a copy of it and grows some of
 the ensembles, by the same steps.
@@ -81,12 +82,13 @@ class Trees:
 
 @dataclass
 class Block:
-    """Some rows: bins by preparation, label, fold, weight and the margins of all ensembles."""
+    """Some rows: bins by preparation, label, fold, weight, table rows and the margins of all ensembles."""
 
     bins: np.ndarray
     label: np.ndarray
     fold: np.ndarray
     weight: np.ndarray
+    count: np.ndarray
     margin: np.ndarray
     #: Weighted residuals that the next trees fit, a row per ensemble; none before the first.
     pull: np.ndarray | None = None
@@ -94,7 +96,7 @@ class Block:
     @classmethod
     def joined(cls, blocks: list[Block]) -> Block:
         """Several blocks before the first round as one."""
-        parts = {f: [getattr(b, f) for b in blocks] for f in ("bins", "label", "fold", "weight", "margin")}
+        parts = {f: [getattr(b, f) for b in blocks] for f in ("bins", "label", "fold", "weight", "count", "margin")}
         bins = np.concatenate(parts.pop("bins"), axis=1)
         return cls(bins, **{f: np.concatenate(x) for f, x in parts.items()})
 
@@ -143,20 +145,20 @@ class Block:
                 pull[m] = 2.0 * self.weight * (goal - margin[:, m])
             else:
                 pull[m] = 4.0 * self.weight * goal / (1.0 + np.exp(2.0 * goal * margin[:, m]))
-        return Block(self.bins, self.label, self.fold, self.weight, margin, pull)
+        return Block(self.bins, self.label, self.fold, self.weight, self.count, margin, pull)
 
     def judged(self, groups: list[tuple[int, list[int]]], classes: int) -> np.ndarray:
         """Per (fold, ensembles of one parameter point): what the score of the held-out rows needs."""
         out = []
         for fold, members in groups:
             held = self.fold == fold
-            label, margin = self.label[held], self.margin[held][:, members]
+            label, margin, n = self.label[held], self.margin[held][:, members], self.count[held]
             if classes == 0:
                 error = label - margin[:, 0]
-                out.append(np.array([len(label), label.sum(), (label * label).sum(), (error * error).sum()]))
+                out.append(np.array([n.sum(), n @ label, n @ (label * label), n @ (error * error)]))
                 continue
             guess = margin.argmax(axis=1) if len(members) > 1 else (margin[:, 0] > 0).astype(np.int64)
-            out.append(np.bincount(label.astype(np.int64) * classes + guess, minlength=classes * classes).astype(np.float64))
+            out.append(np.bincount(label.astype(np.int64) * classes + guess, n, classes * classes))
         return np.stack(out)
 
 
@@ -185,37 +187,57 @@ def bin_edges(data: DataFrame, folds: int) -> list[list[np.ndarray]]:
     return edges
 
 
-def _blocks(data: DataFrame, folds: int, weight: str | None, edges: list[list[np.ndarray]], ensembles: int):
+def _cells(data: DataFrame, folds: int, weight: str | None, edges: list[list[np.ndarray]]) -> DataFrame:
+    """Rows that agree in all bins, label and fold as one: ``key`` (these as bytes), weight, and count of table rows."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK_ROWS):
-                batch = whole.slice(start, BLOCK_ROWS)
-                label, fold, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                vectors = [np.stack(batch.column(3 + i).to_numpy(zero_copy_only=False)) for i in range(folds)]
-                bins = np.stack([
-                    np.stack([np.searchsorted(edges[i][s], x[:, s], "left") for s in range(x.shape[1])], axis=1)
-                    for i, x in enumerate(vectors)
-                ]).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([a.tobytes()], pa.binary())
-                    for a in (bins, label.astype(float), fold.astype(np.int64), w.astype(float))
-                ], ["bins", "label", "fold", "weight"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, fold, w = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            vectors = [np.stack(batch.column(3 + i).to_numpy(zero_copy_only=False)) for i in range(folds)]
+            bins = [
+                np.searchsorted(edges[i][s], x[:, s], "left").astype(np.uint8)[:, None]
+                for i, x in enumerate(vectors) for s in range(x.shape[1])
+            ]
+            # Adding 0 makes a negative zero the same bytes as zero.
+            ends = [np.ascontiguousarray(v).view(np.uint8).reshape(len(v), 8) for v in (label.astype(float) + 0.0, fold.astype(np.int64))]
+            keys, place = np.unique(np.concatenate([*ends, *bins], axis=1), axis=0, return_inverse=True)
+            place = place.reshape(-1)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k.tobytes() for k in keys], pa.binary()),
+                pa.array(np.bincount(place, w.astype(float), len(keys))), pa.array(np.bincount(place, minlength=len(keys)).astype(np.int64)),
+            ], ["key", "weight", "n"])
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = data.select(
         F.col("_label").cast("double"), F.col("fold").cast("bigint"), w.alias("w"),
         *[vector_to_array(vector_of(data, i)).alias(f"x{i}") for i in range(folds)],
     )
-    slots = len(edges[0])
+    parts = max(data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism)
+    found = rows.mapInArrow(each, "key binary, weight double, n bigint").repartition(parts, "key")
+    return found.groupBy("key").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
 
-    def block(r) -> Block:
-        label = np.frombuffer(r["label"])
-        return Block(
-            np.frombuffer(r["bins"], np.uint8).reshape(folds, len(label), slots), label,
-            np.frombuffer(r["fold"], np.int64), np.frombuffer(r["weight"]), np.zeros((len(label), ensembles)),
-        )
 
-    packed = rows.mapInArrow(each, "bins binary, label binary, fold binary, weight binary")
+def _blocks(cells: DataFrame, folds: int, slots: int, ensembles: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(start, BLOCK_ROWS)
+                weight, n = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([a], pa.binary()) for a in (b"".join(batch.column(0).to_pylist()), weight.tobytes(), n.tobytes())
+                ], ["keys", "weight", "n"])
+
+    def block(r) -> Block:
+        weight = np.frombuffer(r["weight"])
+        keys = np.frombuffer(r["keys"], np.uint8).reshape(len(weight), -1)
+        label, fold = (np.ascontiguousarray(keys[:, k : k + 8]).view(kind).reshape(-1) for k, kind in ((0, np.float64), (8, np.int64)))
+        bins = np.ascontiguousarray(keys[:, 16:].reshape(len(weight), folds, slots).transpose(1, 0, 2))
+        return Block(bins, label, fold, weight, np.frombuffer(r["n"]), np.zeros((len(label), ensembles)))
+
+    # In one order, so that sums do not depend on which task was first.
+    packed = cells.sortWithinPartitions("key").mapInArrow(each, "keys binary, weight binary, n binary")
     return packed.rdd.map(block)
 
 
@@ -258,16 +280,20 @@ class BoostedSearch:
             [Ensemble(fold, d, s, rounds[d, s], t) for t in targets] for d, s in shapes for fold in range(self.folds)
         ]
         edges = bin_edges(self.data, self.folds)
-        if self.data.count() <= BLOCK_ROWS:
-            self._one_block(families, edges, points)
-        else:
-            self._many_blocks([e for family in families for e in family], edges, points)
+        cells = _cells(self.data, self.folds, self.weight, edges).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if cells.count() <= BLOCK_ROWS:
+                self._one_block(families, cells, len(edges[0]), points)
+            else:
+                self._many_blocks([e for family in families for e in family], cells, len(edges[0]), points)
+        finally:
+            cells.unpersist()
         return self.scores
 
-    def _one_block(self, families: list[list[Ensemble]], edges: list[list[np.ndarray]], points: list[tuple[int, float, int]]) -> None:
+    def _one_block(self, families: list[list[Ensemble]], cells: DataFrame, slots: int, points: list[tuple[int, float, int]]) -> None:
         """A table of one block: its sums are whole sums, so a task with a copy of it grows a family by itself."""
         classes, n = self.classes, len(families)
-        blocks = _blocks(self.data.coalesce(1), self.folds, self.weight, edges, len(families[0]))
+        blocks = _blocks(cells.coalesce(1), self.folds, slots, len(families[0]))
         copies = blocks.glom().filter(len).flatMap(lambda found: [(k, Block.joined(found)) for k in range(n)])
 
         def grown(pair: tuple[int, Block]) -> list[tuple[tuple[int, float, int], int, float]]:
@@ -287,10 +313,10 @@ class BoostedSearch:
         for name, _, score in sorted(found):
             self.scores.setdefault(name, []).append(score)
 
-    def _many_blocks(self, ensembles: list[Ensemble], edges: list[list[np.ndarray]], points: list[tuple[int, float, int]]) -> None:
+    def _many_blocks(self, ensembles: list[Ensemble], cells: DataFrame, slots: int, points: list[tuple[int, float, int]]) -> None:
         """All ensembles grow their next level in one pass over the blocks."""
         stops = sorted({n for _, _, n in points})
-        blocks = _blocks(self.data, self.folds, self.weight, edges, len(ensembles))
+        blocks = _blocks(cells, self.folds, slots, len(ensembles))
         blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
         flat = blocks.getNumPartitions() <= FLAT_PARTITIONS
 

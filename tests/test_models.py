@@ -567,3 +567,31 @@ def test_deep_forests_keep_the_nodes_of_rows(two, numbers):
     for kind, ready, classes in (("classification", two[3], 2), ("regression", numbers[3], 0)):
         core = models.fit_model("random_forest", kind, ready, classes, None, {"numTrees": 2, "maxDepth": 3}, "id").core
         assert core.getOrDefault("cacheNodeIds")
+
+
+def test_boosted_search_counts_rows_of_equal_bins_once(spark, monkeypatch):
+    """Far more rows than a block has, of few different bins: one block, with the scores of the rows themselves."""
+    from prepmill.operators import boosting
+    from prepmill.operators.boosting import BoostedSearch
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (600, 2))
+    rows = [(i % 3, float(rng.random() < (0.2 + 0.15 * a)), [float(a), float(b)], float(1 + i % 2)) for i, (a, b) in enumerate(x)]
+    data = spark.createDataFrame(rows, "fold int, _label double, x array<double>, w double")
+    data = data.select("fold", "_label", "w", array_to_vector("x").alias("features"))
+    edges = boosting.bin_edges(data, 3)
+    cells = boosting._cells(data, 3, "w", edges)
+    facts = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum("weight").alias("w")).first()
+    assert facts["cells"] <= 4 * 4 * 2 * 3 and facts["n"] == 600 and facts["w"] == 900.0
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 96)
+    monkeypatch.setattr(BoostedSearch, "_many_blocks", lambda *a: pytest.fail("more than one block"))
+    found = BoostedSearch(data, 3, 2, "w").run([(3, 0.3, 6), (2, 0.1, 3)])
+
+    # The same rows, each a cell of its own.
+    monkeypatch.setattr(boosting, "_cells", lambda *a, f=boosting._cells: f(*a).select(
+        "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), (F.col("weight") / F.col("n")).alias("mean")
+    ).select("key", F.col("mean").alias("weight"), F.lit(1).cast("bigint").alias("n")))
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 1000)
+    whole = BoostedSearch(data, 3, 2, "w").run([(3, 0.3, 6), (2, 0.1, 3)])
+    for point, scores in found.items():
+        assert np.allclose(scores, whole[point], atol=1e-9)
