@@ -4,8 +4,12 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import preprocess as R
+from ..session import spread
 from .base import query, rounded, table, view
 
+#: A table that comes in few splits is fitted in tasks of at least so many rows.
+ROWS_PER_SPLIT = 25_000
+
 
 @query("f1_interactions", """
 select l_orderkey, l_linenumber, round(l_quantity * l_discount, 6) as l_quantity_l_discount_interaction,
@@ -74,8 +78,9 @@ def f5(spark, sf):
 
 @query("f6_eliminate_features")
 def f6(spark, sf):
-    return X.eliminate_features(
-        table(spark, sf, "lineitem"), "l_returnflag", 2, ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    line = spread(table(spark, sf, "lineitem").select(*names, "l_returnflag"), ROWS_PER_SPLIT)
+    return X.eliminate_features(line, "l_returnflag", 2, names)
 
 
 def _nulls(spark, sf):

@@ -595,3 +595,17 @@ def test_boosted_search_counts_rows_of_equal_bins_once(spark, monkeypatch):
     whole = BoostedSearch(data, 3, 2, "w").run([(3, 0.3, 6), (2, 0.1, 3)])
     for point, scores in found.items():
         assert np.allclose(scores, whole[point], atol=1e-9)
+
+
+def test_eliminated_features_are_fitted_on_spread_rows(spark, monkeypatch, tmp_path):
+    """A file of one row group is fitted in several tasks."""
+    from prepmill.plans import features as plan
+
+    rows = spark.range(0, 600, 1, 1)
+    made = [(F.col("id") % k).cast("double").alias(c) for k, c in ((7, "l_quantity"), (5, "l_discount"), (3, "l_tax"), (4, "l_linenumber"))]
+    rows.select(*made, (F.col("id") % 7 > 3).cast("string").alias("l_returnflag")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen = []
+    monkeypatch.setattr(plan, "ROWS_PER_SPLIT", 100)
+    monkeypatch.setattr(plan.X, "eliminate_features", lambda df, *a: seen.append(df))
+    plan.f6(spark, str(tmp_path))
+    assert seen[0].rdd.getNumPartitions() == 6 and seen[0].count() == 600
