@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,8 +35,22 @@ SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _BLANK + r"\p{L}\p{N}]+|["
     + _BLANK + r"]+(?![^" + _BLANK + r"])|[" + _BLANK + r"]+"
 )
-#: Words kept by one worker, and the longest word kept; both only bound memory.
-CACHE_WORDS = 1 << 19
+#: Characters above U+00FF that Western texts have.
+WESTERN = "Œœ–—‘’‚“”„•…€"
+NOT_WESTERN = re.compile(f"[^\x00-\xff{WESTERN}]")
+
+
+def western_split() -> re.Pattern:
+    """``SPLIT`` for Western texts, without a Unicode table; runs of letters, which are most pieces, are tried first."""
+    here = [chr(c) for c in range(0x100)] + list(WESTERN)
+    letters, numbers = ("".join(c for c in here if unicodedata.category(c)[0] == k) for k in "LN")
+    return re.compile(SPLIT.replace(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|", r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|").replace(
+        r"[^" + _BLANK + r"\p{L}\p{N}]", f"[^{_BLANK}{letters}{numbers}]"
+    ).replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+
+
+#: Words of two generations kept by one worker, and the longest word kept; both only bound memory.
+CACHE_WORDS = 1 << 18
 CACHE_LENGTH = 64
 FOREVER = 1 << 60
 
@@ -64,7 +81,8 @@ class Automaton:
         self.width = [0] * len(self.label)
         for word, state in self.state_of.items():
             self.width[state] = len(word)
-        self.prefixes = {t[:k] for t in self.state_of for k in range(1, len(t) + 1)}
+        #: The state of every token, and -1 for other beginnings of tokens.
+        self.begun = dict.fromkeys((t[:k] for t in self.state_of for k in range(1, len(t))), -1) | self.state_of
 
     @classmethod
     def from_json(cls, text: str) -> Automaton:
@@ -112,58 +130,78 @@ class Coder:
     def __init__(self, automaton: Automaton, pattern: str = SPLIT):
         self.a = automaton
         self.arcs: dict[int, bool] = {}
+        #: Words of this generation, and of the one before it; words in use move along.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
+        self.find_western = western_split().findall if pattern == SPLIT else None
         self.special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(automaton.added, key=len, reverse=True))) + ")"
         ) if automaton.added else None
-        self.emit = {k.to_bytes(4, "little"): w for k, w in automaton.words.items()}
+        self.emit = [automaton.words.get(k) for k in range(max(automaton.words) + 1)]
 
     def run(self, word: bytes) -> list[int]:
-        """States along the only path that spells the word."""
+        """States along the only path that spells the word, longest arcs tried first.
+
+        As every beginning of the word has one path, a place that led nowhere is not entered again.
+        """
         a, arcs, n = self.a, self.arcs, len(word)
-        states, prefixes = a.state_of, a.prefixes
-        came = [-2] * (n + 1)  # the state at each position: the token that ends there
-        came[0] = -1
-        for j in range(n):
-            here = came[j]
-            for i in range(j + 1, n + 1):
-                piece = word[j:i]
-                token = states.get(piece)
+        begun, whole = a.begun, a.state_of.get(word)
+        if whole is not None:
+            return [whole]
+        path: list[int] = []
+        ways: list[list[tuple[int, int]]] = []  # untried arcs (state, end) of each place on the path, longest last
+        dead: set[int] = set()
+        at, last = 0, -1
+        while at < n:
+            open_ = []
+            for i in range(at + 1, n + 1):
+                token = begun.get(word[at:i])
                 if token is None:
-                    if piece not in prefixes:
-                        break
+                    break
+                if token >= 0:
+                    open_.append((token, i))
+            ways.append(open_)
+            while True:
+                if not ways[-1]:  # nothing leads on from here
+                    ways.pop()
+                    dead.add(at)
+                    at -= a.width[path.pop()]
+                    last = path[-1] if path else -1
+                    continue
+                token, end = ways[-1].pop()
+                if end in dead:
                     continue
-                if came[i] == -2:
-                    if here >= 0:
-                        arc = here << 32 | token
-                        lost = arcs.get(arc)
-                        if lost is None:
-                            lost = arcs[arc] = a.forbidden(here, token)
-                        if lost:
-                            continue
-                    came[i] = token
-        path, end, width = [], n, a.width
-        while end:
-            path.append(came[end])
-            end -= width[came[end]]
-        return path[::-1]
+                if last >= 0:
+                    arc = last << 32 | token
+                    lost = arcs.get(arc)
+                    if lost is None:
+                        lost = arcs[arc] = a.forbidden(last, token)
+                    if lost:
+                        continue
+                path.append(token)
+                at, last = end, token
+                break
+        return path
 
     def encode_word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
-            label = self.a.label
-            got = b"".join(label[s].to_bytes(4, "little") for s in self.run(word.encode("utf-8")))
+            got = self.older.get(word)
+            if got is None:
+                label = self.a.label
+                got = b"".join([label[s].to_bytes(4, "little") for s in self.run(word.encode("utf-8"))])
             if len(word) <= CACHE_LENGTH:
                 if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                if len(self.arcs) >= 4 * CACHE_WORDS:
+                    self.known, self.older = {}, self.known
+                if len(self.arcs) >= 8 * CACHE_WORDS:
                     self.arcs.clear()
                 self.known[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
+        find = self.find if self.find_western is None or NOT_WESTERN.search(text) else self.find_western
         parts = self.special.split(text) if self.special else [text]
         out = []
         for part in parts:
@@ -171,12 +209,12 @@ class Coder:
                 out.append(self.a.added[part].to_bytes(4, "little"))
             else:
                 known, encode = self.known, self.encode_word
-                out += [known.get(w) or encode(w) for w in self.find(part)]
+                out += [known.get(w) or encode(w) for w in find(part)]
         return b"".join(out)
 
     def decode_bytes(self, ids: bytes) -> bytes:
-        emit = self.emit
-        return b"".join([emit[ids[k : k + 4]] for k in range(0, len(ids), 4)])
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return b"".join([self.emit[k] for k in numbers])
 
     def decode(self, ids: bytes) -> str:
         """The text that the labels spell; broken UTF-8 becomes U+FFFD."""

@@ -35,6 +35,26 @@ def test_automaton_equals_the_library():
         assert coder.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_western_texts_need_no_unicode_split_and_words_in_use_are_kept(monkeypatch):
+    """The split of Western texts is the library's; a full cache forgets words not in use, and no arc is asked twice."""
+    library = Tokenizer.from_file(BYTES)
+    coder = bpe.Coder(bpe.Automaton.from_json(open(BYTES, encoding="utf-8").read()))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 500)
+    passed, table, runs, run = [], coder.find, [], coder.run
+    coder.find = lambda t: passed.append(t) or table(t)
+    coder.run = lambda w: runs.append(w) or run(w)
+    rng = random.Random(13)
+    western = [chr(c) for c in range(256)] + [*bpe.WESTERN]
+    common = [*"abcdeorstz", " ", " ", "'s", "'T", "'", "'re", " E", "Ö", "...", "\n"]
+    for _ in range(4000):
+        text = "in use " + "".join(rng.choice(western if rng.random() < 0.3 else common) for _ in range(rng.randrange(60)))
+        got = coder.encode(text)
+        assert struct.unpack(f"<{len(got) // 4}I", got) == tuple(library.encode(text, add_special_tokens=False).ids), repr(text)
+        assert len(coder.known) + len(coder.older) < 2 * 500 + 60
+    assert not passed and runs.count(b" use") == 1
+    assert coder.encode("в use") and passed == ["в use"]
+
+
 def test_small_vocabularies_follow_the_merges():
     """Random merge lists over few letters, against merging by rank."""
     rng = random.Random(5)
