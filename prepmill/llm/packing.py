@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import WESTERN, byte_letters
 from .common import materialise, named, for_python, text_of
 
 DIMS, BITS = 3, 20
@@ -33,10 +32,9 @@ CACHE_WORDS = 1 << 17
 MARKED_WORDS = 256
 #: The split of tokenizers that make one piece of every run of letters.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters above U+00FF that Western texts have.  They, and all below, are whole in composed
-#: form and become one character in lower case, so that the split can be stated without a Unicode table.
-WESTERN = "Œœ–—‘’‚“”„•…€"
-OTHER = re.compile(f"[^\x00-\xff{WESTERN}]|[\x01\x1c-\x1f]")
+#: What Western texts lack.  Their characters are whole in composed form and become one
+#: character in lower case, so that the split can be stated without a Unicode table.
+OTHER = re.compile(f"[^\x00\x02-\x1b\x20-\xff{WESTERN}]")
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿœ", "0-9²³¹¼½¾"
 PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _BYTES = {b: c for c, b in byte_letters().items()}
@@ -81,6 +79,22 @@ def _projection() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).standard_normal((SLOTS, DIMS))
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 1)
+
+
+def stored(ids: bytes, kind: type, codec: pa.Codec) -> bytes:
+    """Token ids of 2 or 4 bytes each as they are written: their width, then the ids compressed."""
+    return bytes([np.dtype(kind).itemsize]) + codec.compress(ids, asbytes=True)
+
+
+def restored(packed: bytes, tokens: int, codec: pa.Codec) -> np.ndarray:
+    """The ``tokens`` ids that ``stored`` wrote."""
+    width = packed[0]
+    data = codec.decompress(memoryview(packed)[1:], decompressed_size=width * tokens)
+    return np.frombuffer(data, f"<u{width}")
+
+
 def document_cells(ids: list[np.ndarray]) -> np.ndarray:
     """Grid cells of documents: unit vectors of hashed token counts, projected."""
     directions = _projection()
@@ -261,14 +275,14 @@ def tokenise(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", t
     source = docs.select(named(docs, id_col).cast("bigint").alias("__id"), text_of(text_col).alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(shared, end)
+        words, codec = _words(shared, end), _codec()
         for batch in batches:
             ids = words.encode(batch.column(1).to_pylist())
             arrays = [np.frombuffer(x, words.kind) for x in ids]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(hilbert_key(document_cells(arrays))),
                 pa.array([len(x) for x in arrays], pa.int64()),
-                pa.array([zlib.compress(x, 1) for x in ids], pa.binary()),
+                pa.array([stored(x, words.kind, codec) for x in ids], pa.binary()),
             ], ["id", "curve", "tokens", "ids"])
 
     return source.mapInArrow(each, "id bigint, curve bigint, tokens bigint, ids binary")
@@ -342,11 +356,11 @@ def pack(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "curve"]
         kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
+        codec = _codec()
         for batch in batches:
             rows: list[tuple] = []
             for doc, curve, tokens, packed, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = zlib.decompress(packed)
-                ids = np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32).astype(np.uint32).tobytes()
+                ids = restored(packed, tokens, codec).astype(np.uint32).tobytes()
                 for start, length, sequence, offset in cut(first, tokens, total, size):
                     rows.append((doc, start, length, ids[4 * start : 4 * (start + length)], tokens, sequence, offset, curve))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)

@@ -140,6 +140,16 @@ def test_western_texts_go_to_the_merges_and_few_pieces_are_kept(monkeypatch):
     assert passed
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_stored_ids_are_restored(kind):
+    """Ids come back as they were, in either width; the width is written, not guessed from the size."""
+    codec = packing._codec()
+    for n in (1, 2, 3, 5000):
+        ids = np.arange(n, dtype=kind) * kind(13)
+        got = packing.restored(packing.stored(ids.tobytes(), kind, codec), n, codec)
+        assert got.dtype == kind and got.tolist() == ids.tolist()
+
+
 def test_words_kept_by_a_worker_are_few():
     """Two workers of an executor keep some 60 MB of words each."""
     assert packing.CACHE_WORDS <= 1 << 18
