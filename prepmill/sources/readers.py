@@ -42,7 +42,7 @@ class CsvKind:
 
 
 def _csv_kinds(spark: SparkSession, path: str, sep: str | None) -> dict[str, CsvKind]:
-    """Each file's encoding, quoted line breaks and separator, from one aggregate over all lines.
+    """Each file's encoding, quoted line breaks and separator, from one aggregate over all lines, and their headers.
 
     A line break inside quotes leaves an odd number of quotes on its line.  Separators are
     counted outside quotes; of those that the file's first line has, the one wins that most
@@ -59,16 +59,18 @@ def _csv_kinds(spark: SparkSession, path: str, sep: str | None) -> dict[str, Csv
         F.struct(F.lit(s).alias("sep"), (F.length("bare") - F.length(F.replace("bare", F.lit(s)))).alias("c")) for s in SEPARATORS
     ]
     quotes = F.octet_length("line") - F.octet_length(F.replace("line", F.lit('"')))
+    # Sums of numbers and flags alone are kept by hash; a line's text among them would have all lines sorted.
+    # So a file's first line is known by its hash here, and its text is looked up afterwards.
+    odd = quotes % 2 == 1
     known = lines.select(
-        "file", "at", F.is_valid_utf8("value").alias("utf8"), (quotes % 2 == 1).alias("odd"), bare.alias("bare"),
-        F.when(F.col("at").isNotNull(), F.col("value").cast("binary")).alias("head"),
+        "file", "at", F.is_valid_utf8("value").alias("utf8"), odd.alias("odd"), bare.alias("bare"), F.xxhash64("value").alias("mark"),
     )
     each = known.select("*", F.inline(F.array(*counts))).groupBy("file", "sep", "c").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min("utf8").alias("utf8"), F.max("odd").alias("breaks"),
-        F.min_by(F.struct("head", "odd"), "at").alias("head"),
+        F.min_by("mark", "at").alias("mark"),
     )
     voted = each.groupBy("file", "sep").agg(
-        F.min_by(F.struct("c", "n", "head"), "first").alias("top"), F.min("utf8").alias("utf8"), F.max("breaks").alias("breaks")
+        F.min_by(F.struct("c", "n", "mark"), "first").alias("top"), F.min("utf8").alias("utf8"), F.max("breaks").alias("breaks")
     )
     rank = F.struct(
         (F.col("top.c") > 0).alias("there"), F.when(F.col("top.c") > 0, F.col("top.n")).alias("n"),
@@ -77,13 +79,23 @@ def _csv_kinds(spark: SparkSession, path: str, sep: str | None) -> dict[str, Csv
     )
     found = voted.groupBy("file").agg(
         F.max_by("sep", rank).alias("sep"), F.min("utf8").alias("utf8"), F.max("breaks").alias("breaks"),
-        F.first("top.head").alias("head"),
+        F.first("top.mark").alias("mark"),
     )
+    rows = found.collect()  # one row per file, as the driver's own file listing has
+    marks = spark.createDataFrame([(r["file"], r["mark"]) for r in rows], "file string, mark bigint")
+    # Equal lines are one before the first of them is taken: a file may hold its first line many times.
+    same = lines.where("at is not null").select(
+        "file", "at", F.xxhash64("value").alias("mark"), odd.alias("odd"), F.col("value").cast("binary").alias("head"),
+    ).join(F.broadcast(marks), ["file", "mark"])
+    heads = same.groupBy("file", "head", "odd").agg(F.min("at").alias("at")).groupBy("file").agg(
+        F.min_by(F.struct("head", "odd"), "at").alias("head"))
+    first = {r["file"]: r["head"] for r in heads.collect()}
     kinds = {}
-    for row in found.collect():  # one row per file, as the driver's own file listing has
+    for row in rows:
         kind = CsvKind(row["utf8"], row["breaks"], sep or row["sep"], None)
-        if not row["head"]["odd"]:  # else the header itself spans lines
-            text = bytes(row["head"]["head"]).decode("utf-8" if kind.utf8 else "latin-1").removeprefix("\ufeff")
+        head = first[row["file"]]
+        if not head["odd"]:  # else the header itself spans lines
+            text = bytes(head["head"]).decode("utf-8" if kind.utf8 else "latin-1").removeprefix("\ufeff")
             kind.names = tuple(next(csv.reader([text], delimiter=kind.sep)))
         kinds[unquote(row["file"])] = kind
     return kinds
@@ -151,7 +163,7 @@ def read_csv(
     """CSV with a header.
 
     Separator, encoding and quoted line breaks are decided for each file from all its
-    lines, in one scan: a file with any byte sequence that is not UTF-8 is Latin-1, and
+    lines, in one scan and a look at their first lines: a file with any byte sequence that is not UTF-8 is Latin-1, and
     only files in which a quoted field spans lines are read by one task each; the others
     are split.  Files of one table may differ in all of these, but not in their columns.
     Give ``sep``, ``encoding`` and ``multi_line`` to save that scan, and ``schema`` to

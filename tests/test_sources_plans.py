@@ -9,6 +9,7 @@ import prepmill.sources as sources
 from prepmill.operators import duplicates, missing, models, package, profile, training, view
 from prepmill.plans import base
 from prepmill.session import scratch_path
+from prepmill.sources import readers
 from prepmill.streaming import incoming_files, write_stream
 
 
@@ -70,6 +71,21 @@ def test_csv_kinds_in_partition_folders(spark, tmp_path):
     assert sources.read_csv(spark, str(tmp_path / "in" / "k=*")).columns == ["t"]
 
 
+def test_csv_lines_are_judged_without_sorting_them(spark, tmp_path, monkeypatch):
+    """No line's text is kept in the aggregate over all lines, which Spark would do by sorting (and spilling) them."""
+    plans = []
+    kind = type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    path = put(tmp_path, "many.csv", b"k;t\n" * 50 + b'1;"a, b"\n2;c\n' * 500)
+    kinds = readers._csv_kinds(spark, path, None)
+    # The aggregate next to the scan is the last one in the printed tree.
+    lowest = [[line for line in p.splitlines() if "Aggregate(" in line][-1] for p in plans if "Scan text" in p]
+    assert lowest and all("HashAggregate(" in line for line in lowest)
+    assert [(k.sep, k.names, k.breaks, k.utf8) for k in kinds.values()] == [(";", ("k", "t"), False, True)]
+
+
 def test_csv_separator_by_all_lines(spark, tmp_path):
     """Compressed files, separators inside quotes, texts full of other separators, and folders of both."""
     read = lambda path, **o: [tuple(r) for r in sources.read_csv(spark, path, **o).collect()]
