@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_unit
 from ..functions.parallel import run_together
 from ..functions.roles import as_text, col
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
+from .boosting import BINS, bin_edges
 from .kernel import LANDMARKS, LandmarkMap, LinearScore, fit_epsilon
 
 #: Deep trees: rows remember their node, else every pass ships all trees to all tasks and walks them from the root.
@@ -75,6 +76,13 @@ MAX_CLASSES = 1000
 MAX_NORMAL_SLOTS = 4096
 #: Fits run side by side for the classes of one-vs-rest.
 SIDE_BY_SIDE = 8
+#: Tables of at least so many rows are fitted on their different rows, with weights, where that leaves
+#: at most a quarter of them; a split of these has at least so many.
+MERGE_ROWS = 1_000_000
+MERGE_SHARE = 0.25
+MERGED_SPLIT = 25_000
+#: Settings of boosting under which a row with weight n grows the same trees as n rows.
+MERGEABLE = {"maxIter", "stepSize", "maxDepth", "seed"}
 
 
 def class_list(df: DataFrame, target: str) -> list[str]:
@@ -214,6 +222,69 @@ class RandomFourier:
         return df.withColumn(self.out, array_to_vector(cosines(vector_to_array("features"))))
 
 
+class Binned:
+    """Vector slots as numbers of bins, between ascending edges that belong to the bin on their left."""
+
+    def __init__(self, edges: list[np.ndarray], out: str = "_binned"):
+        self.edges, self.out = edges, out
+
+    @classmethod
+    def fit(cls, train: DataFrame) -> Binned:
+        """Edges at quantiles of all rows; a slot of at most ``BINS`` different values is cut between all of them."""
+        edges = bin_edges(train.withColumn("fold", F.lit(-1)), 1)[0]
+        values = train.select(F.posexplode(vector_to_array("features")).alias("s", "v"))
+        about = values.groupBy("s").agg(F.approx_count_distinct("v").alias("n")).collect()
+        few = [r["s"] for r in about if r["n"] <= 2 * BINS]
+        found: dict[int, list[float]] = {}
+        # At most a few times BINS values for each of these slots.
+        for r in values.where(F.col("s").isin(few)).distinct().collect() if few else []:
+            found.setdefault(r["s"], []).append(r["v"])
+        for s, seen in found.items():
+            if len(seen) <= BINS:
+                edges[s] = np.unique(seen)[:-1]
+        return cls(edges)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        edges = self.edges
+
+        @F.pandas_udf("array<double>")
+        def bins(batch: pd.Series) -> pd.Series:
+            if not len(batch):
+                return pd.Series([], dtype=object)
+            x = np.stack(batch.to_numpy())
+            found = [np.searchsorted(e, x[:, s], "left").astype(float) for s, e in enumerate(edges)]
+            return pd.Series(list(np.stack(found, axis=1)))
+
+        return df.withColumn(self.out, array_to_vector(bins(vector_to_array("features"))))
+
+
+def _merged(train: DataFrame, vector: str, weight: str | None, rows: int) -> DataFrame | None:
+    """Rows of equal ``vector`` and label as one with their weight (``_merged``); none if they are few or differ.
+
+    Sums over such rows are those over all rows, so a fit that only needs weighted sums is the same.
+    """
+    if rows < MERGE_ROWS:
+        return None
+    values = train.select(
+        vector_to_array(vector).alias("_x"), "_label", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    about = values.agg(F.approx_count_distinct(F.xxhash64("_x", "_label")).alias("n")).first()["n"]
+    if about > MERGE_SHARE * rows:
+        return None
+    cells = cut_lineage(values.groupBy("_x", "_label").agg(F.sum("_w").alias("_merged")))
+    return spread(cells.select(array_to_vector("_x").alias(vector), "_label", "_merged"), MERGED_SPLIT)
+
+
+def _for_boosting(train: DataFrame, settings: dict, base: dict, weighted: dict) -> tuple[DataFrame, dict, list]:
+    """What boosting is fitted on: merged rows of equal bins if the table is large, with the columns' names and the stage before."""
+    rows = train.count() if set(settings) <= MERGEABLE else 0
+    if rows >= MERGE_ROWS:
+        binned = Binned.fit(train)
+        merged = _merged(binned.transform(train), binned.out, weighted.get("weightCol"), rows)
+        if merged is not None:
+            return merged, {**base, "featuresCol": binned.out, "weightCol": "_merged"}, [binned]
+    return train, weighted, []
+
+
 class MarginProbability:
     """Class probabilities from margins by a fitted logistic curve (two classes)."""
 
@@ -306,6 +377,9 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
     if name == "logistic":
         n = train.count()
         strength = params.pop("C", 1.0)
+        merged = _merged(train, "features", weighted.get("weightCol"), n)
+        if merged is not None:
+            train, weighted = merged, {**base, "weightCol": "_merged"}
         model = LogisticRegression(
             **weighted, maxIter=params.pop("maxIter", MAX_ITER), regParam=1.0 / (strength * n),
             elasticNetParam=0.0, standardization=False, **params,
@@ -318,10 +392,11 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
         return done([DecisionTreeClassifier(**weighted, **{"maxDepth": TREE_DEPTH, "seed": seed, **params}).fit(train)])
     if name in PRESETS:
         settings = {**PRESETS[name], "seed": seed, **params}
+        train, weighted, before = _for_boosting(train, settings, base, weighted)
         if classes <= 2:
-            return done([GBTClassifier(**weighted, **settings).fit(train)])
+            return done([*before, GBTClassifier(**weighted, **settings).fit(train)])
         over = OneVsRest(classifier=GBTClassifier(**settings), rawPredictionCol="rawPrediction", parallelism=SIDE_BY_SIDE, **weighted)
-        return done(_argmax_model([over.fit(train)], classes))
+        return done(_argmax_model([*before, over.fit(train)], classes))
     if name == "svm":
         return _fit_svm(train, classes, weighted, params, seed, done)
     if name == "knn":

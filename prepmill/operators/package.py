@@ -16,6 +16,7 @@ from .ensemble import StackedModel
 from .kernel import LandmarkMap, LinearScore
 from .metrics import classification_metrics
 from .models import (
+    Binned,
     FittedModel,
     MarginProbability,
     MeanOfModels,
@@ -62,6 +63,8 @@ def _save_stage(spark: SparkSession, stage, path: str) -> dict:
         return {"type": "margin", "slope": stage.slope, "intercept": stage.intercept}
     if isinstance(stage, RandomFourier):
         return {"type": "cosines", "weights": stage.weights.tolist(), "shift": stage.shift.tolist(), "out": stage.out}
+    if isinstance(stage, Binned):
+        return {"type": "bins", "edges": [e.tolist() for e in stage.edges], "out": stage.out}
     if isinstance(stage, LandmarkMap):
         return {"type": "landmarks", "rows": stage.landmarks.tolist(), "gamma": stage.gamma, "out": stage.out}
     if isinstance(stage, LinearScore):
@@ -102,6 +105,8 @@ def _load_stage(spark: SparkSession, root: str, made_at: str, facts: dict):
         made = RandomFourier(1, 1.0, 1, facts["out"])
         made.weights, made.shift = np.array(facts["weights"]), np.array(facts["shift"])
         return made
+    if kind == "bins":
+        return Binned([np.array(e, float) for e in facts["edges"]], facts["out"])
     if kind == "landmarks":
         return LandmarkMap(np.array(facts["rows"]), facts["gamma"], facts["out"])
     if kind == "linear":

@@ -609,3 +609,42 @@ def test_eliminated_features_are_fitted_on_spread_rows(spark, monkeypatch, tmp_p
     monkeypatch.setattr(plan.X, "eliminate_features", lambda df, *a: seen.append(df))
     plan.f6(spark, str(tmp_path))
     assert seen[0].rdd.getNumPartitions() == 6 and seen[0].count() == 600
+
+
+def test_large_tables_are_fitted_on_their_different_rows(spark, monkeypatch):
+    """Rows of equal bins and label as one with their weight give the scores of all rows, and few rows reach the fit."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(3000):
+        a, b = float(rng.integers(0, 9)), float(rng.choice(3, p=[0.98, 0.012, 0.008]))
+        rows.append((i, float(rng.random() < 1 / (1 + np.exp(3 - a + b))), float(1 + i % 2), [a, b]))
+    data = spark.createDataFrame(rows, "id long, _label double, w double, x array<double>")
+    data = data.select("id", "_label", "w", array_to_vector("x").alias("features")).persist()
+    fits = []
+    merged_rows = models._merged
+    monkeypatch.setattr(models, "_merged", lambda *a: fits.append(merged_rows(*a)) or fits[-1])
+
+    def scores(name, weight, classes=2):
+        params = {"maxIter": 6} if name != "logistic" else None
+        scored = models.fit_model(name, "classification", data, classes, weight, params).transform(data)
+        return np.array([r["p"][1] for r in scored.select("id", vector_to_array("probability").alias("p")).orderBy("id").collect()])
+
+    for name, weight in (("logistic", None), ("logistic", "w"), ("gradient_boosting", None), ("xgboost", "w")):
+        plain = scores(name, weight)
+        with monkeypatch.context() as m:
+            m.setattr(models, "MERGE_ROWS", 100)
+            fits.clear()
+            merged = scores(name, weight)
+        assert np.abs(plain - merged).max() < 1e-6, (name, weight)
+        assert fits[0].count() <= 9 * 3 * 2
+        assert fits[0].agg(F.sum("_merged")).first()[0] == (4500 if weight else 3000)
+    monkeypatch.setattr(models, "MERGE_ROWS", 100)
+    binned = models.Binned.fit(data)
+    assert [list(e) for e in binned.edges] == [list(map(float, range(8))), [0.0, 1.0]]  # rare values are cut apart too
+    # Rows that all differ are fitted as they are.
+    assert merged_rows(data.select("_label", array_to_vector(F.array("id")).alias("features")), "features", None, 3000) is None
+    facts = package._save_stage(spark, binned, "unused")
+    again = package._load_stage(spark, "", "", facts).transform(data)
+    slots = lambda df: [r["_binned"] for r in df.orderBy("id").collect()]
+    assert slots(again) == slots(binned.transform(data))
+    data.unpersist()
