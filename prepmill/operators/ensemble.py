@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -102,19 +104,34 @@ class StackedModel:
         return done.select(*[col(c) for c in names], *added)
 
 
+@contextmanager
+def _kept_for_fits(rows: DataFrame, key: str | None) -> Iterator[DataFrame]:
+    """Label, ``features`` (and key) of the rows, kept while several models are fitted on them.
+
+    A task that reads a kept table reads its whole rows, so vectors of other folds must not be in it.
+    """
+    kept = rows.select(*([col(key)] if key else []), "_label", "features").persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def out_of_fold_scores(train: DataFrame, names: list[str], kind: str, classes: int, folds: int,
                        params: dict[str, dict] | None = None, key: str | None = None) -> DataFrame:
     """Training rows with ``_meta``: base scores from models that did not see the row.
 
     ``train`` has ``_label``, an integer ``fold`` and, for each fold i, ``features_i`` prepared
     without it (``tuning.fold_features``); a ``features`` column alone serves all folds.
+    Only what a fold's fits need is kept while they run, so keep narrow rows below ``train``, not its vectors.
     """
 
     def fold(i: int) -> DataFrame:
         own = vector_of(train, i)
         rows = train.withColumn("features", F.col(own))
         inner, held = rows.where(F.col("fold") != i), rows.where(F.col("fold") == i)
-        fitted = [fit_model(n, kind, inner, classes, None, (params or {}).get(n), key) for n in names]
+        with _kept_for_fits(inner, key) as kept:
+            fitted = [fit_model(n, kind, kept, classes, None, (params or {}).get(n), key) for n in names]
         return _with_base_scores(held, fitted, kind, classes)
 
     parts = run_together(train.sparkSession, [lambda i=i: fold(i) for i in range(folds)])
@@ -133,7 +150,8 @@ def stacking(
     meta_name = META[meta][0 if kind == "classification" else 1]
     learner = fit_model(
         meta_name, kind, scored.withColumnRenamed("_meta", "features"), classes, None, dict(META[meta][2]))
-    bases = run_together(train.sparkSession, [
-        lambda n=n: fit_model(n, kind, train, classes, None, (params or {}).get(n), key) for n in names
-    ])
+    with _kept_for_fits(train, key) as kept:
+        bases = run_together(train.sparkSession, [
+            lambda n=n: fit_model(n, kind, kept, classes, None, (params or {}).get(n), key) for n in names
+        ])
     return FittedModel("stacking", kind, [StackedModel(bases, learner, kind, classes)])

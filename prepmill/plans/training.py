@@ -397,8 +397,8 @@ from c, (select unnest(range(5)) as f)""", ("imb",))
 def en3b(spark, sf):
     """Every training row has base scores from one fold's models, made without it."""
     train, _, prepared = class_problem(spark, sf)
-    folded = with_folds(train, "event_id", 5, "label")
-    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared).persist()
+    folded = with_folds(train, "event_id", 5, "label").persist()
+    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared)
     scored = N.out_of_fold_scores(ready, ["naive_bayes"], "classification", 2, 5)
     scored = scored.dropDuplicates(["event_id"]).where("_meta is not null")
     return scored.groupBy("fold", F.col("_label").alias("label")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -407,8 +407,8 @@ def en3b(spark, sf):
 @query("en3_stacking")
 def en3(spark, sf):
     train, test, prepared = class_problem(spark, sf)
-    folded = with_folds(train, "event_id", 5, "label")
-    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared).persist()
+    folded = with_folds(train, "event_id", 5, "label").persist()
+    ready = fold_features(folded, T.prepare_folds(prepared, folded, 5), prepared)
     model = N.stacking(ready, ["naive_bayes", "decision_tree"], "classification", 2, "logistic", 5)
     scored = model.transform(prepared.slim(test))
     return rounded(scored.select("event_id", "_label", "prediction", vector_to_array("probability")[1].alias("p1")))

@@ -182,6 +182,39 @@ def test_stacking_numbers(numbers):
     assert training.score_predictions(model.transform(held), prepared)["r2"] > 0.8
 
 
+def test_stacking_keeps_no_vectors_of_other_folds(spark, two, monkeypatch):
+    """A task that reads a kept table reads its whole rows, so each fit's holds only what it is fitted on."""
+    train, _, prepared, _, held = two
+    folded = split.with_folds(train, "id", 3, "c")
+    rows = tuning.fold_features(folded, training.prepare_folds(prepared, folded, 3), prepared)
+    fits, fit = [], models.fit_model
+
+    def seen(name, kind, df, *rest):
+        fits.append((df.columns, df.storageLevel.useMemory, df))
+        return fit(name, kind, df, *rest)
+
+    monkeypatch.setattr(ensemble, "fit_model", seen)
+    model = ensemble.stacking(rows, ["naive_bayes", "decision_tree"], "classification", 2, "logistic", 3, QUICK, "id")
+    bases = [f for f in fits if "id" in f[0]]
+    assert len(fits) == 9 and len(bases) == 8
+    assert all(names == ["id", "_label", "features"] and kept for names, kept, _ in bases)
+    assert not any(df.storageLevel.useMemory for *_, df in bases)
+    assert accuracy(model.transform(held)) > 0.85
+
+
+def test_stacking_query_keeps_narrow_rows(spark, sf, monkeypatch):
+    """The kept rows below the folds' vectors hold none of them."""
+    from prepmill.plans import training as plan
+
+    seen = []
+    monkeypatch.setattr(plan.N, "stacking", lambda rows, *a: seen.append(rows) or models.FittedModel("none", "classification", []))
+    with pytest.raises(Exception, match="probability|prediction"):
+        plan.en3(spark, sf)
+    kept = seen[0]._jdf.queryExecution().withCachedData().toString()
+    relations = [line for line in kept.splitlines() if "InMemoryRelation" in line]
+    assert relations and not any("features" in line for line in relations)
+
+
 def test_shapley_values_add_up(two):
     _, _, prepared, ready, held = two
     model = models.fit_model("random_forest", "classification", ready, 2, None, QUICK["random_forest"])
