@@ -168,13 +168,15 @@ def vector_of(data: DataFrame, fold: int) -> str:
     return name if name in data.columns else "features"
 
 
-def bin_edges(data: DataFrame, folds: int) -> list[list[np.ndarray]]:
-    """By preparation and slot: ascending values at which a feature is cut, from the rows that fold trains on."""
+def bin_edges(data: DataFrame, folds: int, only: list[int] | None = None) -> list[list[np.ndarray]]:
+    """By preparation and slot (``only`` these have edges): ascending values at which a feature is cut, from the rows that fold trains on."""
     each = [
         F.struct(F.lit(i).alias("i"), vector_to_array(vector_of(data, i)).alias("x")) for i in range(folds)
     ]
     rows = data.select("fold", F.explode(F.array(*each)).alias("p")).filter(F.col("p.i") != F.col("fold"))
     values = rows.select("p.i", F.posexplode("p.x").alias("s", "v"))
+    if only is not None:
+        values = values.filter(F.col("s").isin(only))
     marks = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
     found = values.groupBy("i", "s").agg(
         F.percentile_approx("v", marks, F.lit(10_000)).alias("q"), F.max("v").alias("top")

@@ -39,6 +39,7 @@ from ..functions.parallel import run_together
 from ..functions.roles import as_text, col
 from ..session import cut_lineage, spread
 from .boosting import BINS, bin_edges
+from .forests import KNOWN, fit_cells, table_cells
 from .kernel import LANDMARKS, LandmarkMap, LinearScore, fit_epsilon
 
 #: Deep trees: rows remember their node, else every pass ships all trees to all tasks and walks them from the root.
@@ -231,7 +232,6 @@ class Binned:
     @classmethod
     def fit(cls, train: DataFrame) -> Binned:
         """Edges at quantiles of all rows; a slot of at most ``BINS`` different values is cut between all of them."""
-        edges = bin_edges(train.withColumn("fold", F.lit(-1)), 1)[0]
         values = train.select(F.posexplode(vector_to_array("features")).alias("s", "v"))
         about = values.groupBy("s").agg(F.approx_count_distinct("v").alias("n")).collect()
         few = [r["s"] for r in about if r["n"] <= 2 * BINS]
@@ -239,8 +239,12 @@ class Binned:
         # At most a few times BINS values for each of these slots.
         for r in values.where(F.col("s").isin(few)).distinct().collect() if few else []:
             found.setdefault(r["s"], []).append(r["v"])
+        edges = [np.zeros(0)] * len(about)
+        many = [r["s"] for r in about if len(found.get(r["s"], ())) > BINS or r["s"] not in found]
+        for s, cuts in enumerate(bin_edges(train.withColumn("fold", F.lit(-1)), 1, many)[0] if many else []):
+            edges[s] = cuts
         for s, seen in found.items():
-            if len(seen) <= BINS:
+            if s not in many:
                 edges[s] = np.unique(seen)[:-1]
         return cls(edges)
 
@@ -285,6 +289,15 @@ def _for_boosting(train: DataFrame, settings: dict, base: dict, weighted: dict)
     return train, weighted, []
 
 
+def _forest_of_cells(train: DataFrame, settings: dict, weighted: dict, classes: int):
+    """A forest on the cells of equal bins of a large table; none if it is small or has too many cells."""
+    if not set(settings) <= KNOWN or settings["featureSubsetStrategy"] not in ("sqrt", "all") or train.count() < MERGE_ROWS:
+        return None
+    edges = Binned.fit(train).edges
+    cells = table_cells(train, edges, weighted.get("weightCol"), classes)
+    return None if cells is None else fit_cells(cells, edges, settings, weighted, train)
+
+
 class MarginProbability:
     """Class probabilities from margins by a fitted logistic curve (two classes)."""
 
@@ -387,7 +400,8 @@ def _fit_classifier(name, train, classes, base, weighted, params, key, seed) ->
         return done([model])
     if name == "random_forest":
         defaults = {"numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "featureSubsetStrategy": "sqrt", "seed": seed, **DEEP}
-        return done([RandomForestClassifier(**weighted, **{**defaults, **params}).fit(train)])
+        settings = {**defaults, **params}
+        return done([_forest_of_cells(train, settings, weighted, classes) or RandomForestClassifier(**weighted, **settings).fit(train)])
     if name == "decision_tree":
         return done([DecisionTreeClassifier(**weighted, **{"maxDepth": TREE_DEPTH, "seed": seed, **params}).fit(train)])
     if name in PRESETS:

@@ -16,8 +16,8 @@ def _linear(spark, sf):
 
 
 def _forest(spark, sf):
-    train, test, prepared = many_class_problem(spark, sf)
-    model = fit_model("random_forest", "classification", prepared.slim(train), 3)
+    train, test, prepared = many_class_problem(spark, sf, passes=False)
+    model = fit_model("random_forest", "classification", prepared.apply(train).select("_label", "features"), 3)
     return model, prepared.slim(test), prepared
 
 

@@ -72,7 +72,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 SPLIT_ROWS = 250_000
 
 
-def spread(df: DataFrame, least_rows: int = 0) -> DataFrame:
+def spread(df: DataFrame, least_rows: int = 0, passes: bool = True) -> DataFrame:
     """Spread the rows of a table as read evenly over at least all cores before an iterative fit.
 
     A file may come in many splits and have its rows in a few of them, as a row group is
@@ -80,6 +80,7 @@ def spread(df: DataFrame, least_rows: int = 0) -> DataFrame:
     files' footers.  A table whose splits are as many as the cores, even and of few rows is
     returned unchanged; a large one gets a split for every ``SPLIT_ROWS`` rows.  With
     ``least_rows`` each split gets at least so many rows, so a small table is left as it is.
+    Without ``passes`` the table is read a few times only, and even splits may have any rows.
     """
     cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
     sizes = df.select(F.spark_partition_id().alias("split")).groupBy("split").count()
@@ -88,7 +89,7 @@ def spread(df: DataFrame, least_rows: int = 0) -> DataFrame:
     if least_rows:
         cores = min(cores, rows // least_rows)
     wanted = max(cores, -(-rows // SPLIT_ROWS), 1)
-    if splits >= cores and largest <= 2 * -(-rows // wanted):
+    if splits >= cores and largest <= 2 * -(-rows // (wanted if passes else max(cores, 1))):
         return df
     return df.repartition(wanted)
 

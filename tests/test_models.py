@@ -681,3 +681,72 @@ def test_large_tables_are_fitted_on_their_different_rows(spark, monkeypatch):
     slots = lambda df: [r["_binned"] for r in df.orderBy("id").collect()]
     assert slots(again) == slots(binned.transform(data))
     data.unpersist()
+
+
+def test_large_tables_grow_forests_on_cells(spark, monkeypatch):
+    """Without drawing, a tree of cells is Spark's tree of the rows; forests of cells score as Spark's forests and keep nothing for a row and tree."""
+    from prepmill.operators import forests
+    from prepmill.operators.staged import staged_predictions, tree_nodes
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2000):
+        x = [float(rng.integers(0, 50)), float(rng.integers(0, 9)), float(rng.integers(0, 2))]
+        low = rng.random() < 1 / (1 + np.exp(3 - x[0] / 8 + x[1] / 2 - x[2]))
+        rows.append((i, float(int(low) + int(rng.random() < 0.3 * x[2])), float(1 + i % 2), x))
+    data = spark.createDataFrame(rows, "id long, _label double, w double, x array<double>")
+    data = data.select("id", "_label", "w", array_to_vector("x").alias("features")).persist()
+    edges = models.Binned.fit(data).edges
+    assert [len(e) for e in edges] == [len(set(e)) for e in edges] and len(edges[0]) <= 31 and list(edges[2]) == [0.0]
+
+    class Whole:  # draws each row once, and every slot
+        poisson = staticmethod(lambda n: n)
+
+    binned = models.Binned(edges, "bins").transform(data)
+    for weight, depth, least in ((None, 4, 1), ("w", 30, 1), ("w", 30, 15), (None, 0, 1)):
+        cells = forests.table_cells(data, edges, weight, 3)
+        assert cells.rows.sum() == 2000 and len(cells.rows) < 2000
+        tree = forests.grow_tree(cells, [len(e) + 1 for e in edges], depth, least, 3, Whole())
+        options = {"weightCol": weight} if weight else {}
+        plain = models.DecisionTreeClassifier(
+            featuresCol="bins", labelCol="_label", maxDepth=depth, minInstancesPerNode=least, **options).fit(binned)
+        mine, its = np.bincount(tree.slot + 1, minlength=4), tree_nodes(plain, True)
+        assert len(tree.slot) == plain.numNodes
+        assert np.array_equal(mine, np.bincount(np.where(its.left >= 0, its.feature, -1) + 1, minlength=4))
+        shares = tree.stats / tree.stats.sum(axis=1, keepdims=True)
+        assert np.allclose(np.sort(shares[tree.slot < 0], axis=0), np.sort(its.value[its.left < 0], axis=0))
+
+    probabilities = lambda m, rows=data: np.array([r["p"] for r in m.transform(rows).select(
+        "id", vector_to_array("probability").alias("p")).orderBy("id").collect()])
+    params = {"numTrees": 60, "minInstancesPerNode": 2}
+    # Spark cuts a slot of many values at other values, so its forests get the bins.
+    binned = binned.select("id", "_label", "w", F.col("bins").alias("features"))
+    plain, other = (models.fit_model("random_forest", "classification", binned, 3, "w", params, seed=k) for k in (42, 7))
+    plain_p, other_p = (probabilities(m, binned) for m in (plain, other))
+    with monkeypatch.context() as m:
+        m.setattr(models, "MERGE_ROWS", 100)
+        m.setattr(models, "RandomForestClassifier", lambda **_: pytest.fail("a count and a node for each row and tree"))
+        mine = models.fit_model("random_forest", "classification", data, 3, "w", params)
+        again = models.fit_model("random_forest", "classification", data.repartition(3), 3, "w", params)
+    mine_p = probabilities(mine)
+    assert np.abs(plain_p - mine_p).mean() < 1.3 * np.abs(plain_p - other_p).mean()
+    assert np.array_equal(mine_p, probabilities(again))  # whatever the partitions
+    assert np.abs(plain.importances() - mine.importances()).max() < 0.05
+    assert len(mine.core.trees) == 60 and mine.core.getMaxDepth() == models.FOREST_DEPTH and mine.core.numClasses == 3
+    held = data.select("features", F.col("id").cast("double").alias("_label"))
+    got = staged_predictions(mine.core, True, held, [(60, 30), (5, 0)]).where("model = '0'").orderBy("label").collect()
+    assert [r["prediction"] for r in got] == [float(p.argmax()) for p in mine_p]
+    monkeypatch.setattr(forests, "MAX_CELLS", 10)  # too many cells: Spark's forest
+    monkeypatch.setattr(models, "MERGE_ROWS", 100)
+    wide = models.fit_model("random_forest", "classification", binned, 3, "w", params)
+    assert np.array_equal(probabilities(wide, binned), plain_p)
+    data.unpersist()
+
+
+def test_few_passes_need_even_splits_only(spark, monkeypatch):
+    """A table that is read a few times is not shuffled for the number of its rows."""
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SPLIT_ROWS", 100)
+    even = spark.range(0, 4000, 1, cores)
+    assert spread(even, passes=False) is even and spread(even).rdd.getNumPartitions() == 40
+    assert spread(spark.range(0, 4000, 1, 1), passes=False).rdd.getNumPartitions() >= cores
