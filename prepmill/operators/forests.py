@@ -253,4 +253,6 @@ def fit_cells(cells: Cells, edges: list[np.ndarray], settings: dict, columns: di
     facts = _facts(
         "RandomForestClassificationModel", estimator, estimator.uid, spark.version, numFeatures=slots, numClasses=cells.classes, numTrees=count)
     spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    return RandomForestClassificationModel.load(path)
+    model = RandomForestClassificationModel.load(path)
+    model.saved_at = path
+    return model

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_at_exit, scratch_path, ship_package
 
-#: Rows scored at a time; bounds the (row, tree) arrays of a task.
+#: Different rows scored at a time; bounds the (row, tree) arrays of a task.
 SCORE_ROWS = 256
 #: The largest category index of a split (one-hot slots have 0 and 1).
 MAX_KINDS = 61
@@ -58,13 +58,25 @@ class TreeNodes:
             node = np.where(inner, np.where(low, self.left[node], self.right[node]), node)
         return out
 
+    def alike(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of the rows that no split parts, and for each row its place among these."""
+        codes, inner = x.copy(), self.left >= 0
+        for s in range(x.shape[1]):
+            mine = inner & (self.feature == s)
+            if not (self.left_kinds[mine] >= 0).any():
+                codes[:, s] = np.searchsorted(np.unique(self.threshold[mine]), x[:, s], "left")
+        _, first, place = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+        return first, place.reshape(-1)
+
 
 def tree_nodes(model, classify: bool) -> TreeNodes:
     """The nodes of a fitted tree or forest, as its saved form lists them."""
     spark = SparkSession.active()
-    path = scratch_path(spark, "trees")
-    model.write().save(path)
-    drop_at_exit(spark, path)
+    path = getattr(model, "saved_at", None)
+    if path is None:
+        path = scratch_path(spark, "trees")
+        model.write().save(path)
+        drop_at_exit(spark, path)
     saved = spark.read.parquet(f"{path}/data")
     saved = saved.select("treeID", "nodeData.*") if "nodeData" in saved.columns else saved.withColumn("treeID", F.lit(0))
     rows = saved.select(
@@ -104,19 +116,21 @@ def staged_predictions(model, classify: bool, held: DataFrame, stages: list[tupl
     at = [(depths.index(d), trees.index(t)) for t, d in stages]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SCORE_ROWS):
-                batch = whole.slice(start, SCORE_ROWS)
-                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False))
-                votes = nodes.votes(x, trees, depths)
-                found = [
-                    votes[d, t].argmax(axis=1).astype(np.float64) if classify else votes[d, t][:, 0] / trees[t] for d, t in at
-                ]
-                label = batch.column(1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat([str(k) for k in range(len(at))], len(x))), pa.array(np.tile(label, len(at))),
-                    pa.array(np.concatenate(found)),
-                ], ["model", "label", "prediction"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack(batch.column(0).to_numpy(zero_copy_only=False))
+            first, place = nodes.alike(x)
+            found = np.empty((len(at), len(first)))
+            for start in range(0, len(first), SCORE_ROWS):
+                votes = nodes.votes(x[first[start:start + SCORE_ROWS]], trees, depths)
+                for k, (d, t) in enumerate(at):
+                    guess = votes[d, t].argmax(axis=1) if classify else votes[d, t][:, 0] / trees[t]
+                    found[k, start:start + SCORE_ROWS] = guess
+            label = batch.column(1).to_numpy(zero_copy_only=False)
+            for k in range(len(at)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([str(k)] * len(x)), pa.array(label), pa.array(found[k][place])], ["model", "label", "prediction"])
 
     rows = held.select(vector_to_array("features").alias("x"), F.col("_label").cast("double").alias("label"))
     return rows.mapInArrow(each, "model string, label double, prediction double")

@@ -1,5 +1,7 @@
 """Models, tuning, ensembles, explanations, packages and scoring."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -750,3 +752,15 @@ def test_few_passes_need_even_splits_only(spark, monkeypatch):
     even = spark.range(0, 4000, 1, cores)
     assert spread(even, passes=False) is even and spread(even).rdd.getNumPartitions() == 40
     assert spread(spark.range(0, 4000, 1, 1), passes=False).rdd.getNumPartitions() >= cores
+
+
+def test_forest_queries_fit_rows_without_key(spark, sf, monkeypatch):
+    """The kept training rows of the explained forest hold no row key; explained rows have theirs."""
+    from prepmill.plans import explaining as plan
+
+    seen = []
+    monkeypatch.setattr(plan, "fit_model", lambda name, kind, rows, *a: seen.append(rows))
+    _, test, _ = plan._forest(spark, sf)
+    assert seen[0].columns == ["_label", "features"] and "row_key" in test.columns
+    kept = re.findall(r"InMemoryRelation \[([^]]*)]", seen[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert kept and all("l_quantity" in k and "row_key" not in k for k in kept)
