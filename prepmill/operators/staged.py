@@ -85,22 +85,23 @@ def tree_nodes(model, classify: bool) -> TreeNodes:
         F.aggregate("split.leftCategoriesOrThreshold", F.lit(0).cast("bigint"), lambda a, c: F.when(
             (F.col("split.numCategories") >= 0) & (c <= MAX_KINDS), a + F.pow(F.lit(2.0), c).cast("bigint")
         ).otherwise(a)).alias("bits"),
-    ).toPandas().sort_values(["treeID", "id"])
-    if (rows["kinds"] > MAX_KINDS + 1).any():
+    ).toArrow()
+    order = np.lexsort((rows["id"].to_numpy(), rows["treeID"].to_numpy()))
+    tree, feature, left, right, kinds, bits = (
+        rows[c].to_numpy()[order] for c in ("treeID", "feature", "leftChild", "rightChild", "kinds", "bits"))
+    if (kinds > MAX_KINDS + 1).any():
         raise ValueError(f"splits on more than {MAX_KINDS + 1} category indices cannot be staged")
-    tree = rows["treeID"].to_numpy()
     roots = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
-    base = np.repeat(roots, np.diff(np.append(roots, len(tree))))
-    left, right = rows["leftChild"].to_numpy(), rows["rightChild"].to_numpy()
+    base = np.repeat(roots, np.diff(np.append(roots, len(tree)))).astype(np.int32)
     if classify:
-        stats = np.stack(rows["impurityStats"].to_numpy())
+        stats = rows["impurityStats"].combine_chunks().flatten().to_numpy().reshape(len(tree), -1)[order]
         value = stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300)
     else:
-        value = rows["prediction"].to_numpy()[:, None]
+        value = rows["prediction"].to_numpy()[order][:, None]
     return TreeNodes(
-        roots, rows["feature"].to_numpy(), rows["threshold"].fillna(0.0).to_numpy(),
-        np.where(left >= 0, base + left, -1), np.where(right >= 0, base + right, -1), value,
-        np.where(rows["kinds"].to_numpy() >= 0, rows["bits"].to_numpy(), -1),
+        roots, feature, rows["threshold"].fill_null(0.0).to_numpy()[order],
+        np.where(left >= 0, base + left, np.int32(-1)), np.where(right >= 0, base + right, np.int32(-1)), value,
+        np.where(kinds >= 0, bits, -1),
     )
 
 

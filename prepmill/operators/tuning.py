@@ -43,8 +43,9 @@ def random_points(grid: dict[str, list], draws: int = RANDOM_DRAWS, seed: int =
 
 #: A searched table is spread over one task for so many rows, as each of many fits reads it.
 ROWS_PER_TASK = 50_000
-#: Fits run side by side.
+#: Fits run side by side, and on tables of so many tasks, whose forests are larger and fill the cores alone.
 SIDE_BY_SIDE = 8
+MANY_TASKS, FEW_SIDE_BY_SIDE = 20, 3
 #: What a larger fit of a model holds smaller ones of.
 STAGED = {"random_forest": ("numTrees", "maxDepth"), "decision_tree": ("maxDepth",)}
 BOOST_STAGED = {"maxIter", "maxDepth", "stepSize"}
@@ -121,7 +122,7 @@ def _fitted_scores(
 
     run_together(data.sparkSession, [
         lambda f=f, o=o, m=m: one(f, o, m) for o, m in groups.items() for f in range(folds)
-    ], SIDE_BY_SIDE)
+    ], FEW_SIDE_BY_SIDE if data.rdd.getNumPartitions() >= MANY_TASKS else SIDE_BY_SIDE)
     return scores
 
 
